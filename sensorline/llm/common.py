@@ -93,6 +93,12 @@ def clear_staged(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def file_by_file(files: DataFrame, most_tasks: int = 2_000) -> DataFrame:
+    """Deal a small table of file names (column uri) so that files are read side by side; the adaptive planner would
+    otherwise put its few bytes, and all the work they stand for, into one task."""
+    return files.repartition(max(1, min(files.count(), most_tasks)), "uri")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; local paths and file:// need no further library."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_file, staged, write_bytes
+from .common import file_by_file, fresh_path, open_file, staged, write_bytes
 from .tokens import encoder
 
 MAGIC = b"TOKBITS1"
@@ -180,7 +180,7 @@ def read_tokens(files: TokenFiles, with_ids: bool = True) -> DataFrame:
                     if rows:
                         yield _batch(rows, with_ids)
 
-    spread = files.manifest.select("uri", "start").repartition(F.col("uri"))
+    spread = file_by_file(files.manifest.select("uri", "start"))
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_file, staged, write_bytes
+from .common import file_by_file, fresh_path, open_file, staged, write_bytes
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 64 << 20
@@ -201,7 +201,7 @@ def read_warc(archive: Archive, with_payload: bool = True) -> DataFrame:
                     for i in range(len(bundle.frames)):
                         yield pa.RecordBatch.from_pylist([_fields(*r, with_payload) for r in parse(bundle.frame(i))], READ if with_payload else READ.remove(6))
 
-    files = archive.index.select("uri").distinct()
+    files = file_by_file(archive.index.select("uri").distinct())
     shape = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     return files.mapInArrow(read, shape + ", payload binary" * with_payload)
 
