@@ -1,15 +1,342 @@
-"""Queries of the sensor operators on the test tables, and the SQL each must equal."""
+"""Queries of the sensor operators on the test tables, and the SQL each must equal.
+
+The tables stand in for recordings: event types are streams, users are episodes, embeddings are vector columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis
+from ..operators.windows import epoch_ns
+from ..sources import text
+from . import charts, sql
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("stream"), "value", epoch_ns("ts").alias("t"), (epoch_ns("ts") / 1e9).alias("s"))
+
+
+def q01_stream_checks(spark, d):
+    return sync.stream_checks(_events(spark, d), ["stream"], "t", ["event_id"])
+
+
+def q02_stream_shape(spark, d):
+    return sync.stream_shape(_events(spark, d), ["stream"], "t")
+
+
+def q03_gaps(spark, d):
+    return sync.locate_gaps(_events(spark, d), ["stream"], "t")
+
+
+def q04_baseline_rank(spark, d):
+    return sync.rank_baselines(_events(spark, d), "stream", "t")
+
+
+def _offsets(spark, d):
+    e = _events(spark, d)
+    return sync.residuals(e.where("stream = 'view'").select("stream", "t"), e.where("stream = 'click'"), ["stream"], "t", bucket_width=86_400_000_000_000)
+
+
+def q05_nearest_residual(spark, d):
+    return sync.residual_stats(_offsets(spark, d), ["stream"])
+
+
+def q06_drift(spark, d):
+    return sync.drift(_offsets(spark, d), ["stream"], "t", 1000.0)
+
+
+def q07_measured_rate(spark, d):
+    return timeaxis.measured_rate(_events(spark, d), ["stream"], "t", ["event_id"])
+
+
+def q08_unit_inference(spark, d):
+    e = _events(spark, d)
+    clocks = F.array(*[F.struct(F.lit(u).alias("clock"), (F.col("t") / ns).alias("v")) for u, ns in timeaxis.UNIT_NS.items()])
+    return timeaxis.infer_unit(e.select(F.explode(clocks).alias("c")).select("c.*"), ["clock"], "v")
+
+
+def q09_generic_stats(spark, d):
+    return stats.generic_stats(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag"])
+
+
+def q10_column_profile(spark, d):
+    return stats.column_profile(_t(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+
+
+def _durations(spark, d):
+    return _events(spark, d).groupBy("user_id").agg(((F.max("t") - F.min("t")) / 1e9).alias("duration_s"), F.sum("value").alias("total"))
+
+
+def q11_iqr_outliers(spark, d):
+    return stats.iqr_outliers(_durations(spark, d), "total").select("user_id", "total", "low", "high")
+
+
+def q12_episode_distribution(spark, d):
+    return stats.episode_distribution(_events(spark, d), "user_id")
+
+
+def q13_success_rate(spark, d):
+    e = _events(spark, d).withColumn("success", (F.col("stream") == "purchase").cast("int"))
+    return stats.success_rate(e, "user_id", "success", ["event_id"])
+
+
+def q14_bad_values_gate(spark, d):
+    l = _t(spark, d, "lineitem")
+    odd = l.select(
+        F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_quantity")).alias("with_null"),
+        F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("with_nan"),
+        F.when(F.col("l_quantity") < 2, F.lit(float("inf"))).otherwise(F.col("l_discount")).alias("with_inf"),
+    )
+    return quality.gate_bad_values(odd, ["with_null", "with_nan", "with_inf"])
+
+
+def q15_monotonic_gate(spark, d):
+    e = _events(spark, d).withColumn("shaken", F.when(F.col("event_id") % 97 == 0, F.col("t") - 86_400_000_000_000).otherwise(F.col("t")))
+    return quality.gate_monotonic(e, ["user_id"], "shaken", ["event_id"], F.floor(F.col("event_id") / 1000)).drop("first_back")
+
+
+def q16_frame_loss_gate(spark, d):
+    return quality.gate_frame_loss(_events(spark, d), ["stream"], "s")
+
+
+def _values(spark, d):
+    return quality.channels(_events(spark, d), ["user_id"], "event_id", ["value", "s"])
+
+
+def q17_idle_ratio(spark, d):
+    return quality.idle_ratio(_values(spark, d), ["user_id"], "event_id")
+
+
+def q18_action_spike(spark, d):
+    long = quality.channels(_events(spark, d), ["stream"], "event_id", ["value"])
+    return quality.action_spikes(long, ["stream"], "event_id", quality.Settings(spike_factor=4.0))
+
+
+def q19_action_jerk(spark, d):
+    long = quality.channels(_events(spark, d), ["stream"], "event_id", ["value"])
+    return quality.action_jerk(long, ["stream"], "event_id")
+
+
+def q20_pauses(spark, d):
+    return quality.pauses(_values(spark, d), ["user_id"], "event_id", quality.Settings(pause_steps=3, idle_speed=0.3))
+
+
+def q21_arm_shaking(spark, d):
+    long = quality.channels(_events(spark, d), ["stream"], "event_id", ["value"])
+    return quality.arm_shaking(long, ["stream"], "event_id")
+
+
+def q22_path_efficiency(spark, d):
+    return quality.path_efficiency(_values(spark, d), ["user_id"], "event_id")
+
+
+def q23_actuator_saturation(spark, d):
+    l = _t(spark, d, "lineitem").select(F.col("l_suppkey"), (F.col("l_orderkey") * F.lit(10_000_000_000) + F.col("l_linenumber").cast("bigint") * F.lit(1_000_000_000) + F.col("l_partkey")).alias("row"), "l_quantity", (F.col("l_tax") * 500).alias("scaled"))
+    return quality.actuator_saturation(l, ["l_suppkey"], "row", [("l_quantity", "scaled")])
+
+
+def _totals(spark, d):
+    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("index")).agg(F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
+
+
+def _orders(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("quantity"))
+
+
+def _compared(op):
+    def run(spark, d):
+        columns = ["price", "quantity"] if op == "distance" else ["price"]
+        return compare.compare_tables(_orders(spark, d), _totals(spark, d), "index", columns, columns, op, check=False)
+
+    return run
+
+
+q24_compare_diff, q24_compare_ratio, q24_compare_distance = map(_compared, ("diff", "ratio", "distance"))
+
+
+def q25_compare_duplicate_keys(spark, d):
+    l = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("index"), "l_linenumber", "l_extendedprice", "l_quantity")
+    joined = compare.join_by_key(l, l, "index", ["l_extendedprice"], ["l_quantity"], "l_linenumber", "l_linenumber")
+    return compare.compare_columns(joined, ["l_extendedprice"], ["l_quantity"], "ratio")
+
+
+def q26_dataset_diff(spark, d):
+    def side(name, key, value):
+        return _t(spark, d, name).groupBy(F.col(key).alias("stream")).agg(F.count("*").alias("n"), (F.max(value) - F.min(value)).alias("span_s"), F.avg(value).alias("rate_hz"))
+
+    a = side("customer", "c_nationkey", "c_acctbal").where("stream < 20")
+    return compare.compare_datasets(a, side("supplier", "s_nationkey", "s_acctbal").where("stream > 3"))
+
+
+def q27_vector_profile(spark, d):
+    e = _t(spark, d, "embeddings")
+    zero = F.when(F.col("vec_id") % 7 == 3, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return stats.vector_profile(e.select("vec_id", zero.alias("v")), "v", "vec_id")
+
+
+def q28_pose_blocks(spark, d):
+    return stats.pose_blocks(_t(spark, d, "embeddings"), "embedding", 7)
+
+
+def q29_stationary_blocks(spark, d):
+    return sanity.stationary_blocks(_events(spark, d).withColumn("row", F.col("event_id") - 1), [], "row", "value")
+
+
+def q30_constant_channels(spark, d):
+    o = _t(spark, d, "orders").withColumn("flat", F.lit(3.5))
+    return sanity.constant_channels(o, ["o_custkey", "o_totalprice", "flat"])
+
+
+def q31_clipping(spark, d):
+    return sanity.clipping(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
+
+
+def q32_zscores(spark, d):
+    return stats.zscores(_events(spark, d).select("event_id", "stream", "value"), ["stream"], "value")
+
+
+def q33_histogram(spark, d):
+    return stats.histogram(_t(spark, d, "lineitem"), "l_extendedprice")
+
+
+def q34_envelope(spark, d):
+    from ..sources import envelope
+
+    return envelope.json_fields(_t(spark, d, "events").select("event_id", "props"), "props", {"props.k": ("$.k", "bigint")}).select("event_id", F.col("`props.k`").alias("k"))
+
+
+def q35_segments(spark, d):
+    e = _events(spark, d)
+    e = e.withColumn("row", (F.row_number().over(Window.partitionBy("stream").orderBy("event_id")) - 1).cast("bigint"))
+    return segment.segment_actions(e, ["stream"], "row", ["value"], None, 10.0)
+
+
+def _sessions(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = _events(spark, d).withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > 86_400_000_000_000).cast("int"), F.lit(1)))
+    e = e.withColumn("id", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = e.groupBy(F.col("user_id").cast("string").alias("episode_key"), "id").agg((F.min("t") / 1e9 - 1704067200).alias("start_s"), (F.max("t") / 1e9 - 1704067200).alias("end_s"), F.first("stream").alias("_x"))
+    return rows.select("episode_key", "id", "start_s", F.when(F.col("id") % 5 == 0, F.col("end_s") + 100000).otherwise(F.col("end_s")).alias("end_s"), F.lit("segment").alias("scope"), F.when(F.col("id") == 2, "llm_proposed").otherwise("imported").alias("source"))
+
+
+def q36_annotation_qc(spark, d):
+    return annotations.check_annotations(_sessions(spark, d), "training")
+
+
+def q37_snapshot_diff(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("episode_key"), "o_orderstatus", "o_totalprice")
+    old = o.where("id % 5 <> 0")
+    new = o.where("id % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("id") % 11 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return annotations.diff_snapshots(old, new).withColumn("changed", F.array_join("changed", ","))
+
+
+def q37_upsert_log(spark, d):
+    o = _t(spark, d, "orders").select(F.lit("segment").alias("scope"), F.col("o_custkey").cast("string").alias("episode_key"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
+    stored = o.where("id % 3 <> 0")
+    incoming = o.where("id % 2 = 0").withColumn("o_orderstatus", F.when(F.col("id") % 4 == 0, "U").otherwise(F.col("o_orderstatus"))).withColumn("nth", F.col("id"))
+    return annotations.upsert(stored, incoming, "nth")[1]
+
+
+def q38_log_lines(spark, d):
+    e = _t(spark, d, "events")
+    line = F.concat(F.lit("I0101 00:00:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit(".000250 17 feed.cc:12] "), "event_type")
+    lines = e.select(F.col("event_id").alias("row_index"), F.when(F.col("event_id") % 10 == 0, F.col("props")).otherwise(line).alias("value"))
+    return text.parse_log(lines)
+
+
+def q38_timestamp_lines(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_id").alias("row_index"), F.concat_ws(" ", epoch_ns("ts").cast("string"), F.col("event_id").cast("string")).alias("value"))
+    return text.parse_timestamps(e)
+
+
+def q39_steady_rate(spark, d):
+    return timeaxis.steady_rate(_events(spark, d), ["stream"], "t")
+
+
+def q40_container_alignment(spark, d):
+    e = _events(spark, d).withColumn("container", F.concat(F.lit("c"), F.col("user_id") % 4))
+    return sync.container_alignment(e, "container", "stream", "t")
+
+
+def q41_sync_report(spark, d):
+    return sync.sync_report(_events(spark, d), "stream", "t", ["event_id"], baseline="click", bucket_width=86_400_000_000_000)
+
+
+def q42_episode_bounds(spark, d):
+    e = _events(spark, d).withColumn("t", F.when(F.col("user_id") % 9 == 0, -F.col("t")).otherwise(F.col("t")))
+    return quality.gate_episode_bounds(e, "user_id", "t", "event_id")
+
+
+def q43_range_of_motion(spark, d):
+    return stats.range_of_motion(_t(spark, d, "part"), ["p_size", "p_retailprice"])
+
+
+def q44_last_duration(spark, d):
+    return stats.last_value(_events(spark, d), "user_id", "value", ["event_id"])
+
+
+def q45_label_balance(spark, d):
+    return stats.capability_counts(_t(spark, d, "events"), "event_type")
+
+
+def q46_task_candidates(spark, d):
+    return stats.first_seen(_events(spark, d), ["user_id"], "stream", ["event_id"]).withColumn("tasks", F.array_join("tasks", ","))
+
+
+def q47_gate_fps(spark, d):
+    return quality.gate_fps(_events(spark, d), ["stream"], "t", ["event_id"], 0.001)
+
+
+def q48_difference_stats(spark, d):
+    return stats.difference_stats(_t(spark, d, "orders"), "o_totalprice").withColumn("bins", F.array_join("bins", ","))
+
+
+def q49_chart_series(spark, d):
+    return charts.time_series(_events(spark, d), "stream", "t", "value", 200)
+
+
+def q50_force_checks(spark, d):
+    return sanity.force_checks(_t(spark, d, "lineitem"), ["l_quantity", "l_discount"])
+
+
+def q51_document_grep(spark, d):
+    lines = _t(spark, d, "events").select(F.col("event_id").alias("row_index"), F.concat_ws(" ", "event_type", "props").alias("value"))
+    return text.grep(lines, "purchase", bucket=F.floor(F.col("row_index") / 1000))
+
+
+def q52_episode_anchors(spark, d):
+    return annotations.episode_anchors(_events(spark, d), "user_id", "s", "event_id")
+
+
+def q53_quaternion_groups(spark, d):
+    e = _t(spark, d, "embeddings")
+    cols = [F.col("embedding")[i].alias(f"rot_{a}") for i, a in enumerate("wxyz")]
+    return sanity.quaternion_groups(e.select(*cols), {"rot_": [f"rot_{a}" for a in "wxyz"]})
+
+
+def q54_imu_checks(spark, d):
+    e = _events(spark, d).select((F.col("event_id") - 1).alias("row"), (9.7 + F.col("value") / 1e4).alias("accel_x"), F.lit(0.0).alias("accel_y"), F.lit(0.1).alias("accel_z"), F.lit(0.001).alias("gyro_x"))
+    return sanity.imu_checks(e.withColumn("device", F.lit("d")), ["device"], "row", ["accel_x", "accel_y", "accel_z"], ["gyro_x"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return q41_sync_report(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql.ORACLES[k] for k in QUERIES if k in sql.ORACLES}
