@@ -6,9 +6,7 @@ lower-cases A-Z and blanks what separates words; ``bytes.split`` then cuts at ex
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -18,6 +16,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clear_staged, fresh_path, shared_dir, staged  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORD_BYTES = bytes(
@@ -45,54 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_ROOT: list[str] = []
-_STAGED: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where that is unset (local tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="sensorline-"))
-        atexit.register(_remove_own_root)
-    return f"file://{_OWN_ROOT[0]}"
-
-
-def _remove_own_root() -> None:
-    import shutil
-
-    for root in _OWN_ROOT:
-        shutil.rmtree(root, ignore_errors=True)
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
-    return path
-
-
-def staged(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame once as Parquet in the shared folder and read it back.
-
-    Later jobs read files that outlive executors instead of computing the lineage again.
-    """
-    spark = frame.sparkSession
-    path = fresh_path(spark, label)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Delete all intermediate tables and files of this process. Call it once results are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = hadoop(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def file_by_file(files: DataFrame, most_tasks: int = 2_000) -> DataFrame:
     """Deal a small table of file names (column uri) so that files are read side by side; the adaptive planner would
     otherwise put its few bytes, and all the work they stand for, into one task."""
