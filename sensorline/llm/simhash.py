@@ -105,13 +105,16 @@ def half_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp >> np.uint64(32)).astype(np.int64) * 64 + np.bitwise_count(fp & np.uint64(0xFFFFFFFF))
 
 
+def _pack_tile(table: pa.Table) -> pa.Table:
+    """One row for a tile: its fingerprints, sorted by half counts, as bytes."""
+    fp = table.column("fp").to_numpy().view(np.uint64)
+    return pa.table({"tile": table.column("tile")[:1], "fps": [fp[np.argsort(half_counts(fp), kind="stable")].tobytes()]})
+
+
 def _compare(radius: int):
     def run(table: pa.Table) -> pa.Table:
-        fp, tile = table.column("fp").to_numpy().view(np.uint64), table.column("tile").to_numpy()
-        first = table.column("a")[0].as_py()
-        parts = [x[np.argsort(half_counts(x), kind="stable")] for x in (fp[tile == first], fp[tile != first])]
-        single = table.column("b")[0].as_py() == first
-        forest = close_pairs(parts[0], None if single else parts[1], radius)
+        parts = [np.frombuffer(x, np.uint64) for x in table.sort_by("tile").column("fps").to_pylist()]
+        forest = close_pairs(parts[0], parts[1] if len(parts) > 1 else None, radius)
         nodes = np.concatenate(parts).view(np.int64)
         moved = np.flatnonzero(forest.root != np.arange(len(forest.root)))
         return pa.table({"u": nodes[moved], "v": nodes[forest.root[moved]]})
@@ -138,7 +141,7 @@ def _layout(classes: list[tuple[int, int, int]], size: int, radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (column fp) just as all links within the radius do.
 
-    Each tile pair returns a spanning forest of its links, never all pairs of a group. The driver holds the sizes of
+    A tile is one row of bytes and goes to every tile it meets. Each tile pair returns a spanning forest of its links, never all pairs of a group. The driver holds the sizes of
     33 x 33 classes and two numbers a tile.
     """
     spark = distinct.sparkSession
@@ -154,8 +157,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     dealt = halves.join(F.broadcast(places), ["high", "low"]).select(
         "fp", F.floor((F.col("at") + F.pmod(F.xxhash64("fp"), "n")) / tile).alias("tile")
     )
-    paired = dealt.join(meets, "tile").select("fp", "tile", F.explode(F.sequence("first", "last")).alias("j"))
-    paired = paired.select("fp", "tile", F.least("tile", "j").alias("a"), F.greatest("tile", "j").alias("b"))
+    tiles = dealt.groupBy("tile").applyInArrow(_pack_tile, "tile bigint, fps binary")
+    paired = tiles.join(meets, "tile").select("fps", "tile", F.explode(F.sequence("first", "last")).alias("j"))
+    paired = paired.select("fps", "tile", F.least("tile", "j").alias("a"), F.greatest("tile", "j").alias("b"))
     return paired.groupBy("a", "b").applyInArrow(_compare(radius), "u bigint, v bigint")
 
 
