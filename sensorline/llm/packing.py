@@ -184,6 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = MOST, with_id
     places = plan(dict(counts.groupBy("length").agg(F.sum("n")).collect()), most)  # at most one row for each length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    before = before.hint("merge")  # it grows with the tasks: never broadcast
     shared = spark.sparkContext.broadcast(places)  # runs of ranks: bounded by lengths and patterns, not by documents
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
