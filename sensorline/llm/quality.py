@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 BITS = 18
 SAMPLE = 6_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.02, 0.1
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 MEMO = 400_000
 
@@ -62,6 +62,8 @@ class Model:
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
     """Follow the regularised leader: each weight follows from its sums of gradients (z) and of their squares (n)."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    good = sum(label for *_, label in rows)
+    weight = [len(rows) / (2 * max(1, k)) for k in (len(rows) - good, good)]  # both labels count alike
 
     def weights(at) -> np.ndarray:
         own = z[at]
@@ -74,7 +76,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoc
             at, value, label = rows[i]
             at, value = np.append(at, 1 << bits), np.append(value, 1.0)
             w = weights(at)
-            gradient = (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
+            gradient = weight[label] * (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
             grown = n[at] + gradient**2
             z[at] += gradient - (np.sqrt(grown) - np.sqrt(n[at])) / ALPHA * w
             n[at] = grown
