@@ -102,7 +102,7 @@ def sniff_csv(head: bytes) -> tuple[str, str]:
 def read_csv(spark: SparkSession, path: str, sub: str | None = None) -> DataFrame:
     """CSV with a header; encoding and delimiter are found out, types inferred over all rows, malformed rows dropped."""
     encoding, delimiter = sniff_csv(_head(spark, path))
-    charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
+    charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"  # Spark reads no other one-byte encoding; they differ in 0x80-0x9F
     return spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
 
 
