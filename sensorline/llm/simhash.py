@@ -22,7 +22,7 @@ from .components import components
 WORDS = 4
 RADIUS = 4
 SEED = 42
-TILE = 32_768
+TILE = 16_384
 #: Fingerprints compared at once: rows by columns.
 ROWS, COLUMNS = 128, 4_096
 
