@@ -15,9 +15,13 @@ from .windows import nearest, neighbours
 NO_BASELINE = ("tf_static", "static", "calib", "metadata", "metainfo")
 
 
-def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket: Column | None = None) -> DataFrame:
-    """keys, t, p (the clock before in sorted order) and d, their difference."""
+def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None) -> DataFrame:
+    """keys, t, p (the clock before in sorted order) and d, their difference.
+
+    With bucket_width a stream is sorted in pieces of so many nanoseconds, so one long stream spreads over tasks.
+    """
     rows = frame.select(*keys, F.col(clock_ns).alias("t")).where("t is not null")
+    bucket = F.floor(F.col("t") / bucket_width) if bucket_width else None
     return neighbours(rows, keys, ["t"], {"p": ("t", -1)}, bucket).withColumn("d", F.col("t") - F.col("p"))
 
 
@@ -25,15 +29,19 @@ def medians(steps: DataFrame, keys: list[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("step_ns"))
 
 
-def stream_checks(frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS) -> DataFrame:
+def stream_checks(
+    frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS, bucket_width: int | None = None, bucket_rows: int | None = None
+) -> DataFrame:
     """One row for each stream: n, span_s, step_ns, rate_hz, n_disorder, n_duplicates, n_gaps, loss.
 
     Disorder counts steps back in file order; the rest follows the sorted clock. Loss is the time of gaps beyond a median
     step, over the span, at most 1. A stream of one value has no step: its rate, gaps and loss are null, 0 and 0.
+    Long streams are sorted in pieces: of bucket_width nanoseconds, and of bucket_rows of the first order column.
     """
-    filed = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)})
+    pieces = F.floor(F.col(order[0]) / bucket_rows) if bucket_rows else None
+    filed = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)}, pieces)
     disorder = filed.groupBy(*keys).agg(F.count_if(F.col(clock_ns) < F.col("_p")).alias("n_disorder"))
-    steps = sorted_steps(frame, keys, clock_ns)
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
     gap = F.col("d") > settings.gap_factor * F.col("step_ns")
     sums = steps.join(medians(steps, keys), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"), F.avg("d").alias("mean_ns"),
@@ -47,12 +55,12 @@ def stream_checks(frame: DataFrame, keys: list[str], clock_ns: str, order: list[
     )
 
 
-def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS) -> DataFrame:
+def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
     """static (few values, or a median step above a tenth of the span), burst (mean step far above the median) or periodic.
 
     n_bursts and effective_hz describe bursts and are null for other shapes.
     """
-    steps = sorted_steps(frame, keys, clock_ns)
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
     sums = steps.join(medians(steps, keys), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"),
         F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_ns"), F.count_if(F.col("d") > 2 * F.col("step_ns")).alias("breaks"),
@@ -66,11 +74,11 @@ def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Set
     )
 
 
-def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS) -> DataFrame:
+def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
     """The first gaps of each stream (gap_report_limit): nth, start_ns, end_ns, duration_s, n_missing."""
     from pyspark.sql import Window
 
-    steps = sorted_steps(frame, keys, clock_ns)
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
     gaps = steps.join(medians(steps, keys), keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p"))
     return gaps.withColumn("nth", nth).where(F.col("nth") <= settings.gap_report_limit).select(
@@ -79,9 +87,9 @@ def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Sett
     )
 
 
-def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings = DEFAULTS) -> DataFrame:
+def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
     """Eligible streams by score: coverage over (1 + variation of steps) times log10 of the count; ties by name."""
-    steps = sorted_steps(frame, [key], clock_ns)
+    steps = sorted_steps(frame, [key], clock_ns, bucket_width)
     sums = steps.groupBy(key).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"),
         F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_ns"), F.stddev_pop(F.when(F.col("d") > 0, F.col("d"))).alias("dev_ns"),
@@ -138,9 +146,9 @@ def verdict(loss: Column, drifts: Column, max_residual_ms: Column, most_hz: Colu
 def sync_report(frame: DataFrame, key: str, clock_ns: str, order: list[str], baseline: str | None = None, bucket_width: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Checks, residuals and drift of every stream against a baseline (the best ranked if none is named), with a verdict."""
     if baseline is None:
-        best = rank_baselines(frame, key, clock_ns, settings).orderBy(F.desc("score"), key).select(key).first()
+        best = rank_baselines(frame, key, clock_ns, settings, bucket_width).orderBy(F.desc("score"), key).select(key).first()
         baseline = best[0] if best else None
-    checks = stream_checks(frame, [key], clock_ns, order, settings)
+    checks = stream_checks(frame, [key], clock_ns, order, settings, bucket_width)
     base = frame.where(F.col(key) == F.lit(baseline))
     others = frame.where(F.col(key) != F.lit(baseline)).select(key, clock_ns)
     offsets = residuals(others, base, [key], clock_ns, bucket_width)
@@ -189,3 +197,29 @@ def container_alignment(frame: DataFrame, container: str, sub: str, clock_ns: st
         (head / 1e9).alias("head_offset_s"), (tail / 1e9).alias("tail_offset_s"), "n_gaps",
         ((F.abs(head) > ratio * span) | (F.abs(tail) > ratio * span)).alias("flagged"),
     )
+
+
+def camera_coverage(nodes: DataFrame) -> DataFrame:
+    """Cameras that only the images or only the clocks of a container know: container, without_clock, without_images.
+
+    nodes: container, camera, is_clock.
+    """
+    sides = nodes.groupBy("container").agg(
+        F.collect_set(F.when(~F.col("is_clock"), F.col("camera"))).alias("images"), F.collect_set(F.when(F.col("is_clock"), F.col("camera"))).alias("clocks")
+    )
+    return sides.select("container", F.array_sort(F.array_except("images", "clocks")).alias("without_clock"), F.array_sort(F.array_except("clocks", "images")).alias("without_images"))
+
+
+def master_clock(nodes: list[str]) -> str | None:
+    """The clock of a container's nodes: main_timestamp, else the first one that is no camera's, else the first."""
+    clocks = sorted(n for n in nodes if "timestamp" in n.lower())
+    named = [n for n in clocks if n.rsplit("/", 1)[-1] == "main_timestamp"]
+    return next(iter(named or [n for n in clocks if "cam" not in n.lower()] or clocks), None)
+
+
+def frame_clock(frames: DataFrame, clock: DataFrame, index: str = "frame_index") -> DataFrame:
+    """Frames with the master clock's columns, if their numbers are 0 to n - 1, each once, on both sides; else an error."""
+    ends = [x.agg(F.count("*").alias("n"), F.count_distinct(index).alias("d"), F.min(index).alias("lo"), F.max(index).alias("hi")).first() for x in (frames, clock)]
+    if any(e.n != e.d or e.lo != 0 or e.hi != e.n - 1 for e in ends) or ends[0].n != ends[1].n:
+        raise ValueError("the frame numbers of the two tables do not pair one to one")
+    return frames.join(clock, index)

@@ -110,3 +110,19 @@ def compare_rates(measured: Column, nominal: Column, settings: Settings = DEFAUL
     """match, mismatch, or unknown where either rate is missing."""
     off = F.try_divide(F.abs(measured - nominal), nominal)
     return F.when(off <= settings.rate_tolerance, "match").when(off > settings.rate_tolerance, "mismatch").otherwise("unknown")
+
+
+def unit_hint(value: Column) -> Column:
+    """Unit of a nested clock field from the size of its values alone; null below epochs."""
+    return F.when(value >= 1e17, "ns").when(value >= 1e14, "us").when(value >= 1e11, "ms").when(value >= 1e8, "s")
+
+
+def explain_rates(video_fps: float, data_hz: float, tolerance: float = 0.02) -> str:
+    """How a video's rate relates to its data's: equal, a whole multiple, or unrelated."""
+    if not video_fps or not data_hz:
+        return "unknown"
+    high, low = max(video_fps, data_hz), min(video_fps, data_hz)
+    times = round(high / low)
+    if abs(high / low - times) > tolerance * times:
+        return "unrelated"
+    return "equal" if times == 1 else f"{'video' if video_fps > data_hz else 'data'} is {times} times as fast"

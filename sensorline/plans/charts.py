@@ -36,3 +36,28 @@ def chart(frame: DataFrame, kind: str, x: str, y: str | None = None, color: str
             rows, y = zscores(rows, [key], y), "z"
         series = time_series(rows, key, x, y, points)
     return series, {"kind": kind, "x": x, "y": y, "color": color, "title": title, "columns": series.columns}
+
+
+def trajectory(frame: DataFrame, order: str, axes: list[str], points: int = 1_000) -> DataFrame:
+    """At most points rows of a path, evenly spread over its order: order and the axes."""
+    ends = frame.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    spot = F.floor((F.col(order) - F.col("_lo")) * points / F.greatest(F.lit(1), F.col("_hi") - F.col("_lo") + 1))
+    rows = frame.join(F.broadcast(ends)).groupBy(spot.alias("_b")).agg(F.min_by(F.struct(order, *axes), order).alias("_r"))  # one row
+    return rows.select("_r.*")
+
+
+def vector_series(frame: DataFrame, x: str, vector: str, dims: int = 8) -> DataFrame:
+    """x, dim and value of the first dimensions of a vector column."""
+    return frame.select(x, F.posexplode(F.slice(F.col(vector).cast("array<double>"), 1, dims)).alias("dim", "value"))
+
+
+def overlay(streams: dict[str, DataFrame], clock: str, value: dict[str, str], points: int = 500) -> DataFrame:
+    """Several streams on one relative time axis: stream, bin, t, raw mean and its z-score."""
+    rows = None
+    for name, frame in streams.items():
+        one = frame.select(F.lit(name).alias("stream"), F.col(clock).alias("t"), finite(value[name]).alias("x"))
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy("stream").agg(F.min("t").alias("_t0"))
+    rows = zscores(rows.join(first, "stream").withColumn("t", F.col("t") - F.col("_t0")).drop("_t0"), ["stream"], "x")
+    raw, z = time_series(rows, "stream", "t", "x", points), time_series(rows, "stream", "t", "z", points)
+    return raw.select("stream", "bin", "n", "t", F.col("mean").alias("raw")).join(z.select("stream", "bin", F.col("mean").alias("z")), ["stream", "bin"])

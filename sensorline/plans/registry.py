@@ -24,25 +24,28 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("stream"), "value", epoch_ns("ts").alias("t"), (epoch_ns("ts") / 1e9).alias("s"))
 
 
+DAY = 86_400_000_000_000
+
+
 def q01_stream_checks(spark, d):
-    return sync.stream_checks(_events(spark, d), ["stream"], "t", ["event_id"])
+    return sync.stream_checks(_events(spark, d), ["stream"], "t", ["event_id"], bucket_width=DAY, bucket_rows=200_000)
 
 
 def q02_stream_shape(spark, d):
-    return sync.stream_shape(_events(spark, d), ["stream"], "t")
+    return sync.stream_shape(_events(spark, d), ["stream"], "t", bucket_width=DAY)
 
 
 def q03_gaps(spark, d):
-    return sync.locate_gaps(_events(spark, d), ["stream"], "t")
+    return sync.locate_gaps(_events(spark, d), ["stream"], "t", bucket_width=DAY)
 
 
 def q04_baseline_rank(spark, d):
-    return sync.rank_baselines(_events(spark, d), "stream", "t")
+    return sync.rank_baselines(_events(spark, d), "stream", "t", bucket_width=DAY)
 
 
 def _offsets(spark, d):
     e = _events(spark, d)
-    return sync.residuals(e.where("stream = 'view'").select("stream", "t"), e.where("stream = 'click'"), ["stream"], "t", bucket_width=86_400_000_000_000)
+    return sync.residuals(e.where("stream = 'view'").select("stream", "t"), e.where("stream = 'click'"), ["stream"], "t", bucket_width=DAY)
 
 
 def q05_nearest_residual(spark, d):
@@ -267,7 +270,7 @@ def q40_container_alignment(spark, d):
 
 
 def q41_sync_report(spark, d):
-    return sync.sync_report(_events(spark, d), "stream", "t", ["event_id"], baseline="click", bucket_width=86_400_000_000_000)
+    return sync.sync_report(_events(spark, d), "stream", "t", ["event_id"], baseline="click", bucket_width=DAY)
 
 
 def q42_episode_bounds(spark, d):

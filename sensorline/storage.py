@@ -47,10 +47,18 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete all intermediate tables and files of this process. Call it once results are written."""
+def staged_paths() -> list[str]:
+    return list(_STAGED)
+
+
+def clear_staged(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
+    """Delete the intermediate tables and files of this process from the since-th on, but for those to keep.
+
+    Call it once results that come from them are written.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = hadoop(_STAGED.pop())
+    for name in [p for p in _STAGED[since:] if p not in keep]:
+        path = hadoop(name)
         path.getFileSystem(conf).delete(path, True)
+        _STAGED.remove(name)

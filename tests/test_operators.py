@@ -179,3 +179,25 @@ def test_anchors(spark):
     rows = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.5), (None, 2, 7.0)], "ep int, row bigint, s double")
     got = {r.episode_key: (r.duration_s, r.n_rows) for r in annotations.episode_anchors(rows, "ep", "s", "row").collect()}
     assert got == {"1": (0.5, 2), None: (0.0, 1)}
+
+
+def test_small_rules(spark):
+    from sensorline.operators import sync, timeaxis
+    from sensorline.plans import charts, report
+    from sensorline.sources import catalog
+
+    assert timeaxis.explain_rates(60, 30) == "video is 2 times as fast" and timeaxis.explain_rates(30, 30.1) == "equal" and timeaxis.explain_rates(30, 21) == "unrelated"
+    assert sync.master_clock(["/cam/timestamp", "/a/timestamp", "/main_timestamp"]) == "/main_timestamp" and sync.master_clock(["/x"]) is None
+    nodes = spark.createDataFrame([("c", "left", False), ("c", "right", False), ("c", "left", True), ("c", "top", True)], "container string, camera string, is_clock boolean")
+    assert tuple(sync.camera_coverage(nodes).first()) == ("c", ["right"], ["top"])
+    frames = spark.range(5).withColumnRenamed("id", "frame_index")
+    assert sync.frame_clock(frames, frames.withColumn("t", F.col("frame_index") * 10)).count() == 5
+    with pytest.raises(ValueError):
+        sync.frame_clock(frames, frames.where("frame_index > 0"))
+    names = spark.createDataFrame([("left_accel.csv",), ("left_gyro.csv",), ("right_accel.csv",)], "name string")
+    assert [(r.accel, r.gyro) for r in catalog.imu_pairs(names).collect()] == [("left_accel.csv", "left_gyro.csv")]
+    path = spark.range(10_000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    assert charts.trajectory(path, "i", ["x"], 100).count() == 100
+    assert charts.overlay({"a": path, "b": path}, "i", {"a": "x", "b": "x"}, 10).count() == 20
+    assert report.fit_result({"rows": list(range(100_000)), "ok": True}, 2_000)["rows_total"] == 100_000
+    assert report.capability_matrix({"has_imu": False})[0]["note"]
