@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorline.llm import credentials, decontamination, packing, quality, simhash
-from sensorline.llm.common import staged, table
+from sensorline.llm.common import clear_staged, staged, staged_paths, table
 from sensorline.llm.registry import QUALITY_THRESHOLD, tokenizer_path
 
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. A stage's intermediate tables, and its input, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), len(staged_paths())
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear_staged(spark, keep=(staged_paths()[-1],), since=before)
     return docs
