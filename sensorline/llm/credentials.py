@@ -30,7 +30,7 @@ PARTS: dict[str, tuple[str, int, str, str]] = {
         2, r"^.{3}", r"(?i:client_?id|access_?key_?id|user_?name|login)",
     ),
     "opaque": (r"[A-Za-z0-9+/]{40,}", 0, r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])", r"[A-Za-z0-9+/]{40}"),
-    "endpoint": (r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>]+""", 0, r"^", r"://"),
+    "endpoint": (r"""[a-z][a-z0-9+]{1,15}://[^\x09-\x0D\x20"'<>]+""", 0, r"^", r"://"),
 }
 BASE = ("assign", "access", "hex")
 SECRET, PARTNER = ("assign", "hex", "opaque"), ("access", "identifier", "endpoint")

@@ -130,6 +130,45 @@ FROM m
 }
 
 
+def _any_case(words: str) -> str:
+    """A pattern of ASCII words in either case, for an engine whose case folding goes beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _secret_sql() -> str:
+    label = """["'']?\\x20*[:=]\\x20*["'']?"""
+    kinds = {
+        "assign": (f"({_any_case('password|passwd|secret|token|api_?key')}){label}([A-Za-z0-9+/_.=-]+)", 2, "length(v) >= 6"),
+        "access": ("AKIA[A-Z0-9]+", 0, "length(v) >= 20"),
+        "hex": ("[0-9a-f]{24,}", 0, "true"),
+        "identifier": (f"({_any_case('client_?id|access_?key_?id|user_?name|login')}){label}([A-Za-z0-9@._-]+)", 2, "length(v) >= 3"),
+        "opaque": ("[A-Za-z0-9+/]{40,}", 0, "regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')"),
+        "endpoint": ("""[a-z][a-z0-9+]{1,15}://[^\\x09-\\x0D\\x20"''<>]+""", 0, "true"),
+        "break": ("\\n[\\x20\\t]*\\n", 0, "true"),
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT r, '{k}' AS kind, {n} AS rank, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS w, unnest(g) AS v, unnest(s[1:len(m)]) AS b
+FROM (SELECT r, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS s FROM d WHERE regexp_matches(t, '{p}'))"""
+        for n, (k, (p, group, _)) in enumerate(kinds.items(), 1)
+    )
+    good = " ".join(f"WHEN '{k}' THEN {test}" for k, (_, _, test) in kinds.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+e AS (SELECT *, sum(length(b) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM f),
+p AS (SELECT r, kind, rank, CAST(e - length(w) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM e WHERE CASE kind {good} END),
+q AS (SELECT *, count(*) FILTER (kind = 'break') OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS scope FROM p),
+x AS (SELECT a.r, a.kind AS ak, a.rank AS ar, a.s AS sa, a.e AS ea, b.kind AS bk, b.rank AS br, b.s AS sb, b.e AS eb FROM q a JOIN q b ON a.r = b.r AND a.scope = b.scope
+  AND a.kind IN ('assign', 'hex', 'opaque') AND b.kind IN ('access', 'identifier', 'endpoint') AND greatest(a.s, b.s) - least(a.e, b.e) BETWEEN 0 AND {credentials.REACH}),
+k AS (SELECT r, kind, rank, s, e FROM p WHERE rank <= 3 UNION ALL SELECT DISTINCT r, ak, ar, sa, ea FROM x WHERE ar > 3 UNION ALL SELECT DISTINCT r, bk, br, sb, eb FROM x WHERE br > 3),
+g AS (SELECT r, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+ORACLES["op2_secret_scan"] = _secret_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
