@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
-from .windows import nearest, neighbours
+from .windows import nearest, neighbours, quantiles
 
 #: Names that are never a baseline (fixed values).
 NO_BASELINE = ("tf_static", "static", "calib", "metadata", "metainfo")
@@ -25,7 +25,12 @@ def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width:
     return neighbours(rows, keys, ["t"], {"p": ("t", -1)}, bucket).withColumn("d", F.col("t") - F.col("p"))
 
 
-def medians(steps: DataFrame, keys: list[str]) -> DataFrame:
+def medians(steps: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
+    """The median positive step of each key (null if it has none)."""
+    if settings.spread_quantiles:
+        every = steps.select(*keys).distinct()
+        found = quantiles(steps.where("d > 0"), keys, "d", {"step_ns": 0.5})
+        return every.join(found, keys, "left")
     return steps.groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("step_ns"))
 
 
@@ -43,7 +48,7 @@ def stream_checks(
     disorder = filed.groupBy(*keys).agg(F.count_if(F.col(clock_ns) < F.col("_p")).alias("n_disorder"))
     steps = sorted_steps(frame, keys, clock_ns, bucket_width)
     gap = F.col("d") > settings.gap_factor * F.col("step_ns")
-    sums = steps.join(medians(steps, keys), keys).groupBy(*keys).agg(
+    sums = steps.join(medians(steps, keys, settings), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"), F.avg("d").alias("mean_ns"),
         F.count_if(F.col("d") == 0).alias("n_duplicates"), F.count_if(gap).alias("n_gaps"),
         F.coalesce(F.sum(F.when(gap, F.col("d") - F.col("step_ns"))), F.lit(0.0)).alias("lost_ns"),
@@ -61,7 +66,7 @@ def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Set
     n_bursts and effective_hz describe bursts and are null for other shapes.
     """
     steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    sums = steps.join(medians(steps, keys), keys).groupBy(*keys).agg(
+    sums = steps.join(medians(steps, keys, settings), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"),
         F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_ns"), F.count_if(F.col("d") > 2 * F.col("step_ns")).alias("breaks"),
     )
@@ -79,8 +84,8 @@ def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Sett
     from pyspark.sql import Window
 
     steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    gaps = steps.join(medians(steps, keys), keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p"))
+    gaps = steps.join(medians(steps, keys, settings), keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p")).cast("bigint")
     return gaps.withColumn("nth", nth).where(F.col("nth") <= settings.gap_report_limit).select(
         *keys, "nth", F.col("p").alias("start_ns"), F.col("t").alias("end_ns"), (F.col("d") / 1e9).alias("duration_s"),
         (F.floor(F.col("d") / F.col("step_ns")) - 1).alias("n_missing"),
@@ -110,10 +115,15 @@ def residuals(streams: DataFrame, baseline: DataFrame, keys: list[str], clock_ns
     return near.drop("_all").withColumn("offset_ms", (F.col(clock_ns) - F.col("near")) / 1e6)
 
 
-def residual_stats(offsets: DataFrame, keys: list[str]) -> DataFrame:
+def residual_stats(offsets: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """Mean, largest and 95th percentile of the sizes, and median, 5th and 95th percentile of the signed offsets."""
     size = F.abs("offset_ms")
     p = F.percentile("offset_ms", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    if settings.spread_quantiles:
+        rows = offsets.where("offset_ms is not null").withColumn("_size", size)
+        sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_size").alias("mean_ms"), F.max("_size").alias("max_ms"))
+        signed = quantiles(rows, keys, "offset_ms", {"signed_p05_ms": 0.05, "signed_median_ms": 0.5, "signed_p95_ms": 0.95})
+        return sums.join(quantiles(rows, keys, "_size", {"p95_ms": 0.95}), keys).join(signed, keys)
     return offsets.where("offset_ms is not null").groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(size).alias("mean_ms"), F.max(size).alias("max_ms"), F.percentile(size, F.lit(0.95)).alias("p95_ms"), p.alias("_p")
     ).select(*keys, "n", "mean_ms", "max_ms", "p95_ms", F.col("_p")[0].alias("signed_p05_ms"), F.col("_p")[1].alias("signed_median_ms"), F.col("_p")[2].alias("signed_p95_ms"))
@@ -153,7 +163,7 @@ def sync_report(frame: DataFrame, key: str, clock_ns: str, order: list[str], bas
     others = frame.where(F.col(key) != F.lit(baseline)).select(key, clock_ns)
     offsets = residuals(others, base, [key], clock_ns, bucket_width)
     step = checks.where(F.col(key) == F.lit(baseline)).select("step_ns").first()
-    report = checks.join(residual_stats(offsets, [key]).drop("n"), [key], "left").join(
+    report = checks.join(residual_stats(offsets, [key], settings).drop("n"), [key], "left").join(
         drift(offsets, [key], clock_ns, float(step[0] or 0) / 1e6 if step else 0.0, settings), [key], "left"
     )
     fastest = checks.agg(F.max("rate_hz").alias("_hz"))
@@ -185,7 +195,7 @@ def container_alignment(frame: DataFrame, container: str, sub: str, clock_ns: st
     from pyspark.sql import Window
 
     steps = sorted_steps(frame, [container, sub], clock_ns)
-    sums = steps.join(medians(steps, [container, sub]), [container, sub]).groupBy(container, sub).agg(
+    sums = steps.join(medians(steps, [container, sub], settings), [container, sub]).groupBy(container, sub).agg(
         F.count("*").alias("n"), F.min("t").alias("head"), F.max("t").alias("tail"),
         F.count_if(F.col("d") > settings.gap_factor * F.col("step_ns")).alias("n_gaps"),
     )

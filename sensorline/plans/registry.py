@@ -157,7 +157,7 @@ def _orders(spark, d):
 def _compared(op):
     def run(spark, d):
         columns = ["price", "quantity"] if op == "distance" else ["price"]
-        return compare.compare_tables(_orders(spark, d), _totals(spark, d), "index", columns, columns, op, check=False)
+        return compare.compare_tables(_orders(spark, d), _totals(spark, d), "index", columns, columns, op, check=False).withColumn("bins", F.array_join("bins", ","))
 
     return run
 
@@ -182,7 +182,7 @@ def q26_dataset_diff(spark, d):
 def q27_vector_profile(spark, d):
     e = _t(spark, d, "embeddings")
     zero = F.when(F.col("vec_id") % 7 == 3, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
-    return stats.vector_profile(e.select("vec_id", zero.alias("v")), "v", "vec_id")
+    return stats.vector_profile(e.select("vec_id", zero.alias("v")), "v", "vec_id").withColumn("zero_by_tenth", F.array_join("zero_by_tenth", ","))
 
 
 def q28_pose_blocks(spark, d):

@@ -162,7 +162,7 @@ def _compare(op: str) -> str:
     bins = ", ".join(f"count(*) FILTER (k = {i})" for i in range(10))
     return f"""WITH a AS (SELECT o_orderkey AS i, o_totalprice AS price, CAST(o_custkey AS DOUBLE) AS q FROM orders),
 b AS (SELECT l_orderkey AS i, sum(l_extendedprice) AS price, sum(l_quantity) AS q FROM lineitem GROUP BY 1), v AS (SELECT {value} AS x FROM a JOIN b USING (i)),
-s AS (SELECT min(x) AS lo, max(x) AS hi FROM v), k AS (SELECT least(9, floor((x - lo) / ((hi - lo) / 10))) AS k FROM v, s), h AS (SELECT [{bins}] AS bins FROM k)
+s AS (SELECT min(x) AS lo, max(x) AS hi FROM v), k AS (SELECT least(9, floor((x - lo) / ((hi - lo) / 10))) AS k FROM v, s), h AS (SELECT array_to_string([{bins}], ',') AS bins FROM k)
 SELECT count(x) AS n, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, median(x) AS median, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.95) AS p95, any_value(bins) AS bins,
   (SELECT count(DISTINCT i) FROM a WHERE i NOT IN (SELECT i FROM b)) AS keys_only_a, (SELECT count(DISTINCT i) FROM b WHERE i NOT IN (SELECT i FROM a)) AS keys_only_b FROM v, h"""
 
@@ -173,7 +173,7 @@ ORACLES["q27_vector_profile"] = """WITH r AS (SELECT vec_id AS i, vec_id % 7 = 3
 t AS (SELECT i, z, CASE WHEN i < (n % 10) * (n // 10 + 1) THEN i // (n // 10 + 1) ELSE n % 10 + (i - (n % 10) * (n // 10 + 1)) // greatest(1, n // 10) END AS t FROM r, n)
 SELECT count(*) AS n, count(*) AS n_vectors, count(*) FILTER (z) AS n_zero, count(*) FILTER (z) / count(*) AS zero_share, 64 AS dims, min(i) FILTER (z) AS first_zero, max(i) FILTER (z) AS last_zero,
   max(i) FILTER (z) - min(i) FILTER (z) + 1 = count(*) FILTER (z) AS zero_contiguous, count(*) FILTER (z AND i < 20) AS zero_in_first_20,
-  [""" + ", ".join(f"count(*) FILTER (z AND t = {i})" for i in range(10)) + "] AS zero_by_tenth FROM t"
+  array_to_string([""" + ", ".join(f"count(*) FILTER (z AND t = {i})" for i in range(10)) + "], ',') AS zero_by_tenth FROM t"
 ORACLES["q48_difference_stats"] = """WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), k AS (SELECT least(9, floor((o_totalprice - lo) / ((hi - lo) / 10))) AS k FROM orders, s),
 h AS (SELECT array_to_string([""" + ", ".join(f"count(*) FILTER (k = {i})" for i in range(10)) + """], ',') AS bins FROM k)
 SELECT count(*) AS n, avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max, median(o_totalprice) AS median,

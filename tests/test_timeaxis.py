@@ -75,3 +75,25 @@ def test_runs(spark):
     rows = spark.createDataFrame([("a", i, f) for i, f in enumerate(flags)], "k string, i int, f boolean")
     got = sorted((r["first"].i, r["last"].i, r.n_rows) for r in windows.runs(rows, ["k"], ["i"], "f").collect())
     assert got == [(0, 1, 2), (4, 4, 1), (6, 6, 1)]
+
+
+def test_quantiles_equal_percentiles(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    values = [float(v) for v in draw.normal(0, 1e6, 500)] + [0.0, 0.0, -0.0, 2.0, 4.0, 8.0, 1e-9, -3.0] + [7.0] * 300
+    rows = [("a", v) for v in values] + [("b", 5.0), (None, 1.0), (None, 2.0), ("c", None), ("a", float("nan"))]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    names = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: [r[n] for n in names] for r in windows.quantiles(frame, ["k"], "v", names).collect()}
+    assert got["a"] == pytest.approx(np.quantile(values, list(names.values())).tolist()) and got["b"] == [5.0] * 5 and got[None] == pytest.approx([1, 1.05, 1.5, 1.95, 2])
+    assert "c" not in got
+
+
+def test_spread_quantiles_change_nothing(spark):
+    from sensorline.operators import sync
+    from sensorline.settings import Settings
+
+    rows = spark.range(2_000).select((F.col("id") % 3).cast("string").alias("stream"), F.col("id").alias("i"), (F.col("id") * 1_000_003 + F.col("id") * F.col("id") % 977).alias("t"))
+    plain, spread = (sorted(map(tuple, sync.stream_checks(rows, ["stream"], "t", ["i"], Settings(spread_quantiles=s)).collect())) for s in (False, True))
+    assert plain == spread
