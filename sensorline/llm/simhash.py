@@ -188,5 +188,7 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = R
     Where all doc_ids of a component are null, one of its rows stays.
     """
     found = near_duplicates(docs, words, radius)
-    kept = found.where("doc_id is null and component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    kept = found.where("doc_id is null and component_id is null or doc_id = component_id").select(key).distinct()
+    # one shuffle of the texts: the join and the choice among repeated rows share it
+    return docs.select("*", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
