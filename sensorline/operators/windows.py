@@ -9,28 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bad, epoch_ns, finite  # noqa: F401
 from ..storage import staged
 
-#: Width of a bucket in units of the order column is chosen so that a bucket has about so many rows of the average key.
-BUCKET_ROWS = 200_000
-
-
-def finite(c: Column | str) -> Column:
-    """The number as a double, or null where it is null, NaN or infinite."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-
-
-def bad(c: Column | str) -> Column:
-    """Whether a number is null, NaN or infinite."""
-    return finite(c).isNull()
-
-
-def epoch_ns(c: Column | str) -> Column:
-    """A timestamp column as exact nanoseconds since 1970 (long)."""
-    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp")) * 1000
-
-
 def neighbours(
     frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None
 ) -> DataFrame:
