@@ -19,9 +19,9 @@ from .windows import runs
 
 def filled(frame: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
     """Nulls take the last value before them, or the first after."""
-    w = Window.partitionBy(*keys).orderBy(row)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    new = {c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after)).alias(c) for c in columns}
+    before = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc(row)).rowsBetween(Window.unboundedPreceding, 0)
+    new = {c: F.coalesce(F.last(c, True).over(before), F.last(c, True).over(after)).alias(c) for c in columns}
     return frame.select(*[new.get(c, F.col(c)) for c in frame.columns])
 
 
@@ -167,11 +167,11 @@ def split_long(segments: DataFrame, speed: DataFrame, keys: list[str], row: str,
 
 def merge_short(segments: DataFrame, keys: list[str], fps: float, settings: Settings = DEFAULTS) -> DataFrame:
     """Runs of segments below min_segment_s join the next long enough one, at the end the one before; if none is, all stay."""
-    w = Window.partitionBy(*keys).orderBy("start_frame")
+    w, back = Window.partitionBy(*keys).orderBy("start_frame"), Window.partitionBy(*keys).orderBy(F.desc("start_frame"))
     good = F.when((F.col("end_frame") - F.col("start_frame") + 1) / fps >= settings.min_segment_s, F.col("start_frame"))
     rows = segments.withColumn("_good", good)
     group = F.coalesce(
-        F.first("_good", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last("_good", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("start_frame")
+        F.last("_good", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.last("_good", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("start_frame")
     )
     kept = F.max_by("evidence", F.struct(F.col("_good").isNotNull(), -F.col("start_frame")))
     return rows.withColumn("_g", group).groupBy(*keys, "_g").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), kept.alias("evidence")).drop("_g")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..storage import staged
 from .windows import nearest, neighbours, quantiles
 
 #: Names that are never a baseline (fixed values).
@@ -158,10 +159,10 @@ def sync_report(frame: DataFrame, key: str, clock_ns: str, order: list[str], bas
     if baseline is None:
         best = rank_baselines(frame, key, clock_ns, settings, bucket_width).orderBy(F.desc("score"), key).select(key).first()
         baseline = best[0] if best else None
-    checks = stream_checks(frame, [key], clock_ns, order, settings, bucket_width)
+    checks = staged(stream_checks(frame, [key], clock_ns, order, settings, bucket_width), "checks")  # a row for each stream
     base = frame.where(F.col(key) == F.lit(baseline))
     others = frame.where(F.col(key) != F.lit(baseline)).select(key, clock_ns)
-    offsets = residuals(others, base, [key], clock_ns, bucket_width)
+    offsets = staged(residuals(others, base, [key], clock_ns, bucket_width).select(key, clock_ns, "offset_ms"), "offsets")  # read by two aggregates
     step = checks.where(F.col(key) == F.lit(baseline)).select("step_ns").first()
     report = checks.join(residual_stats(offsets, [key], settings).drop("n"), [key], "left").join(
         drift(offsets, [key], clock_ns, float(step[0] or 0) / 1e6 if step else 0.0, settings), [key], "left"

@@ -70,10 +70,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_
         base, rows = base.withColumn("_b", spot), rows.withColumn("_b", spot)
         used = rows.select(*keys, "_b").union(base.select(*keys, "_b")).distinct()
         edge = base.groupBy(*keys, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-        order = Window.partitionBy(*keys).orderBy("_b")
+        order, back = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.desc("_b"))
         edge = used.join(edge, [*keys, "_b"], "left").select(
             *keys, "_b", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_hi"),
-            F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_lo"),
+            F.last("_lo", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
         )
         extra = edge.select(*keys, "_b", F.explode(F.array("_hi", "_lo")).alias("_t")).where("_t is not null")
         base = base.select(*keys, "_b", "_t").union(extra.select(*keys, "_b", "_t"))
@@ -81,11 +81,12 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_
     else:
         part = keys
     merged = rows.withColumn("_is", F.lit(False)).unionByName(base.withColumn("_is", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy(*part).orderBy("_t", F.desc("_is"))
+    # a frame to the end of the partition is computed anew for every row, so what follows is what came before in reverse
+    w, back = Window.partitionBy(*part).orderBy("_t", F.desc("_is")), Window.partitionBy(*part).orderBy(F.desc("_t"), F.desc("_is"))
     mark = F.when(F.col("_is"), F.col("_t"))
     found = merged.select(
         "_row", "_is", "_t", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"),
-        F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_hi"),
+        F.last(mark, True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"),
     ).where("not _is")
     later = F.col("_lo").isNull() | (F.col("_hi") - F.col("_t") <= F.col("_t") - F.col("_lo"))
     return found.select("_row.*", F.when(later & F.col("_hi").isNotNull(), F.col("_hi")).otherwise(F.col("_lo")).alias("near"))
