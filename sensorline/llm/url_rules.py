@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, hash_sample
 
 SAMPLE_PER_RANGE = 40
 
@@ -105,7 +105,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string")).select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host")))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.select("key").orderBy(F.xxhash64("page_id", "path", "key")).limit(ranges * SAMPLE_PER_RANGE)
+    drawn = hash_sample(rows, ["page_id", "path", "key"], ranges * SAMPLE_PER_RANGE).select("key")
     keys = sorted(r[0] for r in drawn.collect())
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
