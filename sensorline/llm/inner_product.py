@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hash_sample, staged
 
 PAIR, CENTRES = 2, 16
 #: Vectors that the centres are trained on, at most.
@@ -146,10 +146,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def build_index(frame: DataFrame) -> tuple[DataFrame, Quantiser]:
     """Every row with its packed codes, staged (vec_id, v, codes), and the quantiser that made them.
 
-    The quantiser is trained on the first SAMPLE rows in the order of a hash of vec_id; every row is encoded.
+    The quantiser is trained on at most SAMPLE rows, drawn by a hash of vec_id; every row is encoded.
     """
     good, dim = vectors(frame)
-    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    drawn = hash_sample(good, ["vec_id"], SAMPLE).collect()
     quantiser = train(np.array([r.v for r in drawn]) if drawn else np.zeros((1, dim)))
     shared = frame.sparkSession.sparkContext.broadcast(quantiser)
 
