@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 BITS = 18
 SAMPLE = 6_000
 EPOCHS = 10
@@ -91,13 +93,13 @@ def in_training(doc_id: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most so many labelled documents outside the held-out fold (crc32 of the id as text, modulo 5, is 0).
 
-    The sample is the first in the order of a hash of doc_id. Labels other than 0 and 1 and ids with both take no part;
+    The sample is drawn by a hash of doc_id. Labels other than 0 and 1 and ids with both take no part;
     without labels every score is 0.5. The sampled ids go to tasks with their labels; only features return.
     """
     spark = docs.sparkSession
     known = labels.where("quality in (0, 1) and doc_id is not null").where(in_training("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
-    known = known.where("label = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = hash_sample(known.where("label = other"), ["doc_id"], sample)
     chosen = spark.sparkContext.broadcast({r[0]: int(r[1]) for r in known.select("doc_id", "label").collect()})
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
