@@ -51,9 +51,16 @@ SELECT stream, regr_slope(x, sec) AS slope_ms_per_s, max(x) - min(x) AS range_ms
 SELECT stream, count(*) AS n, median(d) FILTER (d > 0) AS step_ns, 1e9 / median(d) FILTER (d > 0) AS rate_hz FROM f GROUP BY stream HAVING count(*) >= 3""",
     "q08_unit_inference": f"""WITH {E}, k AS (SELECT unnest(['s', 'ms', 'us', 'ns']) AS clock, unnest([1e9, 1e6, 1e3, 1.0]) AS div),
 c AS (SELECT clock, t / div AS v FROM e CROSS JOIN k), x AS (SELECT clock, v, v - lag(v) OVER (PARTITION BY clock ORDER BY v) AS d FROM c),
-s AS (SELECT clock, count(*) AS n, median(abs(v)) AS size, median(d) FILTER (d > 0) AS step FROM x GROUP BY clock)
-SELECT clock, n, size, step, CASE WHEN size >= 1e17 THEN 'ns' WHEN size >= 1e14 THEN 'us' WHEN size >= 1e11 THEN 'ms' ELSE 's' END AS unit,
-  CASE WHEN size >= 1e17 AND step >= 1e10 THEN 'corrected' ELSE 'inferred' END AS basis FROM s""",
+s AS (SELECT clock, count(*) AS n, median(abs(v)) AS size, median(d) FILTER (d > 0) AS step FROM x GROUP BY clock),
+u AS (SELECT *, CASE WHEN size >= 1e17 THEN 'ns' WHEN size >= 1e14 THEN 'us' WHEN size >= 1e11 THEN 'ms' WHEN size >= 1e8 THEN 's' END AS by_size,
+  CASE WHEN size >= 1e17 AND size < 1e19 AND step >= 1e4 AND step < 1e10 THEN 'ns' WHEN size >= 1e14 AND size < 1e17 AND step >= 10 AND step < 1e10 THEN 'us'
+    WHEN size >= 1e11 AND size < 1e14 AND step >= 1e-3 AND step < 1e8 THEN 'ms' WHEN size >= 1e8 AND size < 1e11 AND step >= 1e-6 AND step < 1e5 THEN 's'
+    WHEN step < 1e3 THEN 'ns' WHEN step < 1e5 THEN 'us' WHEN step < 1e9 THEN 'ms' WHEN step IS NOT NULL THEN 's' END AS by_step FROM s),
+f AS (SELECT *, coalesce(by_step, by_size, 'unknown') AS first FROM u),
+o AS (SELECT *, [x for x in [first, by_size, 's', 'ms', 'us', 'ns']
+  if CASE x WHEN 's' THEN 1 WHEN 'ms' THEN 1e3 WHEN 'us' THEN 1e6 WHEN 'ns' THEN 1e9 END / step BETWEEN 0.001 AND 1e7] AS fitting FROM f)
+SELECT clock, n, size, step, CASE WHEN step IS NULL THEN first ELSE coalesce(fitting[1], first) END AS unit,
+  CASE WHEN step IS NULL OR fitting[1] = first THEN 'inferred' WHEN fitting[1] IS NOT NULL THEN 'corrected' ELSE 'ambiguous' END AS basis FROM o""",
     "q09_generic_stats": """WITH c AS (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME "column" VALUE x)
 SELECT l_returnflag, "column", count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max, median(x) AS median FROM c GROUP BY ALL""",
     "q10_column_profile": " UNION ALL ".join(
