@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import DEFAULTS, Settings
 from .stats import difference_stats, find_column
 from .windows import finite
 
@@ -52,9 +53,9 @@ def compare_columns(joined: DataFrame, columns_a: list[str], columns_b: list[str
     return joined.withColumn("value", value)
 
 
-def compare_tables(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], op: str = "diff", **how) -> DataFrame:
+def compare_tables(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], op: str = "diff", settings: Settings = DEFAULTS, **how) -> DataFrame:
     """Statistics of the comparison and how many keys only one side has."""
-    stats = difference_stats(compare_columns(join_by_key(a, b, key, columns_a, columns_b, **how), columns_a, columns_b, op), "value")
+    stats = difference_stats(compare_columns(join_by_key(a, b, key, columns_a, columns_b, **how), columns_a, columns_b, op), "value", settings)
     only = [x.join(y.select(key), key, "left_anti").where(F.col(key).isNotNull()).agg(F.count_distinct(key).alias(n)) for x, y, n in ((a, b, "keys_only_a"), (b, a, "keys_only_b"))]
     return stats.join(F.broadcast(only[0])).join(F.broadcast(only[1]))  # one row each
 

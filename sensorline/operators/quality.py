@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from .stats import bad_value_ratios, numeric_columns
-from .windows import finite, neighbours, runs
+from .windows import finite, neighbours, runs, summaries
 
 #: Parts of names that mark columns as no action (fixed values).
 NO_ACTION = ("index", "id", "timestamp", "time", "ts", "fps", "step", "frame", "episode", "done", "success", "reward")
@@ -66,7 +66,7 @@ def gate_frame_loss(frame: DataFrame, keys: list[str], clock_s: str, declared_fp
         out = sums.select(*keys, "n", F.greatest(F.lit(0.0), F.col("_due") - F.col("n")).alias("n_missing"), F.greatest(F.lit(0.0), F.try_divide(F.col("_due") - F.col("n"), "_due")).alias("loss"))
     else:
         steps = neighbours(rows, keys, ["t"], {"p": ("t", -1)}).withColumn("d", F.col("t") - F.col("p"))
-        middle = steps.groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("m"))
+        middle = summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"m": ("d", 0.5)}, settings)
         gap = F.col("d") > settings.gap_factor * F.col("m")
         sums = steps.join(middle, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(gap, F.round(F.col("d") / F.col("m")) - 1)), F.lit(0.0)).alias("n_missing"))
         out = sums.withColumn("loss", F.col("n_missing") / (F.col("n") + F.col("n_missing")))
@@ -84,7 +84,7 @@ def gate_fps(frame: DataFrame, keys: list[str], clock_ns: str, order: list[str],
     """Measured against declared rate: fail for a declared rate of zero or less or one more than 5 % off; skip if none."""
     from .timeaxis import measured_rate
 
-    rates = measured_rate(frame, keys, clock_ns, order)
+    rates = measured_rate(frame, keys, clock_ns, order, settings)
     declared = F.lit(fps).cast("double")
     off = F.try_divide(F.abs(F.col("rate_hz") - declared), declared)
     verdict = F.when(declared.isNull(), "skip").when(declared <= 0, "fail").when(off > settings.rate_tolerance, "fail").otherwise("pass")
@@ -103,20 +103,20 @@ def gate_episode_bounds(frame: DataFrame, episode: str, clock: str, order: str,
 # Diagnostics -------------------------------------------------------------------------------------------------------------
 
 
-def speeds(long: DataFrame, keys: list[str], order: str) -> DataFrame:
+def speeds(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """keys, order, speed: the mean over channels of each step's size over the channel's 95th percentile of sizes.
 
     Channels that never move in the episode are left out; an episode without moving channels has no rows.
     """
     steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
-    top = steps.groupBy(*keys, "channel").agg(F.percentile("d", F.lit(0.95)).alias("p95")).where("p95 > 0")
+    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings).where("p95 > 0")
     return steps.join(top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
 
 
 def idle_ratio(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Share of steps slower than idle_speed for each episode, and a warning above idle_share."""
     idle = F.avg((F.col("speed") < settings.idle_speed).cast("double"))
-    return speeds(long, keys, order).groupBy(*keys).agg(F.count("*").alias("n_steps"), idle.alias("idle_ratio")).withColumn("warns", F.col("idle_ratio") > settings.idle_share)
+    return speeds(long, keys, order, settings).groupBy(*keys).agg(F.count("*").alias("n_steps"), idle.alias("idle_ratio")).withColumn("warns", F.col("idle_ratio") > settings.idle_share)
 
 
 def second_differences(long: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -128,7 +128,7 @@ def second_differences(long: DataFrame, keys: list[str], order: str) -> DataFram
 def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """n_spikes and the largest second difference over its median size, for each episode and channel that has spikes."""
     dd = second_differences(long, keys, order).where("dd is not null").withColumn("a", F.abs("dd"))
-    middle = dd.groupBy(*keys, "channel").agg(F.median("a").alias("m")).where("m > 0")
+    middle = summaries(dd, [*keys, "channel"], [], {"m": ("a", 0.5)}, settings).where("m > 0")
     hits = dd.join(middle, [*keys, "channel"]).where(F.col("a") > settings.spike_factor * F.col("m"))
     return hits.groupBy(*keys, "channel").agg(F.count("*").alias("n_spikes"), F.max(F.col("a") / F.col("m")).alias("worst"))
 
@@ -157,7 +157,7 @@ def action_jerk(long: DataFrame, keys: list[str], order: str, settings: Settings
 
 def pauses(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Runs of at least pause_steps slow steps: keys, run, n_rows, first, last."""
-    slow = speeds(long, keys, order).withColumn("_slow", F.col("speed") < settings.idle_speed)
+    slow = speeds(long, keys, order, settings).withColumn("_slow", F.col("speed") < settings.idle_speed)
     out = runs(slow, keys, [order], "_slow").where(F.col("n_rows") >= settings.pause_steps)
     return out.select(*keys, "n_rows", F.col(f"first.{order}").alias("first"), F.col(f"last.{order}").alias("last"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from .stats import long_form
-from .windows import bad, finite
+from .windows import bad, finite, summaries
 
 G = 9.80665
 
@@ -58,11 +58,12 @@ def imu_checks(frame: DataFrame, keys: list[str], row: str, accel: list[str], gy
     size = max(1, round(rate or settings.block_rate))
     blocks = stationary_blocks(rows, keys, row, "_a", rate, settings).select(*keys, F.col("block").alias("_block"), "static")
     rows = rows.withColumn("_block", F.floor(F.col(row) / size)).join(blocks, [*keys, "_block"])
-    still = F.when(F.col("static"), F.col("_a"))
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(F.col("static").cast("double")).alias("static_share"), F.median(still).alias("accel_norm"), F.count(still).alias("_n"),
-        F.median(F.when(F.col("static"), F.col("_g"))).alias("gyro_norm"), F.avg((F.col("_a").isNull()).cast("double")).alias("bad_share"),
-    )
+    rows = rows.withColumn("_still", F.when(F.col("static"), F.col("_a"))).withColumn("_turn", F.when(F.col("static"), F.col("_g")))
+    sums = [
+        F.count("*").alias("n"), F.avg(F.col("static").cast("double")).alias("static_share"), F.count("_still").alias("_n"),
+        F.avg((F.col("_a").isNull()).cast("double")).alias("bad_share"),
+    ]
+    sums = summaries(rows, keys, sums, {"accel_norm": ("_still", 0.5), "gyro_norm": ("_turn", 0.5)}, settings)
     unit, g_unit = accel_unit(F.col("accel_norm")), gyro_unit(F.col("gyro_norm"))
     standard = F.when(unit == "m/s2", G).when(unit == "g", 1.0)
     off = F.abs(F.col("accel_norm") - standard) / standard

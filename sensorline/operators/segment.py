@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import runs
+from .windows import runs, summaries
 
 
 def filled(frame: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def motion_columns(frame: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if counts[c] > 5]
 
 
-def speed_profile(long: DataFrame, keys: list[str], row: str) -> DataFrame:
+def speed_profile(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
     """keys, row, speed: mean over channels of each step's size over its 95th percentile; row 0 repeats row 1.
 
     Channels that do not move are left out.
@@ -41,7 +41,7 @@ def speed_profile(long: DataFrame, keys: list[str], row: str) -> DataFrame:
     from .quality import speeds
 
     rows = filled(long, [*keys, "channel"], row, ["x"])
-    moving = speeds(rows, keys, row)
+    moving = speeds(rows, keys, row, settings)
     first = moving.where(F.col(row) == 1).withColumn(row, F.col(row) - 1)
     return moving.unionByName(first)
 
@@ -82,7 +82,7 @@ def change_points(speed: DataFrame, keys: list[str], row: str, settings: Setting
     inner = inner.withColumn("_mid", F.col(row))
     both = _sum_between(_sum_between(inner, sums, keys, "_lo", "_mid", "_a"), sums, keys, "_mid", "_hi", "_b")
     shift = staged(both.select(*keys, row, (F.abs(F.col("_b") - F.col("_a")) / F.col("w")).alias("shift")), "shift")
-    middle = shift.groupBy(*keys).agg(F.median("shift").alias("_m"))
+    middle = summaries(shift, keys, [], {"_m": ("shift", 0.5)}, settings)
     hot = shift.join(middle, keys).withColumn("_hot", (F.col("_m") > 0) & (F.col("shift") > settings.change_point_ratio * F.col("_m")))
     w = Window.partitionBy(*keys).orderBy(row)
     marked = hot.withColumn("_run", F.sum((~F.col("_hot")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_hot")
@@ -104,15 +104,15 @@ def spikes(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFA
     from .quality import second_differences
 
     dd = second_differences(filled(long, [*keys, "channel"], row, ["x"]), keys, row).where("dd is not null").withColumn("a", F.abs("dd"))
-    q = dd.groupBy(*keys, "channel").agg(F.percentile("a", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    limit = F.col("_q")[1] + settings.spike_factor / 5 * (F.col("_q")[1] - F.col("_q")[0])
-    hits = dd.join(q, [*keys, "channel"]).where((F.col("a") > limit) & (F.col("_q")[1] > F.col("_q")[0]))
+    q = summaries(dd, [*keys, "channel"], [], {"_low": ("a", 0.25), "_high": ("a", 0.75)}, settings)
+    limit = F.col("_high") + settings.spike_factor / 5 * (F.col("_high") - F.col("_low"))
+    hits = dd.join(q, [*keys, "channel"]).where((F.col("a") > limit) & (F.col("_high") > F.col("_low")))
     return hits.select(*keys, (F.col(row) + 1).alias("boundary"), F.lit("spike").alias("evidence")).distinct()
 
 
 def pause_ends(speed: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows after stretches of at least max(min_pause_steps, 2 % of rows) that are slower than a tenth of the median."""
-    stats = speed.groupBy(*keys).agg(F.count("*").alias("n"), F.median("speed").alias("_m"), F.min("speed").alias("_lo"))
+    stats = summaries(speed, keys, [F.count("*").alias("n"), F.min("speed").alias("_lo")], {"_m": ("speed", 0.5)}, settings)
     slow = speed.join(stats, keys).withColumn("_slow", F.col("speed") < F.greatest(settings.segment_idle_speed * F.col("_m"), F.col("_lo")))
     found = runs(slow, keys, [row], "_slow").join(stats.select(*keys, "n"), keys)
     long = found.where(F.col("n_rows") >= F.greatest(F.lit(settings.min_pause_steps), F.floor(F.col("n") * 0.02)))
@@ -189,7 +189,7 @@ def segment_actions(frame: DataFrame, keys: list[str], row: str, motion: list[st
     found, speed = [], None
     if motion:
         long = channels(frame, keys, row, motion)
-        speed = staged(speed_profile(long, keys, row), "speed")  # read by five steps
+        speed = staged(speed_profile(long, keys, row, settings), "speed")  # read by five steps
         found += [change_points(speed, keys, row, settings), spikes(long, keys, row, settings), pause_ends(speed, keys, row, settings)]
     if gripper:
         found.append(gripper_flips(frame, keys, row, gripper))

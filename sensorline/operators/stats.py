@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import DEFAULTS, Settings
-from .windows import bad, finite
+from .windows import bad, finite, summaries
 
 #: Columns that name an episode, in order of preference (fixed values).
 EPISODE_NAMES = ("episode_index", "episode", "episode_id", "traj_id", "trajectory", "demo")
@@ -39,18 +39,17 @@ def long_form(frame: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return frame.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.column", "_p.value")
 
 
-def generic_stats(frame: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+def generic_stats(frame: DataFrame, columns: list[str], keys: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """count, mean, std (n - 1), min, max and median of each column over its finite values, by keys (null keys left out)."""
     keys = keys or []
     for k in keys:
         frame = frame.where(F.col(k).isNotNull())
     x = finite("value")
-    return long_form(frame, keys, columns).groupBy(*keys, "column").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.median(x).alias("median")
-    )
+    sums = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    return summaries(long_form(frame, keys, columns), [*keys, "column"], sums, {"median": ("value", 0.5)}, settings)
 
 
-def column_profile(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def column_profile(frame: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """One row for each column: type, n_missing, missing_share, n_distinct and, for numbers, mean, min, max, median.
 
     NaN counts as missing. Arrays and structs are profiled by their text; only counting columns of a type together needs
@@ -67,10 +66,11 @@ def column_profile(frame: DataFrame, columns: list[str] | None = None) -> DataFr
         out.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.when(~missing, text).alias("text"), F.when(~F.isnan(x), x).alias("x")))
     rows = frame.select(F.explode(F.array(*out)).alias("_c")).select("_c.*")
     good = F.when(F.abs("x") != float("inf"), F.col("x"))
-    return rows.groupBy("column", "type").agg(
+    sums = [
         F.count_if(F.col("text").isNull()).alias("n_missing"), F.avg(F.col("text").isNull().cast("double")).alias("missing_share"),
-        F.count_distinct("text").alias("n_distinct"), F.avg(good).alias("mean"), F.min(good).alias("min"), F.max(good).alias("max"), F.median(good).alias("median"),
-    )
+        F.count_distinct("text").alias("n_distinct"), F.avg(good).alias("mean"), F.min(good).alias("min"), F.max(good).alias("max"),
+    ]
+    return summaries(rows, ["column", "type"], sums, {"median": ("x", 0.5)}, settings)
 
 
 def episode_distribution(frame: DataFrame, episode: str) -> DataFrame:
@@ -99,8 +99,8 @@ def range_of_motion(frame: DataFrame, columns: list[str] | None = None) -> DataF
 def iqr_outliers(values: DataFrame, value: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows (episodes) outside the quartiles by k times their distance; none if there are fewer than 4 values."""
     x = finite(value)
-    q = values.agg(F.count(x).alias("_n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.col("_q")[0], F.col("_q")[1]
+    q = summaries(values, [], [F.count(x).alias("_n")], {"_low": (value, 0.25), "_high": (value, 0.75)}, settings)
+    low, high = F.col("_low"), F.col("_high")
     rows = values.join(F.broadcast(q)).where("_n >= 4")  # one row
     k = settings.outlier_k
     out = rows.where((x < low - k * (high - low)) | (x > high + k * (high - low)))
@@ -153,12 +153,12 @@ def pose_blocks(frame: DataFrame, vector: str, width: int) -> DataFrame:
     return out.withColumn("quat_valid", F.coalesce((F.col("quat_norm_std") < 0.01) & (F.abs(F.col("quat_norm_mean") - 1) < 0.01), F.lit(False)))
 
 
-def difference_stats(frame: DataFrame, value: str) -> DataFrame:
+def difference_stats(frame: DataFrame, value: str, settings: Settings = DEFAULTS) -> DataFrame:
     """n, mean, std (n), min, max, median, p05, p95 and a histogram of ten equal bins (the last closed) of finite values."""
     rows = frame.select(finite(value).alias("x")).where("x is not null")
-    p = F.percentile("x", F.array(*[F.lit(q) for q in (0.05, 0.5, 0.95)]))
-    sums = rows.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), p.alias("_p"))
-    return _with_bins(rows, sums, 10).select("n", "mean", "std", "min", "max", F.col("_p")[1].alias("median"), F.col("_p")[0].alias("p05"), F.col("_p")[2].alias("p95"), "bins")
+    sums = [F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")]
+    sums = summaries(rows, [], sums, {"median": ("x", 0.5), "p05": ("x", 0.05), "p95": ("x", 0.95)}, settings)
+    return _with_bins(rows, sums, 10)
 
 
 def _with_bins(rows: DataFrame, sums: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import nearest, neighbours, quantiles
+from .windows import nearest, neighbours, summaries
 
 #: Names that are never a baseline (fixed values).
 NO_BASELINE = ("tf_static", "static", "calib", "metadata", "metainfo")
@@ -28,11 +28,7 @@ def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width:
 
 def medians(steps: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """The median positive step of each key (null if it has none)."""
-    if settings.spread_quantiles:
-        every = steps.select(*keys).distinct()
-        found = quantiles(steps.where("d > 0"), keys, "d", {"step_ns": 0.5})
-        return every.join(found, keys, "left")
-    return steps.groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("step_ns"))
+    return summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"step_ns": ("d", 0.5)}, settings)
 
 
 def stream_checks(
@@ -118,16 +114,10 @@ def residuals(streams: DataFrame, baseline: DataFrame, keys: list[str], clock_ns
 
 def residual_stats(offsets: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """Mean, largest and 95th percentile of the sizes, and median, 5th and 95th percentile of the signed offsets."""
-    size = F.abs("offset_ms")
-    p = F.percentile("offset_ms", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    if settings.spread_quantiles:
-        rows = offsets.where("offset_ms is not null").withColumn("_size", size)
-        sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_size").alias("mean_ms"), F.max("_size").alias("max_ms"))
-        signed = quantiles(rows, keys, "offset_ms", {"signed_p05_ms": 0.05, "signed_median_ms": 0.5, "signed_p95_ms": 0.95})
-        return sums.join(quantiles(rows, keys, "_size", {"p95_ms": 0.95}), keys).join(signed, keys)
-    return offsets.where("offset_ms is not null").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(size).alias("mean_ms"), F.max(size).alias("max_ms"), F.percentile(size, F.lit(0.95)).alias("p95_ms"), p.alias("_p")
-    ).select(*keys, "n", "mean_ms", "max_ms", "p95_ms", F.col("_p")[0].alias("signed_p05_ms"), F.col("_p")[1].alias("signed_median_ms"), F.col("_p")[2].alias("signed_p95_ms"))
+    rows = offsets.where("offset_ms is not null").withColumn("_size", F.abs("offset_ms"))
+    sums = [F.count("*").alias("n"), F.avg("_size").alias("mean_ms"), F.max("_size").alias("max_ms")]
+    signed = {"signed_p05_ms": ("offset_ms", 0.05), "signed_median_ms": ("offset_ms", 0.5), "signed_p95_ms": ("offset_ms", 0.95)}
+    return summaries(rows, keys, sums, {"p95_ms": ("_size", 0.95)} | signed, settings)
 
 
 def drift(offsets: DataFrame, keys: list[str], clock_ns: str, base_step_ms: float | Column, settings: Settings = DEFAULTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
-from .windows import finite, neighbours
+from .windows import finite, neighbours, summaries
 
 #: Nanoseconds in a unit (fixed values).
 UNIT_NS = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
@@ -70,13 +70,12 @@ def corrected_unit(unit: Column, size: Column, step: Column) -> tuple[Column, Co
     return F.when(good, unit).otherwise(out), F.when(good, "inferred").otherwise(basis)
 
 
-def infer_unit(frame: DataFrame, keys: list[str], clock: str) -> DataFrame:
+def infer_unit(frame: DataFrame, keys: list[str], clock: str, settings: Settings = DEFAULTS) -> DataFrame:
     """One row for each key: n, size, step (medians), unit, basis. Null, NaN and infinite clock values are left out."""
     rows = frame.select(*keys, finite(clock).alias("_t")).where("_t is not null")
     steps = neighbours(rows, keys, ["_t"], {"_p": ("_t", -1)}).withColumn("_d", F.col("_t") - F.col("_p"))
-    stats = steps.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.median(F.abs("_t")).alias("size"), F.median(F.when(F.col("_d") > 0, F.col("_d"))).alias("step")
-    )
+    sizes = steps.select(*keys, F.abs("_t").alias("_size"), F.when(F.col("_d") > 0, F.col("_d")).alias("_step"))
+    stats = summaries(sizes, keys, [F.count("*").alias("n")], {"size": ("_size", 0.5), "step": ("_step", 0.5)}, settings)
     unit, basis = corrected_unit(unit_case(F.col("size"), F.col("step")), F.col("size"), F.col("step"))
     return stats.select(*keys, "n", "size", "step", unit.alias("unit"), basis.alias("basis"))
 
@@ -89,17 +88,18 @@ def to_ns(clock: Column, unit: Column) -> Column:
     return out
 
 
-def measured_rate(frame: DataFrame, keys: list[str], clock_ns: str, order: list[str]) -> DataFrame:
+def measured_rate(frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """The authoritative rate: 10^9 over the median positive step in file order, of keys with at least 3 values."""
     steps = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)}).withColumn("_d", F.col(clock_ns) - F.col("_p"))
-    stats = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.median(F.when(F.col("_d") > 0, F.col("_d"))).alias("step_ns"))
+    ahead = steps.select(*keys, F.when(F.col("_d") > 0, F.col("_d")).alias("_d"))
+    stats = summaries(ahead, keys, [F.count("*").alias("n")], {"step_ns": ("_d", 0.5)}, settings)
     return stats.where("n >= 3").select(*keys, "n", "step_ns", (1e9 / F.col("step_ns")).alias("rate_hz"))
 
 
-def steady_rate(frame: DataFrame, keys: list[str], clock_ns: str) -> DataFrame:
+def steady_rate(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS) -> DataFrame:
     """The rate shown on inspection: sorted steps up to ten medians, 10^9 over their mean; jitter is their deviation in ms."""
     steps = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, [clock_ns], {"_p": (clock_ns, -1)}).withColumn("_d", F.col(clock_ns) - F.col("_p"))
-    middle = steps.groupBy(*keys).agg(F.median(F.when(F.col("_d") > 0, F.col("_d"))).alias("step_ns"))
+    middle = summaries(steps.select(*keys, F.when(F.col("_d") > 0, F.col("_d")).alias("_d")), keys, [], {"step_ns": ("_d", 0.5)}, settings)
     kept = steps.join(middle, keys).where((F.col("_d") > 0) & (F.col("_d") <= 10 * F.col("step_ns")))
     return kept.groupBy(*keys).agg(
         F.count("*").alias("n_steps"), (1e9 / F.avg("_d")).alias("rate_hz"), (F.stddev_pop("_d") / 1e6).alias("jitter_ms")

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bad, epoch_ns, finite  # noqa: F401
+from ..settings import DEFAULTS, Settings
 from ..storage import staged
 
+
 def neighbours(
     frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None
 ) -> DataFrame:
@@ -92,13 +94,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_
     return found.select("_row.*", F.when(later & F.col("_hi").isNotNull(), F.col("_hi")).otherwise(F.col("_lo")).alias("near"))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys are equal; the keys come once."""
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys are equal; the keys come once."""
     other = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(other, on).drop(*[f"_r_{k}" for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _step_of(x: Column) -> Column:
@@ -136,3 +138,22 @@ def quantiles(frame: DataFrame, keys: list[str], value: str, at: dict[str, float
         F.first("_all").alias("_all"), *[value_at(f(r)).alias(f"_{e}_{n}") for n, r in ranks.items() for e, f in (("lo", F.floor), ("hi", F.ceil))]
     )
     return picked.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (r - F.floor(r))).alias(n) for n, r in ranks.items()])
+
+
+def summaries(frame: DataFrame, keys: list[str], sums: list[Column], wanted: dict[str, tuple[str, float]], settings: Settings = DEFAULTS) -> DataFrame:
+    """keys, the aggregates ``sums`` and exact quantiles {name: (column, share)} of finite values, null where there are none.
+
+    One aggregate, whose buffers hold the distinct values of a group; with spread_quantiles by ``quantiles``, for groups
+    with more of them than a task can hold.
+    """
+    by_column = {c: {n: p for n, (own, p) in wanted.items() if own == c} for c, _ in wanted.values()}
+    if not settings.spread_quantiles:
+        shares = [F.percentile(finite(c), F.array(*map(F.lit, at.values()))).alias(f"_q_{c}") for c, at in by_column.items()]
+        out = frame.groupBy(*keys).agg(*sums, *shares)
+        place = {n: F.col(f"_q_{c}")[i].alias(n) for c, at in by_column.items() for i, n in enumerate(at)}
+        return out.select(*out.columns[: -len(by_column)], *[place[n] for n in wanted])
+    out = frame.groupBy(*keys).agg(*sums) if sums else frame.select(*keys).distinct()
+    for column, at in by_column.items():
+        own = quantiles(frame, keys, column, at)
+        out = same_keys(out, own, keys, "left") if keys else out.join(F.broadcast(own))  # without keys one row each
+    return out.select(*keys, *[c for c in out.columns if c not in keys and c not in wanted], *wanted)

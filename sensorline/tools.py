@@ -51,19 +51,19 @@ def list_tables(data: catalog.Dataset) -> dict:
 
 
 @tool
-def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool = False, focus_fields: list[str] | None = None) -> dict:
+def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool = False, focus_fields: list[str] | None = None, settings: Settings = DEFAULTS) -> dict:
     frame = data.table(table)
-    return {"profile": stats.column_profile(envelope.expand(frame, focus_fields) if expand else frame), "n_rows": frame.count()}
+    return {"profile": stats.column_profile(envelope.expand(frame, focus_fields) if expand else frame, settings=settings), "n_rows": frame.count()}
 
 
-def _clocks(data: catalog.Dataset, names: list[str] | None = None) -> DataFrame:
+def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units."""
     found = None
     for s in data.entries:
         if not s.timestamp_column or (names and not any(n.lower() in s.name.lower() for n in names)):
             continue
         frame = with_row_index(data.tables[s.name]).select(F.lit(s.name).alias("stream"), F.col("row_index").alias("i"), F.col(f"`{s.timestamp_column}`").cast("double").alias("v"), F.col(f"`{s.timestamp_column}`").try_cast("bigint").alias("whole"))
-        unit = s.timestamp_unit if s.timestamp_unit in timeaxis.UNIT_NS else timeaxis.infer_unit(frame, ["stream"], "v").select("unit").first()
+        unit = s.timestamp_unit if s.timestamp_unit in timeaxis.UNIT_NS else timeaxis.infer_unit(frame, ["stream"], "v", settings).select("unit").first()
         unit = unit if isinstance(unit, str) or unit is None else unit[0]
         if unit not in timeaxis.UNIT_NS:
             continue
@@ -78,8 +78,8 @@ def _clocks(data: catalog.Dataset, names: list[str] | None = None) -> DataFrame:
 
 @tool
 def inspect_streams(data: catalog.Dataset, settings: Settings = DEFAULTS) -> dict:
-    clocks = _clocks(data)
-    rates = timeaxis.steady_rate(clocks, ["stream"], "t").join(sync.stream_shape(clocks, ["stream"], "t", settings), "stream", "right")
+    clocks = _clocks(data, settings=settings)
+    rates = timeaxis.steady_rate(clocks, ["stream"], "t", settings).join(sync.stream_shape(clocks, ["stream"], "t", settings), "stream", "right")
     burst = F.col("shape") == "burst"
     rates = rates.withColumn("rate_hz", F.when(~burst, F.col("rate_hz")))
     return {"streams": data.streams().join(rates.withColumnRenamed("stream", "name").drop("n"), "name", "left").withColumn("role", catalog.role_of(F.col("name")))}
@@ -87,7 +87,7 @@ def inspect_streams(data: catalog.Dataset, settings: Settings = DEFAULTS) -> dic
 
 @tool
 def check_temporal_sync(data: catalog.Dataset, baseline_stream: str | None = None, streams: list[str] | None = None, locate_gaps: bool = False, settings: Settings = DEFAULTS) -> dict:
-    clocks = _clocks(data, streams)
+    clocks = _clocks(data, streams, settings)
     if clocks.select("stream").distinct().count() < 2:
         raise ValueError("at least two streams with clocks are needed")
     out = {"report": sync.sync_report(clocks, "stream", "t", ["i"], baseline_stream, 60_000_000_000, settings)}
@@ -137,7 +137,7 @@ def check_dataset_quality(data: catalog.Dataset, table: str | None = None, fps:
     judge(gates, "nan_inf", quality.gate_bad_values(frame, numbers, annotation_store.expected_missing(profile or {}, name, numbers), settings) if numbers else None, "fails")
     timed = None
     if clock:
-        unit = timeaxis.infer_unit(frame, [], clock).select("unit").first()
+        unit = timeaxis.infer_unit(frame, [], clock, settings).select("unit").first()
         scale = timeaxis.UNIT_NS.get(unit[0] if unit else "", 0)
         timed = frame.withColumn("_ns", (F.col(clock) * scale).cast("bigint")).withColumn("_s", F.col(clock) * scale / 1e9) if scale else None
         judge(gates, "timestamp_monotonic", quality.gate_monotonic(frame, [episode], clock, ["row_index"]), "verdict = 'fail'")
@@ -160,12 +160,12 @@ def check_dataset_quality(data: catalog.Dataset, table: str | None = None, fps:
 
 
 @tool
-def compute_stats(data: catalog.Dataset, metric: str = "generic", column: str | None = None, group_by: str | None = None, table: str | None = None) -> dict:
+def compute_stats(data: catalog.Dataset, metric: str = "generic", column: str | None = None, group_by: str | None = None, table: str | None = None, settings: Settings = DEFAULTS) -> dict:
     frame = data.table(table)
     episode = stats.find_column(frame.columns, stats.EPISODE_NAMES)
     numbers = [column] if column else [c for c in stats.numeric_columns(frame) if c != group_by]
     if metric == "generic":
-        return {"stats": stats.generic_stats(frame, numbers, [group_by] if group_by else None)}
+        return {"stats": stats.generic_stats(frame, numbers, [group_by] if group_by else None, settings)}
     if metric == "range_of_motion":
         return {"stats": stats.range_of_motion(frame, [column] if column else None)}
     if metric == "pose_blocks":
@@ -182,7 +182,7 @@ def compute_stats(data: catalog.Dataset, metric: str = "generic", column: str |
         if value is None:
             raise ValueError("no duration column")
         last = stats.last_value(rows, episode, value, ["row_index"])
-        return {"stats": last.agg(F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max")) if metric == "duration" else stats.iqr_outliers(last, value)}
+        return {"stats": last.agg(F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max")) if metric == "duration" else stats.iqr_outliers(last, value, settings)}
     raise ValueError(f"unknown metric {metric!r}")
 
 

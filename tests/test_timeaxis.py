@@ -97,3 +97,16 @@ def test_spread_quantiles_change_nothing(spark):
     rows = spark.range(2_000).select((F.col("id") % 3).cast("string").alias("stream"), F.col("id").alias("i"), (F.col("id") * 1_000_003 + F.col("id") * F.col("id") % 977).alias("t"))
     plain, spread = (sorted(map(tuple, sync.stream_checks(rows, ["stream"], "t", ["i"], Settings(spread_quantiles=s)).collect())) for s in (False, True))
     assert plain == spread
+
+
+def test_summaries_equal_either_way(spark):
+    from sensorline.settings import Settings
+
+    rows = [("a", 1.0, 4.0), ("a", 3.0, None), ("a", float("inf"), 8.0), (None, 2.0, 1.0), (None, 7.0, 1.5), ("b", None, float("nan"))]
+    frame = spark.createDataFrame(rows, "k string, v double, u double")
+    wanted = {"low": ("v", 0.25), "other": ("u", 0.5), "high": ("v", 0.75)}
+    for keys, sums in ((["k"], []), (["k"], [F.count("*").alias("n")]), ([], [F.count("v").alias("n")])):
+        for own in (frame, frame.where("false")):
+            plain, spread = (windows.summaries(own, keys, sums, wanted, Settings(spread_quantiles=s)) for s in (False, True))
+            assert plain.columns == spread.columns == [*keys, *["n"] * len(sums), *wanted]
+            assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect()))
