@@ -15,6 +15,8 @@ from .common import staged
 
 REACH = 160
 BUCKET = 512
+#: Code points of a text that redaction reads at once.
+CHUNK = 4_096
 
 #: kind: pattern, value group, a pattern the value must hold, a cheap test of the whole text.
 #: The first three are base kinds, in their order.
@@ -138,29 +140,36 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _cut(chunks: Column, begin: Column, end: Column) -> Column:
+    """Characters begin to end of a text that is held as chunks of CHUNK code points; only the chunks between are read."""
+    first, last = F.floor(begin / CHUNK), F.floor((end - 1) / CHUNK)
+    between = F.array_join(F.slice(chunks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+    return F.when(end > begin, F.substring(between, (begin - first * CHUNK + 1).cast("int"), (end - begin).cast("int"))).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
     All columns stay; n_chars, where there is one, is counted anew for texts that change. Null texts stay null.
+    The work grows with a text's length and its number of spans, not with their product.
     """
     columns = docs.columns
     found = find_secrets(docs).where(F.size("spans") > 0).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")
     ).dropDuplicates(["_id", "_hash"])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, span: Column) -> Column:
-        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
-        added = F.when(span["start"] >= done["at"], F.concat(done["out"], gap, F.lit("["), span["kind"], F.lit("]"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), added.alias("out"))
-
-    def end(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-
-    joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    clean = F.when(F.col("_spans").isNotNull() & F.col("text").isNotNull(), F.aggregate("_spans", start, step, end)).otherwise(F.col("text"))
-    out = joined.withColumn("_clean", clean)
+    earlier = Window.partitionBy("_id", "_hash").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.select("_id", "_hash", F.posexplode("_spans").alias("_n", "_s")).select("_id", "_hash", "_n", "_s.*")
+    each = each.withColumn("done", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("bigint")))
+    marks = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("done"), F.struct("start", "done", "kind"))))
+    merged = each.groupBy("_id", "_hash").agg(marks.alias("_marks"), F.max("end").alias("_last"))
+
+    joined = docs.join(merged, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
+    whole = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    joined = joined.withColumn("_chunks", F.when(F.col("_marks").isNotNull(), whole))
+    shown = F.transform("_marks", lambda m: F.concat(_cut(F.col("_chunks"), m["done"], m["start"]), F.lit("["), m["kind"], F.lit("]")))
+    changed = F.concat(F.array_join(shown, ""), _cut(F.col("_chunks"), F.col("_last"), F.length("text").cast("bigint")))
+    out = joined.withColumn("_clean", F.when(F.col("_marks").isNotNull() & F.col("text").isNotNull(), changed).otherwise(F.col("text")))
     shown = {c: F.col(c) for c in columns} | {"text": F.col("_clean").alias("text")}
     if "n_chars" in columns:
-        shown["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        shown["n_chars"] = F.when(F.col("_marks").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*shown.values())

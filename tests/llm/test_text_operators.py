@@ -133,6 +133,22 @@ def test_redaction(spark):
     assert credentials.redact(frame.limit(0)).count() == 0
 
 
+def test_redaction_across_chunks(spark):
+    """Texts longer than a chunk, with characters beyond the basic plane and spans over its borders and over each other."""
+    size = credentials.CHUNK
+    wide = "\U0001f600" * (size - 4) + " password=" + "a1" * 40 + " \u00e9" * size + "secret: " + "0123456789abcdef" * (size // 8) + " end"
+    texts = [(1, wide), (2, "token=abcdefgh" * 2 * size), (None, wide[7:]), (4, "x" * 2 * size + "token=abcdefgh"), (5, "\n token=abcdefgh\n" * size)]
+    frame = docs(spark, texts)
+    spans = {r.doc_id: r.spans for r in credentials.find_secrets(frame).collect()}
+    for r in credentials.redact(frame).collect():
+        text, out, at = dict(texts)[r.doc_id], "", 0
+        for s in spans[r.doc_id]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + f"[{s['kind']}]"
+            at = max(at, s["end"])
+        assert r.text == out + text[at:] != text
+
+
 def test_many_parts_in_one_text(spark):
     long = " ".join(f"{KEY} {SECRET} token=abcdef{i}" for i in range(3_000))
     row = credentials.find_secrets(docs(spark, [(1, long)])).select(F.size("spans").alias("n"), F.size("base").alias("b")).first()
