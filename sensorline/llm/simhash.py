@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spaced_words, staged
@@ -46,15 +46,18 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int = WORDS, with_text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long. Null and empty texts have fingerprint 0. On request text_hash too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], names=["doc_id", "fp"])
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(got)], names=[*others, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    extra = [text_hash().alias("text_hash")] * with_text_hash
+    shape = "doc_id bigint, " + "text_hash bigint, " * with_text_hash + "fp bigint"
+    return docs.select(F.col("doc_id").cast("bigint"), *extra, F.col("text").cast("string")).mapInArrow(run, shape)
 
 
 class Forest:
@@ -163,6 +166,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return paired.groupBy("a", "b").applyInArrow(_compare(radius), "u bigint, v bigint")
 
 
+def _rooted(prints: DataFrame, least: Column, radius: int, tile: int) -> DataFrame:
+    """(fp, least, root): of each distinct fingerprint the least of its rows and the root of its component."""
+    distinct = staged(prints.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = components(links(distinct, radius, tile))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return staged(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row for each document: doc_id, fp, fingerprint (hex), component_id (the smallest doc_id it reaches by links).
 
@@ -171,10 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     costs one comparison.
     """
     prints = staged(fingerprints(docs, words), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, radius, tile))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
+    rooted = _rooted(prints, F.min("doc_id"), radius, tile)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -182,13 +190,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     )
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def least_row() -> Column:
+    """What stands for a group of rows: the smallest doc_id, nulls last, then the smallest text_hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+
+
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each root: the least_row of the column least.
+
+    Rows of one doc_id and one text are repeats; one of them stays.
+    """
+
+    def key(doc_id: Column, hashed: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), hashed.cast("string")).alias("_key")
+
+    kept = rooted.groupBy("root").agg(F.min("least").alias("k")).select(key(F.col("k.doc_id"), F.col("k.text_hash")))
+    # one shuffle of the texts: the join and the choice among repeated rows share it
+    return docs.select("*", key(F.col("doc_id"), text_hash())).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The document of the smallest doc_id of each component, with all its columns; of repeated rows of it, one.
 
-    Where all doc_ids of a component are null, one of its rows stays.
+    Where all doc_ids of a component are null, one of its rows stays. Different texts under one doc_id, or without one,
+    count by their own components.
     """
-    found = near_duplicates(docs, words, radius)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    kept = found.where("doc_id is null and component_id is null or doc_id = component_id").select(key).distinct()
-    # one shuffle of the texts: the join and the choice among repeated rows share it
-    return docs.select("*", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    prints = staged(fingerprints(docs, words, with_text_hash=True), "fingerprints")
+    return one_of_each(docs, _rooted(prints, least_row(), radius, TILE))

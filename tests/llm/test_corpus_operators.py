@@ -189,6 +189,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [3, 9, None] and got.columns == frame.columns
 
 
+def test_ids_that_are_null_or_shared_lose_no_component(spark):
+    texts = [f"text number {i} speaks of {'abcdefgh'[i] * 9} and of nothing that {i * 7} others hold" for i in range(8)]
+    frame = docs(spark, [(None, t) for t in texts[:5]] + [(None, texts[0]), (4, texts[5]), (4, texts[6]), (9, texts[6]), (None, texts[7]), (8, texts[7])])
+    got = sorted(((r.doc_id, r.text) for r in simhash.without_near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(None, t) for t in texts[:5]] + [(4, texts[5]), (4, texts[6]), (8, texts[7])], key=str)
+
+
 # Vectors
 
 
