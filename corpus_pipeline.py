@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import credentials, decontamination, packing, quality, simhash
+from sensorline.llm import credentials, decontamination, near_copies, packing, quality
 from sensorline.llm.common import clear_staged, staged, staged_paths, table
 from sensorline.llm.registry import QUALITY_THRESHOLD, tokenizer_path
 
@@ -19,8 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of close fingerprints."""
-    return simhash.without_near_duplicates(docs)
+    """One document, that of the smallest doc_id, of each component linked by five-word shingles of Jaccard 0.8 or more."""
+    return near_copies.without_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

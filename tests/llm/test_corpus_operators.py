@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sensorline.llm import components, inner_product, packing, registry, simhash, token_files, tokens, url_rules, warc_bundles
+from sensorline.llm import components, inner_product, near_copies, packing, registry, simhash, token_files, tokens, url_rules, warc_bundles
 from tests.conftest import SF
 from tests.llm.test_text_operators import ODD, docs
 
@@ -196,6 +196,34 @@ def test_ids_that_are_null_or_shared_lose_no_component(spark):
     assert got == sorted([(None, t) for t in texts[:5]] + [(4, texts[5]), (4, texts[6]), (8, texts[7])], key=str)
 
 
+def test_near_copy_stage_equals_brute_force(spark):
+    draw = np.random.default_rng(21)
+    rows = rows_of(spark, 200) + [r for r in ODD if len(r[1] or "") < 1_000]
+    for i in range(60):  # copies of similarity 0.85 down to 0.7, and texts of few words
+        words = [f"w{x}" for x in draw.integers(0, 10_000, (6, 9, 60, 300)[i % 4])]
+        rows.append((1_000 + 2 * i, " ".join(words)))
+        for at in draw.integers(0, len(words), max(1, len(words) * (2 + i % 3) // 100)):
+            words[at] = "changed"
+        rows.append((1_001 + 2 * i, " ".join([*words, "end"])))
+    rows += [(None, rows[205][1]), (None, "an unrelated text without any id at all"), (None, "one more of them that is of no kin")]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root, links = [grams(t) for _, t in rows], list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links += sets[i] != sets[j]
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = [min((rows[i][0] for i in range(len(rows)) if root[i] == r), key=lambda k: (k is None, k or 0)) for r in set(root)]
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, rows), SF)
+    assert links > 10 and sorted((r.doc_id for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sorted((r.doc_id for r in near_copies.without_near_copies(docs(spark, rows), tile=16).collect()), key=str) == sorted(want, key=str)
+
+
 # Vectors
 
 
