@@ -34,8 +34,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their place in packed sequences."""
-    return packing.pack(docs, tokenizer_path(), end_id=1, with_ids=False)
+    """Pieces of at most 4096 tokens with their ids and their place in packed sequences."""
+    return packing.pack(docs, tokenizer_path(), end_id=1, with_ids=True)
 
 
 STAGES = [

@@ -332,3 +332,9 @@ def test_pipeline_stages(spark, library):
     assert 0 < len(kept) < frame.count() and len({k for k, _ in kept}) == len(kept)
     packed = corpus_pipeline.run(spark, SF).collect()
     check_packed(packed, kept, library, 4096)
+
+
+def test_pipeline_gives_the_ids(spark, library):
+    packed = corpus_pipeline.best_fit_packing(spark, docs(spark, [(1, "a b c"), (2, "d e")]), SF)
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packed.collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in ((1, "a b c"), (2, "d e"))}
