@@ -5,18 +5,29 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: list[str] = []
-_STAGED: list[str] = []
+#: Folder of the run that is under way in this thread.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where that is unset (local tests) one of our own."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only in local mode, where executors share the driver's disk, is there one of our own instead; elsewhere its absence is
+    an error, since executors would write where nobody reads.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="sensorline-"))
         atexit.register(_remove_own_root)
@@ -31,9 +42,14 @@ def _remove_own_root() -> None:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
-    return path
+    """A new name below the folder of the current run, or below the shared folder outside of runs."""
+    return f"{_RUN.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """Write a frame once as Parquet and read it back."""
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def staged(frame: DataFrame, label: str) -> DataFrame:
@@ -41,24 +57,25 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
 
     Later jobs read files that outlive executors instead of computing the lineage again.
     """
-    spark = frame.sparkSession
-    path = fresh_path(spark, label)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return written(frame, fresh_path(frame.sparkSession, label))
 
 
-def staged_paths() -> list[str]:
-    return list(_STAGED)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def clear_staged(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
-    """Delete the intermediate tables and files of this process from the since-th on, but for those to keep.
+@contextmanager
+def run(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of what is done inside, deleted at the end.
 
-    Call it once results that come from them are written.
+    Frames that come from them are lazy: write or collect results before the end. Runs of other threads have other folders.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in [p for p in _STAGED[since:] if p not in keep]:
-        path = hadoop(name)
-        path.getFileSystem(conf).delete(path, True)
-        _STAGED.remove(name)
+    path = fresh_path(spark, "run")
+    mark = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(mark)
+        remove(spark, path)
