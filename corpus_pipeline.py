@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorline import storage
 from sensorline.llm import credentials, decontamination, near_copies, packing, quality
-from sensorline.llm.common import clear_staged, staged, staged_paths, table
+from sensorline.llm.common import table
 from sensorline.llm.registry import QUALITY_THRESHOLD, tokenizer_path
 
 
@@ -46,14 +47,18 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Fingerprints, the classifier and the tokenizer are beyond SQL; tests compare the stages with brute force.
+#: Fingerprints, the classifier and the tokenizer are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages. A stage's intermediate tables, and its input, are deleted once its result is written."""
-    docs, before = table(spark, sf_dir, "documents"), len(staged_paths())
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        clear_staged(spark, keep=(staged_paths()[-1],), since=before)
+        path = storage.fresh_path(spark, name.replace(" ", "-"))
+        with storage.run(spark):
+            docs = storage.written(stage(spark, docs, sf_dir), path)
+        if before:
+            storage.remove(spark, before)
+        before = path
     return docs
