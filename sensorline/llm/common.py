@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import clear_staged, fresh_path, shared_dir, staged, staged_paths  # noqa: F401
+from ..storage import fresh_path, run, shared_dir, staged, written  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -56,10 +56,52 @@ def hash_sample(frame: DataFrame, columns: list[str], n: int) -> DataFrame:
     return frame.orderBy(order, *columns).limit(n)
 
 
-def file_by_file(files: DataFrame, most_tasks: int = 2_000) -> DataFrame:
-    """Deal a small table of file names (column uri) so that files are read side by side; the adaptive planner would
-    otherwise put its few bytes, and all the work they stand for, into one task."""
-    return files.repartition(max(1, min(files.count(), most_tasks)), "uri")
+def file_by_file(files: DataFrame, most_tasks: int = 2_000, by: list[str] | None = None) -> DataFrame:
+    """Deal a small table of file names (column uri, or the columns by, each once) so that files are read side by side.
+
+    Ranges of names, not hashes: a hash of uri may equal a shuffle before it, which Spark then keeps alone and merges into
+    one task by the few bytes of the names.
+    """
+    return files.repartitionByRange(max(1, min(files.count(), most_tasks)), *(by or ["uri"]))
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, n: str, share: int = 1_000, floor: int = 0) -> DataFrame:
+    """Inner join with a right side that has each key once and, in column n, how many rows of left have it.
+
+    Keys with more than a thousandth of left's rows (and more than floor) would each fill a task: they go by broadcast, and
+    there are fewer than ``share`` of them whatever the size. All others are shuffled. Null keys match nothing.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    if total <= floor:
+        return left.join(right.drop(n), key)
+    limit = max(floor, total // share)
+    hot, cold = right.where(F.col(n) > limit).drop(n), right.where(F.col(n) <= limit).drop(n)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def whole_rows(docs: DataFrame) -> tuple[Column, dict[str, Column]]:
+    """All columns of a row as one struct (without a name), and each of them by name: whatever a caller's columns are
+    called, they cannot clash with columns that an operator adds."""
+    quoted = {c: F.col(f"`{c}`") for c in docs.columns}
+    return F.struct(*[c.alias(name) for name, c in quoted.items()]), quoted
+
+
+def filtered(docs: DataFrame, decide: Callable[[list[str | None]], list[bool]], chunk_bytes: int = 8 << 20) -> DataFrame:
+    """The documents that decide(texts) keeps, with all their columns, decided batch by batch where they are read."""
+    text = f"c{docs.columns.index('text')}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots would not resolve
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks_of(batches, text, chunk_bytes):
+            yield batch.filter(pa.array(decide(batch.column(text).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def unpacked(rows: DataFrame, packed: str, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of a struct as a table again, some of them changed."""
+    return rows.select(*[changed.get(c, F.col(packed)[c]).alias(c) for c in columns])
 
 
 def filesystem(uri: str):
