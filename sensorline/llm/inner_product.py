@@ -2,31 +2,43 @@
 
 Vectors are cut into pairs of numbers; each pair is one of 16 centres, so a vector is four bits a pair. Codes and centres
 minimise a loss that weighs the residual parallel to the vector ETA times as much as the rest, since only that part moves
-large inner products. A query turns into one table of 16 partial products a pair; a scan adds table entries over all rows
-of a task, takes the DEPTH best and scores them exactly. Queries come in blocks of bounded size.
+large inner products. A query turns into one table of 16 partial products a pair, quantised to bytes; a scan adds up table
+entries of many queries at once over the distinct codes of a tile of rows. Rows are scored exactly in double precision
+wherever the sum, with an allowance for the residual of that code, reaches the exact k-th score so far: there is no cap on
+them, so near copies that share a code or differ by less than the quantisation all get their exact scores.
+
+Tiles of rows and of queries are files in the shared folder. A unit of work is a tile of queries and a group of tiles of
+rows; it holds one tile of each and the k best so far, so memory does not grow, and the driver sees no vector but the
+training sample.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, staged
+from .common import file_by_file, fresh_path, hash_sample, open_file, staged, write_bytes
 
 PAIR, CENTRES = 2, 16
 #: Vectors that the centres are trained on, at most.
 SAMPLE = 8_192
 TRAIN_ROUNDS, ENCODE_SWEEPS = 6, 3
 THRESHOLD = 0.2
-#: Rows of a scan that are scored exactly, for each task and query.
-DEPTH = 120
-#: Queries that travel together, and rows of a task that are scanned at once.
-QUERY_BLOCK, ROW_BLOCK = 8_192, 32_768
-QUERIES_AT_ONCE = 64
+#: Codes of the first tile whose rows give a unit its first k-th score.
+DEPTH = 64
+#: Allowance for a residual, in deviations of its product with a query of random direction.
+DEVIATIONS = 2.5
+#: Queries of a tile, rows of a tile, tiles of rows in a group.
+QUERY_BLOCK, ROW_BLOCK, GROUP = 512, 32_768, 64
+#: Queries and codes that are scanned at once.
+QUERIES_AT_ONCE, CODES_AT_ONCE = 64, 2_048
 
 
 def weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -65,23 +77,29 @@ class Quantiser:
                 total = rest + along[:, m]
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.centres[np.arange(len(self.centres))[None], codes].reshape(len(codes), -1)[:, : self.dim]
+
     def refit(self, x: np.ndarray, codes: np.ndarray) -> None:
-        """Centres that minimise the loss for given codes: one linear system over all of them."""
-        pairs, n = self._pairs(x), len(self.centres)
-        size = n * CENTRES * PAIR
-        norm = np.sqrt(np.maximum((x.astype(np.float64) ** 2).sum(1), 1e-30))
-        place = (np.arange(n)[None] * CENTRES + codes)[:, :, None] * PAIR + np.arange(PAIR)
-        count = np.bincount(place.ravel(), minlength=size).astype(np.float64)
-        target = self.eta * np.bincount(place.ravel(), pairs.ravel(), minlength=size)
-        system = np.zeros((size, size))
-        for i in range(0, len(x), 2_048):
-            spread = np.zeros((len(x[i : i + 2_048]), size), np.float32)
-            np.put_along_axis(spread, place[i : i + 2_048].reshape(len(spread), -1), (pairs[i : i + 2_048] / norm[i : i + 2_048, None, None]).reshape(len(spread), -1).astype(np.float32), 1)
-            system += spread.T @ spread
-        system = (self.eta - 1) * system + np.diag(np.maximum(count, 1e-3))
-        old = self.centres.reshape(-1)
-        target = np.where(count > 0, target, old * 1e-3)
-        self.centres = np.linalg.solve(system, target).reshape(n, CENTRES, PAIR).astype(np.float32)
+        """Centres that minimise the loss for given codes, pair after pair: a small linear system for each centre."""
+        pairs = self._pairs(x).astype(np.float64)
+        pull = (self.eta - 1) / np.maximum((x.astype(np.float64) ** 2).sum(1), 1e-30)
+        made = self.centres[np.arange(len(self.centres))[None], codes]
+        along = ((pairs - made) * pairs).sum(2)
+        total = along.sum(1)
+        for m in range(len(self.centres)):
+            p, own = pairs[:, m], codes[:, m]
+            rest = total - along[:, m]
+            full = lambda w: np.bincount(own, w, CENTRES)  # noqa: B023, E731
+            a, b, d = full(1 + pull * p[:, 0] ** 2), full(pull * p[:, 0] * p[:, 1]), full(1 + pull * p[:, 1] ** 2)
+            want = 1 + pull * (rest + (p**2).sum(1))
+            s, t = full(p[:, 0] * want), full(p[:, 1] * want)
+            det = a * d - b * b
+            used = det > 0
+            new = np.stack([d * s - b * t, a * t - b * s], 1)[used] / det[used, None]
+            self.centres[m][used] = new.astype(np.float32)
+            along[:, m] = ((p - self.centres[m][own]) * p).sum(1)
+            total = rest + along[:, m]
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Partial products (queries, pairs, 16)."""
@@ -106,20 +124,39 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | codes[:, 1::2] << 4
 
 
-def byte_tables(tables: np.ndarray) -> np.ndarray:
-    """Tables of two neighbouring pairs added up, by the byte of their codes: (queries, bytes, 256)."""
+def byte_tables(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables by the byte of two neighbouring codes (bytes, 256, queries), with base and scale of each query.
+
+    The entries of a query are quantised to 0..255 on one scale: base + scale * their sum is the partial products' sum.
+    """
     if tables.shape[1] % 2:
         tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], 1)
-    low, high = tables[:, 0::2], tables[:, 1::2]
-    return (high[:, :, :, None] + low[:, :, None, :]).reshape(*low.shape[:2], 256).astype(np.float32)
+    least = tables.min(2)
+    scale = np.maximum((tables.max(2) - least).max(1) / 255, 1e-30)
+    small = np.rint((tables - least[:, :, None]) / scale[:, None, None]).astype(np.uint16 if tables.shape[1] < 257 else np.uint32)
+    low, high = small[:, 0::2], small[:, 1::2]
+    both = (high[:, :, :, None] + low[:, :, None, :]).reshape(*low.shape[:2], 256)
+    return np.ascontiguousarray(both.transpose(1, 2, 0)), least.sum(1), scale
+
+
+def scan_codes(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of table entries (queries, codes) for codes (bytes, codes): every lookup serves all queries."""
+    n, queries = codes.shape[1], tables.shape[2]
+    out = np.empty((queries, n), tables.dtype)
+    part = np.empty((CODES_AT_ONCE, queries), tables.dtype)
+    for i in range(0, n, CODES_AT_ONCE):
+        own = codes[:, i : i + CODES_AT_ONCE]
+        total, held = tables[0][own[0]], part[: own.shape[1]]
+        for m in range(1, len(codes)):
+            np.take(tables[m], own[m], axis=0, out=held, mode="clip")
+            total += held
+        out[:, i : i + CODES_AT_ONCE] = total.T
+    return out
 
 
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first number to the last."""
-    total = np.zeros(len(rows))
-    for j in range(len(query)):
-        total += query[j] * rows[:, j]
-    return total
+    return np.cumsum(rows * query, axis=1)[:, -1] if len(rows) else np.zeros(0)
 
 
 def vectors(frame: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
@@ -139,103 +176,180 @@ def vectors(frame: DataFrame, dim: int | None = None) -> tuple[DataFrame, int]:
     return good.where(F.size("v") == dim), dim
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _save(uri: str, **arrays: np.ndarray) -> None:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    write_bytes(uri, [held.getbuffer()])
 
 
-def build_index(frame: DataFrame) -> tuple[DataFrame, Quantiser]:
-    """Every row with its packed codes, staged (vec_id, v, codes), and the quantiser that made them.
+def _load(uri: str) -> dict[str, np.ndarray]:
+    with open_file(uri) as f, np.load(io.BytesIO(f.read())) as held:
+        return dict(held)
+
+
+def _starts(groups: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))])
+
+
+def tile_of(ids: np.ndarray, rows: np.ndarray, quantiser: Quantiser) -> dict[str, np.ndarray]:
+    """Distinct vectors with their ids, ascending, under their distinct codes; and the longest residual of each code."""
+    distinct, same = np.unique(rows, axis=0, return_inverse=True)
+    packed = pack_codes(quantiser.encode(distinct))
+    codes, of = np.unique(packed, axis=0, return_inverse=True)
+    nibbles = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, : len(quantiser.centres)]
+    residual = np.sqrt(((distinct - quantiser.decode(nibbles)) ** 2).sum(1))
+    by_code = np.argsort(of.ravel(), kind="stable")
+    place = np.empty(len(distinct), np.int64)
+    place[by_code] = np.arange(len(distinct))
+    pairs = np.unique(np.stack([place[same.ravel()], ids]), axis=1)  # by vector, then id; repeated rows count once
+    longest = np.zeros(len(codes))
+    np.maximum.at(longest, of.ravel(), residual)
+    single = distinct.astype(np.float32)
+    vecs = (single if (single == distinct).all() else distinct)[by_code]
+    return {
+        "vecs": vecs, "ids": pairs[1], "id_at": _starts(pairs[0], len(distinct)), "codes": np.ascontiguousarray(codes.T),
+        "code_at": _starts(of.ravel(), len(codes)), "residual": longest.astype(np.float32),
+    }
 
-    The quantiser is trained on at most SAMPLE rows, drawn by a hash of vec_id; every row is encoded.
-    """
-    good, dim = vectors(frame)
-    drawn = hash_sample(good, ["vec_id"], SAMPLE).collect()
-    quantiser = train(np.array([r.v for r in drawn]) if drawn else np.zeros((1, dim)))
-    shared = frame.sparkSession.sparkContext.broadcast(quantiser)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Index(NamedTuple):
+    """rows: vec_id and v of the vectors that take part; tiles: uri and n of the files that hold them with their codes."""
+
+    rows: DataFrame
+    tiles: DataFrame
+    quantiser: Quantiser
+
+
+def _in_tiles(rows: DataFrame, folder: str, most: int, make) -> DataFrame:
+    """Write the rows (vec_id, v) of each task in tiles of at most so many, as make(ids, vectors) gives them: uri and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
+            v = np.concatenate([b.column("v").flatten().to_numpy() for b in held]).reshape(len(ids), -1)
+            uri = f"{folder}/{uuid.uuid4().hex}"  # of this attempt: only tiles of finished tasks are listed
+            _save(uri, **make(ids, v))
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(ids)], pa.int64())], names=["uri", "n"])
+
         for batch in batches:
-            if batch.num_rows:
-                codes = pack_codes(shared.value.encode(_matrix(batch.column("v"), dim)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "codes"])
+            for i in range(0, batch.num_rows, most):
+                part = batch.slice(i, most)
+                if size + part.num_rows > most:
+                    yield flush()
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if held:
+            yield flush()
 
-    return staged(good.mapInArrow(encode, "vec_id bigint, v array<double>, codes binary"), "vector-index"), quantiser
+    return staged(rows.select("vec_id", "v").mapInArrow(run, "uri string, n bigint"), "vector-tiles")
 
 
-def _best_of(queries: np.ndarray, query_ids: np.ndarray, tables: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, k: int, depth: int):
-    """The k best rows of each query among these rows: (query ids, vec ids, scores).
+def build_index(frame: DataFrame) -> Index:
+    """Every vector that takes part with its codes, in tiles.
 
-    Equal vectors are scanned once and stand for their k + 1 smallest ids, so copies cannot crowd out other rows.
+    The quantiser is trained on at most SAMPLE rows, drawn by a hash of vec_id; every row is encoded, where it is read.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, rows, codes = ids[order], rows[order], codes[order]
-    _, first, same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by_group = np.argsort(same, kind="stable")
-    begins = np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(first)))])
-    rows, codes = rows[first], np.ascontiguousarray(codes[first].T)
-    out_q, out_v, out_s = [], [], []
-    for i in range(0, len(queries), QUERIES_AT_ONCE):
-        some = tables[i : i + QUERIES_AT_ONCE]
-        for q, table in enumerate(some, i):
-            guess = table[0][codes[0]]
-            for m in range(1, len(codes)):
-                guess += table[m][codes[m]]
-            top = np.argpartition(-guess, depth)[:depth] if len(guess) > depth else np.arange(len(guess))
-            score = exact(queries[q], rows[top])
-            best = np.argsort(-score, kind="stable")[: k + 1]
-            edge = score[best[-1]]
-            own = [(-float(score[j]), int(v)) for j in np.flatnonzero(score >= edge) for v in ids[by_group[begins[top[j]] : min(begins[top[j] + 1], begins[top[j]] + k + 1)]]]
-            own = [x for x in sorted(own) if x[1] != query_ids[q]][:k]
-            out_q += [query_ids[q]] * len(own)
-            out_v += [v for _, v in own]
-            out_s += [-s for s, _ in own]
-    return out_q, out_v, out_s
-
-
-def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, depth: int = DEPTH, block: int = QUERY_BLOCK) -> DataFrame:
+    rows, dim = vectors(frame)
+    drawn = hash_sample(rows, ["vec_id"], SAMPLE).collect()
+    quantiser = train(np.array([r.v for r in drawn]) if drawn else np.zeros((1, dim)))
+    shared = frame.sparkSession.sparkContext.broadcast(quantiser)
+    folder = fresh_path(frame.sparkSession, "vectors")
+    return Index(rows, _in_tiles(rows, folder, ROW_BLOCK, lambda ids, v: tile_of(ids, v, shared.value)), quantiser)
+
+
+def _spread(begin: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The members of some groups, given where each group begins."""
+    n = begin[which + 1] - begin[which]
+    return np.arange(int(n.sum())) + np.repeat(begin[which] - (np.cumsum(n) - n), n)
+
+
+class Nearest:
+    """The k best rows so far of each query of a tile."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, quantiser: Quantiser, k: int, depth: int):
+        self.ids, self.queries, self.quantiser, self.k, self.depth = ids, queries, quantiser, k, depth
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)  # scores, ids
+        self.norms = np.sqrt((queries**2).sum(1))
+
+    def add(self, tile: dict[str, np.ndarray]) -> None:
+        codes = tile["codes"].astype(np.intp)
+        slack = tile["residual"] * np.float32(DEVIATIONS / np.sqrt(self.quantiser.dim))
+        rounding = DEVIATIONS * np.sqrt(len(self.quantiser.centres) / 12)
+        for i in range(0, len(self.ids), QUERIES_AT_ONCE):
+            tables, base, scale = byte_tables(self.quantiser.tables(self.queries[i : i + QUERIES_AT_ONCE]))
+            for q, sums in enumerate(scan_codes(tables, codes), i):
+                some = slack * np.float32(self.norms[q] / scale[q - i])
+                some += sums
+                least = self._kth(q, tile, sums)
+                self._merge(q, tile, np.flatnonzero(some >= (least - base[q - i]) / scale[q - i] - rounding))
+
+    def _kth(self, q: int, tile: dict[str, np.ndarray], sums: np.ndarray) -> float:
+        """The exact k-th score so far; of a first tile that of the depth codes of the largest sums."""
+        scores, _ = self.best[q]
+        if len(scores) == self.k:
+            return float(scores[-1])
+        top = np.argpartition(sums, len(sums) - self.depth)[len(sums) - self.depth :] if len(sums) > self.depth else np.arange(len(sums))
+        rows = _spread(tile["code_at"], top)
+        found = exact(self.queries[q], tile["vecs"][rows].astype(np.float64))
+        n = self.k + 1  # one of them may be the query itself
+        return float(np.partition(found, len(found) - n)[len(found) - n]) if len(found) >= n else -np.inf
+
+    def _merge(self, q: int, tile: dict[str, np.ndarray], which: np.ndarray) -> None:
+        rows = _spread(tile["code_at"], which)
+        found = exact(self.queries[q], tile["vecs"][rows].astype(np.float64))
+        if len(found) > self.k + 1:
+            good = found >= np.partition(found, len(found) - self.k - 1)[len(found) - self.k - 1]
+            rows, found = rows[good], found[good]
+        # a vector's k + 1 smallest ids are all that can be among the k best
+        ends = np.minimum(tile["id_at"][rows + 1], tile["id_at"][rows] + self.k + 1)
+        n = ends - tile["id_at"][rows]
+        at = np.arange(int(n.sum())) + np.repeat(ends - np.cumsum(n), n)
+        scores, ids = np.concatenate([self.best[q][0], np.repeat(found, n)]), np.concatenate([self.best[q][1], tile["ids"][at]])
+        other = ids != self.ids[q]
+        scores, ids = scores[other], ids[other]
+        order = np.lexsort((ids, -scores))
+        scores, ids = scores[order], ids[order]
+        new = np.concatenate([[True], (np.diff(scores) != 0) | (np.diff(ids) != 0)])[: len(ids)]
+        self.best[q] = scores[new][: self.k], ids[new][: self.k]
+
+
+def search(index: Index, queries: DataFrame, k: int = 20, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query but itself, ties to the smaller vec_id.
 
-    queries: vec_id, v as in the index; repeated query ids count once. Each block of queries (of bounded size) meets all
-    rows; a task returns k rows a query, ranked again over all tasks.
+    queries: vec_id, v as in the index. An id names one vector: rows of the query's own id are the query itself, and of
+    several vectors under one query id the smallest asks. Of repeated rows (an id with the same vector) one counts; other
+    vectors of an id count on their own.
     """
-    spark = index.sparkSession
-    dim = quantiser.dim
+    spark = index.tiles.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = -(-queries.count() // block)
-    found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = part.orderBy("vec_id").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), np.array([r.v for r in rows]), quantiser))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vs, own = shared.value
-            held, size = [], 0
-
-            def flush():
-                whole = pa.Table.from_batches(held).combine_chunks()
-                matrix = np.ascontiguousarray(_matrix(whole.column("v").combine_chunks(), dim))
-                codes = np.frombuffer(b"".join(whole.column("codes").to_pylist()), np.uint8).reshape(len(matrix), -1)
-                row_ids = whole.column("vec_id").to_numpy()
-                for i in range(0, len(ids), 512):
-                    q, v, s = _best_of(vs[i : i + 512], ids[i : i + 512], byte_tables(own.tables(vs[i : i + 512])), row_ids, matrix, codes, k, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch)
-                    size += batch.num_rows
-                if size >= ROW_BLOCK:
-                    yield from flush()
-                    held, size = [], 0
-            if held:
-                yield from flush()
-
-        one = index.select("vec_id", "v", "codes").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    folder = fresh_path(spark, "queries")
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = _in_tiles(queries.repartitionByRange(parts, "vec_id"), folder, QUERY_BLOCK, lambda ids, v: {"ids": ids, "queries": v})
+    tiles = index.tiles.withColumn("g", F.floor((F.row_number().over(Window.orderBy("uri")) - 1) / GROUP))  # a row for each tile
+    groups = tiles.groupBy("g").agg(F.array_sort(F.collect_list("uri")).alias("tiles"))
+    n = -(-index.tiles.count() // GROUP)
+    units = asked.select("uri", F.explode(F.expr(f"sequence(0L, {max(0, n - 1)}L)")).alias("g")).join(groups, "g")
+    shared = spark.sparkContext.broadcast(index.quantiser)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, tiles in zip(batch.column("uri").to_pylist(), batch.column("tiles").to_pylist(), strict=True):
+                own = _load(uri)
+                nearest = Nearest(own["ids"], own["queries"], shared.value, k, depth)
+                for tile in tiles:
+                    nearest.add(_load(tile))
+                found = nearest.best
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(own["ids"], [len(s) for s, _ in found])), pa.array(np.concatenate([v for _, v in found])), pa.array(np.concatenate([s for s, _ in found]))],
+                    names=["query_id", "vec_id", "score"],
+                )
+
+    found = file_by_file(units, 20_000, ["uri", "g"]).select("uri", "tiles").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    one = F.struct((-F.col("score")).alias("less"), "vec_id")
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(one)), 1, k).alias("best"))  # k rows a group of tiles
+    each = best.select("query_id", F.posexplode("best").alias("n", "b"))
+    return each.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.less")).alias("score"))
