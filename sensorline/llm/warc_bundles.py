@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_by_file, fresh_path, open_file, staged, write_bytes
+from .common import file_by_file, fresh_path, open_file, split_join, staged, write_bytes
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 64 << 20
@@ -30,6 +30,10 @@ LEVEL = 3
 #: Fixed values of the seekable format and of the WARC revisit profile.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests of repeated payloads that go to every task; more of them are joined by shuffle.
+MOST_BROADCAST = 200_000
+#: Bytes of a response's url that its revisits repeat.
+MOST_URL = 512
 #: A date for records of pages that carry none.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -79,22 +83,31 @@ class Bundle:
         self.file.close()
 
 
-def _uri(url: str | None) -> str:
+def _uri(url: str) -> str:
     """A header value: control characters of the url percent-encoded."""
-    return "".join(f"%{ord(c):02X}" if ord(c) < 0x20 or ord(c) == 0x7F else c for c in url or "")
+    return "".join(f"%{ord(c):02X}" if ord(c) < 0x20 or ord(c) == 0x7F else c for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    kind = "revisit" if revisit else "response"
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}")
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
-    ]
+def record_id(page_id: int | None, url: str | None, digest: str, row: int | None = None) -> str:
+    """Name of a record: by its page; of one that may have its like, by its row too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(map(str, (page_id, url, digest, row))))}>"
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, response: dict | None = None) -> bytes:
+    """A response, or a revisit of a response (page_id, url, and its name where it is the only one of that page)."""
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if response else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_uri(url)}")
+        if _uri(url) != url:
+            head.append(f"X-Target-Base64: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
-    if revisit:
-        head += [f"WARC-Profile: {PROFILE}", *[f"X-Refers-To-Page: {refers_to}"] * (refers_to is not None)]
+    if response:
+        head.append(f"WARC-Profile: {PROFILE}")
+        head += [f"WARC-Refers-To: {response['name']}"] * (response["name"] is not None)
+        head += [f"WARC-Refers-To-Target-URI: {_uri(response['url'])}"] * (response["url"] is not None)
+        head += [f"WARC-Refers-To-Date: {DATE}"] + [f"X-Refers-To-Page: {response['page_id']}"] * (response["page_id"] is not None)
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -149,12 +162,14 @@ def _write(path: str, frame_bytes: int, bundle_bytes: int):
             return rows
 
         for batch in batches:
-            columns = (batch.column(c) for c in ("page_id", "url", "html", "digest", "response_id", "revisit"))
-            for row in zip(*columns, strict=True):
-                page_id, url, html, digest, response_id, revisit = (x.as_py() for x in row)
-                one = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, response_id, revisit)
-                name = one[one.index(b"<urn:") + 1 : one.index(b">")].decode()
-                index.append((name, page_id, len(frames), held))
+            columns = (batch.column(c) for c in ("page_id", "url", "html", "digest", "row", "response", "revisit"))
+            for each in zip(*columns, strict=True):
+                page_id, url, html, digest, row, response, revisit = (x.as_py() for x in each)
+                name = record_id(page_id, url, digest, row if response and (revisit or response["n"] > 1) else None)
+                if revisit:
+                    response["name"] = record_id(response["page_id"], response["url"], digest) if response["n"] == 1 else None
+                one = record(name, page_id, url, html.encode("utf-8", "surrogatepass"), digest, response if revisit else None)
+                index.append((name[1:-1], page_id, len(frames), held))
                 pending.append(one)
                 held += len(one)
                 if held >= frame_bytes:
@@ -167,22 +182,34 @@ def _write(path: str, frame_bytes: int, bundle_bytes: int):
     return write
 
 
-def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> Archive:
+def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, most_broadcast: int = MOST_BROADCAST) -> Archive:
     """Write a record for each page and return the index.
 
     Payloads of at least least_bytes are compared by digest: that with the largest page_id (null counts as smallest) is the
-    response; rows that repeat it are responses too. The largest page_id of each digest is a partial aggregate, joined
-    back by digest; a digest that many pages share is split by the adaptive skew join. Bundle names are unique to the
-    attempt; only bundles of finished tasks are in the index.
+    response; rows that repeat it are responses too. Revisits name the response's record where it is the only one of its
+    page and its url has no more than MOST_URL bytes. Record names are unique but for repeated rows of payloads below least_bytes.
+    The digests that several pages have come from a partial aggregate without the payloads. Up to most_broadcast of them are
+    sent to the tasks, so that pages are written where they are read; more are joined by digest, hot ones apart.
+    Bundle names are unique to the attempt; only bundles of finished tasks are in the index. Null urls and html stay apart
+    from empty ones for urls; a null html is written as empty.
     """
     path = path or fresh_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html")))
-    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-    shared = shared.where("n > 1").select("digest", "response_id")
-    marked = rows.join(shared, "digest", "left")
-    revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id")) & (F.octet_length("html") >= least_bytes)
-    marked = marked.select("page_id", "url", "html", "digest", "response_id", revisit.alias("revisit"))
+    rows = rows.select("*", base32_sha1(F.col("html")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    large = F.octet_length("html") >= least_bytes
+    by_page = rows.where(large).groupBy("digest", "page_id").agg(F.count("*").alias("n_rows"), F.min("url").alias("url"))
+    short = F.coalesce(F.octet_length("url"), F.lit(0)) <= MOST_URL
+    by_page = by_page.withColumns({"n": F.when(short, F.col("n_rows")).otherwise(2), "url": F.when(short, F.col("url"))})
+    shared = by_page.groupBy("digest").agg(F.max(F.struct("page_id", "n", "url")).alias("response"), F.sum("n_rows").alias("n_rows"))
+    shared = staged(shared.where("n_rows > 1"), "repeated-payloads")
+    if shared.limit(most_broadcast + 1).count() <= most_broadcast:
+        marked = rows.join(F.broadcast(shared.drop("n_rows")), "digest", "left")
+    else:
+        alone = rows.join(shared.select("digest"), "digest", "left_anti").withColumn("response", F.lit(None).cast(shared.schema["response"].dataType))
+        marked = split_join(rows, shared, "digest", "n_rows").unionByName(alone)
+    marked = marked.withColumn("response", F.when(large, F.col("response")))
+    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response.page_id"))
+    marked = marked.select("page_id", "url", "html", "digest", "row", "response", revisit.alias("revisit"))
     index = marked.mapInArrow(_write(path, frame_bytes, bundle_bytes), "record_id string, page_id bigint, uri string, frame bigint, offset bigint")
     return Archive(staged(index, "warc-index"))
 
@@ -217,8 +244,9 @@ def _fields(head: dict[str, str], content: bytes, with_payload: bool) -> dict:
     if kind == "response" and base64.b32encode(hashlib.sha1(content).digest()).decode() != digest:
         raise ValueError(f"{head['WARC-Record-ID']}: the payload does not have its digest")
     number = lambda name: int(head[name]) if name in head else None
+    url = base64.b64decode(head["X-Target-Base64"]).decode("utf-8", "surrogatepass") if "X-Target-Base64" in head else head.get("WARC-Target-URI")
     out = {
-        "page_id": number("X-Page-Id"), "url": head["WARC-Target-URI"], "payload_digest": digest, "record_type": kind,
+        "page_id": number("X-Page-Id"), "url": url, "payload_digest": digest, "record_type": kind,
         "payload_bytes": len(content) if kind == "response" else number("X-Payload-Length"), "refers_to": number("X-Refers-To-Page"),
     }
     return out | {"payload": content} if with_payload else out
