@@ -2,24 +2,28 @@
 
 Tokens are runs of letters and digits (case kept) and runs of other signs, over whole texts. Their 1- and 2-grams are
 hashed into 2**BITS weights; a text is the vector of log counts scaled to length 1, and its score a sparse dot product.
-The model is fitted on a bounded sample of labelled rows (SAMPLE, a parameter); every document is scored.
+The model is fitted on a bounded sample of labelled rows (SAMPLE, a parameter), one text for each of their ids; every
+document is scored. Features of the sample are staged in a fixed order, which every epoch follows, so the driver holds
+them only as far as HELD_BYTES and otherwise reads them again row by row: the model is the same either way.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import filtered, hash_sample, staged
 
 BITS = 18
 SAMPLE = 6_000
+#: Bytes of features that the driver keeps between epochs.
+HELD_BYTES = 128 << 20
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.02, 0.1
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -61,21 +65,24 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + float(self.weights[at] @ value)))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
-    """Follow the regularised leader: each weight follows from its sums of gradients (z) and of their squares (n)."""
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def train(rows: Callable[[], Iterable[Row]], n_rows: int, n_good: int, bits: int = BITS, epochs: int = EPOCHS) -> Model:
+    """Follow the regularised leader: each weight follows from its sums of gradients (z) and of their squares (n).
+
+    rows gives (weight numbers, values, label) in the same order for every epoch.
+    """
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    good = sum(label for *_, label in rows)
-    weight = [len(rows) / (2 * max(1, k)) for k in (len(rows) - good, good)]  # both labels count alike
+    weight = [n_rows / (2 * max(1, k)) for k in (n_rows - n_good, n_good)]  # both labels count alike
 
     def weights(at) -> np.ndarray:
         own = z[at]
         free = np.abs(own) > L1
         return np.where(free, -(own - np.sign(own) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
 
-    order = np.random.default_rng(7)
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)).tolist():
-            at, value, label = rows[i]
+    for _ in range(epochs if n_rows else 0):
+        for at, value, label in rows():
             at, value = np.append(at, 1 << bits), np.append(value, 1.0)
             w = weights(at)
             gradient = weight[label] * (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
@@ -93,30 +100,33 @@ def in_training(doc_id: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most so many labelled documents outside the held-out fold (crc32 of the id as text, modulo 5, is 0).
 
-    The sample is drawn by a hash of doc_id. Labels other than 0 and 1 and ids with both take no part;
-    without labels every score is 0.5. The sampled ids go to tasks with their labels; only features return.
+    The sample is drawn by a hash of doc_id. Labels other than 0 and 1 and ids with both take no part, and of several texts
+    under one id the smallest is taken; without labels every score is 0.5. Only texts of sampled ids leave the JVM.
     """
-    spark = docs.sparkSession
     known = labels.where("quality in (0, 1) and doc_id is not null").where(in_training("doc_id"))
-    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
-    known = hash_sample(known.where("label = other"), ["doc_id"], sample)
-    chosen = spark.sparkContext.broadcast({r[0]: int(r[1]) for r in known.select("doc_id", "label").collect()})
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("other"))
+    known = staged(hash_sample(known.where("label = other").select("doc_id", "label"), ["doc_id"], sample), "labels")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chosen.value
         for batch in batches:
-            rows = []
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if doc_id in own:
-                    at, value = features(batch.column("text")[i].as_py(), bits)
-                    rows.append((doc_id, own[doc_id], at.astype("<i4").tobytes(), value.astype("<f4").tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "label", "at", "value"])
+            found = [features(t.as_py(), bits) for t in batch.column("text")]
+            at, value = (pa.array([x[i].astype(k).tobytes() for x in found], pa.binary()) for i, k in ((0, "<i4"), (1, "<f4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), at, value], names=["doc_id", "label", "at", "value"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most sample rows
+    made = texts.mapInArrow(extract, "doc_id bigint, label int, at binary, value binary")
+    made = staged(made, "features")
+    size = F.sum(F.octet_length("at") + F.octet_length("value"))
+    n_rows, n_good, size = made.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(size, F.lit(0))).first()
+    ordered = made.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").select("at", "value", "label")
 
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(extract, "doc_id bigint, label int, at binary, value binary")
-    rows = sorted((r.doc_id, r.at, r.value, r.label) for r in found.toLocalIterator())
-    return train([(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4"), y) for _, a, v, y in rows], bits)
+    def stream() -> Iterator[Row]:
+        for at, value, label in ordered.toLocalIterator():
+            yield np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4"), label
+
+    held = list(stream()) if size <= HELD_BYTES else None
+    return train(stream if held is None else lambda: held, n_rows, n_good, bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -135,9 +145,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Documents that score at least so much, with all their columns. Decisions are made row by row, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py()) >= least for t in batch.column("text")], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda texts: [shared.value.score(t) >= least for t in texts])
