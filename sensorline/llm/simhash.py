@@ -8,6 +8,7 @@ difference in population counts, for the whole and for the halves). Nothing else
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced_words, staged
+from .common import spaced_words, split_join, staged, unpacked, whole_rows
 from .components import components
 
 WORDS = 4
@@ -144,8 +145,8 @@ def _layout(classes: list[tuple[int, int, int]], size: int, radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (column fp) just as all links within the radius do.
 
-    A tile is one row of bytes and goes to every tile it meets. Each tile pair returns a spanning forest of its links, never all pairs of a group. The driver holds the sizes of
-    33 x 33 classes and two numbers a tile.
+    A tile is one row of bytes and goes to every tile it meets. Each tile pair returns a spanning forest of its links, never
+    all pairs of a group. The driver holds the sizes of 33 x 33 classes and two numbers a tile.
     """
     spark = distinct.sparkSession
     halves = distinct.select(
@@ -167,10 +168,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def _rooted(prints: DataFrame, least: Column, radius: int, tile: int) -> DataFrame:
-    """(fp, least, root): of each distinct fingerprint the least of its rows and the root of its component."""
-    distinct = staged(prints.groupBy("fp").agg(least.alias("least")), "distinct")
+    """(fp, n, least, root): of each distinct fingerprint its number of rows, the least of them and the root of its component."""
+    distinct = staged(prints.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, radius, tile))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     return staged(rooted, "rooted")
 
 
@@ -179,19 +180,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
 
     Documents without words have fingerprint 0 and link like any other. Repeated rows stay; a null doc_id is never the
     smallest while its component has another. Equal fingerprints are compared once, so a group of any number of copies
-    costs one comparison.
+    costs one comparison; large components and large groups of copies are joined apart, never in one task.
     """
     prints = staged(fingerprints(docs, words), "fingerprints")
     rooted = _rooted(prints, F.min("doc_id"), radius, tile)
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = split_join(rooted, smallest, "root", "members").select("fp", "n", "component_id")
+    return split_join(prints, named, "fp", "n").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def text_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def text_hash(text: Column | None = None) -> Column:
+    return F.xxhash64(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")))
 
 
 def least_row() -> Column:
@@ -202,15 +203,19 @@ def least_row() -> Column:
 def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each root: the least_row of the column least.
 
-    Rows of one doc_id and one text are repeats; one of them stays.
+    Rows of one doc_id and one text are repeats: of those the least by its other columns' hash stays. Repeats are merged
+    before the texts are shuffled, once, by doc_id and text.
     """
 
     def key(doc_id: Column, hashed: Column) -> Column:
-        return F.concat_ws(":", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), hashed.cast("string")).alias("_key")
+        return F.concat_ws(":", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), hashed.cast("string")).alias("key")
 
     kept = rooted.groupBy("root").agg(F.min("least").alias("k")).select(key(F.col("k.doc_id"), F.col("k.text_hash")))
-    # one shuffle of the texts: the join and the choice among repeated rows share it
-    return docs.select("*", key(F.col("doc_id"), text_hash())).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    whole, column = whole_rows(docs)
+    plain = [column[f.name] for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]  # what can be hashed
+    rows = docs.select(key(column["doc_id"], text_hash(column["text"])), F.xxhash64(*plain).alias("hash"), whole.alias("doc"))
+    once = rows.groupBy("key").agg(F.min_by("doc", "hash").alias("doc"))
+    return unpacked(once.join(kept, "key", "left_semi"), "doc", docs.columns)
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
