@@ -16,6 +16,7 @@ from ..settings import DEFAULTS, Settings
 SCOPES = ("task", "segment")
 SOURCES = ("user_confirmed", "imported", "signal_derived", "llm_proposed")
 USES = ("training", "publication", "audit")
+CONFIDENCES = ("high", "medium", "low")
 HANDS = ("left", "right", "both", "none")
 KEY = ["scope", "episode_key", "id"]
 
@@ -36,18 +37,44 @@ def format_time(seconds: Column) -> Column:
     return F.when(seconds.isNull(), "").otherwise(F.concat(F.when(F.bround(seconds) < 0, "-").otherwise(""), text))
 
 
+def normalise(records: DataFrame) -> DataFrame:
+    """Records with their defaults: an empty source is a model's proposal, confidence follows the source (high for what a
+    user confirmed, low for proposals, else medium), and times may come as texts in start_timestamp and end_timestamp."""
+    has, blank = records.columns, lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    source = F.coalesce(blank("source") if "source" in has else F.lit(None), F.lit("llm_proposed"))
+    rows = records.withColumn("source", source)
+    usual = F.when(F.col("source") == "user_confirmed", "high").when(F.col("source") == "llm_proposed", "low").otherwise("medium")
+    rows = rows.withColumn("confidence", F.coalesce(blank("confidence") if "confidence" in has else F.lit(None), usual))
+    for name, text in (("start_s", "start_timestamp"), ("end_s", "end_timestamp")):
+        given = F.col(name).cast("double") if name in has else F.lit(None).cast("double")
+        rows = rows.withColumn(name, F.coalesce(given, parse_time(F.col(text))) if text in has else given)
+    return rows.withColumn("id", F.coalesce("id", F.lit(1)) if "id" in has else F.lit(1))
+
+
 def validate(records: DataFrame) -> DataFrame:
-    """The records with errors: an array of what is wrong with each (scope, source, key, order of times)."""
+    """The records with errors: an array of what is wrong with each (scope, source, confidence, key, times that are missing
+    or reversed, noise without a reason, a task without a label, an unknown hand)."""
+    has = records.columns
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == "" if c in has else F.lit(True)
     wrong = {
         "scope": ~F.coalesce(F.col("scope").isin(*SCOPES), F.lit(False)),
         "source": ~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)),
-        "episode_key": F.coalesce(F.trim("episode_key"), F.lit("")) == "",
+        "confidence": ~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(True)) if "confidence" in has else F.lit(False),
+        "episode_key": empty("episode_key"),
         "id": F.col("id").isNull(),
-        "times": (F.col("scope") == "segment") & ~F.coalesce((F.col("start_s") >= 0) & (F.col("end_s") > F.col("start_s")), F.lit(False)),
+        "times": (F.col("scope") == "segment") & ~F.coalesce((F.col("start_s") >= 0) & (F.col("end_s") >= F.col("start_s")), F.lit(False)),
+        "noise_reason": F.coalesce(F.col("is_noise"), F.lit(False)) & empty("cleaning_reason") if "is_noise" in has else F.lit(False),
+        "task": (F.col("scope") == "task") & empty("label"),
+        "hand": ~F.coalesce(F.trim("interacting_hand").isin("", *HANDS), F.lit(True)) if "interacting_hand" in has else F.lit(False),
     }
     return records.withColumn("errors", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in wrong.items()])))
 
 
+def with_times(records: DataFrame) -> DataFrame:
+    """The records with their times as text, too: start_timestamp and end_timestamp."""
+    return records.withColumns({"start_timestamp": format_time(F.col("start_s")), "end_timestamp": format_time(F.col("end_s"))})
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(new table, log). By key the last incoming row wins; rows equal to the stored ones are skipped.
 
@@ -134,10 +161,12 @@ def check_annotations(
     return reduce(DataFrame.unionByName, found)
 
 
-def episode_anchors(frame: DataFrame, episode: str, clock_s: str | None, row: str, fps: float | None = None) -> DataFrame:
-    """One row for each episode: episode_key, start_s, end_s, duration_s, first_row, last_row, n_rows (null episodes too)."""
+def episode_anchors(frame: DataFrame, episode: str | None, clock_s: str | None, row: str, fps: float | None = None) -> DataFrame:
+    """One row for each episode (or one, all, for the whole table): episode_key, start_s, end_s, duration_s, first_row,
+    last_row, n_rows. Null episodes too."""
     t = F.col(clock_s) if clock_s else F.col(row) / F.lit(fps) if fps else F.lit(None).cast("double")
-    sums = frame.groupBy(F.col(episode).cast("string").alias("episode_key")).agg(
+    key = F.col(episode).cast("string") if episode else F.lit("all")
+    sums = frame.groupBy(key.alias("episode_key")).agg(
         F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.min(row).alias("first_row"), F.max(row).alias("last_row"), F.count("*").alias("n_rows")
     )
     return sums.withColumn("duration_s", F.col("end_s") - F.col("start_s"))

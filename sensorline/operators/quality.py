@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
-from .stats import bad_value_ratios, numeric_columns
-from .windows import finite, neighbours, runs, summaries
+from .stats import bad_value_ratios, numeric_columns, rolling_mean
+from .windows import extent, finite, neighbours, runs, same_keys, summaries
 
-#: Parts of names that mark columns as no action (fixed values).
-NO_ACTION = ("index", "id", "timestamp", "time", "ts", "fps", "step", "frame", "episode", "done", "success", "reward")
+#: Substrings of names that mark columns as no action (fixed values).
+NO_ACTION = ("timestamp", "time", "ts", "frame", "index", "episode", "fps", "sequence", "step", "id")
 ACTION_PREFIXES, STATE_PREFIXES = ("action_", "action.", "cmd_", "target_"), ("state_", "state.", "obs_", "observation.state_", "qpos_")
 
 
 def action_columns(frame: DataFrame) -> list[str]:
     """Numeric columns whose names hold none of the hints of an index or clock."""
-    return [c for c in numeric_columns(frame) if not any(h in c.lower().replace(".", "_").split("_") for h in NO_ACTION)]
+    return [c for c in numeric_columns(frame) if not any(h in c.lower().strip() for h in NO_ACTION)]
 
 
 def pair_action_state(columns: list[str]) -> list[tuple[str, str]]:
@@ -32,10 +32,10 @@ def pair_action_state(columns: list[str]) -> list[tuple[str, str]]:
     return [(c, states[s]) for c in columns if (s := stem(c, ACTION_PREFIXES)) and s in states]
 
 
-def channels(frame: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """keys, order, channel, x: finite values of all channels in long form (others null)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("channel"), finite(f"`{c}`" if "." in c else c).alias("x")) for c in columns])
-    return frame.select(*keys, order, F.explode(pairs).alias("_c")).select(*keys, order, "_c.channel", "_c.x")
+def channels(frame: DataFrame, keys: list[str], order: str, columns: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """keys, order, channel, x: finite values of all channels in long form (others null), and columns to keep as they are."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("channel"), finite(f"`{c}`").alias("x")) for c in columns])
+    return frame.select(*keys, order, *also, F.explode(pairs).alias("_c")).select(*keys, order, *also, "_c.channel", "_c.x")
 
 
 # Gates -------------------------------------------------------------------------------------------------------------------
@@ -55,7 +55,7 @@ def gate_monotonic(frame: DataFrame, keys: list[str], clock: str, order: list[st
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     first = rows.where(back).withColumn("_n", nth).where("_n <= 5").groupBy(*keys).agg(F.array_sort(F.collect_list(order[0])).alias("first_back"))
     verdict = F.when(F.col("n_back") > 0, "fail").when(F.col("n_same") > 0, "warn").otherwise("pass")
-    return sums.join(first, keys, "left").select(*keys, "n", "n_back", "n_same", "first_back", verdict.alias("verdict"))
+    return same_keys(sums, first, keys, "left").select(*keys, "n", "n_back", "n_same", "first_back", verdict.alias("verdict"))
 
 
 def gate_frame_loss(frame: DataFrame, keys: list[str], clock_s: str, declared_fps: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
@@ -68,26 +68,29 @@ def gate_frame_loss(frame: DataFrame, keys: list[str], clock_s: str, declared_fp
         steps = neighbours(rows, keys, ["t"], {"p": ("t", -1)}).withColumn("d", F.col("t") - F.col("p"))
         middle = summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"m": ("d", 0.5)}, settings)
         gap = F.col("d") > settings.gap_factor * F.col("m")
-        sums = steps.join(middle, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(gap, F.round(F.col("d") / F.col("m")) - 1)), F.lit(0.0)).alias("n_missing"))
+        sums = same_keys(steps, middle, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(gap, F.round(F.col("d") / F.col("m")) - 1)), F.lit(0.0)).alias("n_missing"))
         out = sums.withColumn("loss", F.col("n_missing") / (F.col("n") + F.col("n_missing")))
     return out.withColumn("fails", F.col("loss") > settings.gate_frame_loss)
 
 
-def gate_schema(tables: dict[str, DataFrame], settings: Settings = DEFAULTS) -> list[dict]:
-    """For each table (of an episode or file) the columns it lacks of all, and whether there are more than allowed."""
-    every = sorted({c for t in tables.values() for c in t.columns})
-    lacks = {name: [c for c in every if c not in t.columns] for name, t in tables.items()}
-    return [{"table": n, "missing": m, "fails": len(m) > settings.gate_schema_mismatch} for n, m in sorted(lacks.items())]
+def gate_schema(tables: dict[str, list[str]], settings: Settings = DEFAULTS) -> list[dict]:
+    """For each table (of an episode or file, by its columns) those it lacks and has beyond the first one by name, and
+    whether all that differ anywhere are more than allowed."""
+    names = sorted(tables)
+    first = set(tables[names[0]]) if names else set()
+    rows = [{"table": n, "missing": sorted(first - set(tables[n])), "extra": sorted(set(tables[n]) - first)} for n in names]
+    differ = {c for r in rows for c in (*r["missing"], *r["extra"])}
+    return [r | {"fails": len(differ) > settings.gate_schema_mismatch and bool(r["missing"] or r["extra"])} for r in rows]
 
 
 def gate_fps(frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], fps: float | None, settings: Settings = DEFAULTS) -> DataFrame:
-    """Measured against declared rate: fail for a declared rate of zero or less or one more than 5 % off; skip if none."""
+    """Measured against declared rate: fail for a declared rate of zero or less, warn for one more than 5 % off; skip if none."""
     from .timeaxis import measured_rate
 
     rates = measured_rate(frame, keys, clock_ns, order, settings)
     declared = F.lit(fps).cast("double")
-    off = F.try_divide(F.abs(F.col("rate_hz") - declared), declared)
-    verdict = F.when(declared.isNull(), "skip").when(declared <= 0, "fail").when(off > settings.rate_tolerance, "fail").otherwise("pass")
+    off = F.when(declared > 0, F.abs(F.col("rate_hz") - declared) / declared)
+    verdict = F.when(declared.isNull(), "skip").when(declared <= 0, "fail").when(off > settings.rate_tolerance, "warn").otherwise("pass")
     return rates.select(*keys, "rate_hz", declared.alias("declared_fps"), off.alias("deviation"), verdict.alias("verdict"))
 
 
@@ -109,8 +112,8 @@ def speeds(long: DataFrame, keys: list[str], order: str, settings: Settings = DE
     Channels that never move in the episode are left out; an episode without moving channels has no rows.
     """
     steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
-    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings).where("p95 > 0")
-    return steps.join(top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
+    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings, extent(long).n).where("p95 > 0")
+    return same_keys(steps, top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
 
 
 def idle_ratio(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -125,11 +128,19 @@ def second_differences(long: DataFrame, keys: list[str], order: str) -> DataFram
     return w.withColumn("dd", F.col("_p") - 2 * F.col("x") + F.col("_n")).drop("_p", "_n")
 
 
-def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """n_spikes and the largest second difference over its median size, for each episode and channel that has spikes."""
-    dd = second_differences(long, keys, order).where("dd is not null").withColumn("a", F.abs("dd"))
+def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, clock_s: str | None = None) -> DataFrame:
+    """n_spikes and the largest acceleration over its median size, for each episode and channel that has spikes.
+
+    With a clock (a column of long, in seconds) the second difference is divided by the square of the step ahead; steps that
+    do not go forward count for nothing. Without one the second difference is taken as it is.
+    """
+    dd = second_differences(long, keys, order)
+    if clock_s:
+        ahead = neighbours(long, [*keys, "channel"], [order], {"_t": (clock_s, 1)}).select(*keys, "channel", order, (F.col("_t") - F.col(clock_s)).alias("_dt"))
+        dd = same_keys(dd, ahead, [*keys, "channel", order]).withColumn("dd", F.when(F.col("_dt") > 0, F.col("dd") / (F.col("_dt") * F.col("_dt"))))
+    dd = dd.where("dd is not null").withColumn("a", F.abs("dd"))
     middle = summaries(dd, [*keys, "channel"], [], {"m": ("a", 0.5)}, settings).where("m > 0")
-    hits = dd.join(middle, [*keys, "channel"]).where(F.col("a") > settings.spike_factor * F.col("m"))
+    hits = same_keys(dd, middle, [*keys, "channel"]).where(F.col("a") > settings.spike_factor * F.col("m"))
     return hits.groupBy(*keys, "channel").agg(F.count("*").alias("n_spikes"), F.max(F.col("a") / F.col("m")).alias("worst"))
 
 
@@ -148,8 +159,7 @@ def actuator_saturation(frame: DataFrame, keys: list[str], order: str, pairs: li
 
 def action_jerk(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Variance of what a centred mean of five leaves, over the variance, of channels with at least eight values."""
-    w = Window.partitionBy(*keys, "channel").orderBy(order).rowsBetween(-2, 2)
-    rows = long.where("x is not null").withColumn("_m", F.when(F.count(F.lit(1)).over(w) == 5, F.avg("x").over(w)))
+    rows = rolling_mean(long.where("x is not null"), [*keys, "channel"], [order], "x", "_m")
     sums = rows.groupBy(*keys, "channel").agg(F.count("*").alias("n"), F.var_pop(F.when(F.col("_m").isNotNull(), F.col("x") - F.col("_m"))).alias("_r"), F.var_pop("x").alias("_v"))
     ratio = F.when(F.col("_v") > 0, F.col("_r") / F.col("_v")).otherwise(0.0)
     return sums.where("n >= 8").select(*keys, "channel", "n", ratio.alias("jerk_ratio"), (ratio > settings.jerk_ratio).alias("warns"))
@@ -173,11 +183,12 @@ def arm_shaking(long: DataFrame, keys: list[str], order: str, settings: Settings
 def path_efficiency(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Distance from start to end over the length of the path, axes scaled by their ranges; from two channels on."""
     span = long.groupBy(*keys, "channel").agg((F.max("x") - F.min("x")).alias("r"), F.min_by("x", order).alias("x0"), F.max_by("x", order).alias("x1")).where("r > 0")
-    steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}).join(span, [*keys, "channel"])
+    steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)})
+    steps = same_keys(steps, span, [*keys, "channel"])
     path = steps.groupBy(*keys, order).agg(F.sqrt(F.sum(F.pow((F.col("x") - F.col("_p")) / F.col("r"), 2))).alias("s")).groupBy(*keys).agg(F.sum("s").alias("path"))
     ends = span.groupBy(*keys).agg(F.count("*").alias("n_channels"), F.sqrt(F.sum(F.pow((F.col("x1") - F.col("x0")) / F.col("r"), 2))).alias("direct")).where("n_channels >= 2")
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide("direct", "path")))
-    return ends.join(path, keys).select(*keys, "n_channels", share.alias("efficiency"), (share < settings.path_efficiency).alias("warns"))
+    return same_keys(ends, path, keys).select(*keys, "n_channels", share.alias("efficiency"), (share < settings.path_efficiency).alias("warns"))
 
 
 def visual_quality(media: DataFrame) -> DataFrame:

@@ -14,15 +14,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import runs, summaries
-
-
-def filled(frame: DataFrame, keys: list[str], row: str, columns: list[str]) -> DataFrame:
-    """Nulls take the last value before them, or the first after."""
-    before = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.desc(row)).rowsBetween(Window.unboundedPreceding, 0)
-    new = {c: F.coalesce(F.last(c, True).over(before), F.last(c, True).over(after)).alias(c) for c in columns}
-    return frame.select(*[new.get(c, F.col(c)) for c in frame.columns])
+from .windows import filled, neighbours, running_sum, runs, same_keys, summaries
 
 
 def motion_columns(frame: DataFrame, columns: list[str]) -> list[str]:
@@ -48,8 +40,7 @@ def speed_profile(long: DataFrame, keys: list[str], row: str, settings: Settings
 
 def _running(rows: DataFrame, keys: list[str], row: str, value: str) -> DataFrame:
     """keys, at, s: the sum of the values before row at, for at from 0 to n."""
-    w = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(*keys, (F.col(row) + 1).alias("at"), F.sum(value).over(w).alias("s"))
+    sums = running_sum(rows, keys, [row], value, "s").select(*keys, (F.col(row) + 1).alias("at"), "s")
     return sums.unionByName(rows.select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("at"), F.lit(0.0).alias("s")))
 
 
@@ -84,8 +75,7 @@ def change_points(speed: DataFrame, keys: list[str], row: str, settings: Setting
     shift = staged(both.select(*keys, row, (F.abs(F.col("_b") - F.col("_a")) / F.col("w")).alias("shift")), "shift")
     middle = summaries(shift, keys, [], {"_m": ("shift", 0.5)}, settings)
     hot = shift.join(middle, keys).withColumn("_hot", (F.col("_m") > 0) & (F.col("shift") > settings.change_point_ratio * F.col("_m")))
-    w = Window.partitionBy(*keys).orderBy(row)
-    marked = hot.withColumn("_run", F.sum((~F.col("_hot")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_hot")
+    marked = running_sum(hot.withColumn("_cold", (~F.col("_hot")).cast("int")), keys, [row], "_cold", "_run").where("_hot")
     best = marked.groupBy(*keys, "_run").agg(F.max_by(row, F.struct("shift", -F.col(row))).alias("boundary"))
     return best.select(*keys, "boundary", F.lit("velocity").alias("evidence"))
 
@@ -94,9 +84,8 @@ def gripper_flips(frame: DataFrame, keys: list[str], row: str, gripper: str) ->
     """Rows where the gripper, scaled between its extremes, crosses one half."""
     ends = frame.groupBy(*keys).agg(F.min(gripper).alias("_lo"), F.max(gripper).alias("_hi")).where("_hi > _lo")
     open_ = (F.col(gripper) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) > 0.5
-    w = Window.partitionBy(*keys).orderBy(row)
-    rows = frame.where(F.col(gripper).isNotNull()).join(ends, keys).withColumn("_o", open_)
-    return rows.withColumn("_p", F.lag("_o").over(w)).where("_o <> _p").select(*keys, F.col(row).alias("boundary"), F.lit("gripper").alias("evidence"))
+    rows = frame.where(F.col(gripper).isNotNull()).select(*keys, row, gripper).join(ends, keys).withColumn("_o", open_)
+    return neighbours(rows, keys, [row], {"_p": ("_o", -1)}).where("_o <> _p").select(*keys, F.col(row).alias("boundary"), F.lit("gripper").alias("evidence"))
 
 
 def spikes(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -129,34 +118,69 @@ def spaced(boundaries: Column, gap: Column) -> Column:
     )
 
 
-def to_segments(found: DataFrame, lengths: DataFrame, keys: list[str], fps: float | None, settings: Settings = DEFAULTS) -> DataFrame:
+class Axis:
+    """Seconds of rows: of a clock counted from each episode's first time, else rows over a rate, else unknown.
+
+    lengths: keys, n and fps, the rows a second of an episode (by the clock's first and last row where there is one).
+    """
+
+    def __init__(self, frame: DataFrame, keys: list[str], row: str, fps: float | None, clock_s: str | None):
+        self.keys, self.times = keys, None
+        rate = F.lit(fps).cast("double")
+        if clock_s:
+            first = frame.groupBy(*keys).agg(F.min(clock_s).alias("_t0"))
+            rows = frame.select(*keys, F.col(row).alias("_at"), F.col(clock_s).cast("double").alias("_t"))
+            self.times = staged(same_keys(rows, first, keys).select(*keys, "_at", (F.col("_t") - F.col("_t0")).alias("_s")), "times")
+            span = F.max_by("_s", "_at") - F.min_by("_s", "_at")
+            own = F.when(span > 0, (F.count("*") - 1) / span)
+            self.lengths = self.times.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(own, rate).alias("fps"))
+        else:
+            self.lengths = frame.groupBy(*keys).agg(F.count("*").alias("n"), F.max(rate).alias("fps"))
+        self.lengths = staged(self.lengths, "lengths")
+
+    def place(self, segments: DataFrame) -> DataFrame:
+        """Segments with start_s and end_s, the time of the row after the last (at the end of the last), and fps."""
+        rows = same_keys(segments, self.lengths, self.keys)
+        if self.times is None:
+            return rows.withColumns({"start_s": F.col("start_frame") / F.col("fps"), "end_s": (F.col("end_frame") + 1) / F.col("fps")}).drop("n")
+        rows = rows.withColumn("_end", F.least(F.col("end_frame") + 1, F.col("n") - 1))
+        for at, name in (("start_frame", "start_s"), ("_end", "end_s")):
+            rows = same_keys(rows, self.times.select(*self.keys, F.col("_at").alias(at), F.col("_s").alias(name)), [*self.keys, at], "left")
+        return rows.withColumn("end_s", F.greatest("start_s", "end_s")).drop("n", "_end")
+
+
+def to_segments(found: DataFrame, lengths: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """keys, start_frame, end_frame (inclusive), evidence of the start: boundaries at least a quarter of min_segment_s apart.
 
-    lengths has keys and n. Episodes without a boundary are one segment.
+    lengths has keys, n and fps (null: boundaries need be one row apart). Episodes without a boundary are one segment.
     """
-    gap = F.lit(max(1, round(settings.min_segment_s / 4 * fps)) if fps else 1)
+    gap = F.coalesce(F.greatest(F.lit(1), F.bround(settings.min_segment_s / 4 * F.col("fps")).cast("bigint")), F.lit(1))
     inside = found.join(lengths, keys).where((F.col("boundary") > 0) & (F.col("boundary") < F.col("n")))
     kinds = inside.groupBy(*keys, "boundary").agg(F.array_join(F.array_sort(F.collect_set("evidence")), "+").alias("evidence"))
-    lists = kinds.groupBy(*keys).agg(spaced(F.array_sort(F.collect_list("boundary")), gap).alias("_b"))
-    starts = lengths.join(lists, keys, "left").select(*keys, "n", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("_b", F.array().cast("array<bigint>")))).alias("start_frame"))
-    w = Window.partitionBy(*keys).orderBy("start_frame")
+    lists = same_keys(inside.groupBy(*keys).agg(F.array_sort(F.collect_set("boundary")).alias("_all")), lengths, keys)
+    lists = lists.select(*keys, spaced(F.col("_all"), gap).alias("_b"))
+    starts = same_keys(lengths, lists, keys, "left").select(*keys, "n", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("_b", F.array().cast("array<bigint>")))).alias("start_frame"))
+    w = Window.partitionBy(*keys).orderBy("start_frame")  # a row for each segment
     out = starts.withColumn("end_frame", F.coalesce(F.lead("start_frame").over(w), F.col("n")) - 1)
-    return out.join(kinds.withColumnRenamed("boundary", "start_frame"), [*keys, "start_frame"], "left").select(*keys, "start_frame", "end_frame", F.coalesce("evidence", F.lit("start")).alias("evidence"))
+    out = same_keys(out, kinds.withColumnRenamed("boundary", "start_frame"), [*keys, "start_frame"], "left")
+    return out.select(*keys, "start_frame", "end_frame", F.coalesce("evidence", F.lit("start")).alias("evidence"))
 
 
-def split_long(segments: DataFrame, speed: DataFrame, keys: list[str], row: str, fps: float, settings: Settings = DEFAULTS) -> DataFrame:
-    """Cut segments above max_segment_s near equal parts, each time at the slowest row around the ideal place."""
+def split_long(segments: DataFrame, speed: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Cut segments (with start_s and end_s) above max_segment_s near equal parts, each time at the slowest row around the
+    ideal place."""
     size = F.col("end_frame") - F.col("start_frame") + 1
-    parts = F.ceil(size / fps / settings.max_segment_s)
+    parts = F.ceil((F.col("end_s") - F.col("start_s")) / settings.max_segment_s)
     cuts = segments.withColumn("_size", size).withColumn("_parts", parts).where((F.col("_parts") > 1) & (F.col("_size") >= F.col("_parts")))
     cuts = cuts.select(*keys, "start_frame", "end_frame", "_size", "_parts", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_parts") - 1)).alias("_k"))
-    target = F.col("start_frame") + F.round(F.col("_size") * F.col("_k") / F.col("_parts")).cast("bigint")
+    target = F.col("start_frame") + F.bround(F.col("_size") * F.col("_k") / F.col("_parts")).cast("bigint")
     around = F.greatest(F.lit(1), F.floor(F.col("_size") / (F.col("_parts") * 4)))
     cuts = cuts.withColumn("_lo", F.greatest(F.col("start_frame") + 1, target - around)).withColumn("_hi", F.least(F.col("end_frame"), target + around))
     places = cuts.select(*keys, "start_frame", "_k", target.alias("_target"), F.explode(F.sequence("_lo", F.greatest("_lo", F.col("_hi") - 1))).alias(row))
-    at = places.join(speed, [*keys, row], "left").groupBy(*keys, "start_frame", "_k").agg(F.min_by(row, F.struct(F.coalesce("speed", F.lit(float("inf"))), F.col(row))).alias("cut"))
+    slow = F.min_by(row, F.struct(F.coalesce("speed", F.lit(float("inf"))), F.col(row)))
+    at = same_keys(places, speed, [*keys, row], "left").groupBy(*keys, "start_frame", "_k").agg(slow.alias("cut"))
     new = at.groupBy(*keys, "start_frame").agg(F.array_sort(F.collect_set("cut")).alias("_cuts"))
-    whole = segments.join(new, [*keys, "start_frame"], "left").withColumn("_from", F.col("start_frame"))
+    whole = same_keys(segments, new, [*keys, "start_frame"], "left").withColumn("_from", F.col("start_frame"))
     starts = whole.select(*keys, "end_frame", "evidence", "_from", F.explode(F.concat(F.array("_from"), F.coalesce("_cuts", F.array().cast("array<bigint>")))).alias("start_frame"))
     w = Window.partitionBy(*keys, "_from").orderBy("start_frame")
     return starts.select(
@@ -165,10 +189,11 @@ def split_long(segments: DataFrame, speed: DataFrame, keys: list[str], row: str,
     )
 
 
-def merge_short(segments: DataFrame, keys: list[str], fps: float, settings: Settings = DEFAULTS) -> DataFrame:
-    """Runs of segments below min_segment_s join the next long enough one, at the end the one before; if none is, all stay."""
+def merge_short(segments: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
+    """Runs of segments (with start_s and end_s) below min_segment_s join the next long enough one, at the end the one
+    before; if none is, all stay. Segments without times stay."""
     w, back = Window.partitionBy(*keys).orderBy("start_frame"), Window.partitionBy(*keys).orderBy(F.desc("start_frame"))
-    good = F.when((F.col("end_frame") - F.col("start_frame") + 1) / fps >= settings.min_segment_s, F.col("start_frame"))
+    good = F.when(F.coalesce(F.col("end_s") - F.col("start_s") >= settings.min_segment_s - 1e-9, F.lit(True)), F.col("start_frame"))
     rows = segments.withColumn("_good", good)
     group = F.coalesce(
         F.last("_good", True).over(back.rowsBetween(Window.unboundedPreceding, 0)), F.last("_good", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("start_frame")
@@ -177,15 +202,20 @@ def merge_short(segments: DataFrame, keys: list[str], fps: float, settings: Sett
     return rows.withColumn("_g", group).groupBy(*keys, "_g").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), kept.alias("evidence")).drop("_g")
 
 
-def segment_actions(frame: DataFrame, keys: list[str], row: str, motion: list[str], gripper: str | None, fps: float, settings: Settings = DEFAULTS) -> DataFrame:
+def segment_actions(
+    frame: DataFrame, keys: list[str], row: str, motion: list[str], gripper: str | None, fps: float | None, settings: Settings = DEFAULTS, clock_s: str | None = None
+) -> DataFrame:
     """Segments of every episode: keys, id, start_frame, end_frame, start_s, end_s, evidence.
 
-    Without motion columns and gripper there is no signal: an error, never segments of equal length.
+    Times follow the clock, in seconds, where there is one, else the rate; with neither they are null, and segments are
+    neither split nor merged by length. Without motion columns and gripper there is no signal: an error, never segments of
+    equal length.
     """
     if not motion and not gripper:
         raise ValueError("no signal to segment by")
     from .quality import channels
 
+    axis = Axis(frame, keys, row, fps, clock_s)
     found, speed = [], None
     if motion:
         long = channels(frame, keys, row, motion)
@@ -193,10 +223,9 @@ def segment_actions(frame: DataFrame, keys: list[str], row: str, motion: list[st
         found += [change_points(speed, keys, row, settings), spikes(long, keys, row, settings), pause_ends(speed, keys, row, settings)]
     if gripper:
         found.append(gripper_flips(frame, keys, row, gripper))
-    lengths = frame.groupBy(*keys).agg(F.count("*").alias("n"))
-    out = staged(to_segments(staged(reduce(DataFrame.unionByName, found), "boundaries"), lengths, keys, fps, settings), "segments")
+    out = staged(to_segments(staged(reduce(DataFrame.unionByName, found), "boundaries"), axis.lengths, keys, settings), "segments")
     if speed is not None:
-        out = split_long(out, speed, keys, row, fps, settings)
-    out = merge_short(out, keys, fps, settings)
+        out = split_long(axis.place(out), speed, keys, row, settings)
+    out = merge_short(axis.place(out), keys, settings)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start_frame"))
-    return out.select(*keys, nth.alias("id"), "start_frame", "end_frame", (F.col("start_frame") / fps).alias("start_s"), ((F.col("end_frame") + 1) / fps).alias("end_s"), "evidence")
+    return axis.place(out).select(*keys, nth.alias("id"), "start_frame", "end_frame", "start_s", "end_s", "evidence")

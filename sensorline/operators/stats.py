@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import DEFAULTS, Settings
-from .windows import bad, finite, summaries
+from .windows import bad, extent, finite, neighbours, same_keys, summaries
 
 #: Columns that name an episode, in order of preference (fixed values).
 EPISODE_NAMES = ("episode_index", "episode", "episode_id", "traj_id", "trajectory", "demo")
@@ -49,11 +49,11 @@ def generic_stats(frame: DataFrame, columns: list[str], keys: list[str] | None =
     return summaries(long_form(frame, keys, columns), [*keys, "column"], sums, {"median": ("value", 0.5)}, settings)
 
 
-def column_profile(frame: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row for each column: type, n_missing, missing_share, n_distinct and, for numbers, mean, min, max, median.
+def column_profile(frame: DataFrame, columns: list[str] | None = None, max_unique: int = 20, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row for each column: type, n_missing, missing_share, n_distinct; for numbers mean, std (n - 1), min, max and the
+    quartiles; and samples, the distinct values as sorted texts where there are at most max_unique.
 
-    NaN counts as missing. Arrays and structs are profiled by their text; only counting columns of a type together needs
-    one pass over the table for each kind.
+    NaN counts as missing; infinite values are left out of the numbers. Arrays and structs are profiled by their text.
     """
     fields = [f for f in frame.schema if columns is None or f.name in columns]
     out = []
@@ -65,12 +65,22 @@ def column_profile(frame: DataFrame, columns: list[str] | None = None, settings:
         missing = (c.isNull() | F.isnan(x)) if number else c.isNull()
         out.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.when(~missing, text).alias("text"), F.when(~F.isnan(x), x).alias("x")))
     rows = frame.select(F.explode(F.array(*out)).alias("_c")).select("_c.*")
+    # cells that are alike are counted before they meet, so a column's distinct values spread over tasks
+    cells = rows.groupBy("column", "type", "text", "x").agg(F.count("*").alias("n"))
+    texts = cells.groupBy("column", "type").agg(
+        F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("n").alias("_all"), F.count("text").alias("n_distinct"),
+    )
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("text"))
+    first = cells.where("text is not null").withColumn("_nth", nth).where(F.col("_nth") <= max_unique)  # a task keeps no more of a column
+    first = first.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("text")), "|").alias("samples"))
     good = F.when(F.abs("x") != float("inf"), F.col("x"))
-    sums = [
-        F.count_if(F.col("text").isNull()).alias("n_missing"), F.avg(F.col("text").isNull().cast("double")).alias("missing_share"),
-        F.count_distinct("text").alias("n_distinct"), F.avg(good).alias("mean"), F.min(good).alias("min"), F.max(good).alias("max"),
-    ]
-    return summaries(rows, ["column", "type"], sums, {"median": ("x", 0.5)}, settings)
+    sums = [F.avg(good).alias("mean"), F.stddev_samp(good).alias("std"), F.min(good).alias("min"), F.max(good).alias("max")]
+    wanted = {"q25": ("x", 0.25), "median": ("x", 0.5), "q75": ("x", 0.75)}
+    numbers = summaries(rows, ["column", "type"], sums, wanted, settings, rows=extent(frame).n * len(fields))
+    return texts.join(numbers, ["column", "type"]).join(first, "column", "left").select(
+        "column", "type", "n_missing", (F.col("n_missing") / F.col("_all")).alias("missing_share"), "n_distinct", "mean", "std", "min", "max", *wanted,
+        F.when(F.col("n_distinct") <= max_unique, F.col("samples")).alias("samples"),
+    )
 
 
 def episode_distribution(frame: DataFrame, episode: str) -> DataFrame:
@@ -182,11 +192,14 @@ def histogram(frame: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 
 def zscores(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The frame with z: the value less its mean over its deviation (n) within keys; 0 where all values are equal."""
+    """The frame with z: the value less its mean over its deviation (n) within keys; 0 where all values are equal.
+
+    Rows with a null key are a group of their own.
+    """
     x = finite(value)
     stats = frame.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
     z = F.when(F.col("_s") > 0, (x - F.col("_m")) / F.col("_s")).when(x.isNotNull(), 0.0)
-    return frame.join(stats, keys).select(*[frame[c] for c in frame.columns], z.alias("z"))
+    return same_keys(frame, stats, keys).select(*frame.columns, z.alias("z"))
 
 
 def bad_value_ratios(frame: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -210,14 +223,9 @@ def first_seen(frame: DataFrame, keys: list[str], text: str, order: list[str]) -
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]).alias("tasks"))
 
 
-def zero_runs(frame: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Stretches of rows with a zero value."""
-    from .windows import runs
-
-    return runs(frame.withColumn("_z", F.col(value) == 0), keys, order, "_z")
-
-
-def rolling_mean(frame: DataFrame, keys: list[str], order: list[str], value: str, half: int = 2) -> Column:
-    """Centred mean of 2 * half + 1 values where the whole frame lies inside the key, else null."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return F.when(F.count(F.lit(1)).over(w) == 2 * half + 1, F.avg(value).over(w))
+def rolling_mean(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the centred mean of five values; null where fewer than two rows are before or after."""
+    rows = neighbours(frame, keys, order, {"_b": (value, -1), "_a": (value, 1)})
+    rows = neighbours(rows, keys, order, {"_bb": ("_b", -1), "_aa": ("_a", 1)})
+    mean = (F.col("_bb") + F.col("_b") + F.col(value) + F.col("_a") + F.col("_aa")) / 5
+    return rows.select(*frame.columns, mean.alias(name))

@@ -5,83 +5,93 @@ Streams are keys of one long frame with a clock in nanoseconds; all streams are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import nearest, neighbours, summaries
+from .windows import extent, nearest, neighbours, same_keys, summaries
 
-#: Names that are never a baseline (fixed values).
-NO_BASELINE = ("tf_static", "static", "calib", "metadata", "metainfo")
+#: Parts of names that are never a baseline (fixed values).
+NO_BASELINE = ("tf_static", "static_tf", "_static", "static_", "calib", "metadata", "metainfo")
 
 
 def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None) -> DataFrame:
     """keys, t, p (the clock before in sorted order) and d, their difference.
 
-    With bucket_width a stream is sorted in pieces of so many nanoseconds, so one long stream spreads over tasks.
+    Long streams are sorted in pieces: of bucket_width nanoseconds if given, else by the clock's extent.
     """
     rows = frame.select(*keys, F.col(clock_ns).alias("t")).where("t is not null")
     bucket = F.floor(F.col("t") / bucket_width) if bucket_width else None
     return neighbours(rows, keys, ["t"], {"p": ("t", -1)}, bucket).withColumn("d", F.col("t") - F.col("p"))
 
 
-def medians(steps: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """The median positive step of each key (null if it has none)."""
-    return summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"step_ns": ("d", 0.5)}, settings)
+def medians(steps: DataFrame, keys: list[str], settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
+    """The median step of each key, steps of zero included (null if there is none above zero)."""
+    found = summaries(steps.select(*keys, "d"), keys, [], {"step_ns": ("d", 0.5)}, settings, rows)
+    return found.withColumn("step_ns", F.when(F.col("step_ns") > 0, F.col("step_ns")))
+
+
+def shape_case(n: Column, span_ns: Column, step_ns: Column, mean_ns: Column, settings: Settings = DEFAULTS) -> Column:
+    """static (few values, or a median step above a tenth of the span), burst (a mean step of burst_ratio medians or more) or
+    periodic. A median step of zero (null here) tells neither static nor burst."""
+    few = (n < settings.static_min_samples) | F.coalesce(step_ns > span_ns / 10, F.lit(False))
+    return F.when(few, "static").when(F.coalesce(mean_ns >= settings.burst_ratio * step_ns, F.lit(False)), "burst").otherwise("periodic")
+
+
+def _sums(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings, bucket_width: int | None) -> DataFrame:
+    """One row for each key of what checks, shapes and alignment need of its sorted steps."""
+    rows = extent(frame).n
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
+    gap = F.col("d") > settings.gap_factor * F.col("step_ns")
+    sums = same_keys(steps, medians(steps, keys, settings, rows), keys).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("t").alias("head"), F.max("t").alias("tail"), F.first("step_ns").alias("step_ns"), F.avg("d").alias("mean_ns"),
+        F.count_if(F.col("d") == 0).alias("n_duplicates"), F.count_if(gap).alias("n_gaps"), F.count_if(F.col("d") > 2 * F.col("step_ns")).alias("breaks"),
+        F.coalesce(F.sum(F.when(gap, F.col("d") - F.col("step_ns"))), F.lit(0.0)).alias("lost_ns"),
+    )
+    sums = sums.withColumn("span_ns", F.col("tail") - F.col("head"))
+    return sums.withColumn("shape", shape_case(F.col("n"), F.col("span_ns"), F.col("step_ns"), F.col("mean_ns"), settings))
+
+
+def _unless_burst(value: Column) -> Column:
+    """Silence between bursts is neither loss nor a gap: such figures do not apply to bursts."""
+    return F.when(F.col("shape") != "burst", value)
 
 
 def stream_checks(
     frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS, bucket_width: int | None = None, bucket_rows: int | None = None
 ) -> DataFrame:
-    """One row for each stream: n, span_s, step_ns, rate_hz, n_disorder, n_duplicates, n_gaps, loss.
+    """One row for each stream: n, span_s, step_ns, rate_hz, n_disorder, n_duplicates, shape, n_gaps, loss.
 
     Disorder counts steps back in file order; the rest follows the sorted clock. Loss is the time of gaps beyond a median
-    step, over the span, at most 1. A stream of one value has no step: its rate, gaps and loss are null, 0 and 0.
-    Long streams are sorted in pieces: of bucket_width nanoseconds, and of bucket_rows of the first order column.
+    step, over the span, at most 1; it and n_gaps are null for bursts. A stream of one value has no step: its rate is null,
+    its gaps and loss are 0. Long streams are sorted in pieces: of bucket_width nanoseconds and of bucket_rows of the first
+    order column if given, else by the extent of both.
     """
     pieces = F.floor(F.col(order[0]) / bucket_rows) if bucket_rows else None
     filed = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)}, pieces)
     disorder = filed.groupBy(*keys).agg(F.count_if(F.col(clock_ns) < F.col("_p")).alias("n_disorder"))
-    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    gap = F.col("d") > settings.gap_factor * F.col("step_ns")
-    sums = steps.join(medians(steps, keys, settings), keys).groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"), F.avg("d").alias("mean_ns"),
-        F.count_if(F.col("d") == 0).alias("n_duplicates"), F.count_if(gap).alias("n_gaps"),
-        F.coalesce(F.sum(F.when(gap, F.col("d") - F.col("step_ns"))), F.lit(0.0)).alias("lost_ns"),
-    )
-    return sums.join(disorder, keys).select(
+    loss = F.when(F.col("span_ns") > 0, F.least(F.lit(1.0), F.col("lost_ns") / F.col("span_ns"))).otherwise(0.0)
+    return same_keys(_sums(frame, keys, clock_ns, settings, bucket_width), disorder, keys).select(
         *keys, "n", (F.col("span_ns") / 1e9).alias("span_s"), "step_ns", F.when(F.col("mean_ns") > 0, 1e9 / F.col("mean_ns")).alias("rate_hz"),
-        "n_disorder", "n_duplicates", "n_gaps",
-        F.when(F.col("span_ns") > 0, F.least(F.lit(1.0), F.col("lost_ns") / F.col("span_ns"))).otherwise(0.0).alias("loss"),
+        "n_disorder", "n_duplicates", "shape", _unless_burst(F.col("n_gaps")).alias("n_gaps"), _unless_burst(loss).alias("loss"),
     )
 
 
 def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
-    """static (few values, or a median step above a tenth of the span), burst (mean step far above the median) or periodic.
-
-    n_bursts and effective_hz describe bursts and are null for other shapes.
-    """
-    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    sums = steps.join(medians(steps, keys, settings), keys).groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"), F.first("step_ns").alias("step_ns"),
-        F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_ns"), F.count_if(F.col("d") > 2 * F.col("step_ns")).alias("breaks"),
-    )
-    static = (F.col("n") < settings.static_min_samples) | F.col("step_ns").isNull() | (F.col("step_ns") > F.col("span_ns") / 10)
-    shape = F.when(static, "static").when(F.col("mean_ns") >= settings.burst_ratio * F.col("step_ns"), "burst").otherwise("periodic")
+    """The shape of each stream (see shape_case); n_bursts and effective_hz describe bursts and are null for other shapes."""
     burst = F.col("shape") == "burst"
-    return sums.withColumn("shape", shape).select(
+    return _sums(frame, keys, clock_ns, settings, bucket_width).select(
         *keys, "n", "shape", F.when(burst, F.col("breaks") + 1).alias("n_bursts"),
         F.when(burst, F.col("n") / (F.col("span_ns") / 1e9)).alias("effective_hz"),
     )
 
 
 def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
-    """The first gaps of each stream (gap_report_limit): nth, start_ns, end_ns, duration_s, n_missing."""
-    from pyspark.sql import Window
-
+    """The first gaps of each stream (gap_report_limit): nth, start_ns, end_ns, duration_s, n_missing. Bursts have none."""
     steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    gaps = steps.join(medians(steps, keys, settings), keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
+    known = _sums(frame, keys, clock_ns, settings, bucket_width).where("shape <> 'burst' and n_gaps > 0").select(*keys, "step_ns")
+    gaps = same_keys(steps, known, keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p")).cast("bigint")
     return gaps.withColumn("nth", nth).where(F.col("nth") <= settings.gap_report_limit).select(
         *keys, "nth", F.col("p").alias("start_ns"), F.col("t").alias("end_ns"), (F.col("d") / 1e9).alias("duration_s"),
@@ -101,7 +111,8 @@ def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings
     named = F.lower(F.col(key).cast("string")).rlike("|".join(NO_BASELINE))
     rows = rows.withColumn("coverage", F.try_divide("span_ns", "longest"))
     rows = rows.where((F.col("n") >= settings.static_min_samples) & ~named & (F.col("coverage") >= settings.baseline_min_coverage))
-    score = F.col("coverage") / (1 + F.try_divide("dev_ns", "mean_ns")) * F.log10(F.greatest(F.col("n"), F.lit(10)).cast("double"))
+    variation = F.coalesce(F.try_divide("dev_ns", "mean_ns"), F.lit(0.0))
+    score = F.col("coverage") / (1 + variation) * F.log10(F.greatest(F.col("n"), F.lit(10)).cast("double"))
     return rows.select(key, "n", "coverage", score.alias("score"))
 
 
@@ -120,44 +131,67 @@ def residual_stats(offsets: DataFrame, keys: list[str], settings: Settings = DEF
     return summaries(rows, keys, sums, {"p95_ms": ("_size", 0.95)} | signed, settings)
 
 
+def base_offsets(streams: DataFrame, baseline: DataFrame, key: str, clock_ns: str, bucket_width: int | None = None) -> DataFrame:
+    """For each baseline row and each stream the stream's nearest time: key, clock (the baseline's), near, offset_ms.
+
+    The other direction of residuals. Streams are few: their names come to the driver.
+    """
+    names = [r[0] for r in streams.select(key).distinct().orderBy(key).collect()]
+    if not names:
+        return streams.select(key, clock_ns, F.col(clock_ns).alias("near"), F.lit(0.0).alias("offset_ms"))
+    rows = baseline.select(F.explode(F.array(*map(F.lit, names))).alias(key), clock_ns).where(F.col(clock_ns).isNotNull())
+    near = nearest(rows, streams.select(key, clock_ns), [key], clock_ns, bucket_width)
+    return near.withColumn("offset_ms", (F.col("near") - F.col(clock_ns)) / 1e6)
+
+
 def drift(offsets: DataFrame, keys: list[str], clock_ns: str, base_step_ms: float | Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Slope of the offset in ms per s, and whether it is drift: steeper than the limit and ranging over two base steps.
+    """Slope of base_offsets in ms per s, and whether it is drift: steeper than the limit and ranging over two base steps.
 
-    Time is counted from each stream's first row, so epochs keep their digits.
+    Time is counted from the first row, so epochs keep their digits. Fewer than three offsets have no slope.
     """
     first = offsets.groupBy(*keys).agg(F.min(clock_ns).alias("_t0"))
-    rows = offsets.join(first, keys).withColumn("_s", (F.col(clock_ns) - F.col("_t0")) / 1e9)
+    rows = same_keys(offsets.where("offset_ms is not null"), first, keys).withColumn("_s", (F.col(clock_ns) - F.col("_t0")) / 1e9)
     step = F.lit(base_step_ms) if isinstance(base_step_ms, float | int) else base_step_ms
     stats = rows.groupBy(*keys).agg(
-        F.regr_slope("offset_ms", "_s").alias("slope_ms_per_s"), (F.max("offset_ms") - F.min("offset_ms")).alias("range_ms")
+        F.count("*").alias("_n"), F.regr_slope("offset_ms", "_s").alias("_slope"), (F.max("offset_ms") - F.min("offset_ms")).alias("_range")
     )
+    three = F.col("_n") >= 3
+    stats = stats.select(*keys, F.when(three, F.col("_slope")).alias("slope_ms_per_s"), F.when(three, F.col("_range")).alias("range_ms"))
     found = (F.abs("slope_ms_per_s") > settings.drift_ms_per_s) & (F.col("range_ms") > 2 * step)
     return stats.select(*keys, "slope_ms_per_s", "range_ms", F.coalesce(found, F.lit(False)).alias("drifts"))
 
 
 def verdict(loss: Column, drifts: Column, max_residual_ms: Column, most_hz: Column, faults: Column, settings: Settings = DEFAULTS) -> Column:
-    """fail for loss or drift; warn for a residual near the threshold, or disorder and duplicates; else pass."""
+    """fail for loss (never of bursts, whose loss is null) or drift; warn for a residual near the threshold, or disorder and
+    duplicates; else pass."""
     limit = 1000 / most_hz * settings.residual_ratio
     return (
-        F.when((loss > settings.frame_loss) | F.coalesce(drifts, F.lit(False)), "fail")
-        .when((max_residual_ms > 0.75 * limit) | (faults > 0), "warn").otherwise("pass")
+        F.when(F.coalesce(loss > settings.frame_loss, F.lit(False)) | F.coalesce(drifts, F.lit(False)), "fail")
+        .when(F.coalesce(max_residual_ms > 0.75 * limit, F.lit(False)) | (faults > 0), "warn").otherwise("pass")
     )
 
 
-def sync_report(frame: DataFrame, key: str, clock_ns: str, order: list[str], baseline: str | None = None, bucket_width: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """Checks, residuals and drift of every stream against a baseline (the best ranked if none is named), with a verdict."""
+def sync_report(
+    frame: DataFrame, key: str, clock_ns: str, order: list[str], baseline: str | None = None, bucket_width: int | None = None, settings: Settings = DEFAULTS, bucket_rows: int | None = None
+) -> DataFrame:
+    """Checks, residuals and drift of every stream against a baseline (the best ranked if none is named), with a verdict.
+
+    Bursts take no part in residuals and drift: nearest rows across bursts tell nothing. The fastest stream that is no burst
+    sets the residual's limit.
+    """
     if baseline is None:
         best = rank_baselines(frame, key, clock_ns, settings, bucket_width).orderBy(F.desc("score"), key).select(key).first()
         baseline = best[0] if best else None
-    checks = staged(stream_checks(frame, [key], clock_ns, order, settings, bucket_width), "checks")  # a row for each stream
-    base = frame.where(F.col(key) == F.lit(baseline))
-    others = frame.where(F.col(key) != F.lit(baseline)).select(key, clock_ns)
-    offsets = staged(residuals(others, base, [key], clock_ns, bucket_width).select(key, clock_ns, "offset_ms"), "offsets")  # read by two aggregates
-    step = checks.where(F.col(key) == F.lit(baseline)).select("step_ns").first()
-    report = checks.join(residual_stats(offsets, [key], settings).drop("n"), [key], "left").join(
-        drift(offsets, [key], clock_ns, float(step[0] or 0) / 1e6 if step else 0.0, settings), [key], "left"
-    )
-    fastest = checks.agg(F.max("rate_hz").alias("_hz"))
+    checks = staged(stream_checks(frame, [key], clock_ns, order, settings, bucket_width, bucket_rows), "checks")  # a row for each stream
+    told = {r[key]: r for r in checks.select(key, "shape", "step_ns").collect()}
+    base = frame.where(F.col(key) == F.lit(baseline)).select(key, clock_ns)
+    steady = [k for k, r in told.items() if r["shape"] != "burst" and k != baseline and k is not None]
+    others = frame.where(F.col(key).isin(*steady) if steady else F.lit(False)).select(key, clock_ns)
+    found = residual_stats(residuals(others, base, [key], clock_ns, bucket_width).select(key, "offset_ms"), [key], settings).drop("n")
+    step = (told[baseline]["step_ns"] or 0) / 1e6 if baseline in told else 0.0
+    slopes = drift(base_offsets(others, base, key, clock_ns, bucket_width), [key], clock_ns, float(step), settings)
+    report = checks.join(found, [key], "left").join(slopes, [key], "left")
+    fastest = checks.agg(F.max(_unless_burst(F.col("rate_hz"))).alias("_hz"))
     report = report.join(F.broadcast(fastest))  # one row
     return report.select(
         *report.columns[:-1], F.lit(baseline).alias("baseline"),
@@ -166,36 +200,32 @@ def sync_report(frame: DataFrame, key: str, clock_ns: str, order: list[str], bas
 
 
 def clock_conflicts(frame: DataFrame, keys: list[str], clocks: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """Shapes of each stream under its alternative clocks (at most two that 99 % of rows have), and whether they differ."""
+    """Shapes of burst streams under their alternative clocks (at most two that 99 % of rows have): keys, clock, coverage,
+    main_shape, shape, rate_hz, suspected. A shape that differs tells that the first clock is when rows were written."""
     first, *others = clocks
-    main = stream_shape(frame, keys, first, settings).select(*keys, F.col("shape").alias("main_shape"))
-    out = None
+    main = stream_shape(frame, keys, first, settings).where("shape = 'burst'").select(*keys, F.col("shape").alias("main_shape"))
+    kind = dict(frame.select(*keys).dtypes)
+    out = frame.sparkSession.createDataFrame([], ", ".join([*[f"`{k}` {kind[k]}" for k in keys], "clock string, coverage double, main_shape string, shape string, rate_hz double, suspected boolean"]))
     for other in others[:2]:
         cover = frame.groupBy(*keys).agg(F.avg(F.col(other).isNotNull().cast("double")).alias("coverage"))
-        one = stream_shape(frame, keys, other, settings).select(*keys, "shape").join(cover, keys).where("coverage >= 0.99")
-        one = one.join(main, keys).select(*keys, F.lit(other).alias("clock"), "coverage", "main_shape", "shape", ((F.col("main_shape") == "burst") & (F.col("shape") != "burst")).alias("suspected"))
-        out = one if out is None else out.union(one)
+        sums = _sums(frame, keys, other, settings, None).select(*keys, "shape", F.try_divide(F.col("n") - 1, F.col("span_ns") / 1e9).alias("rate_hz"))
+        one = same_keys(same_keys(sums, cover.where("coverage >= 0.99"), keys), main, keys)
+        out = out.union(one.select(*keys, F.lit(other).alias("clock"), "coverage", "main_shape", "shape", "rate_hz", (F.col("main_shape") != F.col("shape")).alias("suspected")))
     return out
 
 
-def container_alignment(frame: DataFrame, container: str, sub: str, clock_ns: str, ratio: float = 0.05, settings: Settings = DEFAULTS) -> DataFrame:
+def container_alignment(frame: DataFrame, container: str, sub: str, clock_ns: str, ratio: float = 0.05, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
     """Head and tail offset of each sub-stream from its container's master, the one with the longest span (ties by name).
 
-    Offsets above ratio of the master's span are flagged. rate_hz is (n - 1) over the span.
+    Offsets above ratio of the master's span are flagged. rate_hz is (n - 1) over the span. Bursts have a null n_gaps.
     """
-    from pyspark.sql import Window
-
-    steps = sorted_steps(frame, [container, sub], clock_ns)
-    sums = steps.join(medians(steps, [container, sub], settings), [container, sub]).groupBy(container, sub).agg(
-        F.count("*").alias("n"), F.min("t").alias("head"), F.max("t").alias("tail"),
-        F.count_if(F.col("d") > settings.gap_factor * F.col("step_ns")).alias("n_gaps"),
-    )
-    w = Window.partitionBy(container).orderBy(F.desc(F.col("tail") - F.col("head")), sub).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = _sums(frame, [container, sub], clock_ns, settings, bucket_width)
+    w = Window.partitionBy(container).orderBy(F.desc("span_ns"), sub).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each sub-stream
     rows = sums.select("*", F.first(sub).over(w).alias("master"), F.first("head").over(w).alias("_h"), F.first("tail").over(w).alias("_t"))
     head, tail, span = F.col("head") - F.col("_h"), F.col("tail") - F.col("_t"), F.col("_t") - F.col("_h")
     return rows.select(
-        container, sub, "master", "n", F.try_divide(F.col("n") - 1, (F.col("tail") - F.col("head")) / 1e9).alias("rate_hz"),
-        (head / 1e9).alias("head_offset_s"), (tail / 1e9).alias("tail_offset_s"), "n_gaps",
+        container, sub, "master", "n", F.try_divide(F.col("n") - 1, F.col("span_ns") / 1e9).alias("rate_hz"),
+        (head / 1e9).alias("head_offset_s"), (tail / 1e9).alias("tail_offset_s"), "shape", _unless_burst(F.col("n_gaps")).alias("n_gaps"),
         ((F.abs(head) > ratio * span) | (F.abs(tail) > ratio * span)).alias("flagged"),
     )
 

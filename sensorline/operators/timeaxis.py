@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
-from .windows import finite, neighbours, summaries
+from .windows import extent, finite, neighbours, same_keys, summaries
 
 #: Nanoseconds in a unit (fixed values).
 UNIT_NS = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
@@ -18,12 +18,13 @@ LEAST_HZ, MOST_HZ = 0.001, 1e7
 def unit_from_name(name: str) -> str | None:
     """Unit that a column's name states: frame_index, ns, us, ms, s, or None.
 
-    A suffix counts after an underscore only, so ``columns`` or ``status`` name no unit.
+    A suffix counts after an underscore, as a name of its own, or behind a word for time (timens, stamps): ``columns``,
+    ``status`` or ``joints`` name no unit.
     """
     low = name.lower()
     if re.search(r"pts|packet|frame_index", low) or low.endswith(("_index", "_idx")):
         return "frame_index"
-    hit = re.search(r"_(ns|us|ms|s|sec|secs|seconds)$", low) or re.fullmatch(r"(ns|us|ms)", low)
+    hit = re.search(r"_(ns|us|ms|s|sec|secs|seconds)$", low) or re.fullmatch(r"(ns|us|ms)", low) or re.search(r"(?:time|stamp|clock)(ns|us|ms|s)$", low)
     return {"sec": "s", "secs": "s", "seconds": "s"}.get(hit[1], hit[1]) if hit else None
 
 
@@ -75,7 +76,7 @@ def infer_unit(frame: DataFrame, keys: list[str], clock: str, settings: Settings
     rows = frame.select(*keys, finite(clock).alias("_t")).where("_t is not null")
     steps = neighbours(rows, keys, ["_t"], {"_p": ("_t", -1)}).withColumn("_d", F.col("_t") - F.col("_p"))
     sizes = steps.select(*keys, F.abs("_t").alias("_size"), F.when(F.col("_d") > 0, F.col("_d")).alias("_step"))
-    stats = summaries(sizes, keys, [F.count("*").alias("n")], {"size": ("_size", 0.5), "step": ("_step", 0.5)}, settings)
+    stats = summaries(sizes, keys, [F.count("*").alias("n")], {"size": ("_size", 0.5), "step": ("_step", 0.5)}, settings, extent(rows).n)
     unit, basis = corrected_unit(unit_case(F.col("size"), F.col("step")), F.col("size"), F.col("step"))
     return stats.select(*keys, "n", "size", "step", unit.alias("unit"), basis.alias("basis"))
 
@@ -100,12 +101,27 @@ def steady_rate(frame: DataFrame, keys: list[str], clock_ns: str, settings: Sett
     """The rate shown on inspection: sorted steps up to ten medians, 10^9 over their mean; jitter is their deviation in ms."""
     steps = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, [clock_ns], {"_p": (clock_ns, -1)}).withColumn("_d", F.col(clock_ns) - F.col("_p"))
     middle = summaries(steps.select(*keys, F.when(F.col("_d") > 0, F.col("_d")).alias("_d")), keys, [], {"step_ns": ("_d", 0.5)}, settings)
-    kept = steps.join(middle, keys).where((F.col("_d") > 0) & (F.col("_d") <= 10 * F.col("step_ns")))
+    kept = same_keys(steps, middle, keys).where((F.col("_d") > 0) & (F.col("_d") <= 10 * F.col("step_ns")))
     return kept.groupBy(*keys).agg(
         F.count("*").alias("n_steps"), (1e9 / F.avg("_d")).alias("rate_hz"), (F.stddev_pop("_d") / 1e6).alias("jitter_ms")
     )
 
 
+def is_clock(frame: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """For each key whether a number column is a clock by content: it never falls in file order, moves, and nine tenths of
+    its steps are no longer than one and a half medians. keys, n, median_step, regular_share, monotone, is_clock."""
+    rows = frame.select(*keys, *order, finite(value).alias("_v")).where("_v is not null")
+    steps = neighbours(rows, keys, order, {"_p": ("_v", -1)}).withColumn("_d", F.col("_v") - F.col("_p"))
+    middle = summaries(steps, keys, [F.min("_d").alias("_least")], {"median_step": ("_d", 0.5)})
+    share = F.avg((F.col("_d") <= 1.5 * F.col("median_step")).cast("double"))
+    sums = same_keys(steps, middle, keys).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.first("median_step").alias("median_step"), share.alias("regular_share"), F.first("_least").alias("_least")
+    )
+    monotone = F.coalesce(F.col("_least") >= 0, F.lit(False))
+    good = monotone & (F.col("n") >= 3) & (F.col("median_step") > 0) & (F.col("regular_share") >= 0.9)
+    return sums.select(*keys, "n", "median_step", "regular_share", monotone.alias("monotone"), F.coalesce(good, F.lit(False)).alias("is_clock"))
+
+
 def compare_rates(measured: Column, nominal: Column, settings: Settings = DEFAULTS) -> Column:
     """match, mismatch, or unknown where either rate is missing."""
     off = F.try_divide(F.abs(measured - nominal), nominal)

@@ -1,29 +1,72 @@
-"""Ordered-row helpers: neighbours across buckets, runs, nearest rows.
+"""Ordered-row helpers: neighbours across buckets, runs, running sums, fills, nearest rows, exact quantiles.
 
-A plain window puts all rows of a key into one task. ``neighbours`` instead deals a key by buckets of its order column and
-carries only the edge row of each bucket to the next, so one long stream spreads over many tasks.
+A plain window puts all rows of a key into one task. Tables of more than PIECE_ROWS rows are therefore dealt by buckets of
+their order column, and only an edge row or a sum of each bucket is carried to the next, so one long stream spreads over
+many tasks. Smaller tables take the plain window. Results are the same either way.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import bad, epoch_ns, finite  # noqa: F401
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
 
+#: Rows from which on a table is dealt by buckets, and that a bucket holds on average.
+PIECE_ROWS = 500_000
+#: Rows from which on exact quantiles are taken without gathering a group's values.
+SPREAD_ROWS = 5_000_000
+_MOST_KNOWN = 256
+_KNOWN: dict[tuple, tuple] = {}
+
+
+class Extent(NamedTuple):
+    """Number of rows of a table, and the range of a number column, which decide how it is dealt, never what comes out."""
+
+    n: int
+    low: float | None = None
+    high: float | None = None
+
+    def width(self) -> float | None:
+        """Width of a bucket of about PIECE_ROWS rows; none for small tables."""
+        if self.n <= PIECE_ROWS or self.low is None or self.high <= self.low:
+            return None
+        return (self.high - self.low) * PIECE_ROWS / self.n
+
+    def bucket(self, column: str) -> Column | None:
+        return F.floor((F.col(column) - F.lit(self.low)) / F.lit(self.width())) if self.width() else None
+
+
+def extent(frame: DataFrame, column: str | None = None) -> Extent:
+    """The extent of a table by one aggregate; known ones are kept, by plan."""
+    number = column is not None and isinstance(frame.select(column).schema[0].dataType, T.NumericType)
+    key = (frame.sparkSession.sparkContext.applicationId, frame.semanticHash(), column)
+    if key not in _KNOWN:
+        while len(_KNOWN) >= _MOST_KNOWN:
+            _KNOWN.pop(next(iter(_KNOWN)))
+        x = finite(column) if number else F.lit(None).cast("double")
+        _KNOWN[key] = tuple(frame.agg(F.count("*"), F.min(x), F.max(x)).first())
+    return Extent(*_KNOWN[key])
+
 
 def neighbours(
-    frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None
+    frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None, plain: bool = False
 ) -> DataFrame:
     """Add columns {new: (source, -1 or 1)}: the source in the row before (-1) or after (1) by order within keys.
 
     ``bucket`` is a nondecreasing function of the order columns (for example ``floor(row_index / 200000)``); rows are then
-    sorted within (keys, bucket) only, and each bucket's edge rows come from an aggregate. Without it a key is one sort.
+    sorted within (keys, bucket) only, and each bucket's edge rows come from an aggregate. Without it the first order
+    column's extent gives one, unless the table is small or ``plain`` says that no key is long.
     """
     sources = list(dict.fromkeys(s for s, _ in columns.values()))
     spot = [F.col(c) for c in order]
+    if bucket is None and not plain:
+        bucket = extent(frame, order[0]).bucket(order[0])
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*spot)
         return frame.select("*", *[F.lag(s, -step).over(w).alias(new) if step < 0 else F.lead(s, step).over(w).alias(new) for new, (s, step) in columns.items()])
@@ -35,11 +78,7 @@ def neighbours(
     edges = edges.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_before"), F.lead("_first").over(by_bucket).alias("_after"))
     ranked = dealt.withColumn("_nth", F.row_number().over(w)).withColumn("_next", F.lead(F.lit(1)).over(w))
     inner = ranked.select("*", *[F.lag(s).over(w).alias(f"_l_{s}") for s in sources], *[F.lead(s).over(w).alias(f"_r_{s}") for s in sources])
-    renamed = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), "_before", "_after")
-    on = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = inner.join(renamed, on)
+    joined = same_keys(inner, edges, [*keys, "_bucket"])
     new = [
         (F.when(F.col("_nth") > 1, F.col(f"_l_{s}")).otherwise(F.col(f"_before.{s}")) if step < 0
          else F.when(F.col("_next").isNotNull(), F.col(f"_r_{s}")).otherwise(F.col(f"_after.{s}"))).alias(name)
@@ -48,12 +87,49 @@ def neighbours(
     return joined.select(*frame.columns, *new)
 
 
+def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of a column over the rows up to and with this one, by order within keys (nulls count as nothing)."""
+    bucket = extent(frame, order[0]).bucket(order[0])
+    spot = [F.col(c) for c in order]
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if bucket is None:
+        return frame.withColumn(name, F.sum(value).over(upto(Window.partitionBy(*keys).orderBy(*spot))))
+    dealt = frame.withColumn("_bucket", bucket)
+    sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = sums.select(*keys, "_bucket", F.sum("_s").over(before).alias("_before"))
+    own = F.sum(value).over(upto(Window.partitionBy(*keys, "_bucket").orderBy(*spot)))
+    joined = same_keys(dealt.withColumn("_own", own), sums, [*keys, "_bucket"])
+    total = F.when(F.col("_own").isNotNull() | F.col("_before").isNotNull(), F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    return joined.select(*frame.columns, total.alias(name))
+
+
+def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Nulls of some columns take the last value before them, or the first after."""
+    bucket = extent(frame, order).bucket(order)
+    dealt = frame.withColumn("_bucket", F.lit(0).cast("bigint") if bucket is None else bucket)
+    inside = [*keys, "_bucket"]
+    before, after = Window.partitionBy(*inside).orderBy(order), Window.partitionBy(*inside).orderBy(F.desc(order))
+    near = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if bucket is None:
+        new = {c: F.coalesce(near(c, before), near(c, after)).alias(c) for c in columns}
+        return dealt.select(*[new.get(c, F.col(c)) for c in frame.columns])
+    ends = dealt.groupBy(*inside).agg(
+        *[f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{e}_{c}") for c in columns for e, f in (("last", F.max_by), ("first", F.min_by))]
+    )
+    past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    next_ = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*inside, *[F.last(f"_last_{c}", True).over(past).alias(f"_p_{c}") for c in columns], *[F.last(f"_first_{c}", True).over(next_).alias(f"_n_{c}") for c in columns])
+    own = dealt.select("*", *[near(c, before).alias(f"_b_{c}") for c in columns], *[near(c, after).alias(f"_a_{c}") for c in columns])
+    new = {c: F.coalesce(f"_b_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}").alias(c) for c in columns}
+    return same_keys(own, ends, inside).select(*[new.get(c, F.col(c)) for c in frame.columns])
+
+
 def runs(frame: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
     """Stretches of rows in a row with a true flag: keys, run, n_rows, and the first and last value of the order columns."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    on = F.coalesce(F.col(flag), F.lit(False))
-    marked = frame.withColumn("_on", on).withColumn("_new", (F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int"))
-    marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
+    marked = neighbours(frame.withColumn("_on", F.coalesce(F.col(flag), F.lit(False))), keys, order, {"_was": ("_on", -1)})
+    marked = marked.withColumn("_new", (F.col("_on") & ~F.coalesce("_was", F.lit(False))).cast("int"))
+    marked = running_sum(marked, keys, order, "_new", "run").where("_on")
     spot = F.struct(*order)
     return marked.groupBy(*keys, "run").agg(F.count("*").alias("n_rows"), F.min(spot).alias("first"), F.max(spot).alias("last"))
 
@@ -62,9 +138,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_
     """For each left row the right row of the same keys whose ``at`` is closest; of two as close the later one.
 
     Left columns, and ``near`` (null if the keys have no right row). Both sides are merged into one sorted sequence, and
-    two windows carry the last right row before and the first after. With bucket_width the sequence is cut into buckets
-    of ``at`` and every bucket gets the last right row before it and the first after it, so a long stream spreads over tasks.
+    two windows carry the last right row before and the first after. With bucket_width (of long sequences by themselves) the
+    sequence is cut into buckets of ``at`` and every bucket gets the last right row before it and the first after it.
     """
+    bucket_width = bucket_width or extent(left.select(at).unionAll(right.select(at)), at).width()
     base = right.select(*keys, F.col(at).alias("_t")).where("_t is not null").distinct()
     rows = left.select(F.struct(*left.columns).alias("_row"), *keys, F.col(at).alias("_t"))
     if bucket_width:
@@ -140,14 +217,17 @@ def quantiles(frame: DataFrame, keys: list[str], value: str, at: dict[str, float
     return picked.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (r - F.floor(r))).alias(n) for n, r in ranks.items()])
 
 
-def summaries(frame: DataFrame, keys: list[str], sums: list[Column], wanted: dict[str, tuple[str, float]], settings: Settings = DEFAULTS) -> DataFrame:
+def summaries(frame: DataFrame, keys: list[str], sums: list[Column], wanted: dict[str, tuple[str, float]], settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
     """keys, the aggregates ``sums`` and exact quantiles {name: (column, share)} of finite values, null where there are none.
 
-    One aggregate, whose buffers hold the distinct values of a group; with spread_quantiles by ``quantiles``, for groups
-    with more of them than a task can hold.
+    One aggregate, whose buffers hold the distinct values of a group; of tables with more than SPREAD_ROWS rows (or as
+    spread_quantiles says) by ``quantiles``, which gathers no group. ``rows`` is the table's size where it is known.
     """
     by_column = {c: {n: p for n, (own, p) in wanted.items() if own == c} for c, _ in wanted.values()}
-    if not settings.spread_quantiles:
+    spread = settings.spread_quantiles
+    if spread is None:
+        spread = (extent(frame).n if rows is None else rows) > SPREAD_ROWS
+    if not spread:
         shares = [F.percentile(finite(c), F.array(*map(F.lit, at.values()))).alias(f"_q_{c}") for c, at in by_column.items()]
         out = frame.groupBy(*keys).agg(*sums, *shares)
         place = {n: F.col(f"_q_{c}")[i].alias(n) for c, at in by_column.items() for i, n in enumerate(at)}
@@ -155,5 +235,5 @@ def summaries(frame: DataFrame, keys: list[str], sums: list[Column], wanted: dic
     out = frame.groupBy(*keys).agg(*sums) if sums else frame.select(*keys).distinct()
     for column, at in by_column.items():
         own = quantiles(frame, keys, column, at)
-        out = same_keys(out, own, keys, "left") if keys else out.join(F.broadcast(own))  # without keys one row each
+        out = same_keys(out, own, keys, "left") if keys else out.join(F.broadcast(own), how="left")  # without keys one row each
     return out.select(*keys, *[c for c in out.columns if c not in keys and c not in wanted], *wanted)

@@ -9,6 +9,29 @@ from ..operators.stats import histogram, zscores
 from ..operators.windows import finite
 
 KINDS = ("line", "scatter", "histogram", "bar", "overlay")
+#: Words that parts of column names stand for.
+WORDS = {
+    "accel": "acceleration", "gyro": "angular rate", "mag": "magnetic field", "quat": "quaternion", "rot": "rotation", "pos": "position", "vel": "velocity", "acc": "acceleration",
+    "qpos": "joint position", "qvel": "joint velocity", "obs": "observation", "cmd": "command", "ts": "time", "idx": "index", "temp": "temperature", "img": "image", "cam": "camera",
+}
+UNITS = {"ns": "ns", "us": "us", "ms": "ms", "s": "s", "mss2": "m/s2", "radps": "rad/s", "rad": "rad", "deg": "deg", "n": "N", "nm": "N m", "m": "m", "mm": "mm", "hz": "Hz"}
+
+
+def label(column: str) -> str:
+    """A column's name in words, with its unit in brackets where the last part names one."""
+    parts = [p for p in column.lower().replace(".", "_").split("_") if p]
+    unit = UNITS.get(parts[-1]) if len(parts) > 1 else None
+    words = " ".join(WORDS.get(p, p) for p in (parts[:-1] if unit else parts))
+    return f"{words} ({unit})" if unit else words
+
+
+def trajectory_axes(columns: list[str], most: int = 8) -> list[str]:
+    """What a path is drawn from: joints (eight at most), else positions x, y and z."""
+    joints = [c for c in columns if c.lower().startswith(("qpos", "joint", "q_", "action_joint", "state_joint"))]
+    if joints:
+        return joints[:most]
+    xyz = [c for a in "xyz" for c in columns if c.lower() in (a, f"pos_{a}", f"position_{a}", f"eef_{a}", f"ee_{a}", f"end_effector_{a}")]
+    return xyz[:3]
 
 
 def time_series(frame: DataFrame, key: str, clock: str, value: str, points: int = 1_000) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis
+from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
 from ..operators.windows import epoch_ns
 from ..sources import text
 from . import charts, sql
@@ -53,7 +53,9 @@ def q05_nearest_residual(spark, d):
 
 
 def q06_drift(spark, d):
-    return sync.drift(_offsets(spark, d), ["stream"], "t", 1000.0)
+    e = _events(spark, d)
+    offsets = sync.base_offsets(e.where("stream in ('view', 'purchase')").select("stream", "t"), e.where("stream = 'click'"), "stream", "t", bucket_width=DAY)
+    return sync.drift(offsets, ["stream"], "t", 1000.0)
 
 
 def q07_measured_rate(spark, d):
@@ -123,6 +125,11 @@ def q18_action_spike(spark, d):
     return quality.action_spikes(long, ["stream"], "event_id", quality.Settings(spike_factor=4.0))
 
 
+def q18_timed_action_spike(spark, d):
+    e = _events(spark, d).withColumn("at", F.col("event_id") / 10 + F.col("event_id") % 3 / 50)
+    return quality.action_spikes(quality.channels(e, ["stream"], "event_id", ["value"], ("at",)), ["stream"], "event_id", quality.Settings(spike_factor=4.0), "at")
+
+
 def q19_action_jerk(spark, d):
     long = quality.channels(_events(spark, d), ["stream"], "event_id", ["value"])
     return quality.action_jerk(long, ["stream"], "event_id")
@@ -218,8 +225,8 @@ def q34_envelope(spark, d):
 
 def q35_segments(spark, d):
     e = _events(spark, d)
-    e = e.withColumn("row", (F.row_number().over(Window.partitionBy("stream").orderBy("event_id")) - 1).cast("bigint"))
-    return segment.segment_actions(e, ["stream"], "row", ["value"], None, 10.0)
+    e = windows.running_sum(e.withColumn("one", F.lit(1)), ["stream"], ["event_id"], "one", "row").withColumn("row", F.col("row") - 1)
+    return segment.segment_actions(e, ["stream"], "row", ["value"], None, 50.0, segment.Settings(max_segment_s=4.0))
 
 
 def _sessions(spark, d):
@@ -269,8 +276,22 @@ def q40_container_alignment(spark, d):
     return sync.container_alignment(e, "container", "stream", "t")
 
 
+def _recording(spark, d):
+    """The event streams and a burst stream: each order's row times twenty points, two milliseconds from burst to burst."""
+    e = _events(spark, d).select("stream", "t", F.col("event_id").alias("i"))
+    low = e.agg(F.min("t")).first()[0]
+    o = _t(spark, d, "orders").where("o_orderkey <= 200").select(F.col("o_orderkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("j"))
+    burst = o.select(F.lit("tf").alias("stream"), (F.lit(low) + F.col("k") * 2_000_000 + F.col("j") * 1_000).alias("t"), (F.col("k") * 20 + F.col("j")).alias("i"))
+    return e.unionByName(burst)
+
+
+def q40_burst_alignment(spark, d):
+    rows = _recording(spark, d).withColumn("container", F.lit("c"))
+    return sync.container_alignment(rows, "container", "stream", "t", bucket_width=DAY)
+
+
 def q41_sync_report(spark, d):
-    return sync.sync_report(_events(spark, d), "stream", "t", ["event_id"], baseline="click", bucket_width=DAY)
+    return sync.sync_report(_recording(spark, d), "stream", "t", ["i"], baseline="click", bucket_width=DAY, bucket_rows=200_000)
 
 
 def q42_episode_bounds(spark, d):
@@ -326,8 +347,29 @@ def q53_quaternion_groups(spark, d):
 
 
 def q54_imu_checks(spark, d):
-    e = _events(spark, d).select((F.col("event_id") - 1).alias("row"), (9.7 + F.col("value") / 1e4).alias("accel_x"), F.lit(0.0).alias("accel_y"), F.lit(0.1).alias("accel_z"), F.lit(0.001).alias("gyro_x"))
-    return sanity.imu_checks(e.withColumn("device", F.lit("d")), ["device"], "row", ["accel_x", "accel_y", "accel_z"], ["gyro_x"])
+    """Two devices, one of them with a constant axis."""
+    e = _events(spark, d)
+    e = e.select(
+        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("device"), "event_id", (9.7 + F.col("value") / 1e4).alias("accel_x"),
+        (F.col("value") / 1e3).alias("accel_y"), F.when(F.col("user_id") % 2 == 0, 0.1).otherwise(F.col("event_id") % 7 / 100).alias("accel_z"), (0.001 + F.col("value") / 1e6).alias("gyro_x"),
+    )
+    e = windows.running_sum(e.withColumn("one", F.lit(1)), ["device"], ["event_id"], "one", "row").withColumn("row", F.col("row") - 1)
+    return sanity.imu_checks(e, ["device"], "row", ["accel_x", "accel_y", "accel_z"], ["gyro_x"])
+
+
+def q55_running_sum(spark, d):
+    return windows.running_sum(_events(spark, d).select("event_id", "stream", "value"), ["stream"], ["event_id"], "value", "total")
+
+
+def q56_fill(spark, d):
+    e = _events(spark, d).select("event_id", "stream", F.when(F.col("event_id") % 5 < 2, F.col("value")).alias("value"))
+    return windows.filled(e, ["stream"], "event_id", ["value"])
+
+
+def q57_is_clock(spark, d):
+    e = _events(spark, d).select("stream", "event_id", (F.col("event_id") * 8.33).alias("steady"), "value")
+    columns = F.explode(F.array(F.struct(F.lit("steady").alias("column"), F.col("steady").alias("v")), F.struct(F.lit("value").alias("column"), F.col("value").alias("v"))))
+    return timeaxis.is_clock(e.select("event_id", columns.alias("c")).select("event_id", "c.*"), ["column"], "v", ["event_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}

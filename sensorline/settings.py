@@ -17,7 +17,7 @@ class Settings:
     gap_report_limit: int = 20
     burst_ratio: float = 3.0
     rate_tolerance: float = 0.05
-    spread_quantiles: bool = False  # exact medians in several passes, for streams with very many distinct steps
+    spread_quantiles: bool | None = None  # exact medians in several passes: always, never, or (None) for large tables
     # sensor sanity
     static_variation: float = 0.02
     static_share_warn: float = 0.05

@@ -14,10 +14,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.annotations import KEY, diff_snapshots, upsert, validate
+from ..operators.annotations import KEY, diff_snapshots, normalise, upsert, validate
 
 RECORD = (
-    "scope string, episode_key string, id bigint, start_s double, end_s double, source string, confidence double, label string, "
+    "scope string, episode_key string, id bigint, start_s double, end_s double, source string, confidence string, label string, "
     "atomic_action string, interacting_hand string, target_object_class string, is_noise boolean, cleaning_reason string"
 )
 HISTORY = 200
@@ -95,6 +95,7 @@ class AnnotationStore:
         """
         names = [c.split()[0] for c in RECORD.split(", ")]
         kinds = dict(c.split() for c in RECORD.split(", "))
+        records = normalise(records)
         shaped = records.select(*[(F.col(c) if c in records.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
         shaped = shaped.withColumn(order, F.monotonically_increasing_id())
         wrong = validate(shaped).where(F.size("errors") > 0).select(*KEY, "errors")

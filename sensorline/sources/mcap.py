@@ -1,7 +1,9 @@
 """MCAP containers: JSON-encoded topics as rows, other encodings listed as not decodable.
 
-Files are read whole by tasks through Spark's binaryFile source, one row a file; chunks inside a file are decoded one at a
-time. The record layout follows the public MCAP specification; chunks may be plain or Zstandard-compressed.
+One task a file walks its records by their lengths, without reading chunks, and lists these with the channels of the
+summary; then chunks are dealt over tasks, and each is read by its range and decoded alone. A file whose channels stand only
+inside chunks is read from end to end by one task, chunk by chunk. The record layout follows the public MCAP specification;
+chunks may be plain, or compressed by Zstandard or LZ4.
 """
 
 from __future__ import annotations
@@ -11,12 +13,20 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+from .files import open_file
+
 #: Opcodes and magic of the specification (fixed values).
 MAGIC = b"\x89MCAP0\r\n"
-SCHEMA, CHANNEL, MESSAGE, CHUNK = 0x03, 0x04, 0x05, 0x06
+FOOTER, CHANNEL, MESSAGE, CHUNK = 0x02, 0x04, 0x05, 0x06
+#: Bytes of neighbouring chunks that are read together.
+READ_BYTES = 16 << 20
+MOST_TASKS = 10_000
+#: Messages of an array, on average.
+ARRAY = 10_000
 
 COLUMNS = "path string, topic string, encoding string, mcap_log_time_ns bigint, mcap_publish_time_ns bigint, mcap_sequence bigint, data string"
 
@@ -36,33 +46,83 @@ def _records(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at += 9 + size
 
 
+def _channel(body: memoryview) -> tuple[int, tuple[str, str]]:
+    topic, at = _text(body, 4)
+    return struct.unpack_from("<H", body)[0], (topic, _text(body, at)[0])
+
+
+def _inside(body: memoryview) -> memoryview:
+    """The records of a chunk."""
+    size, (compression, at) = struct.unpack_from("<Q", body, 16)[0], _text(body, 28)
+    inner = body[at + 8 :]
+    if compression not in ("", "zstd", "lz4"):
+        raise ValueError(f"chunk compression {compression!r} is not supported")
+    return memoryview(pa.decompress(pa.py_buffer(inner), size, compression)) if compression else inner
+
+
+def _messages(data: memoryview, channels: dict[int, tuple[str, str]]) -> Iterator[tuple[str, str, int, int, int, bytes]]:
+    """(topic, encoding, log time, publish time, sequence, payload) of the messages of records; channels met are noted."""
+    for op, body in _records(data):
+        if op == CHANNEL:
+            number, names = _channel(body)
+            channels[number] = names
+        elif op == MESSAGE:
+            number, sequence, logged, published = struct.unpack_from("<HIQQ", body)
+            yield *channels.get(number, ("", "")), logged, published, sequence, bytes(body[22:])
+        elif op == CHUNK:
+            yield from _messages(_inside(body), channels)
+
+
 def decode(content: bytes) -> Iterator[tuple[str, str, int, int, int, bytes]]:
     """(topic, encoding, log time, publish time, sequence, payload) of every message of a container."""
     if not content.startswith(MAGIC):
         raise ValueError("not an MCAP container")
-    channels: dict[int, tuple[str, str]] = {}
-
-    def walk(data: memoryview):
-        for op, body in _records(data):
+    yield from _messages(memoryview(content)[len(MAGIC) :], {})
+
+
+def _walk(uri: str) -> tuple[list[tuple[int, int]], dict[int, tuple[str, str]], bool]:
+    """Places and sizes of the chunks and of messages outside of chunks, channels outside of chunks, and whether those are
+    all the channels there can be (a summary, or nothing but such messages)."""
+    places, channels = [], {}
+    with open_file(uri) as f:
+        end = f.size()
+        if f.read(len(MAGIC)) != MAGIC:
+            raise ValueError(f"{uri} is not an MCAP container")
+        at = len(MAGIC)
+        while at + 9 <= end:
+            f.seek(at)
+            op, size = struct.unpack("<BQ", f.read(9))
+            if at + 9 + size > end:  # cut off: what came before is still good
+                break
             if op == CHANNEL:
-                topic, at = _text(body, 4)
-                encoding, _ = _text(body, at)
-                channels[struct.unpack_from("<H", body)[0]] = (topic, encoding)
-            elif op == MESSAGE:
-                channel, sequence, logged, published = struct.unpack_from("<HIQQ", body)
-                yield *channels.get(channel, ("", "")), logged, published, sequence, bytes(body[22:])
-            elif op == CHUNK:
-                size, (compression, at) = struct.unpack_from("<Q", body, 16)[0], _text(body, 28)
-                inner = body[at + 8 :]
-                if compression == "zstd":
-                    import zstandard
-
-                    inner = memoryview(zstandard.ZstdDecompressor().decompress(inner, max_output_size=size))
-                elif compression:
-                    raise ValueError(f"chunk compression {compression!r} is not supported")
-                yield from walk(inner)
-
-    yield from walk(memoryview(content)[len(MAGIC) :])
+                number, names = _channel(memoryview(f.read(size)))
+                channels[number] = names
+            elif op in (MESSAGE, CHUNK):
+                places.append((at, 9 + size))
+            elif op == FOOTER:
+                break
+            at += 9 + size
+    return places, channels, bool(channels) or not places
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """path, at, size and channels (JSON) of stretches of records: chunks of a container, at least READ_BYTES together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                places, channels, complete = _walk(uri)
+                rows: list[list] = []
+                for at, size in places:
+                    if rows and (not complete or rows[-1][2] < READ_BYTES):
+                        rows[-1][2] = at + size - rows[-1][1]
+                    else:
+                        rows.append([uri, at, size, json.dumps(channels)])
+                if rows:
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "at", "size", "channels"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(run, "path string, at bigint, size bigint, channels string")
 
 
 def read_messages(spark: SparkSession, path: str, topic: str | None = None, times_only: bool = False) -> DataFrame:
@@ -72,20 +132,35 @@ def read_messages(spark: SparkSession, path: str, topic: str | None = None, time
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for uri, at, size, channels in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size", "channels")), strict=True):
+                known = {int(k): tuple(v) for k, v in json.loads(channels).items()}
                 rows = []
-                for own, encoding, logged, published, sequence, payload in decode(content.as_py()):
-                    if topic is not None and own != topic:
-                        continue
-                    data = payload.decode("utf-8", "replace") if encoding == "json" and not times_only else None
-                    rows.append((name, own, encoding, logged, published, sequence, data))
-                    if len(rows) >= 5_000:
-                        yield _batch(rows)
-                        rows = []
+                with open_file(uri) as f:
+                    for own, encoding, logged, published, sequence, payload in _range(f, at, size, known):
+                        if topic is not None and own != topic:
+                            continue
+                        data = payload.decode("utf-8", "replace") if encoding == "json" and not times_only else None
+                        rows.append((uri, own, encoding, logged, published, sequence, data))
+                        if len(rows) >= 5_000:
+                            yield _batch(rows)
+                            rows = []
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, COLUMNS)
+    listed = staged(chunks(spark, path), "chunks")  # a row for each stretch: dealt one by one, however few bytes they are
+    return listed.repartitionByRange(max(1, min(listed.count(), MOST_TASKS)), "path", "at").mapInArrow(run, COLUMNS)
+
+
+def _range(f, at: int, size: int, channels: dict[int, tuple[str, str]]) -> Iterator[tuple[str, str, int, int, int, bytes]]:
+    """Messages of a stretch of records, one record in memory at a time."""
+    end = at + size
+    while at < end:
+        f.seek(at)
+        op, length = struct.unpack("<BQ", f.read(9))
+        if op in (CHANNEL, MESSAGE, CHUNK):
+            f.seek(at)
+            yield from _messages(memoryview(f.read(9 + length)), channels)
+        at += 9 + length
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -103,22 +178,32 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unpack(spark: SparkSession, path: str, out: str, names: list[str] | None = None, fmt: str = "jsonl", most: int | None = None) -> None:
-    """Write topics as folders topic=…: jsonl, json or csv; most is the number of first messages of each topic, if given."""
+    """Write topics as folders topic=…; most is the number of first messages of each topic, if given.
+
+    jsonl and csv have a message a line, in files by ranges of time; json has arrays of at most ARRAY messages, one a file.
+    """
     rows = read_messages(spark, path).where("data is not null")
     if names:
         rows = rows.where(F.col("topic").isin(*names))
     if most is not None:
-        from pyspark.sql import Window
-
         nth = F.row_number().over(Window.partitionBy("topic").orderBy("mcap_log_time_ns", "mcap_sequence"))
         rows = rows.withColumn("_n", nth).where(F.col("_n") <= most)
     rows = rows.select("topic", "mcap_log_time_ns", "mcap_publish_time_ns", "mcap_sequence", "data")
-    writer = rows.repartition("topic").sortWithinPartitions("topic", "mcap_log_time_ns").write.partitionBy("topic")
-    {"jsonl": writer.json, "json": writer.json, "csv": lambda p: writer.csv(p, header=True)}[fmt](out)
-
-
-def write_example(messages: list[tuple[str, str, int, object]], compress: bool = False) -> bytes:
-    """A small container of (topic, encoding, time, value) messages, for tests and samples."""
+    if fmt == "json":
+        one = F.struct("mcap_log_time_ns", "mcap_sequence", "mcap_publish_time_ns", "data")
+        # arrays are equal stretches of a topic's time
+        sizes = rows.groupBy("topic").agg(F.count("*").alias("_all"), F.min("mcap_log_time_ns").alias("_lo"), F.max("mcap_log_time_ns").alias("_hi"))
+        part = F.floor((F.col("mcap_log_time_ns") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.ceil(F.col("_all") / ARRAY))
+        packed = rows.join(F.broadcast(sizes), "topic").groupBy("topic", part.alias("_part")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("value"))  # a row for each topic
+        packed.select("topic", "value").repartitionByRange("topic").write.option("maxRecordsPerFile", 1).partitionBy("topic").text(out)
+        return
+    writer = rows.repartitionByRange("topic", "mcap_log_time_ns", "mcap_sequence").sortWithinPartitions("topic", "mcap_log_time_ns", "mcap_sequence").write.partitionBy("topic")
+    writer.json(out) if fmt == "jsonl" else writer.csv(out, header=True)
+
+
+def write_example(messages: list[tuple[str, str, int, object]], compress: str | bool = "", each: int | None = None, channels_first: bool = False) -> bytes:
+    """A small container of (topic, encoding, time, value) messages, for tests and samples: chunks of ``each`` messages (one
+    chunk if not given), with the channels inside the first or, with channels_first, outside in front of all."""
     def text(s: str) -> bytes:
         return struct.pack("<I", len(s.encode())) + s.encode()
 
@@ -126,16 +211,16 @@ def write_example(messages: list[tuple[str, str, int, object]], compress: bool =
         return struct.pack("<BQ", op, len(body)) + body
 
     names = list(dict.fromkeys((t, e) for t, e, _, _ in messages))
-    body = b"".join(record(CHANNEL, struct.pack("<HH", i, 0) + text(t) + text(e) + struct.pack("<I", 0)) for i, (t, e) in enumerate(names))
-    for n, (topic, encoding, time, value) in enumerate(messages):
-        payload = json.dumps(value).encode() if encoding == "json" else bytes(value)
-        body += record(MESSAGE, struct.pack("<HIQQ", names.index((topic, encoding)), n, time, time) + payload)
-    times = [m[2] for m in messages] or [0]
-    if compress:
-        import zstandard
-
-        packed, kind = zstandard.ZstdCompressor().compress(body), "zstd"
-    else:
-        packed, kind = body, ""
-    chunk = struct.pack("<QQQI", min(times), max(times), len(body), 0) + text(kind) + struct.pack("<Q", len(packed)) + packed
-    return MAGIC + record(0x01, text("") + text("sensorline")) + record(CHUNK, chunk) + record(0x0F, b"\0" * 20) + MAGIC
+    heads = b"".join(record(CHANNEL, struct.pack("<HH", i, 0) + text(t) + text(e) + struct.pack("<I", 0)) for i, (t, e) in enumerate(names))
+    kind = {True: "zstd", False: ""}.get(compress, compress)
+    out = [MAGIC, record(0x01, text("") + text("sensorline"))] + [heads] * channels_first
+    for begin in range(0, max(1, len(messages)), each or max(1, len(messages))):
+        some = messages[begin : begin + (each or len(messages))]
+        body = b"" if channels_first or begin else heads
+        for n, (topic, encoding, time, value) in enumerate(some, begin):
+            payload = json.dumps(value).encode() if encoding == "json" else bytes(value)
+            body += record(MESSAGE, struct.pack("<HIQQ", names.index((topic, encoding)), n, time, time) + payload)
+        times = [m[2] for m in some] or [0]
+        packed = pa.compress(body, kind, asbytes=True) if kind else body
+        out.append(record(CHUNK, struct.pack("<QQQI", min(times), max(times), len(body), 0) + text(kind) + struct.pack("<Q", len(packed)) + packed))
+    return b"".join([*out, record(FOOTER, b"\0" * 20), MAGIC])

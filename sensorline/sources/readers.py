@@ -7,9 +7,11 @@ any store that Spark reads will do.
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +46,10 @@ def split_path(path: str) -> tuple[str, str | None]:
 
 
 def clean_path(text: str) -> str:
-    """A path as users paste it: without quotes, zero-width signs and a file:// in front."""
+    """A path as users paste it: without quotes, zero-width signs and a file:// in front; drive paths with slashes."""
     out = "".join(c for c in text if c not in "​‌‍﻿").strip().strip("\"'").strip()
-    return out.removeprefix("file://") if out.startswith("file:///") else out
+    out = out.removeprefix("file://") if out.startswith("file:///") else out
+    return re.sub(r"^/?([A-Za-z]):[\\/]", r"/\1:/", out).replace("\\", "/") if re.match(r"/?[A-Za-z]:[\\/]", out) else out
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -58,17 +61,29 @@ def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
 
 
 def with_row_index(frame: DataFrame) -> DataFrame:
-    """Add row_index from 0 in file order: from Parquet's own row positions, else by partition and place within it.
+    """Add row_index, from 0 in file order: files by name, rows by their place in them.
 
-    For other formats than a single Parquet file only counts by partition come to the driver.
+    Parquet files tell the places of their rows; of other files the splits are put into order by where they begin, and rows
+    counted within a split; of what comes from no file directly, partitions are. Only a row for each file, split or
+    partition is gathered.
     """
-    from itertools import accumulate
-
-    part = frame.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts = dict(part.groupBy("_p").count().collect())
-    base = dict(zip(sorted(counts), accumulate([0, *(counts[k] for k in sorted(counts))]), strict=False))
-    offsets = F.create_map(*[F.lit(x) for k, v in base.items() for x in (k, v)]) if base else F.create_map(F.lit(0), F.lit(0))
-    return part.withColumn("row_index", (F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + offsets[F.col("_p")]).cast("bigint")).drop("_p", "_i")
+    def columns(**named: Column) -> DataFrame | None:
+        try:
+            return frame.select("*", *[c.alias(n) for n, c in named.items()])
+        except AnalysisException:
+            return None
+
+    meta = lambda name: F.col(f"_metadata.{name}")
+    rows = columns(_f=meta("file_path"), _s=F.lit(0).cast("bigint"), _i=meta("row_index"))
+    first = F.lit(0).cast("bigint")
+    if rows is None:
+        rows, first = columns(_f=meta("file_path"), _s=meta("file_block_start"), _i=F.monotonically_increasing_id()), F.min("_i")
+    if rows is None:
+        rows = columns(_f=F.lit(""), _s=F.spark_partition_id().cast("bigint"), _i=F.monotonically_increasing_id())
+    pieces = rows.groupBy("_f", "_s").agg(first.alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    pieces = pieces.select("_f", "_s", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(pieces, ["_f", "_s"]).select(*[f"`{c}`" for c in frame.columns], (F.col("_before") + F.col("_i") - F.col("_first")).alias("row_index"))
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
@@ -100,10 +115,20 @@ def sniff_csv(head: bytes) -> tuple[str, str]:
 
 @register_reader("csv", "tsv")
 def read_csv(spark: SparkSession, path: str, sub: str | None = None) -> DataFrame:
-    """CSV with a header; encoding and delimiter are found out, types inferred over all rows, malformed rows dropped."""
+    """CSV with a header; encoding and delimiter are found out, types inferred over all rows, malformed rows dropped.
+
+    Spark reads no cp1252: its bytes come in as ISO-8859-1, and those that differ are put right in names and texts.
+    """
     encoding, delimiter = sniff_csv(_head(spark, path))
-    charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"  # Spark reads no other one-byte encoding; they differ in 0x80-0x9F
-    return spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
+    charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
+    frame = spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
+    if encoding != "cp1252":
+        return frame
+    wrong = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+    right = wrong.encode("latin-1").decode("cp1252")
+    texts = {f.name for f in frame.schema if isinstance(f.dataType, T.StringType)}
+    mend = lambda c: F.translate(F.col(f"`{c}`"), wrong, right) if c in texts else F.col(f"`{c}`")
+    return frame.select(*[mend(c).alias(c.translate(str.maketrans(wrong, right))) for c in frame.columns])
 
 
 @register_reader("parquet")

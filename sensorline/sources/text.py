@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import neighbours
+from .readers import with_row_index
 
-#: Level, month and day, time of day with microseconds, thread, source, message.
-LOG = r"^([IWEF])(\d{2})(\d{2}) (\d{2}):(\d{2}):(\d{2})\.(\d{6})\s+(\d+) ([^\]]+)\] ?(.*)$"
+#: A log line: level, month and day, time of day with one to six digits of a second, thread, source and line, message.
+#: Fields stand apart by any white space.
+LOG = r"^([IWEF])(\d{2})(\d{2})\s+(\d{2}):(\d{2}):(\d{2})\.(\d{1,6})\s+(\d+)\s+([^\]]+)\]\s?(.*)$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_index and value of the lines of a file. Lines are numbered by their place in the file's split and then joined
-    into one order: the file is read as one value only when it is small enough for a task (as documents are)."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
-    return whole.select(F.posexplode(lines).alias("row_index", "value")).select(F.col("row_index").cast("bigint"), "value")
+    """row_index and value of the lines of a file, read split by split and numbered by where each split begins."""
+    return with_row_index(spark.read.text(path)).select("row_index", "value")
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
     def part(i: int) -> Column:
         return F.when(F.col("value").rlike(LOG), F.regexp_extract("value", LOG, i))
 
-    us = ((part(4).cast("bigint") * 60 + part(5).cast("bigint")) * 60 + part(6).cast("bigint")) * 1_000_000 + part(7).cast("bigint")
+    us = ((part(4).cast("bigint") * 60 + part(5).cast("bigint")) * 60 + part(6).cast("bigint")) * 1_000_000 + F.rpad(part(7), 6, "0").cast("bigint")
     return lines.select(
         "row_index", part(1).alias("level"), part(2).cast("int").alias("month"), part(3).cast("int").alias("day"), us.alias("time_of_day_us"),
         part(8).cast("bigint").alias("thread"), part(9).alias("source"), F.coalesce(part(10), F.col("value")).alias("message"),

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis
+from .operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
 from .plans import charts, report
 from .settings import DEFAULTS, Settings
-from .sources import annotation_store, catalog, envelope, mcap, text
+from .sources import annotation_store, catalog, envelope, hdf5, mcap, text
 from .sources.readers import with_row_index
+from .storage import staged
 
 
 def tool(f: Callable[..., dict]) -> Callable[..., dict]:
@@ -38,11 +41,20 @@ def output_dir(root: str, dataset: str) -> str:
 
 
 @tool
-def load_dataset(spark: SparkSession, path: str) -> dict:
-    data = catalog.load_dataset(spark, path)
+def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, profile_root: str | None = None) -> dict:
+    """Register a folder's or file's tables. A profile confirmed before (profile_root) overrides what is found out."""
+    data = catalog.load_dataset(spark, path, fmt)
     if not data.entries and not data.errors:
         raise ValueError(f"no tables below {path}")
-    return {"dataset": data, "main_table": data.main_table() if data.entries else None, "n_tables": len(data.entries), "probe_errors": data.errors, "capabilities": data.capabilities()}
+    if profile_root:
+        known = annotation_store.ProfileStore(spark, profile_root).load(data.path)["kinds"]
+        data = data.confirm({n: k for n, k in known.items() if n in data.tables})
+    shown = report.fit_result({"probe_errors": data.errors})
+    capabilities = data.capabilities()
+    return {
+        "dataset": data, "main_table": data.main_table() if data.entries else None, "n_tables": len(data.entries), **shown, "capabilities": capabilities,
+        "capability_matrix": report.capability_matrix(capabilities), "relations": data.relations(), "nominal_rate": data.nominal_rate() if data.entries else None, "meta": data.meta,
+    }
 
 
 @tool
@@ -51,112 +63,222 @@ def list_tables(data: catalog.Dataset) -> dict:
 
 
 @tool
-def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool = False, focus_fields: list[str] | None = None, settings: Settings = DEFAULTS) -> dict:
+def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool = False, focus_fields: list[str] | None = None, max_unique: int = 20, settings: Settings = DEFAULTS) -> dict:
+    """A row for each column, and statistics of the vector columns (numbers in arrays or texts)."""
     frame = data.table(table)
-    return {"profile": stats.column_profile(envelope.expand(frame, focus_fields) if expand else frame, settings=settings), "n_rows": frame.count()}
+    numbered = with_row_index(frame)
+    vectors = [f.name for f in frame.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType)]
+    texts = [f.name for f in frame.schema if isinstance(f.dataType, T.StringType)]
+    if texts:
+        shares = frame.agg(*[F.avg((F.size(stats.parse_vector(F.col(f"`{c}`"))) > 1).cast("double")).alias(str(i)) for i, c in enumerate(texts)]).first()
+        vectors += [c for c, share in zip(texts, shares, strict=True) if share and share >= 0.9]
+    plain = envelope.expand(frame, focus_fields) if expand else frame
+    times = [c for c in envelope.time_fields(frame.schema) if "." in c]
+    hints = {}
+    if times:
+        largest = frame.agg(*[F.max(F.abs(F.col(c))).cast("double").alias(str(i)) for i, c in enumerate(times)])
+        hints = dict(zip(times, largest.select(*[timeaxis.unit_hint(F.col(str(i))).alias(str(i)) for i in range(len(times))]).first(), strict=True))
+    return {
+        "profile": stats.column_profile(plain, max_unique=max_unique, settings=settings), "n_rows": frame.count(), "nested_clocks": hints,
+        "vectors": {c: stats.vector_profile(numbered.select("row_index", F.col(f"`{c}`").alias("v")), "v", "row_index") for c in vectors},
+    }
+
+
+def _in_ns(frame: DataFrame, column: str, unit: str) -> DataFrame:
+    """row_index and t, a clock column in nanoseconds; whole numbers stay exact."""
+    v, whole, scale = F.col(f"`{column}`").cast("double"), F.col(f"`{column}`").try_cast("bigint"), timeaxis.UNIT_NS[unit]
+    return frame.select("row_index", F.when(whole == v, whole * scale).otherwise((v * scale).cast("bigint")).alias("t"))
 
 
-def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def _units(frames: dict[str, tuple[DataFrame, str]], settings: Settings) -> dict[str, str]:
+    """The unit of each table's clock column (table, column), all inferred in one aggregate over their values."""
+    rows = [frame.select(F.lit(name).alias("stream"), F.col(f"`{column}`").cast("double").alias("v")) for name, (frame, column) in frames.items()]
+    found = {name: timeaxis.unit_from_name(column) for name, (_, column) in frames.items()}
+    open_ = [r for r, name in zip(rows, frames, strict=True) if found[name] not in timeaxis.UNIT_NS]
+    if open_:
+        found |= {r.stream: r.unit for r in timeaxis.infer_unit(functools.reduce(DataFrame.unionByName, open_), ["stream"], "v", settings).select("stream", "unit").collect()}
+    return {n: u for n, u in found.items() if u in timeaxis.UNIT_NS}
+
+
+def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS, time_column: str | None = None) -> DataFrame:
     """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units."""
-    found = None
-    for s in data.entries:
-        if not s.timestamp_column or (names and not any(n.lower() in s.name.lower() for n in names)):
-            continue
-        frame = with_row_index(data.tables[s.name]).select(F.lit(s.name).alias("stream"), F.col("row_index").alias("i"), F.col(f"`{s.timestamp_column}`").cast("double").alias("v"), F.col(f"`{s.timestamp_column}`").try_cast("bigint").alias("whole"))
-        unit = s.timestamp_unit if s.timestamp_unit in timeaxis.UNIT_NS else timeaxis.infer_unit(frame, ["stream"], "v", settings).select("unit").first()
-        unit = unit if isinstance(unit, str) or unit is None else unit[0]
-        if unit not in timeaxis.UNIT_NS:
-            continue
-        scale = timeaxis.UNIT_NS[unit]
-        exact = F.when(F.col("whole") == F.col("v"), F.col("whole") * scale).otherwise((F.col("v") * scale).cast("bigint"))
-        one = frame.select("stream", "i", exact.alias("t"))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    wanted = [s for s in data.entries if not names or any(n.lower() in s.name.lower() for n in names)]
+    columns = {s.name: time_column if time_column in data.tables[s.name].columns else s.timestamp_column for s in wanted}
+    frames = {n: (data.tables[n], c) for n, c in columns.items() if c}
+    units = _units(frames, settings) if frames else {}
+    rows = [_in_ns(with_row_index(frame), column, units[n]).select(F.lit(n).alias("stream"), F.col("row_index").alias("i"), "t") for n, (frame, column) in frames.items() if n in units]
+    if not rows:
         raise ValueError("no stream has a clock whose unit is known")
-    return found
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def _declared(data: catalog.Dataset, table: str | None, fps: float | None) -> float | None:
+    found = None if fps is not None else data.nominal_rate(table)
+    return fps if fps is not None else found["value"] if found else None
 
 
 @tool
-def inspect_streams(data: catalog.Dataset, settings: Settings = DEFAULTS) -> dict:
+def inspect_streams(data: catalog.Dataset, media: DataFrame | None = None, settings: Settings = DEFAULTS) -> dict:
+    """Rates, jitter, shape and role of every stream, against the declared rate; and how videos (media: name, fps) relate."""
     clocks = _clocks(data, settings=settings)
     rates = timeaxis.steady_rate(clocks, ["stream"], "t", settings).join(sync.stream_shape(clocks, ["stream"], "t", settings), "stream", "right")
-    burst = F.col("shape") == "burst"
-    rates = rates.withColumn("rate_hz", F.when(~burst, F.col("rate_hz")))
-    return {"streams": data.streams().join(rates.withColumnRenamed("stream", "name").drop("n"), "name", "left").withColumn("role", catalog.role_of(F.col("name")))}
+    nominal = data.nominal_rate()
+    burst, declared = F.col("shape") == "burst", F.lit(nominal["value"] if nominal else None).cast("double")
+    rates = rates.withColumn("rate_hz", F.when(~burst, F.col("rate_hz"))).withColumn("nominal_hz", declared)
+    rates = rates.withColumn("consistency", timeaxis.compare_rates(F.col("rate_hz"), F.col("nominal_hz"), settings))
+    shown = data.streams().join(rates.withColumnRenamed("stream", "name").drop("n"), "name", "left").withColumn("role", catalog.role_of(F.col("name")))
+    shown = shown.withColumn("shape_of_data", F.concat_ws(" x ", "n_rows", "n_cols"))
+    cameras = {}
+    if media is not None:
+        fastest = rates.agg(F.max("rate_hz")).first()[0]
+        cameras = {r.name: timeaxis.explain_rates(r.fps, fastest) for r in media.select("name", F.col("fps").cast("double").alias("fps")).collect()}  # a row a video
+    return {"streams": shown, "nominal_rate": nominal, "cameras": cameras}
 
 
 @tool
-def check_temporal_sync(data: catalog.Dataset, baseline_stream: str | None = None, streams: list[str] | None = None, locate_gaps: bool = False, settings: Settings = DEFAULTS) -> dict:
-    clocks = _clocks(data, streams, settings)
-    if clocks.select("stream").distinct().count() < 2:
+def check_temporal_sync(
+    data: catalog.Dataset, baseline_stream: str | None = None, streams: list[str] | None = None, time_column: str | None = None, locate_gaps: bool = False, settings: Settings = DEFAULTS
+) -> dict:
+    """Checks, residuals, drift and verdicts; for burst streams with other clocks also whether those contradict the first."""
+    clocks = _clocks(data, streams, settings, time_column)
+    present = {r[0] for r in clocks.select("stream").distinct().collect()}
+    if len(present) < 2:
         raise ValueError("at least two streams with clocks are needed")
-    out = {"report": sync.sync_report(clocks, "stream", "t", ["i"], baseline_stream, 60_000_000_000, settings)}
+    if baseline_stream and not (baseline_stream := next((n for n in sorted(present) if baseline_stream.lower() in n.lower()), None)):
+        raise ValueError("no stream with a clock has that name")
+    if baseline_stream is None:
+        still = [s.name for s in data.entries if data.kind(s) == "calibration"]
+        ranked = sync.rank_baselines(clocks.where(~F.col("stream").isin(*still)) if still else clocks, "stream", "t", settings)
+        best = ranked.orderBy(F.desc("score"), "stream").first()
+        baseline_stream = best[0] if best else None
+    checked = staged(sync.sync_report(clocks, "stream", "t", ["i"], baseline_stream, settings=settings), "sync-report")
+    conflicts = {}
+    for name in [r[0] for r in checked.where("shape = 'burst'").select("stream").collect()]:
+        frame, main = with_row_index(data.tables[name]), time_column or next(s.timestamp_column for s in data.entries if s.name == name)
+        others = [c for c in catalog.clock_names(data.tables[name]) if c != main and timeaxis.unit_from_name(c) != "frame_index"][:2]
+        units = {c: u for c in [main, *others] if (u := _units({c: (frame, c)}, settings).get(c))}
+        if len(units) > 1:
+            rows = _in_ns(frame, main, units[main]).withColumnRenamed("t", main)
+            for c in list(units)[1:]:
+                rows = rows.join(_in_ns(frame, c, units[c]).withColumnRenamed("t", c), "row_index")
+            conflicts[name] = sync.clock_conflicts(rows.withColumn("_stream", F.lit(name)), ["_stream"], list(units), settings)
+    out = {"report": checked, "baseline": baseline_stream, "clock_conflicts": conflicts}
     return out | ({"gaps": sync.locate_gaps(clocks, ["stream"], "t", settings)} if locate_gaps else {})
 
 
 @tool
-def check_sensor_sanity(data: catalog.Dataset, table: str | None = None, settings: Settings = DEFAULTS) -> dict:
+def check_sensor_sanity(data: catalog.Dataset, sensor: str | None = None, table: str | None = None, expand: bool = False, settings: Settings = DEFAULTS) -> dict:
+    """IMU, force and constant-channel checks of all tables, or of one, or of one kind of sensor. Accelerometers and
+    gyroscopes in files of their own are judged together; blocks follow the measured rate."""
+    wanted = [s for s in data.entries if table is None or s.name == data.name_of(table)]
+    pairs = {} if table else {r.accel: r.gyro for r in data.relations()["imu"].collect()}  # a row for each device
+    rates = {}
+    try:
+        rates = {r.stream: r.rate_hz for r in timeaxis.measured_rate(_clocks(data, [s.name for s in wanted], settings), ["stream"], "t", ["i"], settings).collect()}
+    except ValueError:
+        pass  # no clock: blocks take the usual rate
     out: dict[str, DataFrame] = {}
-    for s in data.entries if table is None else [s for s in data.entries if s.name == table]:
-        frame = data.tables[s.name]
+    for s in wanted:
+        frame = envelope.expand(data.tables[s.name]) if expand else data.tables[s.name]
         numbers = [c for c in stats.numeric_columns(frame) if c != s.timestamp_column]
         if not numbers:
             continue
-        out[f"{s.name}:constant"] = sanity.constant_channels(frame, numbers, settings)
-        axes = sanity.split_imu(numbers)
-        if s.kind == "imu" and axes["accel"]:
-            rows = with_row_index(frame).withColumn("_stream", F.lit(s.name))
-            out[f"{s.name}:imu"] = sanity.imu_checks(rows, ["_stream"], "row_index", axes["accel"], axes["gyro"], settings=settings)
-        if s.kind == "force":
+        kind, axes = data.kind(s), sanity.split_imu(numbers, s.name)
+        if sensor is None:
+            out[f"{s.name}:constant"] = sanity.constant_channels(frame, numbers, settings)
+        if kind == "imu" and sensor in (None, "imu") and axes["accel"]:
+            rows = with_row_index(frame).select("row_index", *[F.col(f"`{c}`").alias(_flat(c)) for c in axes["accel"] + axes["gyro"]])
+            accel, gyro = [_flat(c) for c in axes["accel"]], [_flat(c) for c in axes["gyro"]]
+            if s.name in pairs and not gyro:
+                other = data.tables[pairs[s.name]]
+                turn = sanity.split_imu(stats.numeric_columns(other), pairs[s.name])["gyro"]
+                gyro = [f"gyro_{_flat(c)}" for c in turn]
+                rows = rows.join(with_row_index(other).select("row_index", *[F.col(f"`{c}`").alias(n) for c, n in zip(turn, gyro, strict=True)]), "row_index", "left")
+            rows = rows.withColumn("_stream", F.lit(s.name))
+            out[f"{s.name}:imu"] = sanity.imu_checks(rows, ["_stream"], "row_index", accel, gyro, rates.get(s.name), settings)
+            out[f"{s.name}:clipping"] = sanity.clipping(rows, accel + gyro, None, settings)
+        if kind == "force" and sensor in (None, "force"):
             out[f"{s.name}:force"] = sanity.force_checks(frame, numbers, settings)
     if not out:
         raise ValueError("no table with numeric channels")
     return {"checks": out}
 
 
+def _flat(name: str) -> str:
+    return name.replace(".", "_")
+
+
+def _timed(data: catalog.Dataset, table: str | None, frame: DataFrame, settings: Settings) -> tuple[DataFrame | None, str | None]:
+    """The frame (with row_index) with _ns and _s by the table's clock, if its unit is known; and the clock's name."""
+    clock, _ = catalog.find_timestamp(data.table(table), content=True)
+    unit = _units({"clock": (frame, clock)}, settings).get("clock") if clock else None
+    if unit is None:
+        return None, clock
+    scale, v = timeaxis.UNIT_NS[unit], F.col(f"`{clock}`").cast("double")
+    whole = F.col(f"`{clock}`").try_cast("bigint")
+    ns = F.when(whole == v, whole * scale).otherwise((v * scale).cast("bigint"))
+    return frame.withColumn("_ns", ns).withColumn("_s", v * scale / 1e9), clock
+
+
+def _episodes(frame: DataFrame) -> tuple[DataFrame, str]:
+    found = stats.find_column(frame.columns, stats.EPISODE_NAMES)
+    return (frame, found) if found else (frame.withColumn("_episode", F.lit(0)), "_episode")
+
+
 @tool
-def check_dataset_quality(data: catalog.Dataset, table: str | None = None, fps: float | None = None, profile: dict | None = None, settings: Settings = DEFAULTS) -> dict:
-    """All gates and diagnostics of a table with their layered verdict."""
-    name = table or data.main_table()
-    frame = with_row_index(data.table(name))
-    episode = stats.find_column(frame.columns, stats.EPISODE_NAMES)
-    if episode is None:
-        frame, episode = frame.withColumn("_episode", F.lit(0)), "_episode"
-    clock, _ = catalog.find_timestamp(data.table(name))
+def check_dataset_quality(
+    data: catalog.Dataset, table: str | None = None, fps: float | None = None, profile: dict | None = None, profile_root: str | None = None, media: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> dict:
+    """All gates and diagnostics of a table with their layered verdict.
+
+    The rate is the one given or declared; columns that may lack values come from the profile, or the stored one
+    (profile_root); media (width, height, duration_s) are judged by what is known of them.
+    """
+    name = data.name_of(table)
+    if profile is None and profile_root:
+        profile = annotation_store.ProfileStore(data.spark, profile_root).load(data.path)
+    frame, episode = _episodes(with_row_index(data.table(name)))
+    fps = _declared(data, name, fps)
+    timed, clock = _timed(data, name, frame, settings)
     actions = [c for c in quality.action_columns(data.table(name)) if c not in (episode, clock)]
     gates, diagnostics, detail = {}, {}, {}
 
     def judge(level: dict, rule: str, rows: DataFrame | None, bad: str, state: str = "fail") -> None:
+        """bad rows give the state; where rows have a verdict of their own, the worst of them counts."""
         if rows is None:
             level[rule] = "skip"
             return
         detail[rule] = rows
-        level[rule] = state if rows.where(bad).limit(1).count() else "pass"
+        if bad == "verdict":
+            found = {r[0] for r in rows.select("verdict").distinct().collect()}
+            level[rule] = next((v for v in ("fail", "warn", "pass") if v in found), "skip")
+        else:
+            level[rule] = state if rows.where(bad).limit(1).count() else "pass"
 
-    numbers = [c for c in stats.numeric_columns(frame) if c != "row_index"]
+    numbers = [c for c in stats.numeric_columns(frame) if c not in ("row_index", "_episode")]
     judge(gates, "nan_inf", quality.gate_bad_values(frame, numbers, annotation_store.expected_missing(profile or {}, name, numbers), settings) if numbers else None, "fails")
-    timed = None
-    if clock:
-        unit = timeaxis.infer_unit(frame, [], clock, settings).select("unit").first()
-        scale = timeaxis.UNIT_NS.get(unit[0] if unit else "", 0)
-        timed = frame.withColumn("_ns", (F.col(clock) * scale).cast("bigint")).withColumn("_s", F.col(clock) * scale / 1e9) if scale else None
-        judge(gates, "timestamp_monotonic", quality.gate_monotonic(frame, [episode], clock, ["row_index"]), "verdict = 'fail'")
-        judge(gates, "episode_bounds", quality.gate_episode_bounds(frame, episode, clock, "row_index"), "fails")
-    judge(gates, "frame_loss", quality.gate_frame_loss(timed, [episode], "_s", fps, settings) if timed is not None else None, "fails")
-    judge(gates, "fps_valid", quality.gate_fps(timed, [episode], "_ns", ["row_index"], fps, settings) if timed is not None and fps is not None else None, "verdict = 'fail'")
-    lacks = quality.gate_schema({s.name: data.tables[s.name] for s in data.entries if s.name.lower().startswith("episode")}, settings)
+    judge(gates, "timestamp_monotonic", quality.gate_monotonic(frame, [episode], clock, ["row_index"]) if clock else None, "verdict")
+    judge(gates, "episode_bounds", quality.gate_episode_bounds(frame, episode, clock, "row_index") if clock else None, "fails")
+    judge(gates, "frame_loss", quality.gate_frame_loss(timed, [episode], "_s", fps if fps and fps > 0 else None, settings) if timed is not None else None, "fails")
+    judge(gates, "fps_valid", quality.gate_fps(timed, [episode], "_ns", ["row_index"], fps, settings) if timed is not None and fps is not None else None, "verdict")
+    alike = {s.name: data.tables[s.name].columns for s in data.entries if s.format == name.rsplit(".", 1)[-1] and s.name.lower().startswith(("episode", "file", "chunk"))}
+    lacks = quality.gate_schema(alike, settings) if len(alike) > 1 else []
     gates["schema_consistency"] = "fail" if any(r["fails"] for r in lacks) else "pass" if lacks else "skip"
-    long = quality.channels(frame, [episode], "row_index", actions) if actions else None
+    long = quality.channels(timed if timed is not None else frame, [episode], "row_index", actions, ("_s",) if timed is not None else ()) if actions else None
     rules: dict[str, tuple[Callable, str]] = {
-        "idle_ratio": (quality.idle_ratio, "warns"), "action_spike": (quality.action_spikes, "n_spikes > 0"), "action_jerk": (quality.action_jerk, "warns"),
-        "robot_induced_pause": (quality.pauses, "n_rows > 0"), "arm_shaking": (quality.arm_shaking, "warns"), "path_efficiency": (quality.path_efficiency, "warns"),
+        "idle_ratio": (quality.idle_ratio, "warns"), "action_jerk": (quality.action_jerk, "warns"), "robot_induced_pause": (quality.pauses, "n_rows > 0"),
+        "arm_shaking": (quality.arm_shaking, "warns"), "path_efficiency": (quality.path_efficiency, "warns"),
     }
     for rule, (check, bad) in rules.items():
         judge(diagnostics, rule, check(long, [episode], "row_index", settings) if long is not None else None, bad, "warn")
+    spikes = quality.action_spikes(long, [episode], "row_index", settings, "_s" if timed is not None else None) if long is not None else None
+    judge(diagnostics, "action_spike", spikes, "n_spikes > 0", "warn")
+    if spikes is not None:
+        detail["action_spike_worst"] = quality.worst_channels(spikes, "n_spikes", settings)
     pairs = quality.pair_action_state(frame.columns)
     judge(diagnostics, "actuator_saturation", quality.actuator_saturation(frame, [episode], "row_index", pairs, settings) if pairs else None, "n_over > 0", "warn")
-    diagnostics["visual_quality"] = "skip"
-    return {"table": name, "gates": gates, "diagnostics": diagnostics, "details": detail, **quality.layered_verdict(gates, diagnostics)}
+    judge(diagnostics, "visual_quality", quality.visual_quality(media) if media is not None else None, "small_frame or no_duration", "warn")
+    return {"table": name, "declared_fps": fps, "gates": gates, "diagnostics": diagnostics, "details": detail, **quality.layered_verdict(gates, diagnostics)}
 
 
 @tool
@@ -182,31 +304,81 @@ def compute_stats(data: catalog.Dataset, metric: str = "generic", column: str |
         if value is None:
             raise ValueError("no duration column")
         last = stats.last_value(rows, episode, value, ["row_index"])
-        return {"stats": last.agg(F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max")) if metric == "duration" else stats.iqr_outliers(last, value, settings)}
+        middle = windows.summaries(last, [], [F.min(value).alias("min"), F.max(value).alias("max")], {"median": (value, 0.5)}, settings)
+        return {"stats": middle if metric == "duration" else stats.iqr_outliers(last, value, settings)}
     raise ValueError(f"unknown metric {metric!r}")
 
 
 @tool
-def plot_chart(data: catalog.Dataset, chart_type: str, x: str, y: str | None = None, color: str | None = None, title: str = "", table: str | None = None) -> dict:
-    series, spec = charts.chart(data.table(table), chart_type, x, y, color, title)
-    return {"series": series, "plot_spec": spec}
+def plot_chart(
+    data: catalog.Dataset, chart_type: str, x: str | None = None, y: str | None = None, color: str | None = None, title: str = "", table: str | None = None, streams: list[str] | None = None
+) -> dict:
+    """Series and specification of a chart: line, scatter, histogram, bar, trajectory or multi_stream_overlay.
+
+    x defaults to the clock, else the first column; y to the first other number. A vector column as y gives its first
+    dimensions. A trajectory takes the table's blocks of joints or xyz; an overlay the first channel of each stream.
+    """
+    if chart_type == "multi_stream_overlay":
+        clocks = {s.name: s.timestamp_column for s in data.entries if s.timestamp_column and (not streams or s.name in streams)}
+        frames = {n: (data.tables[n], c) for n, c in clocks.items()}
+        units = _units(frames, DEFAULTS) if frames else {}
+        values = {n: next((c for c in stats.numeric_columns(f) if c not in catalog.clock_names(f)), None) for n, (f, _) in frames.items()}
+        picked = {n: c for n, c in values.items() if c and n in units}
+        if not picked:
+            raise ValueError("no stream has a clock and a number")
+        rows = {}
+        for n, c in picked.items():
+            numbered = with_row_index(data.tables[n])
+            rows[n] = _in_ns(numbered, clocks[n], units[n]).join(numbered.select("row_index", F.col(f"`{c}`").alias("v")), "row_index")
+        series = charts.overlay(rows, "t", dict.fromkeys(rows, "v"))
+        return {"series": series, "plot_spec": {"kind": chart_type, "title": title, "columns": series.columns, "labels": {n: charts.label(c) for n, c in picked.items()}}}
+    frame = data.table(table)
+    if chart_type == "trajectory":
+        axes = charts.trajectory_axes(stats.numeric_columns(frame))
+        if not axes:
+            raise ValueError("no joints or positions to draw")
+        series = charts.trajectory(with_row_index(frame), "row_index", axes)
+        return {"series": series, "plot_spec": {"kind": chart_type, "title": title, "columns": series.columns, "labels": {c: charts.label(c) for c in axes}}}
+    clock, _ = catalog.find_timestamp(frame)
+    numbers = [c for c in stats.numeric_columns(frame) if c != clock]
+    x = x or (numbers[0] if chart_type == "histogram" and numbers else clock or frame.columns[0])
+    y = y or (None if chart_type in ("histogram", "bar") else next((c for c in numbers if c != x), None))
+    if y and isinstance(frame.schema[y].dataType, T.ArrayType):
+        frame, y, color = charts.vector_series(frame, x, y), "value", "dim"
+    series, spec = charts.chart(frame, chart_type, x, y, color, title)
+    return {"series": series, "plot_spec": spec | {"labels": {c: charts.label(c) for c in (x, y) if c}}}
 
 
 @tool
-def generate_report(spark: SparkSession, title: str, sections: dict, findings: DataFrame | None = None) -> dict:
-    return {"markdown": report.report(title, sections, findings)}
+def generate_report(spark: SparkSession, title: str, sections: dict | None = None, findings: DataFrame | None = None, data: catalog.Dataset | None = None, quality_result: dict | None = None) -> dict:
+    """A Markdown report. With a dataset it begins with an overview, its capabilities and what they lack, then the quality
+    verdict if there is one; then the sections given."""
+    own: dict = {}
+    if data is not None:
+        matrix = report.capability_matrix(data.capabilities())
+        own["Overview"] = data.list_tables()
+        own["Capabilities"] = spark.createDataFrame([(r["capability"], r["present"], r["note"]) for r in matrix], "capability string, present boolean, note string")
+        own["Limitations"] = "\n".join(f"* {r['capability']}: {r['note']}" for r in matrix if r["note"]) or "none"
+    if quality_result is not None:
+        plain = {k: quality_result[k] for k in ("verdict", "failed", "warned", "not_audited") if k in quality_result}
+        own["Quality"] = "\n".join(f"* {k}: {v}" for k, v in report.fit_result(plain).items())
+    return {"markdown": report.report(title, own | (sections or {}), findings)}
 
 
 @tool
-def propose_stream_semantics(data: catalog.Dataset, claims: dict[str, str], confirm: bool = False) -> dict:
-    """Evidence for claimed kinds (table: kind); with confirm those that do not fail are taken over."""
+def propose_stream_semantics(data: catalog.Dataset, claims: dict[str, str], confirm: bool = False, profile_root: str | None = None) -> dict:
+    """Evidence for claimed kinds (table: kind); with confirm those that do not fail are taken over, and kept in the stored
+    profile if its folder is named."""
     results = {}
     for name, kind in claims.items():
         frame = data.table(name)
-        axes, quats = sanity.split_imu(stats.numeric_columns(frame)), sanity.quaternion_names(frame.columns)
-        results[name] = sanity.verify_claim(frame, kind, next(iter(quats.values()), None), axes["accel"] or None, axes["gyro"] or None, frame.columns)
-    good = {n: r["kind"] for n, r in results.items() if r["level"] != "failed"}
-    return {"results": results, "dataset": data.confirm(good) if confirm and good else data}
+        axes, quats = sanity.split_imu(stats.numeric_columns(frame), name), sanity.quaternion_names(frame.columns)
+        rows = with_row_index(frame)
+        results[name] = sanity.verify_claim(rows, kind, next(iter(quats.values()), None), axes["accel"] or None, axes["gyro"] or None, frame.columns, order="row_index")
+    good = {data.name_of(n): r["kind"] for n, r in results.items() if r["level"] != "failed"}
+    if confirm and good and profile_root:
+        annotation_store.ProfileStore(data.spark, profile_root).save(data.path, kinds=good)
+    return {"results": report.fit_result(results), "dataset": data.confirm(good) if confirm and good else data}
 
 
 @tool
@@ -218,70 +390,138 @@ def unpack_mcap(spark: SparkSession, path: str, out: str, topics: list[str] | No
 
 
 @tool
-def align_container_streams(spark: SparkSession, container: str, settings: Settings = DEFAULTS) -> dict:
-    """Offsets of a container's topics, from one pass over their times."""
+def align_container_streams(spark: SparkSession, container: str, max_streams: int | None = None, settings: Settings = DEFAULTS) -> dict:
+    """Offsets of a container's topics, from one pass over their times; of HDF5 containers the master clock and cameras that
+    only images or only clocks know."""
+    if container.lower().endswith((".h5", ".hdf5")):
+        nodes = [r.node for r in hdf5.list_nodes(spark, container).select("node").collect()]  # names only
+        cameras = [(container, m[1], "timestamp" in n.lower()) for n in nodes if (m := re.search(r"(cam[^/]*)", n.lower()))]
+        found = spark.createDataFrame(cameras, "container string, camera string, is_clock boolean")
+        return {"master_clock": sync.master_clock(nodes), "cameras": sync.camera_coverage(found)}
     rows = mcap.read_messages(spark, container, times_only=True).select(F.col("path").alias("container"), "topic", "mcap_log_time_ns")
-    return {"alignment": sync.container_alignment(rows, "container", "topic", "mcap_log_time_ns", settings=settings)}
+    found = sync.container_alignment(rows, "container", "topic", "mcap_log_time_ns", settings=settings)
+    return {"alignment": found if max_streams is None else found.orderBy(F.desc("n"), "topic").limit(max_streams)}
+
+
+@tool
+def frame_times(data: catalog.Dataset, frames: str, clock: str, index: str = "frame_index") -> dict:
+    """The rows of a table of frames with the columns of a clock table, by frame number."""
+    return {"frames": sync.frame_clock(data.table(frames), data.table(clock), index)}
 
 
 @tool
-def compare_datasets(a: catalog.Dataset, b: catalog.Dataset) -> dict:
+def compare_datasets(a: catalog.Dataset, b: catalog.Dataset, settings: Settings = DEFAULTS) -> dict:
     def side(data: catalog.Dataset) -> DataFrame:
-        return sync.stream_checks(_clocks(data), ["stream"], "t", ["i"]).select("stream", "n", "span_s", "rate_hz")
+        return sync.stream_checks(_clocks(data, settings=settings), ["stream"], "t", ["i"], settings).select("stream", "n", "span_s", "rate_hz")
 
     return {"streams": compare.compare_datasets(side(a), side(b))}
 
 
 @tool
-def compare_table_columns(data: catalog.Dataset, table_a: str, table_b: str, columns_a: list[str], columns_b: list[str], op: str = "diff", on: str | None = None) -> dict:
+def compare_table_columns(data: catalog.Dataset, table_a: str, table_b: str, columns_a: list[str], columns_b: list[str], op: str = "diff", on: str | None = None, settings: Settings = DEFAULTS) -> dict:
     a, b = with_row_index(data.table(table_a)), with_row_index(data.table(table_b))
     key = on or compare.pick_key(a, b)
     if key is None:
         raise ValueError("the tables have no key in common")
-    return {"key": key, "stats": compare.compare_tables(a, b, key, columns_a, columns_b, op, order_a="row_index", order_b="row_index")}
+    return {"key": key, "stats": compare.compare_tables(a, b, key, columns_a, columns_b, op, settings, order_a="row_index", order_b="row_index")}
 
 
 @tool
-def segment_actions(data: catalog.Dataset, table: str | None = None, fps: float = 30.0, method: str = "auto", settings: Settings = DEFAULTS) -> dict:
-    """Segments of a table. method: auto (all signals), velocity (motion only) or gripper."""
+def segment_actions(data: catalog.Dataset, table: str | None = None, fps: float | None = None, method: str = "auto", episode_key: str | None = None, settings: Settings = DEFAULTS) -> dict:
+    """Segments of a table, or of one episode. method: auto (all signals), velocity (motion only) or gripper.
+
+    Times follow the table's clock, else the rate given or declared; with neither they are null.
+    """
+    name = data.name_of(table)
+    frame, episode = _episodes(with_row_index(data.table(name)))
+    if episode_key is not None:
+        frame = frame.where(F.col(episode).cast("string") == F.lit(episode_key))
+    gripper = next((c for c in stats.numeric_columns(frame) if "gripper" in c.lower()), None) if method != "velocity" else None
+    timed, clock = _timed(data, name, frame, settings)
+    usable = [c for c in quality.action_columns(frame) if c not in (episode, clock, gripper)] if method != "gripper" else []
+    motion = segment.motion_columns(frame, usable)
+    rows = (frame if timed is None else timed).withColumn("_one", F.lit(1))
+    rows = windows.running_sum(rows, [episode], ["row_index"], "_one", "_row").withColumn("_row", F.col("_row") - 1)
+    return {"segments": segment.segment_actions(rows, [episode], "_row", motion, gripper, _declared(data, name, fps), settings, None if timed is None else "_s")}
+
+
+def _anchors(data: catalog.Dataset, table: str | None, settings: Settings) -> DataFrame:
+    """Where episodes begin and end: by the dataset's own list of episodes and its rate, else by the table's episode column,
+    else one for all."""
+    if data.meta.get("episodes") and data.meta.get("fps"):
+        listed = catalog.lerobot_tasks(data.spark, data.meta.get("tasks", ""), data.meta["episodes"])
+        end = F.col("length") / F.lit(float(data.meta["fps"]))
+        return listed.select(
+            F.col("episode_index").cast("string").alias("episode_key"), F.lit(0.0).alias("start_s"), end.alias("end_s"), F.lit(0).cast("bigint").alias("first_row"),
+            (F.col("length") - 1).alias("last_row"), F.col("length").alias("n_rows"), end.alias("duration_s"),
+        )
     frame = with_row_index(data.table(table))
+    timed, _ = _timed(data, table, frame, settings)
     episode = stats.find_column(frame.columns, stats.EPISODE_NAMES)
-    if episode is None:
-        frame, episode = frame.withColumn("_episode", F.lit(0)), "_episode"
-    gripper = next((c for c in stats.numeric_columns(frame) if "gripper" in c.lower()), None) if method != "velocity" else None
-    clock, _ = catalog.find_timestamp(data.table(table))
-    usable = [c for c in quality.action_columns(frame) if c not in (episode, clock, gripper, "row_index")] if method != "gripper" else []
-    frame = frame.withColumn("_row", (F.row_number().over(Window.partitionBy(episode).orderBy("row_index")) - 1).cast("bigint"))
-    return {"segments": segment.segment_actions(frame, [episode], "_row", segment.motion_columns(frame, usable), gripper, fps, settings)}
+    return annotations.episode_anchors(frame if timed is None else timed, episode, None if timed is None else "_s", "row_index", _declared(data, table, None))
 
 
 @tool
-def annotate_task(data: catalog.Dataset, table: str | None = None, column: str | None = None) -> dict:
-    """Candidate tasks of each episode from a text column."""
+def annotate_task(
+    data: catalog.Dataset, table: str | None = None, column: str | None = None, root: str | None = None, confirm: bool = False, settings: Settings = DEFAULTS
+) -> dict:
+    """Candidate tasks of each episode from a text column, else from the dataset's own list; and the episodes' anchors.
+
+    With a store's folder (root) and confirm the first task of each episode is stored as a record of scope task.
+    """
     frame = with_row_index(data.table(table))
     episode = stats.find_column(frame.columns, stats.EPISODE_NAMES)
     text_column = column or stats.find_column(frame.columns, ("task", "instruction", "language_instruction", "task_description"), prefix=True)
-    if episode is None or text_column is None:
+    if episode and text_column:
+        tasks = stats.first_seen(frame, [episode], text_column, ["row_index"])
+    elif data.meta.get("episodes"):
+        tasks, episode = catalog.lerobot_tasks(data.spark, data.meta.get("tasks", ""), data.meta["episodes"]).select("episode_index", "tasks"), "episode_index"
+    else:
         raise ValueError("an episode column and a text column are needed")
-    return {"tasks": stats.first_seen(frame, [episode], text_column, ["row_index"])}
+    out = {"tasks": tasks, "anchors": _anchors(data, table, settings)}
+    if root and confirm:
+        records = tasks.where(F.size("tasks") > 0).select(
+            F.lit("task").alias("scope"), F.col(episode).cast("string").alias("episode_key"), F.lit(1).cast("bigint").alias("id"), F.lit("imported").alias("source"), F.col("tasks")[0].alias("label")
+        )
+        out["saved"] = annotation_store.AnnotationStore(data.spark, root).save(records)
+    return out
+
+
+def _qc(records: DataFrame, use: str, data: catalog.Dataset | None, table: str | None, vocabulary: list[str] | None, settings: Settings) -> DataFrame:
+    """The checks of a store's records, with the durations of a dataset's episodes and a vocabulary where they are given."""
+    durations = _anchors(data, table, settings).where("duration_s is not null").select("episode_key", "duration_s") if data is not None else None
+    words = records.sparkSession.createDataFrame([(w,) for w in vocabulary], "action string") if vocabulary else None
+    return annotations.check_annotations(records, use, durations, words, settings)
 
 
 @tool
-def save_annotations(spark: SparkSession, root: str, records: DataFrame, use: str = "audit", source: str | None = None, confirmed_by_user: bool = False, dry_run: bool = False, episodes: DataFrame | None = None) -> dict:
-    """Validate and store records, then check the whole store for the declared use."""
+def save_annotations(
+    spark: SparkSession, root: str, records: DataFrame, use: str = "audit", source: str | None = None, confirmed_by_user: bool = False, dry_run: bool = False,
+    episodes: DataFrame | None = None, data: catalog.Dataset | None = None, table: str | None = None, vocabulary: list[str] | None = None, settings: Settings = DEFAULTS,
+) -> dict:
+    """Validate and store records, then check the whole store for the declared use. A dataset gives the episodes that there
+    are and how long they last."""
     if source == "user_confirmed" and not confirmed_by_user:
         raise ValueError("user_confirmed records need confirmed_by_user")
     store = annotation_store.AnnotationStore(spark, root)
-    saved = store.save(records.withColumn("source", F.lit(source)) if source else records, episodes=episodes, dry_run=dry_run)
-    return saved | ({"qc": annotations.check_annotations(store.load(), use)} if saved["success"] else {})
+    known = episodes if episodes is not None or data is None else _anchors(data, table, settings).select("episode_key")
+    saved = store.save(records.withColumn("source", F.lit(source)) if source else records, episodes=known, dry_run=dry_run)
+    return saved | ({"qc": _qc(store.load(), use, data, table, vocabulary, settings)} if saved["success"] else {})
 
 
 @tool
-def check_annotation_qc(spark: SparkSession, root: str, use: str = "audit", scope: str | None = None, episode_key: str | None = None, settings: Settings = DEFAULTS) -> dict:
+def check_annotation_qc(
+    spark: SparkSession, root: str, use: str = "audit", scope: str | None = None, episode_key: str | None = None,
+    data: catalog.Dataset | None = None, table: str | None = None, vocabulary: list[str] | None = None, settings: Settings = DEFAULTS,
+) -> dict:
+    """Findings over a store: with a dataset also what exceeds its episodes, with a vocabulary what is not in it."""
     records = annotation_store.AnnotationStore(spark, root).load(scope=scope, episode_key=episode_key)
-    found = annotations.check_annotations(records, use, settings=settings)
+    found = _qc(records, use, data, table, vocabulary, settings)
     levels = {r.level for r in found.select("level").distinct().collect()}
-    return {"findings": found, "result": "fail" if "fail" in levels else "warn" if levels else "pass", "must_declare": annotations.must_declare(records, use).count()}
+    return {
+        "findings": found, "result": "fail" if "fail" in levels else "warn" if levels else "pass", "must_declare": annotations.must_declare(records, use).count(),
+        "records": annotations.with_times(records),
+    }
 
 
 @tool

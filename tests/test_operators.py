@@ -1,11 +1,12 @@
 """Statistics, sanity, comparison, segments and annotations on closed-form inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sensorline.operators import annotations, compare, sanity, segment, stats
+from sensorline.operators import annotations, compare, sanity, segment, stats, windows
 
 
 def test_generic_stats_skips_bad_values_and_null_groups(spark):
@@ -44,7 +45,8 @@ def test_histogram_closes_the_last_bin(spark):
 
 
 def imu(spark, norm, gyro=0.001):
-    rows = [(i, (norm if i < 100 else norm + 5 * math.sin(i)), 0.0, 0.0, gyro) for i in range(200)]
+    wave = [norm * 1e-3 * math.sin(i) for i in range(200)]
+    rows = [(i, (norm if i < 100 else norm + 5 * norm * math.sin(i)), wave[i], wave[-i], gyro * (1 + i % 3 / 1000)) for i in range(200)]
     return spark.createDataFrame(rows, "row bigint, accel_x double, accel_y double, accel_z double, gyro_x double").withColumn("d", F.lit("imu"))
 
 
@@ -55,8 +57,21 @@ def test_imu(spark, norm, unit, verdict):
 
 
 def test_gyro_bias_by_unit(spark):
-    assert sanity.imu_checks(imu(spark, 9.8, 0.3), ["d"], "row", ["accel_x"], ["gyro_x"]).first().verdict == "fail"
-    assert sanity.imu_checks(imu(spark, 9.8, 3.0), ["d"], "row", ["accel_x"], ["gyro_x"]).first().gyro_bias_deg_s == pytest.approx(3.0)
+    axes = ["accel_x", "accel_y", "accel_z"]
+    assert sanity.imu_checks(imu(spark, 9.8, 0.3), ["d"], "row", axes, ["gyro_x"]).first().verdict == "fail"
+    assert sanity.imu_checks(imu(spark, 9.8, 3.0), ["d"], "row", axes, ["gyro_x"]).first().gyro_bias_deg_s == pytest.approx(3.0, rel=1e-2)
+
+
+def test_a_constant_axis_warns_and_is_not_judged(spark):
+    rows = imu(spark, 7.0).withColumn("accel_z", F.lit(0.0))
+    got = sanity.imu_checks(rows, ["d"], "row", ["accel_x", "accel_y", "accel_z"], []).first()
+    assert (got.n_constant, got.gravity_error, got.verdict) == (1, None, "warn")
+
+
+def test_axes_by_column_and_stream_name():
+    assert sanity.split_imu(["t", "ax_mss2", "ay_mss2", "gx_radps"]) == {"accel": ["ax_mss2", "ay_mss2"], "gyro": ["gx_radps"]}
+    assert sanity.split_imu(["x", "y", "z"], "left_gyro.csv")["gyro"] == ["x", "y", "z"]
+    assert sanity.split_imu(["x", "y"], "accel.csv")["accel"] == ["x", "y"] and sanity.split_imu(["x"], "pose.csv") == {"accel": [], "gyro": []}
 
 
 def test_clipping_and_constant(spark):
@@ -121,10 +136,42 @@ def test_long_segments_split_and_no_signal_fails(spark):
 
 def test_merge_short_keeps_runs_bounded(spark):
     rows = spark.createDataFrame([("e", 0, 4, "start"), ("e", 5, 9, "x"), ("e", 10, 99, "y"), ("e", 100, 104, "z")], "ep string, start_frame bigint, end_frame bigint, evidence string")
-    got = segment.merge_short(rows, ["ep"], 50.0).orderBy("start_frame").collect()
+    rows = rows.withColumns({"start_s": F.col("start_frame") / 50.0, "end_s": (F.col("end_frame") + 1) / 50.0})
+    got = segment.merge_short(rows, ["ep"]).orderBy("start_frame").collect()
     assert [(r.start_frame, r.end_frame) for r in got] == [(0, 104)]
     short = rows.where("end_frame < 10")
-    assert segment.merge_short(short, ["ep"], 50.0).count() == 2
+    assert segment.merge_short(short, ["ep"]).count() == 2
+    assert segment.merge_short(rows.withColumn("end_s", F.lit(None).cast("double")), ["ep"]).count() == 4
+
+
+def test_segments_on_a_clock(spark):
+    """Rows at ten a second, with a pause of the clock in the middle: times are the clock's."""
+    state = [0, 1, 0, 1]
+    rows = [("e", i, float(state[i // 100]), 50.0 + i / 10 + (5.0 if i >= 150 else 0.0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "ep string, row bigint, gripper double, t double")
+    got = segment.segment_actions(table, ["ep"], "row", [], "gripper", None, clock_s="t").orderBy("id").collect()
+    assert [(r.start_frame, r.start_s, r.end_s) for r in got] == [(0, 0.0, 10.0), (100, 10.0, 25.0), (200, 25.0, 35.0), (300, 35.0, pytest.approx(44.9))]
+    none = segment.segment_actions(table, ["ep"], "row", [], "gripper", None).orderBy("id").collect()
+    assert [(r.start_frame, r.start_s) for r in none] == [(i, None) for i in (0, 100, 200, 300)]
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    """Neighbours, running sums, fills, runs and nearest rows in pieces of few rows, with null and repeated keys."""
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), i, draw.choice([None, 1.0, 2.0, 5.0]), draw.random() < 0.6) for i in range(500)]
+    table = spark.createDataFrame(rows, "k string, i bigint, x double, f boolean")
+    right = spark.createDataFrame([(draw.choice(["a", "b"]), draw.randrange(-50, 600)) for _ in range(80)], "k string, i bigint")
+
+    def results():
+        near = windows.neighbours(table, ["k"], ["i"], {"p": ("x", -1), "n": ("x", 1)})
+        sums = windows.running_sum(table, ["k"], ["i"], "x", "s")
+        runs = windows.runs(table, ["k"], ["i"], "f").select("k", "n_rows", "first.i", F.col("last.i").alias("j"))
+        frames = [near, sums, windows.filled(table, ["k"], "i", ["x"]), runs, windows.nearest(table, right, ["k"], "i"), stats.rolling_mean(table, ["k"], ["i"], "x", "m")]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    plain = results()
+    monkeypatch.setattr(windows, "PIECE_ROWS", 20)
+    assert results() == plain
 
 
 SEGMENT = "scope string, episode_key string, id bigint, start_s double, end_s double, source string, is_noise boolean, cleaning_reason string, interacting_hand string, target_object_class string, atomic_action string"

@@ -38,10 +38,26 @@ def test_frame_loss_declared_and_by_gaps(spark):
 
 def test_schema_gate(spark):
     a, b = frame(spark, [1]), frame(spark, [1]).withColumn("extra", F.lit(1))
-    assert [(r["table"], r["missing"], r["fails"]) for r in quality.gate_schema({"a": a, "b": b})] == [("a", ["extra"], True), ("b", [], False)]
+    got = quality.gate_schema({"a": a.columns, "b": b.columns, "c": a.columns})
+    assert [(r["table"], r["missing"], r["extra"], r["fails"]) for r in got] == [("a", [], [], False), ("b", [], ["extra"], True), ("c", [], [], False)]
 
 
-@pytest.mark.parametrize(("fps", "verdict"), [(100.0, "pass"), (90.0, "fail"), (0.0, "fail"), (None, "skip")])
+@pytest.mark.parametrize("hint", quality.NO_ACTION)
+def test_hints_are_substrings(spark, hint):
+    rows = spark.createDataFrame([(1.0, 1.0, 1.0)], f"arm{hint}x double, joint double, {hint} double")
+    assert quality.action_columns(rows) == ["joint"]
+
+
+def test_timed_spikes(spark):
+    """The same second difference over half the time is four times the acceleration."""
+    rows = [("e", i, float(i % 2), i * 0.1 if i <= 50 else 5.0 + (i - 50) * 0.01) for i in range(60)]
+    long_rows = quality.channels(spark.createDataFrame(rows, "ep string, i bigint, a double, t double"), ["ep"], "i", ["a"], ("t",))
+    assert quality.action_spikes(long_rows, ["ep"], "i").count() == 0
+    got = quality.action_spikes(long_rows, ["ep"], "i", clock_s="t").first()
+    assert got.n_spikes == 9 and got.worst == pytest.approx(100)
+
+
+@pytest.mark.parametrize(("fps", "verdict"), [(100.0, "pass"), (90.0, "warn"), (0.0, "fail"), (None, "skip")])
 def test_fps_gate(spark, fps, verdict):
     rows = frame(spark, range(100)).withColumn("t", F.col("i") * 10_000_000)
     assert quality.gate_fps(rows, ["ep"], "t", ["i"], fps).first().verdict == verdict

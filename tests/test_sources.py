@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sensorline.plans import charts, report
 from sensorline.sources import catalog, envelope, hdf5, mcap, readers, text
@@ -65,6 +66,53 @@ def test_mcap(spark, tmp_path, compress):
     assert spark.read.json(str(tmp_path / "out")).count() == 10
 
 
+@pytest.mark.parametrize(("compress", "channels_first"), [("", True), ("zstd", True), ("lz4", True), ("zstd", False)])
+def test_mcap_in_several_tasks(spark, tmp_path, monkeypatch, compress, channels_first):
+    """Chunks are read side by side where the channels stand outside of them; the rows are the same."""
+    monkeypatch.setattr(mcap, "READ_BYTES", 1)
+    messages = [(f"/t{i % 3}", "json", 1_000 + i, {"x": i}) for i in range(600)]
+    (tmp_path / "a.mcap").write_bytes(mcap.write_example(messages, compress, each=100, channels_first=channels_first))
+    rows = mcap.read_messages(spark, str(tmp_path / "a.mcap")).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.topic, r.mcap_log_time_ns, json.loads(r.data)["x"]) for r in rows) == sorted((t, n, v["x"]) for t, _, n, v in messages)
+    assert len({r.task for r in rows}) == (6 if channels_first else 1)
+    mcap.unpack(spark, str(tmp_path / "a.mcap"), str(tmp_path / "out"), ["/t1"], "json")
+    arrays = [json.loads(line.value) for line in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [m["mcap_log_time_ns"] for a in arrays for m in a] == [1_000 + i for i in range(1, 600, 3)]
+
+
+def test_rows_of_several_files_are_numbered_in_their_order(spark, tmp_path):
+    for part, n in (("a", 40), ("b", 3_000), ("c", 7)):
+        (tmp_path / f"{part}.txt").write_text("".join(f"{part}{i}\n" for i in range(n)))
+        spark.range(n).selectExpr(f"concat('{part}', id) as value").coalesce(1).write.mode("append").parquet(str(tmp_path / "table" / f"k={part}"))
+    want = [f"{p}{i}" for p, n in (("a", 40), ("b", 3_000), ("c", 7)) for i in range(n)]
+    for frame in (text.read_lines(spark, str(tmp_path / "*.txt")), readers.with_row_index(spark.read.parquet(str(tmp_path / "table")))):
+        assert [r.value for r in frame.orderBy("row_index").collect()] == want and frame.agg({"row_index": "max"}).first()[0] == len(want) - 1
+
+
+def test_cp1252_and_drive_paths(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("preis €;n\n„x“ – œ;1\né;2\n".encode("cp1252"))
+    got = readers.read(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["preis €", "n"] and [r[0] for r in got.collect()] == ["„x“ – œ", "é"]
+    assert readers.clean_path("'C:\\data\\a.csv'") == "/C:/data/a.csv"
+
+
+def test_log_tolerances(spark):
+    lines = spark.createDataFrame([(0, "W0102   03:04:05.5  77\tmain.cc:1] hello")], "row_index bigint, value string")
+    got = text.parse_log(lines).first()
+    assert (got.level, got.time_of_day_us, got.thread, got.source, got.message) == ("W", 11045500000, 77, "main.cc:1", "hello")
+
+
+def test_hdf5_stretches():
+    """What a task reads of a node and of a file of frames; plain dictionaries of arrays stand for the file."""
+    import numpy as np
+
+    tree = {"imu": np.arange(12.0).reshape(6, 2), "one": np.array(7.0), "pair": np.array([(1, 2.5), (3, 4.5)], [("a", "i4"), ("b", "f8")])}
+    assert hdf5.stretches(tree, "/imu") == [(0, 6)] and hdf5.rows_of(tree, "/imu", 2, 4) == [(2, [4.0, 5.0]), (3, [6.0, 7.0])]
+    assert hdf5.rows_of(tree, "one", 0, 1) == [(0, [7.0])] and hdf5.rows_of(tree, "pair", 1, 2) == [(1, [3.0, 4.5])]
+    frames = {str(i): {"pos": np.array([i, i + 0.5])} for i in range(60)} | {"60": {}}
+    assert hdf5.stretches(frames, "pos") == [(0, 61)] and hdf5.rows_of(frames, "pos", 58, 61) == [(58, [58.0, 58.5]), (59, [59.0, 59.5])]
+
+
 def test_hdf5_is_gated(spark):
     assert hdf5.is_frame_layout([str(i) for i in range(70)]) and not hdf5.is_frame_layout(["a"] * 70)
     if not hdf5.available():

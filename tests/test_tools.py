@@ -41,14 +41,44 @@ def test_sync_and_sanity(data):
     assert got["imu.csv"].verdict == "pass" or got["cam_front.csv"].verdict == "pass"
     assert max(r.mean_ms or 0 for r in got.values()) == pytest.approx(1.0)
     assert tools.check_temporal_sync(data, streams=["imu"])["success"] is False
-    checks = tools.check_sensor_sanity(data, "imu.csv")["checks"]
-    assert checks["imu.csv:imu"].first().accel_unit == "m/s2"
+    checks = tools.check_sensor_sanity(data, table="imu.csv")["checks"]
+    got = checks["imu.csv:imu"].first()
+    assert (got.n, got.n_constant, got.verdict) == (300, 2, "warn") and checks["imu.csv:clipping"].count() == 4
+    assert set(tools.check_sensor_sanity(data, "imu")["checks"]) == {"imu.csv:imu", "imu.csv:clipping"}
+    assert tools.check_temporal_sync(data, "nothing")["success"] is False
 
 
 def test_quality(data):
     got = tools.check_dataset_quality(data, fps=50.0)
     assert got["gates"]["nan_inf"] == "pass" and got["gates"]["frame_loss"] == "pass" and got["gates"]["fps_valid"] == "pass"
     assert got["verdict"] in ("pass", "warn") and "visual_quality" in got["not_audited"]
+    assert tools.check_dataset_quality(data, fps=40.0)["gates"]["fps_valid"] == "warn"
+    media = data.spark.createDataFrame([(32, 480, 1.0)], "width int, height int, duration_s double")
+    assert tools.check_dataset_quality(data, fps=0.0, media=media)["diagnostics"]["visual_quality"] == "warn"
+
+
+def test_declared_rates_and_warnings(spark, tmp_path):
+    """A configuration's rate, a repeated time, accelerometer and gyroscope in files of their own, and a clock known by content."""
+    (tmp_path / "session.json").write_text('{"nominal_hz": 50, "name": "x"}')
+    rows = [f"{0 if i == 1 else i * 20},{math.sin(i / 9)},{i % 2}" for i in range(200)]
+    (tmp_path / "arm_actions.csv").write_text("\n".join(["timestamp_ms,action_joint0,gripper", *rows]) + "\n")
+    for name, scale in (("left_accel.csv", 9.8), ("left_gyro.csv", 0.01)):
+        lines = [f"{1_700_000_000_000_000_000 + i * 10_000_000},{scale + i % 7 / 1000},{i % 5 / 1000},{i % 3 / 1000}" for i in range(300)]
+        (tmp_path / name).write_text("\n".join(["tick,x,y,z", *lines]) + "\n")
+    (tmp_path / "clip.mp4").write_bytes(b"x")
+    found = tools.load_dataset(spark, str(tmp_path))
+    data = found["dataset"]
+    assert found["nominal_rate"] == {"value": 50.0, "provenance": "declared", "source": "session.json:nominal_hz"} and found["capabilities"]["has_declared_rate"]
+    assert [tuple(r) for r in found["relations"]["imu"].collect()] == [("imu_6axis", "left_accel.csv", "left_gyro.csv")]
+    assert {s.name: s.timestamp_column for s in data.entries if "left" in s.name} == {"left_accel.csv": "tick", "left_gyro.csv": "tick"}
+    got = tools.check_dataset_quality(data, "arm_actions")
+    assert (got["declared_fps"], got["gates"]["timestamp_monotonic"], got["gates"]["fps_valid"]) == (50.0, "warn", "pass")
+    imu = tools.check_sensor_sanity(data, "imu")["checks"]["left_accel.csv:imu"].first()
+    assert (imu.accel_unit, imu.gyro_unit, imu.n_constant) == ("m/s2", "rad/s", 0)
+    streams = {r.name: r.consistency for r in tools.inspect_streams(data)["streams"].collect()}
+    assert streams["arm_actions.csv"] == "match" and streams["left_gyro.csv"] == "mismatch"
+    spans = tools.segment_actions(data, "arm_actions", method="velocity")["segments"].agg({"end_s": "max"}).first()[0]
+    assert spans == pytest.approx(199 * 0.02)
 
 
 def test_stats_and_charts(data):
@@ -57,7 +87,14 @@ def test_stats_and_charts(data):
     assert tools.compute_stats(data, "episodes")["stats"].count() == 2
     assert tools.compute_stats(data, "nope")["success"] is False
     assert tools.plot_chart(data, "histogram", "action_joint0")["series"].count() == 30
-    assert tools.annotate_task(data)["tasks"].first().tasks == ["pick up"]
+    tasks = tools.annotate_task(data)
+    assert tasks["tasks"].first().tasks == ["pick up"] and {r.duration_s for r in tasks["anchors"].collect()} == {199 / 50}
+    path = tools.plot_chart(data, "trajectory")
+    assert path["plot_spec"]["labels"] == {"action_joint0": "action joint0", "action_joint1": "action joint1", "state_joint0": "state joint0"}
+    assert tools.plot_chart(data, "multi_stream_overlay", streams=["imu.csv", "cam_front.csv"])["series"].select("stream").distinct().count() == 2
+    line = tools.plot_chart(data, "line", table="imu")["plot_spec"]
+    assert (line["x"], line["y"], line["labels"]["timestamp_ns"]) == ("timestamp_ns", "accel_x", "timestamp (ns)")
+    assert {"std", "q25", "samples"} <= set(tools.profile_data(data)["profile"].columns)
 
 
 def test_segments_and_comparison(data):
@@ -102,6 +139,24 @@ def test_annotation_store(spark, tmp_path):
     assert tools.check_annotation_qc(spark, root)["result"] == "pass" and len(store.snapshots()) == 2
 
 
+def test_annotation_checks_against_a_dataset(spark, data, tmp_path):
+    """Durations and vocabulary reach the checks; defaults, texts for times and rules of records."""
+    root = str(tmp_path / "a")
+    columns = "scope string, episode_key string, id bigint, start_timestamp string, end_timestamp string, atomic_action string, is_noise boolean, cleaning_reason string"
+    rows = spark.createDataFrame([("segment", "0", 1, "0", "00:00:02", "pick", False, None), ("segment", "1", 1, "1.5", "9", "fly", False, None)], columns)
+    saved = tools.save_annotations(spark, root, rows, data=data, vocabulary=["pick"])
+    assert saved["success"] and {r.rule for r in saved["qc"].collect()} >= {"bounds_exceeded", "action_vocab_offlist"}
+    got = tools.check_annotation_qc(spark, root, data=data, vocabulary=["pick", "fly"])
+    assert got["result"] == "fail" and {r.rule for r in got["findings"].collect()} == {"bounds_exceeded"}
+    kept = {r.episode_key: (r.source, r.confidence, r.end_timestamp) for r in got["records"].collect()}
+    assert kept == {"0": ("llm_proposed", "low", "00:00:02"), "1": ("llm_proposed", "low", "00:00:09")}
+    unknown = spark.createDataFrame([("segment", "7", 1, "0", "1", "pick", False, None)], columns)
+    assert tools.save_annotations(spark, root, unknown, data=data)["errors"][0]["errors"] == ["unknown_episode"]
+    noisy = spark.createDataFrame([("segment", "0", 2, "2", "3", "pick", True, " ")], columns)
+    assert tools.save_annotations(spark, root, noisy, data=data)["errors"][0]["errors"] == ["noise_reason"]
+    assert tools.annotate_task(data, root=root, confirm=True)["saved"]["added"] == 2
+
+
 def test_containers(spark, tmp_path):
     messages = [("/a", "json", i * 1_000_000, {}) for i in range(200)] + [("/b", "json", 50_000_000 + i * 1_000_000, {}) for i in range(150)]
     (tmp_path / "c.mcap").write_bytes(mcap.write_example(messages))
@@ -112,7 +167,8 @@ def test_containers(spark, tmp_path):
 
 
 def test_report(spark, data):
-    got = tools.generate_report(spark, "Title", {"Tables": data.list_tables(), "Note": "text"})
+    got = tools.generate_report(spark, "Title", {"Tables": data.list_tables(), "Note": "text"}, data=data, quality_result={"verdict": "warn", "warned": ["idle_ratio"]})
+    assert "## Capabilities" in got["markdown"] and "* verdict: warn" in got["markdown"] and "no force check" in got["markdown"]
     assert got["markdown"].startswith("# Title") and "arm_actions.csv" in got["markdown"]
 
 
