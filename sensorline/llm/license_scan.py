@@ -8,6 +8,7 @@ gives the span. Notices are sought in lower-cased text with runs of white space
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,25 +69,28 @@ class Notices:
         self.seeds.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of notices in folded text, best and leftmost first per overlapping place."""
-        windows: dict[int, list[list[int]]] = {}
+        """(start, end, label, edits) of notices in folded text: of places of one notice that overlap the one with the
+        fewest edits, then the leftmost. Each seed's window is searched on its own, so neighbours cannot hide one another."""
+        windows: set[tuple[int, int]] = set()
         for end, (size, places) in self.seeds.iter(text):
-            for i, offset in places:
-                begin = end + 1 - size - offset
-                low, high = max(0, begin - self.edits[i]), min(len(text), begin + self.sizes[i] + self.edits[i])
-                own = windows.setdefault(i, [])
-                if own and low <= own[-1][1] and low >= own[-1][0]:
-                    own[-1][1] = max(own[-1][1], high)
-                else:
-                    own.append([low, high])
+            windows.update((i, end + 1 - size - offset) for i, offset in places)
+        matches: dict[int, set[tuple[int, int, int]]] = {}
+        for i, begin in windows:
+            low, high = max(0, begin - self.edits[i]), min(len(text), begin + self.sizes[i] + self.edits[i])
+            if m := self.patterns[i].search(text, low, high):
+                matches.setdefault(i, set()).add((sum(m.fuzzy_counts), m.start(), m.end()))
         found = []
-        for i, own in windows.items():
-            taken = -1
-            for low, high in sorted(own):
-                for m in self.patterns[i].finditer(text, max(low, taken), high):
-                    found.append((m.start(), m.end(), self.labels[i], sum(m.fuzzy_counts)))
-                    taken = max(taken, m.end())
-        return sorted(set(found))
+        for i, own in matches.items():
+            begins: list[int] = []
+            ends: list[int] = []
+            for edits, begin, end in sorted(own):
+                at = bisect_right(begins, begin)
+                if (at and ends[at - 1] > begin) or (at < len(begins) and begins[at] < end):
+                    continue
+                begins.insert(at, begin)
+                ends.insert(at, end)
+                found.append((begin, end, self.labels[i], edits))
+        return sorted(found)
 
 
 def fold(data: bytes) -> tuple[str, np.ndarray]:
@@ -164,7 +168,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def summary(scanned: DataFrame) -> DataFrame:
-    """The digest of a scan; score is 1 for an exact phrase or notice, less a tenth for each edit of the best notice."""
+    """The digest of a scan; score is 1 for an exact phrase or notice, less a tenth for each edit of the best notice.
+
+    notice_spans has label:start:end:edits of every notice by start, comma-joined; code points, end exclusive.
+    """
     label = lambda c: F.transform(c, lambda x: x["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     best = F.array_min(F.transform("notices", lambda x: x["edits"]))
@@ -175,4 +182,5 @@ def summary(scanned: DataFrame) -> DataFrame:
         F.array_max(F.transform("base", lambda x: x["word"])).alias("last_word"),
         joined(label("base")).alias("base_labels"), joined(F.concat(label("base"), label("notices"))).alias("labels"),
         score.cast("double").alias("score"),
+        F.array_join(F.transform("notices", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"], x["edits"])), ",").alias("notice_spans"),
     )
