@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +25,14 @@ def live_gaps(events: DataFrame, key: str, clock_ns: str, limit_ns: int) -> Data
     """
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, disorder = state.get if state.exists else (None, 0)
-        out = []
-        times = pd.concat([p[clock_ns] for p in parts]).dropna().astype("int64").sort_values()
-        for t in times:
-            if last is not None and t < last:
-                disorder += 1
-                continue
-            if last is not None and t - last > limit_ns:
-                out.append((k[0], int(last), int(t), int(disorder)))
-            last = int(t)
+        times = np.sort(pd.concat([p[clock_ns] for p in parts]).dropna().to_numpy("int64"))
         if last is not None:
-            state.update((int(last), int(disorder)))
-        yield pd.DataFrame(out, columns=[key, "start_ns", "end_ns", "n_disorder"])
+            disorder += int((times < last).sum())
+            times = np.concatenate([[last], times[times >= last]])
+        after = np.flatnonzero(np.diff(times) > limit_ns) + 1
+        if len(times):
+            state.update((int(times[-1]), disorder))
+        yield pd.DataFrame({key: [k[0]] * len(after), "start_ns": times[after - 1], "end_ns": times[after], "n_disorder": np.full(len(after), disorder)})
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, clock_ns).groupBy(key).applyInPandasWithState(
