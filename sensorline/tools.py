@@ -94,7 +94,7 @@ def _units(frames: dict[str, tuple[DataFrame, str]], settings: Settings) -> dict
     """The unit of each table's clock column (table, column), all inferred in one aggregate over their values."""
     rows = [frame.select(F.lit(name).alias("stream"), F.col(f"`{column}`").cast("double").alias("v")) for name, (frame, column) in frames.items()]
     found = {name: timeaxis.unit_from_name(column) for name, (_, column) in frames.items()}
-    open_ = [r for r, name in zip(rows, frames, strict=True) if found[name] not in timeaxis.UNIT_NS]
+    open_ = [r for r, name in zip(rows, frames, strict=True) if found[name] is None]  # frame numbers are no time
     if open_:
         found |= {r.stream: r.unit for r in timeaxis.infer_unit(functools.reduce(DataFrame.unionByName, open_), ["stream"], "v", settings).select("stream", "unit").collect()}
     return {n: u for n, u in found.items() if u in timeaxis.UNIT_NS}
