@@ -2,8 +2,9 @@
 
 Regular expressions find parts; ``split`` by the same pattern gives the text between them, so running sums of lengths are
 the positions. Labelled secrets, access keys and long hex runs are reported as they stand. Weak parts (identifiers, opaque
-strings, endpoints) are reported only where complementary parts co-occur: an interval join, by buckets of characters,
-finds an identifier or endpoint within REACH characters of a secret in the same scope (text without a blank line).
+strings, endpoints) are reported only where complementary parts co-occur in one scope (the text between two blank lines):
+an interval join of parts with scopes, as a sweep over both in the order of their positions, and a join of each scope's
+parts with what else the scope holds. Parts may overlap or contain one another, as a key inside an endpoint's url does.
 """
 
 from __future__ import annotations
@@ -11,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unpacked, whole_rows
 
-REACH = 160
-BUCKET = 512
 #: Code points of a text that redaction reads at once.
 CHUNK = 4_096
 
@@ -65,22 +64,20 @@ def _breaks(text: Column) -> Column:
     )
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Each row with its parts, read from the text in one pass and written to the shared folder without the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<kind:string,before:bigint,size:bigint,good:boolean>>")
+def _candidates(text: Column) -> tuple[dict[str, Column], Column]:
+    """Cheap tests for each kind, and for a text that may have a span: a base kind, or weak parts of both sides."""
     has = {kind: text.rlike(PARTS[kind][3]) for kind in PARTS}
-    secret, partner = has["assign"] | has["hex"] | has["opaque"], has["access"] | has["identifier"] | has["endpoint"]
-    parts = [F.when(has[k], _found(text, k)).otherwise(none) for k in BASE]
+    linkable = F.coalesce((has["assign"] | has["hex"] | has["opaque"]) & (has["access"] | has["identifier"] | has["endpoint"]), F.lit(False))
+    return has | {"linkable": linkable}, has["assign"] | has["access"] | has["hex"] | linkable
+
+
+def _parts(text: Column) -> Column:
+    """All parts that may become spans, kind by kind, as (kind, before, size, good)."""
+    none = F.array().cast("array<struct<kind:string,before:bigint,size:bigint,good:boolean>>")
+    has, _ = _candidates(text)
+    base = [F.when(has[k], _found(text, k)).otherwise(none) for k in BASE]
     weak = [F.when(has[k], _found(text, k)).otherwise(none) for k in PARTS if k not in BASE]
-    linkable = F.when(secret & partner, F.concat(*weak, _breaks(text))).otherwise(none)
-    return staged(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"),
-            F.xxhash64(text).alias("text_hash"), F.concat(*parts, linkable).alias("parts"),
-        ),
-        "secret-parts",
-    )
+    return F.concat(*base, F.when(has["linkable"], F.concat(*weak, _breaks(text))).otherwise(none))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -95,20 +92,18 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def _linked(parts: DataFrame) -> DataFrame:
-    """Weak parts with a complementary part within REACH in their scope: an interval join on buckets of characters.
+    """Weak parts whose scope holds a part of the other side: never pairs, so the work grows with the number of parts."""
+    sides = parts.groupBy("row", "scope").agg(F.bool_or(F.col("kind").isin(*SECRET)).alias("secret"), F.bool_or(F.col("kind").isin(*PARTNER)).alias("partner"))
+    whole = sides.where("secret and partner").select("row", "scope")
+    return parts.where(~F.col("kind").isin(*BASE)).join(whole, ["row", "scope"]).select("row", "kind", "start", "end")
 
-    A bucket holds no more parts than fit into its characters, so pairs grow with the text, whatever a document repeats.
-    """
-    secret = parts.where(F.col("kind").isin(*SECRET))
-    reach = F.explode(F.sequence(F.floor((F.col("start") - REACH) / BUCKET), F.floor((F.col("end") + REACH) / BUCKET)))
-    secret = secret.select("row", "scope", F.col("kind").alias("s_kind"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), reach.alias("bucket"))
-    partner = parts.where(F.col("kind").isin(*PARTNER)).withColumn(
-        "bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET)))
-    )
-    gap = F.greatest("start", "s_start") - F.least("end", "s_end")
-    near = secret.join(partner, ["row", "scope", "bucket"]).where((gap >= 0) & (gap <= REACH))
-    ends = F.array(F.struct("kind", "start", "end"), F.struct(F.col("s_kind").alias("kind"), F.col("s_start").alias("start"), F.col("s_end").alias("end")))
-    return near.select("row", F.explode(ends).alias("p")).select("row", "p.*").where(~F.col("kind").isin(*BASE)).distinct()
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(row, spans) of the rows (row, parts) that have any: sorted (start, rank, kind, end)."""
+    parts = staged(_placed(rows), "secret-places")
+    kept = parts.where(F.col("kind").isin(*BASE)).select("row", "kind", "start", "end").union(_linked(parts))
+    rank = F.array_position(F.array(*map(F.lit, PARTS)), F.col("kind"))
+    return kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -116,20 +111,17 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, text_hash and two sorted arrays of (start, rank, kind, end): base and spans.
+    """One row for each document: doc_id and two sorted arrays of (start, rank, kind, end): base and spans.
 
     A null text counts as empty. Repeated rows and null doc_ids each keep their own row. Other columns are ignored.
     """
-    rows = _rows(docs)
-    parts = staged(_placed(rows), "secret-places")
-    kept = parts.where(F.col("kind").isin(*BASE)).select("row", "kind", "start", "end").union(_linked(parts))
-    rank = F.array_position(F.array(*map(F.lit, PARTS)), F.col("kind"))
-    one = F.struct("start", rank.alias("rank"), "kind", "end")
-    grouped = kept.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # read from the text in one pass and written to the shared folder without the text
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), _parts(text).alias("parts")), "secret-parts")
     none = F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,end:bigint>>")
     spans = F.coalesce("spans", none)
-    return rows.select("row", "doc_id", "text_hash").join(grouped, "row", "left").select(
-        "doc_id", "text_hash", F.filter(spans, lambda s: s["rank"] <= len(BASE)).alias("base"), spans.alias("spans")
+    return rows.select("row", "doc_id").join(_spans(rows.select("row", "parts")), "row", "left").select(
+        "doc_id", F.filter(spans, lambda s: s["rank"] <= len(BASE)).alias("base"), spans.alias("spans")
     )
 
 
@@ -150,26 +142,29 @@ def _cut(chunks: Column, begin: Column, end: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All columns stay; n_chars, where there is one, is counted anew for texts that change. Null texts stay null.
+    All columns stay, whatever their names; n_chars, where there is one, is counted anew for texts that change. Null texts
+    stay null, and repeated rows stay. Only texts that may hold a span are staged and shuffled; all others pass through.
     The work grows with a text's length and its number of spans, not with their product.
     """
-    columns = docs.columns
-    found = find_secrets(docs).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")
-    ).dropDuplicates(["_id", "_hash"])
-    earlier = Window.partitionBy("_id", "_hash").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    each = found.select("_id", "_hash", F.posexplode("_spans").alias("_n", "_s")).select("_id", "_hash", "_n", "_s.*")
+    whole, column = whole_rows(docs)
+    text = F.coalesce(column["text"].cast("string"), F.lit(""))
+    touched = staged(docs.where(_candidates(text)[1]).select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), "secret-texts")
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    found = _spans(staged(touched.select("row", _parts(text).alias("parts")), "secret-parts"))
+    earlier = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.select("row", F.posexplode("spans").alias("n", "s")).select("row", "n", "s.*")
     each = each.withColumn("done", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("bigint")))
     marks = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("done"), F.struct("start", "done", "kind"))))
-    merged = each.groupBy("_id", "_hash").agg(marks.alias("_marks"), F.max("end").alias("_last"))
-
-    joined = docs.join(merged, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    whole = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    joined = joined.withColumn("_chunks", F.when(F.col("_marks").isNotNull(), whole))
-    shown = F.transform("_marks", lambda m: F.concat(_cut(F.col("_chunks"), m["done"], m["start"]), F.lit("["), m["kind"], F.lit("]")))
-    changed = F.concat(F.array_join(shown, ""), _cut(F.col("_chunks"), F.col("_last"), F.length("text").cast("bigint")))
-    out = joined.withColumn("_clean", F.when(F.col("_marks").isNotNull() & F.col("text").isNotNull(), changed).otherwise(F.col("text")))
-    shown = {c: F.col(c) for c in columns} | {"text": F.col("_clean").alias("text")}
-    if "n_chars" in columns:
-        shown["n_chars"] = F.when(F.col("_marks").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*shown.values())
+    merged = each.groupBy("row").agg(marks.alias("marks"), F.max("end").alias("last"))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    joined = touched.join(merged, "row", "left").withColumn("chunks", F.when(F.col("marks").isNotNull(), chunks))
+    shown = F.transform("marks", lambda m: F.concat(_cut(F.col("chunks"), m["done"], m["start"]), F.lit("["), m["kind"], F.lit("]")))
+    changed = F.concat(F.array_join(shown, ""), _cut(F.col("chunks"), F.col("last"), F.length(text).cast("bigint")))
+    joined = joined.withColumn("clean", F.when(F.col("marks").isNotNull(), changed).otherwise(F.col("doc.text")))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        count = F.when(F.col("marks").isNotNull(), F.length("clean")).otherwise(F.col("doc.n_chars"))
+        new["n_chars"] = count.cast(docs.schema["n_chars"].dataType)
+    rest = docs.where(~_candidates(F.coalesce(column["text"].cast("string"), F.lit("")))[1])
+    return unpacked(joined, "doc", docs.columns, **new).union(rest)
