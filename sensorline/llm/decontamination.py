@@ -1,8 +1,10 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 Each shard (a bounded run of whole documents inside a task) numbers its words by the benchmark's vocabulary, sorts the
-suffixes of its text and binary-searches every benchmark suffix in that order. A suffix that holds a word outside the
-vocabulary within the shortest window cannot contain a window, so such suffixes stay out of the array; nothing else does.
+suffixes of its text and binary-searches the benchmark's suffixes in that order by their first window. The equal range of a
+suffix is every place of its window; from each place that cannot be extended to the left the match is followed to its end,
+which gives all longest verbatim matches and where they are. A suffix of the text that holds a word outside the vocabulary
+within the shortest window cannot contain a window, so such suffixes stay out of the array; nothing else does.
 Documents are never split and never shuffled, so a task's memory is bounded by a shard and the benchmark block.
 """
 
@@ -16,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, chunks_of, staged
+from .common import alnum_words, chunks_of, filtered, staged
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 4 << 20
+#: Text of a benchmark that a pass searches for. In words of a few letters it takes some 300 MB on the driver.
+BLOCK_BYTES = 8 << 20
+#: Pairs of a place and a benchmark suffix that are followed at once.
+PAIRS = 1 << 20
 
-MATCH = "array<struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>>"
+MATCH = "array<struct<item_id:string,n_words:bigint,item_word:bigint,doc_word:bigint>>"
 OUT = f"doc_id bigint, text string, hits binary, items array<string>, matches {MATCH}, n_words bigint, n_hit bigint"
+KIND = pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("item_word", pa.int64()), ("doc_word", pa.int64())])
 
 
 @dataclass
@@ -36,38 +42,35 @@ class Block:
     starts: np.ndarray  # first word of each item
     left: np.ndarray  # words from here to the item's end
     names: list[str | None]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: first words, offsets, items
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: first word of each distinct one, offsets, words
 
 
 def make_block(rows: list[tuple[str | None, str | None]], window: int) -> Block:
     vocabulary: dict[bytes, int] = {}
-    words: list[int] = []
-    item_of: list[int] = []
-    starts: list[int] = []
-    left: list[int] = []
+    parts: list[np.ndarray] = []
     names: list[str | None] = []
-    places: dict[tuple[int, ...], tuple[int, set[int]]] = {}
     for name, text in rows:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in alnum_words(text)]
-        if not ids:
-            continue
-        item, size = len(names), min(window, len(ids))
-        names.append(name)
-        starts.append(len(words))
-        for i in range(len(ids) - size + 1):
-            places.setdefault(tuple(ids[i : i + size]), (len(words) + i, set()))[1].add(item)
-        words += [*ids, 0]
-        item_of += [item] * (len(ids) + 1)
-        left += range(len(ids), -1, -1)
+        own = alnum_words(text)
+        if own:
+            names.append(name)
+            parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in own), np.int32, len(own)))
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    words = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
+    for start, part in zip(starts.tolist(), parts, strict=True):
+        words[start : start + len(part)] = part
+    item_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    left = (np.repeat(ends, sizes + 1) - 1 - np.arange(len(item_of))).astype(np.int32)
+    own_window = np.minimum(window, sizes)
     windows = {}
-    for size in sorted({len(k) for k in places}):
-        own = [(first, sorted(items)) for k, (first, items) in places.items() if len(k) == size]
-        windows[size] = (
-            np.array([x[0] for x in own]),
-            np.cumsum([0, *(len(x[1]) for x in own)]),
-            np.array([i for x in own for i in x[1]]),
-        )
-    return Block(vocabulary, np.array([*words, 0], np.int32), np.array(item_of), np.array(starts), np.array(left), names, windows)
+    for size in np.unique(own_window).tolist():
+        at = np.flatnonzero((own_window[item_of] == size) & (left >= size))
+        rows_of = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(words, size)[at])
+        _, first, which = np.unique(rows_of.view(np.dtype((np.void, 4 * size))).ravel(), return_index=True, return_inverse=True)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))])
+        windows[size] = (at[first], offsets, at[np.argsort(which, kind="stable")])
+    return Block(vocabulary, words, item_of, starts, left, names, windows)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -116,19 +119,33 @@ def first_place(text, order, query, begin, most, after: bool) -> np.ndarray:
     return low
 
 
+def _repeated(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... n[i] numbers of each i in a row."""
+    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+def _pieces(n: np.ndarray) -> Iterator[slice]:
+    """Slices of an array of counts, each of about PAIRS in sum (a larger single count comes alone)."""
+    ends, begin = np.cumsum(n), 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
 def scan_shard(texts: list[str | None], block: Block, shortest: int):
-    """For each text: its word count, a mask of hit words, its item numbers and (item, item word, word, length) matches."""
-    number, counts, flat = block.vocabulary.get, [], []
+    """For each text: its word count, a mask of hit words, and (item, words, item word, word) of the longest match of each
+    of its items, ties to the smaller item word, then word."""
+    number, counts, parts = block.vocabulary.get, [], []
     for text in texts:
         words = alnum_words(text)
         counts.append(len(words))
-        flat += [number(w, 0) for w in words]
-        flat.append(0)
-    ids = np.array(flat or [0], np.int32)
+        parts.append(np.fromiter((number(w, 0) for w in words), np.int32, len(words)))
+        parts.append(np.zeros(1, np.int32))
+    ids = np.concatenate(parts) if parts else np.zeros(1, np.int32)
     bounds = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
     hit = np.zeros(len(ids) + 1, np.int64)
-    items: list[set[int]] = [set() for _ in texts]
-    matches: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    best: list[np.ndarray] = []
 
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]])))
     runs = edges.reshape(-1, 2)
@@ -139,35 +156,42 @@ def scan_shard(texts: list[str | None], block: Block, shortest: int):
         origin = np.arange(ends[-1]) + np.repeat(runs[:, 0] - (ends - sizes), sizes)
         text = ids[origin]
         text[ends - 1] = 0
-        order = suffix_array(text, int(sizes.max()))
+        order = suffix_array(text, max(block.windows))
         order = order[text[order] > 0]
-        for size, (first, offsets, owners) in block.windows.items():
+        for size, (first, offsets, words_of) in block.windows.items():
             most = np.full(len(first), size)
             low = first_place(text, order, block.words, first, most, False)
-            high = first_place(text, order, block.words, first, most, True)
-            n = high - low
+            n = first_place(text, order, block.words, first, most, True) - low
             found = np.flatnonzero(n)
-            if not len(found):
-                continue
             which = np.repeat(found, n[found])
-            at = origin[order[np.arange(len(which)) + np.repeat(low[found] - (np.cumsum(n[found]) - n[found]), n[found])]]
+            place = order[_repeated(low[found], n[found])]
+            at = origin[place]
             hit += np.bincount(at, minlength=len(hit)) - np.bincount(at + size, minlength=len(hit))
-            doc = np.searchsorted(bounds, at, "right") - 1
-            for pair in np.unique(doc * len(first) + which).tolist():
-                d, w = divmod(pair, len(first))
-                items[d].update(owners[offsets[w] : offsets[w + 1]].tolist())
-        begin = np.flatnonzero(block.words[:-1] > 0)
-        most = block.left[begin]
-        place = first_place(text, order, block.words, begin, most, False)
-        for near in (place - 1, place):
-            ok = (near >= 0) & (near < len(order))
-            at = order[near[ok]]
-            length, _ = common_prefix(text, at, block.words, begin[ok], most[ok])
-            for q, a, n in zip(begin[ok][length >= shortest].tolist(), origin[at[length >= shortest]].tolist(), length[length >= shortest].tolist(), strict=True):
-                d, item = int(np.searchsorted(bounds, a, "right") - 1), int(block.item_of[q])
-                matches[d].append((item, q - int(block.starts[item]), a - int(bounds[d]), n))
+            owners = np.diff(offsets)[which]
+            for some in _pieces(owners):
+                own = owners[some]
+                t, w = np.repeat(place[some], own), words_of[_repeated(offsets[:-1][which[some]], own)]
+                before = np.where(w > 0, block.words[w - 1], 0)  # a match that goes on to the left is followed from there
+                new = (before == 0) | (np.where(t > 0, text[t - 1], 0) != before)
+                t, w = t[new], w[new]
+                length, _ = common_prefix(text, t, block.words, w, block.left[w])
+                a, item = origin[t], block.item_of[w]
+                doc = np.searchsorted(bounds, a, "right") - 1
+                best.append(_longest(np.stack([doc, item, length, w - block.starts[item], a - bounds[doc]])))
+    rows = _longest(np.concatenate(best, 1)) if best else np.zeros((5, 0), np.int64)
+    cut = np.searchsorted(rows[0], np.arange(len(texts) + 1))
     mask = np.cumsum(hit)[: len(ids)] > 0
-    return [(counts[d], mask[bounds[d] : bounds[d] + counts[d]], items[d], matches[d]) for d in range(len(texts))]
+    return [(counts[d], mask[bounds[d] : bounds[d] + counts[d]], rows[1:, cut[d] : cut[d + 1]].T.tolist()) for d in range(len(texts))]
+
+
+def _longest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (document, item, words, item word, word) the longest of each document and item, in their order."""
+    rows = rows[:, np.lexsort((rows[4], rows[3], -rows[2], rows[1], rows[0]))]
+    return rows[:, np.concatenate([[True], (np.diff(rows[:2]) != 0).any(0)])] if rows.shape[1] else rows
+
+
+def _rank(match: dict) -> tuple:
+    return (-match["n_words"], match["item_id"] is None, match["item_id"] or "", match["item_word"], match["doc_word"])
 
 
 def _scanner(block, window: int):
@@ -178,68 +202,82 @@ def _scanner(block, window: int):
             texts = batch.column("text").to_pylist()
             before = zip(*(batch.column(c).to_pylist() for c in ("hits", "items", "matches")), strict=True)
             rows = []
-            for (n, mask, items, matches), (hits, names, older) in zip(scan_shard(texts, own, shortest), before, strict=True):
+            for (n, mask, matches), (hits, names, older) in zip(scan_shard(texts, own, shortest), before, strict=True):
                 if hits:
                     mask = mask | np.unpackbits(np.frombuffer(hits, np.uint8), count=n).astype(bool)
-                named = sorted({*(own.names[i] for i in items if own.names[i] is not None), *(names or [])})
-                told = [{"item_id": own.names[i], "item_word": q, "doc_word": d, "n_words": k} for i, q, d, k in matches]
-                rows.append((np.packbits(mask).tobytes() if mask.any() else b"", named, [*(older or []), *told], n, int(mask.sum())))
+                named = {own.names[i] for i, *_ in matches} - {None}
+                told = [{"item_id": own.names[i], "n_words": k, "item_word": q, "doc_word": d} for i, k, q, d in matches]
+                rows.append((np.packbits(mask).tobytes() if mask.any() else b"", sorted(named.union(names or [])), sorted([*(older or []), *told], key=_rank), n, int(mask.sum())))
             hits, names, told, n_words, n_hit = (list(x) for x in zip(*rows, strict=True))
-            kind = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string())),
-                 pa.array(told, pa.list_(kind)), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())],
+                 pa.array(told, pa.list_(KIND)), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())],
                 names=["doc_id", "text", "hits", "items", "matches", "n_words", "n_hit"],
             )
 
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """Broadcasts of the parts of a benchmark, each of about block_bytes of text: repeated rows count once, and a hash of
+    the row deals them, so only a single text longer than that makes a larger part."""
+    spark = benchmark.sparkSession
+    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string")).where("text is not null").distinct()
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for i in range(blocks):
+        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        block = make_block([tuple(r) for r in part.orderBy("item_id", "text").collect()], window)
+        yield i + 1 == blocks, spark.sparkContext.broadcast(block)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, items (sorted ids), matches, contaminated.
 
-    ``matches`` lists, for benchmark suffixes whose longest match within the document's shard lies in this document, the
-    item, its word, the document's word and the length in words. With ``keep_text`` the text stays in the result.
+    ``matches`` has the longest verbatim match of each item that has a window in the document: item_id, n_words, item_word
+    and doc_word (words from 0), the longest first, ties by item_id, item_word and doc_word. Matches below the item's window
+    are not listed; items with a null id, and several texts under one id, are each listed on their own.
 
     A benchmark above block_bytes of text is searched block by block; each pass carries the hits of those before it.
-    Null texts have no words; items without words have no window; a null item_id counts as a hit but is in no list.
-    Repeated rows give repeated rows; of repeated item_ids the list has one. Other columns are ignored.
+    Null texts have no words; items without words have no window; a null item_id counts as a hit but is in no list of items.
+    Repeated rows give repeated rows; repeated rows of the benchmark count once. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     out = docs.select(
         F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.lit(b"").alias("hits"),
         F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(MATCH).alias("matches"),
     )
-    named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    for i in range(blocks):
-        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        block = make_block([tuple(r) for r in part.orderBy("item_id", "text").collect()], window)
-        out = out.select("doc_id", "text", "hits", "items", "matches").mapInArrow(_scanner(spark.sparkContext.broadcast(block), window), OUT)
-        if i + 1 < blocks:
+    for last, block in _blocks(benchmark, window, block_bytes):
+        out = out.select("doc_id", "text", "hits", "items", "matches").mapInArrow(_scanner(block, window), OUT)
+        if not last:
             out = staged(out, "decontamination")
-    kept = ["doc_id", *["text"] * keep_text, "n_words", "n_hit", "items", "matches"]
-    return out.select(*kept, (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "items", "matches", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def longest_matches(found: DataFrame) -> DataFrame:
-    """For each item its longest verbatim match over all shards: item_id, n_words, item_word, doc_id, doc_word.
+    """For each item its longest verbatim match over all documents: item_id, n_words, item_word, doc_id, doc_word.
 
-    Ties go to the smaller item word, then doc_id, then document word.
+    Ties go to the smaller item word, then doc_id, then document word. Items without a window anywhere have no row.
     """
     at = F.struct(-F.col("m.n_words"), "m.item_word", "doc_id", "m.doc_word")
     best = found.select("doc_id", F.explode("matches").alias("m")).groupBy("m.item_id").agg(F.min(at.alias("b")).alias("b"))
     return best.select("item_id", (-F.col("b.col1")).alias("n_words"), "b.item_word", "b.doc_id", "b.doc_word")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without any benchmark window, with all their columns. Rows with a null text stay.
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents without any benchmark window, with all their columns, decided where they are read: nothing is shuffled.
 
-    A document is judged by its text alone, so its other columns ride along as one struct through the join on
-    (doc_id, text): repeated rows share their decision.
+    Null texts, and texts without words, stay. Each block of a larger benchmark sees what those before it have left.
     """
-    bad = contamination(docs, benchmark, window, keep_text=True).where("contaminated").select(
-        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")
-    ).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._id) & (F.xxhash64(docs.text) == bad._hash), "left_anti")
+
+    def keep(block):
+        def decide(texts: list[str | None]) -> list[bool]:
+            return [not mask.any() for _, mask, _ in scan_shard(texts, block.value, min([window, *block.value.windows]))]
+
+        return decide
+
+    out = docs
+    for last, block in _blocks(benchmark, window, block_bytes):
+        out = filtered(out, keep(block), SHARD_BYTES)
+        if not last:
+            out = staged(out, "decontaminated")
+    return out
