@@ -25,9 +25,12 @@ def tokenizer_path() -> str:
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    longest = F.get("matches", F.lit(0))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        longest["item_id"].alias("longest_item"), longest["n_words"].alias("longest_words"),
+        longest["item_word"].alias("longest_item_word"), longest["doc_word"].alias("longest_doc_word"),
     )
 
 
@@ -40,9 +43,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, quantiser = inner_product.build_index(table(spark, sf_dir, "embeddings"))
-    queries = index.where(F.col("vec_id") % QUERY_EVERY == 0).select("vec_id", "v")
-    return inner_product.search(index, quantiser, queries, k=20)
+    index = inner_product.build_index(table(spark, sf_dir, "embeddings"))
+    return inner_product.search(index, index.rows.where(F.col("vec_id") % QUERY_EVERY == 0), k=20)
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +95,22 @@ LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL.format("text")}, '{WORD_PATTERN}') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER_SQL.format("text")}, '{WORD_PATTERN}') AS w FROM benchmark),
-win AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
-        FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS b, CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER_SQL.format("text")}, '{WORD_PATTERN}') AS w FROM benchmark),
+win AS (SELECT b, item_id, k, i AS j, array_to_string(w[i:i + k - 1], ' ') AS g
+        FROM (SELECT b, item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT k FROM win),
 grams AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
           FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= k)),
-occ AS (SELECT g1.r, g1.k, g1.i, win.item_id FROM grams g1 JOIN win ON g1.k = win.k AND g1.g = win.g),
+occ AS (SELECT g1.r, g1.k, g1.i, win.b, win.item_id, win.j FROM grams g1 JOIN win ON g1.k = win.k AND g1.g = win.g),
 items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM occ GROUP BY r),
-hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM occ) GROUP BY r)
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM occ) GROUP BY r),
+runs AS (SELECT r, b, item_id, min(i) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) + any_value(k) - 1 AS n
+         FROM (SELECT *, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS run FROM occ) GROUP BY r, b, item_id, i - j, run),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, item_id NULLS LAST, item_word, doc_word) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN items USING (r) LEFT JOIN hits USING (r)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       best.item_id AS longest_item, CAST(best.n AS BIGINT) AS longest_words, CAST(best.item_word AS BIGINT) AS longest_item_word, CAST(best.doc_word AS BIGINT) AS longest_doc_word
+FROM d LEFT JOIN items USING (r) LEFT JOIN hits USING (r) LEFT JOIN best USING (r)
 """,
     "op5_url_rules": """
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -157,9 +163,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 e AS (SELECT *, sum(length(b) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM f),
 p AS (SELECT r, kind, rank, CAST(e - length(w) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM e WHERE CASE kind {good} END),
 q AS (SELECT *, count(*) FILTER (kind = 'break') OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS scope FROM p),
-x AS (SELECT a.r, a.kind AS ak, a.rank AS ar, a.s AS sa, a.e AS ea, b.kind AS bk, b.rank AS br, b.s AS sb, b.e AS eb FROM q a JOIN q b ON a.r = b.r AND a.scope = b.scope
-  AND a.kind IN ('assign', 'hex', 'opaque') AND b.kind IN ('access', 'identifier', 'endpoint') AND greatest(a.s, b.s) - least(a.e, b.e) BETWEEN 0 AND {credentials.REACH}),
-k AS (SELECT r, kind, rank, s, e FROM p WHERE rank <= 3 UNION ALL SELECT DISTINCT r, ak, ar, sa, ea FROM x WHERE ar > 3 UNION ALL SELECT DISTINCT r, bk, br, sb, eb FROM x WHERE br > 3),
+x AS (SELECT r, scope FROM q GROUP BY r, scope HAVING bool_or(kind IN ('assign', 'hex', 'opaque')) AND bool_or(kind IN ('access', 'identifier', 'endpoint'))),
+k AS (SELECT r, kind, rank, s, e FROM p WHERE rank <= 3 UNION ALL SELECT r, kind, rank, s, e FROM q JOIN x USING (r, scope) WHERE rank BETWEEN 4 AND 6),
 g AS (SELECT r, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM k GROUP BY r)
 SELECT doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
