@@ -8,6 +8,7 @@ where; tasks look their pieces up by rank. Ranks come from counts by length and
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from .common import staged
 from .tokens import encoder
 
 MOST = 4096
+#: Bytes of ids that a task hands over at once.
+BATCH_BYTES = 4 << 20
 #: (coarse units of a sequence, documents of a pattern) that are tried; the plan with the fewest sequences is taken.
 GRIDS = ((64, 3), (128, 3), (256, 2))
 
@@ -143,31 +146,39 @@ def plan(histogram: dict[int, int], most: int = MOST) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "sequence", "offset"), np.array(rows, np.int64).reshape(-1, 4).T, strict=True))
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = MOST) -> DataFrame:
-    """Encoded pieces, staged: doc_id, piece, start, length, ids (little-endian uint32), part and nth of that length there."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = MOST, with_ids: bool = True) -> DataFrame:
+    """Encoded pieces, staged: doc_id, piece, start, length, ids_crc32, part, nth of that length there and, with_ids, the
+    ids (little-endian uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (most + 1)
+        kinds = KINDS | ({"ids": pa.binary()} if with_ids else {})
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.append(enc.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), most)):
-                    own = ids[start : start + most]
-                    rows.append((doc_id, piece, start, len(own), own.tobytes(), part, seen[len(own)]))
-                    seen[len(own)] += 1
-                if len(rows) >= 2_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], names=list(KINDS))
-                    rows = []
+                    own = ids[start : start + most].tobytes()
+                    length = len(own) // 4
+                    rows.append((doc_id, piece, start, length, zlib.crc32(own), part, seen[length], *[own] * with_ids))
+                    seen[length] += 1
+                    size += 4 * length
+                if len(rows) >= 2_000 or size >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], names=list(KINDS))
+                yield batch_of(rows)
 
-    shape = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part bigint, nth bigint"
+    shape = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint" + ", ids binary" * with_ids
     return staged(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, shape), "pieces")
 
 
 KINDS = {
-    "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(),
+    "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
     "part": pa.int64(), "nth": pa.int64(),
 }
 
@@ -179,31 +190,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = MOST, with_id
     Repeated rows and null doc_ids are packed like others; other columns are ignored.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer, end_id, most)
+    cut = pieces(docs, tokenizer, end_id, most, with_ids)
     counts = staged(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     places = plan(dict(counts.groupBy("length").agg(F.sum("n")).collect()), most)  # at most one row for each length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     before = before.hint("merge")  # it grows with the tasks: never broadcast
-    shared = spark.sparkContext.broadcast(places)  # runs of ranks: bounded by lengths and patterns, not by documents
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        keys = own["length"] << 44 | own["rank"]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            at = np.searchsorted(keys, length << 44 | rank, "right") - 1
-            kept = batch.drop_columns(["rank"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(own["sequence"][at] + rank - own["rank"][at]), pa.array(own["offset"][at])],
-                names=[*kept.schema.names, "sequence_id", "offset"],
-            )
-
     shown = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = cut.withColumn("ids_crc32", F.crc32("ids")).select(*shown, "part", "nth").join(before, ["length", "part"])
+    ranked = cut.select(*shown, "part", "nth").join(before, ["length", "part"])
     ranked = ranked.select(*shown, (F.col("before") + F.col("nth")).alias("rank"))
-    shape = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return ranked.mapInArrow(place, shape + ", sequence_id bigint, offset bigint")
+    run = F.element_at(F.filter("runs", lambda r: r["rank"] <= F.col("rank")), -1)
+    placed = ranked.join(F.broadcast(_runs(spark, places)), "length").withColumn("run", run)  # at most a row for each length
+    return placed.select(*shown, (F.col("run.sequence") + F.col("rank") - F.col("run.rank")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+
+
+def _runs(spark, places: dict[str, np.ndarray]) -> DataFrame:
+    """length and its runs of ranks in order: rank (first), sequence (of that rank), offset. Their number is bounded by
+    lengths and patterns, not by documents."""
+    runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, rank, sequence, offset in zip(*(places[c].tolist() for c in ("length", "rank", "sequence", "offset")), strict=True):
+        runs[length].append((rank, sequence, offset))
+    return spark.createDataFrame(sorted(runs.items()), "length bigint, runs array<struct<rank:bigint,sequence:bigint,offset:bigint>>")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
