@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, run, shared_dir, staged, written  # noqa: F401
+from ..storage import fresh_path, remove, run, shared_dir, staged, written  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -65,13 +65,12 @@ def file_by_file(files: DataFrame, most_tasks: int = 2_000, by: list[str] | None
     return files.repartitionByRange(max(1, min(files.count(), most_tasks)), *(by or ["uri"]))
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, n: str, share: int = 1_000, floor: int = 0) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, share: int = 1_000, floor: int = 0) -> DataFrame:
     """Inner join with a right side that has each key once and, in column n, how many rows of left have it.
 
-    Keys with more than a thousandth of left's rows (and more than floor) would each fill a task: they go by broadcast, and
-    there are fewer than ``share`` of them whatever the size. All others are shuffled. Null keys match nothing.
+    Keys with more than a thousandth of left's rows (total, or more) and than floor would each fill a task: they go by
+    broadcast, and there are fewer than ``share`` of them whatever the size. All others are shuffled. Null keys match nothing.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
     if total <= floor:
         return left.join(right.drop(n), key)
     limit = max(floor, total // share)

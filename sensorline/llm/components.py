@@ -12,16 +12,16 @@ from .common import split_join, staged
 HUB = 100_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    return split_join(both.where("v > u"), least, "u", "n", floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return split_join(both.where("v > u"), least, "u", "n", most, floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = split_join(down, least, "u", "n", floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = split_join(down, least, "u", "n", most, floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -38,7 +38,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now[0] == 0 or now == mark:
             break
         mark = now
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        most = 2 * now[0]  # neither star makes more rows of its edges
+        edges = staged(_small_star(_large_star(edges, most), most), "edges")
     else:
         raise RuntimeError(f"no stable components after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     prints = staged(fingerprints(docs, words), "fingerprints")
     rooted = _rooted(prints, F.min("doc_id"), radius, tile)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = split_join(rooted, smallest, "root", "members").select("fp", "n", "component_id")
-    return split_join(prints, named, "fp", "n").select(
+    named = split_join(rooted, smallest, "root", "members", rooted.count()).select("fp", "n", "component_id")
+    return split_join(prints, named, "fp", "n", prints.count()).select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

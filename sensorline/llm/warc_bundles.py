@@ -206,7 +206,7 @@ def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
         marked = rows.join(F.broadcast(shared.drop("n_rows")), "digest", "left")
     else:
         alone = rows.join(shared.select("digest"), "digest", "left_anti").withColumn("response", F.lit(None).cast(shared.schema["response"].dataType))
-        marked = split_join(rows, shared, "digest", "n_rows").unionByName(alone)
+        marked = split_join(rows, shared, "digest", "n_rows", shared.agg(F.sum("n_rows")).first()[0]).unionByName(alone)
     marked = marked.withColumn("response", F.when(large, F.col("response")))
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response.page_id"))
     marked = marked.select("page_id", "url", "html", "digest", "row", "response", revisit.alias("revisit"))
