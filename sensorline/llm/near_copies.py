@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import filesystem, fresh_path, open_file, spaced_words, staged
+from .common import filesystem, fresh_path, open_file, remove, spaced_words, staged, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -200,13 +200,19 @@ def links(distinct: DataFrame, folder: str, tile: int = TILE) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """One row for each component of documents linked by a similarity of 0.8 or more: that of the smallest doc_id, nulls last."""
-    folder = fresh_path(docs.sparkSession, "shingles")
-    rows = staged(prints(docs, folder), "shingle-prints")
+    """One row for each component of documents linked by a similarity of 0.8 or more: that of the smallest doc_id, nulls last.
+
+    The shingle sets, longer than the texts, are deleted as soon as the links are known.
+    """
+    spark = docs.sparkSession
+    folder, table = fresh_path(spark, "shingles"), fresh_path(spark, "shingle-prints")
+    rows = written(prints(docs, folder), table)
     distinct = rows.groupBy("node").agg(
         simhash.least_row().alias("least"), F.min(F.struct("file", "at")).alias("place"), F.first("size").alias("size"), F.first("fp").alias("fp")
     )
     distinct = staged(distinct.select("node", "least", "size", "fp", "place.file", "place.at"), "shingle-sets")
-    roots = components(links(distinct, folder, tile)).withColumnRenamed("node", "of")
+    roots = components(links(distinct, folder, tile)).withColumnRenamed("node", "of")  # from staged edges: the sets are done with
+    remove(spark, folder)
+    remove(spark, table)
     rooted = distinct.join(roots, distinct.node == roots.of, "left").select("least", F.coalesce("root", "node").alias("root"))
     return simhash.one_of_each(docs, rooted)
