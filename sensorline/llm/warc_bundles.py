@@ -30,10 +30,8 @@ LEVEL = 3
 #: Fixed values of the seekable format and of the WARC revisit profile.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Digests of repeated payloads that go to every task; more of them are joined by shuffle.
-MOST_BROADCAST = 200_000
-#: Bytes of a response's url that its revisits repeat.
-MOST_URL = 512
+#: Digests of repeated payloads that go to every task, and bytes of their urls; more of them are joined by shuffle.
+MOST_BROADCAST, MOST_BROADCAST_BYTES = 200_000, 32 << 20
 #: A date for records of pages that carry none.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -106,7 +104,8 @@ def record(name: str, page_id: int | None, url: str | None, payload: bytes, dige
     if response:
         head.append(f"WARC-Profile: {PROFILE}")
         head += [f"WARC-Refers-To: {response['name']}"] * (response["name"] is not None)
-        head += [f"WARC-Refers-To-Target-URI: {_uri(response['url'])}"] * (response["url"] is not None)
+        if response["url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(response['url'])}")
         head += [f"WARC-Refers-To-Date: {DATE}"] + [f"X-Refers-To-Page: {response['page_id']}"] * (response["page_id"] is not None)
         payload = b""
     head.append(f"Content-Length: {len(payload)}")
@@ -187,9 +186,10 @@ def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
 
     Payloads of at least least_bytes are compared by digest: that with the largest page_id (null counts as smallest) is the
     response; rows that repeat it are responses too. Revisits name the response's record where it is the only one of its
-    page and its url has no more than MOST_URL bytes. Record names are unique but for repeated rows of payloads below least_bytes.
-    The digests that several pages have come from a partial aggregate without the payloads. Up to most_broadcast of them are
-    sent to the tasks, so that pages are written where they are read; more are joined by digest, hot ones apart.
+    page, and its whole url where it has one. Record names are unique but for repeated rows of payloads below least_bytes.
+    The digests that several pages have come from a partial aggregate without the payloads. Up to most_broadcast of them,
+    with urls of MOST_BROADCAST_BYTES in all, are sent to the tasks, so that pages are written where they are read; more are joined by
+    digest, hot ones apart.
     Bundle names are unique to the attempt; only bundles of finished tasks are in the index. Null urls and html stay apart
     from empty ones for urls; a null html is written as empty.
     """
@@ -198,11 +198,10 @@ def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
     rows = rows.select("*", base32_sha1(F.col("html")).alias("digest"), F.monotonically_increasing_id().alias("row"))
     large = F.octet_length("html") >= least_bytes
     by_page = rows.where(large).groupBy("digest", "page_id").agg(F.count("*").alias("n_rows"), F.min("url").alias("url"))
-    short = F.coalesce(F.octet_length("url"), F.lit(0)) <= MOST_URL
-    by_page = by_page.withColumns({"n": F.when(short, F.col("n_rows")).otherwise(2), "url": F.when(short, F.col("url"))})
-    shared = by_page.groupBy("digest").agg(F.max(F.struct("page_id", "n", "url")).alias("response"), F.sum("n_rows").alias("n_rows"))
-    shared = staged(shared.where("n_rows > 1"), "repeated-payloads")
-    if shared.limit(most_broadcast + 1).count() <= most_broadcast:
+    chosen = F.max(F.struct("page_id", F.col("n_rows").alias("n"), "url")).alias("response")
+    shared = staged(by_page.groupBy("digest").agg(chosen, F.sum("n_rows").alias("n_rows")).where("n_rows > 1"), "repeated-payloads")
+    n, size = shared.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("response.url")), F.lit(0))).first()
+    if n <= most_broadcast and size <= MOST_BROADCAST_BYTES:
         marked = rows.join(F.broadcast(shared.drop("n_rows")), "digest", "left")
     else:
         alone = rows.join(shared.select("digest"), "digest", "left_anti").withColumn("response", F.lit(None).cast(shared.schema["response"].dataType))
