@@ -201,7 +201,8 @@ def tile_of(ids: np.ndarray, rows: np.ndarray, quantiser: Quantiser) -> dict[str
     by_code = np.argsort(of.ravel(), kind="stable")
     place = np.empty(len(distinct), np.int64)
     place[by_code] = np.arange(len(distinct))
-    pairs = np.unique(np.stack([place[same.ravel()], ids]), axis=1)  # by vector, then id; repeated rows count once
+    pairs = np.stack([place[same.ravel()], ids])
+    pairs = pairs[:, np.lexsort((ids, pairs[0]))]  # by vector, then id
     longest = np.zeros(len(codes))
     np.maximum.at(longest, of.ravel(), residual)
     single = distinct.astype(np.float32)
@@ -279,50 +280,60 @@ class Nearest:
         codes = tile["codes"].astype(np.intp)
         slack = tile["residual"] * np.float32(DEVIATIONS / np.sqrt(self.quantiser.dim))
         rounding = DEVIATIONS * np.sqrt(len(self.quantiser.centres) / 12)
+        vector_of = np.repeat(np.arange(len(tile["vecs"])), np.diff(tile["id_at"]))
+        order = np.argsort(tile["ids"], kind="stable")
+        first, last = (np.searchsorted(tile["ids"][order], self.ids, side) for side in ("left", "right"))
         for i in range(0, len(self.ids), QUERIES_AT_ONCE):
             tables, base, scale = byte_tables(self.quantiser.tables(self.queries[i : i + QUERIES_AT_ONCE]))
             for q, sums in enumerate(scan_codes(tables, codes), i):
+                # rows of the query's own id are no candidates: how many of them each vector has
+                own = dict(zip(*(x.tolist() for x in np.unique(vector_of[order[first[q] : last[q]]], return_counts=True)), strict=True))
                 some = slack * np.float32(self.norms[q] / scale[q - i])
                 some += sums
-                least = self._kth(q, tile, sums)
-                self._merge(q, tile, np.flatnonzero(some >= (least - base[q - i]) / scale[q - i] - rounding))
-
-    def _kth(self, q: int, tile: dict[str, np.ndarray], sums: np.ndarray) -> float:
+                least = self._kth(q, tile, sums, own)
+                self._merge(q, tile, np.flatnonzero(some >= (least - base[q - i]) / scale[q - i] - rounding), own)
+
+    @staticmethod
+    def _others(tile: dict[str, np.ndarray], rows: np.ndarray, own: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of some vectors those that have an id besides the query's own, and how often each has that."""
+        if not own:
+            return rows, np.zeros(len(rows), np.int64)
+        n = np.array([own.get(r, 0) for r in rows.tolist()], np.int64)
+        good = tile["id_at"][rows + 1] - tile["id_at"][rows] > n
+        return rows[good], n[good]
+
+    def _kth(self, q: int, tile: dict[str, np.ndarray], sums: np.ndarray, own: dict[int, int]) -> float:
         """The exact k-th score so far; of a first tile that of the depth codes of the largest sums."""
         scores, _ = self.best[q]
         if len(scores) == self.k:
             return float(scores[-1])
         top = np.argpartition(sums, len(sums) - self.depth)[len(sums) - self.depth :] if len(sums) > self.depth else np.arange(len(sums))
-        rows = _spread(tile["code_at"], top)
+        rows, _ = self._others(tile, _spread(tile["code_at"], top), own)
         found = exact(self.queries[q], tile["vecs"][rows].astype(np.float64))
-        n = self.k + 1  # one of them may be the query itself
-        return float(np.partition(found, len(found) - n)[len(found) - n]) if len(found) >= n else -np.inf
+        return float(np.partition(found, len(found) - self.k)[len(found) - self.k]) if len(found) >= self.k else -np.inf
 
-    def _merge(self, q: int, tile: dict[str, np.ndarray], which: np.ndarray) -> None:
-        rows = _spread(tile["code_at"], which)
+    def _merge(self, q: int, tile: dict[str, np.ndarray], which: np.ndarray, own: dict[int, int]) -> None:
+        rows, n_own = self._others(tile, _spread(tile["code_at"], which), own)
         found = exact(self.queries[q], tile["vecs"][rows].astype(np.float64))
-        if len(found) > self.k + 1:
-            good = found >= np.partition(found, len(found) - self.k - 1)[len(found) - self.k - 1]
-            rows, found = rows[good], found[good]
-        # a vector's k + 1 smallest ids are all that can be among the k best
-        ends = np.minimum(tile["id_at"][rows + 1], tile["id_at"][rows] + self.k + 1)
+        if len(found) > self.k:
+            good = found >= np.partition(found, len(found) - self.k)[len(found) - self.k]
+            rows, n_own, found = rows[good], n_own[good], found[good]
+        # besides the own ones a vector's k smallest ids are all that can be among the k best
+        ends = np.minimum(tile["id_at"][rows + 1], tile["id_at"][rows] + self.k + n_own)
         n = ends - tile["id_at"][rows]
         at = np.arange(int(n.sum())) + np.repeat(ends - np.cumsum(n), n)
         scores, ids = np.concatenate([self.best[q][0], np.repeat(found, n)]), np.concatenate([self.best[q][1], tile["ids"][at]])
         other = ids != self.ids[q]
         scores, ids = scores[other], ids[other]
-        order = np.lexsort((ids, -scores))
-        scores, ids = scores[order], ids[order]
-        new = np.concatenate([[True], (np.diff(scores) != 0) | (np.diff(ids) != 0)])[: len(ids)]
-        self.best[q] = scores[new][: self.k], ids[new][: self.k]
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.best[q] = scores[best], ids[best]
 
 
 def search(index: Index, queries: DataFrame, k: int = 20, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query but itself, ties to the smaller vec_id.
 
-    queries: vec_id, v as in the index. An id names one vector: rows of the query's own id are the query itself, and of
-    several vectors under one query id the smallest asks. Of repeated rows (an id with the same vector) one counts; other
-    vectors of an id count on their own.
+    queries: vec_id, v as in the index. Rows of the query's own id, whatever their vectors, are no candidates; of several vectors
+    under one query id the smallest asks. All other rows count one by one, repeated ones and several vectors of an id too.
     """
     spark = index.tiles.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -350,6 +361,6 @@ def search(index: Index, queries: DataFrame, k: int = 20, depth: int = DEPTH) ->
 
     found = file_by_file(units, 20_000, ["uri", "g"]).select("uri", "tiles").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
     one = F.struct((-F.col("score")).alias("less"), "vec_id")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(one)), 1, k).alias("best"))  # k rows a group of tiles
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("best"))  # k rows a group of tiles
     each = best.select("query_id", F.posexplode("best").alias("n", "b"))
     return each.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.less")).alias("score"))
