@@ -10,25 +10,29 @@ Documents are never split and never shuffled, so a task's memory is bounded by a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, chunks_of, filtered, staged
+from .common import alnum_words, chunks_of, filtered, fresh_path, open_file, write_bytes
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Text of a benchmark that a pass searches for. In words of a few letters it takes some 300 MB on the driver.
+#: Text of a benchmark that is searched for at once. In words of a few letters it takes some 300 MB of a task.
 BLOCK_BYTES = 8 << 20
+#: Texts that a task keeps while it goes through several blocks.
+HELD_BYTES = 64 << 20
 #: Pairs of a place and a benchmark suffix that are followed at once.
 PAIRS = 1 << 20
 
 MATCH = "array<struct<item_id:string,n_words:bigint,item_word:bigint,doc_word:bigint>>"
-OUT = f"doc_id bigint, text string, hits binary, items array<string>, matches {MATCH}, n_words bigint, n_hit bigint"
+OUT = f"doc_id bigint, items array<string>, matches {MATCH}, n_words bigint, n_hit bigint"
 KIND = pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("item_word", pa.int64()), ("doc_word", pa.int64())])
 
 
@@ -194,41 +198,77 @@ def _rank(match: dict) -> tuple:
     return (-match["n_words"], match["item_id"] is None, match["item_id"] or "", match["item_word"], match["doc_word"])
 
 
-def _scanner(block, window: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Block = block.value
-        shortest = min([window, *own.windows])
-        for batch in chunks_of(batches, "text", SHARD_BYTES):
-            texts = batch.column("text").to_pylist()
-            before = zip(*(batch.column(c).to_pylist() for c in ("hits", "items", "matches")), strict=True)
-            rows = []
-            for (n, mask, matches), (hits, names, older) in zip(scan_shard(texts, own, shortest), before, strict=True):
-                if hits:
-                    mask = mask | np.unpackbits(np.frombuffer(hits, np.uint8), count=n).astype(bool)
-                named = {own.names[i] for i, *_ in matches} - {None}
-                told = [{"item_id": own.names[i], "n_words": k, "item_word": q, "doc_word": d} for i, k, q, d in matches]
-                rows.append((np.packbits(mask).tobytes() if mask.any() else b"", sorted(named.union(names or [])), sorted([*(older or []), *told], key=_rank), n, int(mask.sum())))
-            hits, names, told, n_words, n_hit = (list(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string())),
-                 pa.array(told, pa.list_(KIND)), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())],
-                names=["doc_id", "text", "hits", "items", "matches", "n_words", "n_hit"],
-            )
+@lru_cache(maxsize=1)
+def _block(uri: str | None, window: int) -> Block:
+    """A block from its file, kept until another one is asked for; without a file the empty one."""
+    if uri is None:
+        return make_block([], window)
+    with open_file(uri) as f:
+        return pickle.loads(f.read())
 
-    return scan
 
+def _block_files(benchmark: DataFrame, window: int, block_bytes: int) -> list[str | None]:
+    """Files of the parts of a benchmark, each of about block_bytes of text, made once and by tasks.
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
-    """Broadcasts of the parts of a benchmark, each of about block_bytes of text: repeated rows count once, and a hash of
-    the row deals them, so only a single text longer than that makes a larger part."""
-    spark = benchmark.sparkSession
+    Repeated rows count once, and a hash of the row deals them, so only a single text longer than that makes a larger part. The
+    driver gets the names of the files.
+    """
+    folder = fresh_path(benchmark.sparkSession, "benchmark-blocks")
     named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string")).where("text is not null").distinct()
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    for i in range(blocks):
-        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        block = make_block([tuple(r) for r in part.orderBy("item_id", "text").collect()], window)
-        yield i + 1 == blocks, spark.sparkContext.broadcast(block)
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = table.select(["item_id", "text"]).to_pylist()
+        block = make_block(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r)), window)
+        uri = f"{folder}/{table.column('part')[0].as_py()}"
+        write_bytes(uri, [pickle.dumps(block, protocol=5)])
+        return pa.table({"uri": [uri]})
+
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return sorted(r.uri for r in dealt.groupBy("part").applyInArrow(write, "uri string").collect()) or [None]
+
+
+def _shards(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of texts in turn, in runs of about SHARD_BYTES."""
+    held: list[int] = []
+    total = 0
+    for i, size in enumerate(sizes):
+        if held and total + size > SHARD_BYTES:
+            yield held
+            held, total = [], 0
+        held.append(i)
+        total += size
+    if held:
+        yield held
+
+
+def _sizes(texts: list[str | None]) -> list[int]:
+    return [len(t or "") for t in texts]
+
+
+def _scanner(uris: list[str | None], window: int):
+    """Goes through the blocks for some texts at a time; a block is read again only for the next HELD_BYTES of text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks_of(batches, "text", HELD_BYTES if len(uris) > 1 else SHARD_BYTES):
+            texts = batch.column("text").to_pylist()
+            masks: list[np.ndarray | None] = [None] * len(texts)
+            told: list[list[dict]] = [[] for _ in texts]
+            for uri in uris:
+                own = _block(uri, window)
+                for some in _shards(_sizes(texts)):
+                    for i, (_, mask, matches) in zip(some, scan_shard([texts[i] for i in some], own, min([window, *own.windows])), strict=True):
+                        masks[i] = mask if masks[i] is None else masks[i] | mask
+                        told[i] += [{"item_id": own.names[k], "n_words": n, "item_word": q, "doc_word": d} for k, n, q, d in matches]
+            items = [sorted({m["item_id"] for m in each} - {None}) for each in told]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(items, pa.list_(pa.string())), pa.array([sorted(each, key=_rank) for each in told], pa.list_(KIND)),
+                 pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64())],
+                names=["doc_id", "items", "matches", "n_words", "n_hit"],
+            )
+
+    return scan
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -238,18 +278,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     and doc_word (words from 0), the longest first, ties by item_id, item_word and doc_word. Matches below the item's window
     are not listed; items with a null id, and several texts under one id, are each listed on their own.
 
-    A benchmark above block_bytes of text is searched block by block; each pass carries the hits of those before it.
+    A benchmark above block_bytes of text is written in blocks, and a task goes through them for each HELD_BYTES of its texts: the
+    corpus is read once, and no text is written.
     Null texts have no words; items without words have no window; a null item_id counts as a hit but is in no list of items.
     Repeated rows give repeated rows; repeated rows of the benchmark count once. Other columns are ignored.
     """
-    out = docs.select(
-        F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.lit(b"").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(MATCH).alias("matches"),
-    )
-    for last, block in _blocks(benchmark, window, block_bytes):
-        out = out.select("doc_id", "text", "hits", "items", "matches").mapInArrow(_scanner(block, window), OUT)
-        if not last:
-            out = staged(out, "decontamination")
+    uris = _block_files(benchmark, window, block_bytes)
+    out = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_scanner(uris, window), OUT)
     return out.select("doc_id", "n_words", "n_hit", "items", "matches", (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -268,16 +303,18 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     Null texts, and texts without words, stay. Each block of a larger benchmark sees what those before it have left.
     """
-
-    def keep(block):
-        def decide(texts: list[str | None]) -> list[bool]:
-            return [not mask.any() for _, mask, _ in scan_shard(texts, block.value, min([window, *block.value.windows]))]
-
-        return decide
-
-    out = docs
-    for last, block in _blocks(benchmark, window, block_bytes):
-        out = filtered(out, keep(block), SHARD_BYTES)
-        if not last:
-            out = staged(out, "decontaminated")
-    return out
+    uris = _block_files(benchmark, window, block_bytes)
+
+    def decide(texts: list[str | None]) -> list[bool]:
+        left = list(range(len(texts)))
+        for uri in uris:
+            own, kept = _block(uri, window), []
+            for some in _shards(_sizes([texts[i] for i in left])):
+                places = [left[i] for i in some]
+                found = scan_shard([texts[i] for i in places], own, min([window, *own.windows]))
+                kept += [i for i, (_, mask, _) in zip(places, found, strict=True) if not mask.any()]
+            left = kept
+        stays = set(left)
+        return [i in stays for i in range(len(texts))]
+
+    return filtered(docs, decide, HELD_BYTES if len(uris) > 1 else SHARD_BYTES)

@@ -274,11 +274,28 @@ def test_vectors_that_take_no_part_and_ties(spark):
 
 
 def test_repeated_ids(spark):
-    """An id names one vector: its rows are the query itself, and an id with one vector counts once as a candidate."""
+    """Rows of the query's id are no candidates; all others are, row by row."""
     rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.25, 0.0]), (2, [0.75, 0.0])]
     index = inner_product.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4))
     got = inner_product.search(index, index.rows.where("vec_id = 20"), 5).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, 0.5), (2, 0.375), (1, 0.125)]
+    assert [(r.vec_id, r.score) for r in got] == [(1, 0.5), (1, 0.5), (2, 0.375), (1, 0.125)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_many_vectors_under_query_ids(spark, parts):
+    """50 vectors under each of several query ids, the best ones of all: they crowd no other candidate out, in one tile or in many."""
+    draw = np.random.default_rng(21)
+    x = draw.normal(0, 1, (2_000, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(q, (3 * x[q] + draw.normal(0, 0.1, 8)).astype(np.float32).tolist()) for q in range(0, 100, 20) for _ in range(50)]
+    rows += [(7, x[0].tolist())] * 3 + [(0, x[7].tolist())] * 30  # repeated rows, and a vector of another id under the query's
+    index = inner_product.build_index(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(parts))
+    asked = [(q, min(v for i, v in rows if i == q)) for q in range(0, 100, 20)]
+    got = inner_product.search(index, spark.createDataFrame(asked, "vec_id bigint, v array<double>")).orderBy("query_id", "rank").collect()
+    ids, all_ = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q, v in asked:
+        score = inner_product.exact(np.array(v), all_)
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(int(ids[i]), float(score[i])) for i in best]
 
 
 def test_anisotropic_codes_lower_the_parallel_residual():
@@ -355,6 +372,26 @@ def test_records_are_named_once_and_refer_to_each_other(spark):
         assert got == sorted([(p, u, *want.get(p, ("response", None))) for p, u, _ in pages], key=str)
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_revisits_of_any_url(spark, most):
+    """Null, empty and long urls of responses: revisits name the record and repeat the whole url."""
+    urls = {10: None, 20: "", 30: "http://a/" + "u" * 503, 40: "http://b/" + "é" * 5_000, 50: "http://c/\r\nX: y"}
+    pages = [(p - k, None if k == 1 else f"http://r{k}/", f"payload {p}") for p in urls for k in (1, 2)] + [(p, u, f"payload {p}") for p, u in urls.items()]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    archive = warc_bundles.write_warc(frame, most_broadcast=most)
+    heads = {}
+    for r in archive.index.collect():
+        with warc_bundles.Bundle(r.uri) as bundle:
+            heads[r.page_id] = bundle.record(r.frame, r.offset)[0]
+    for p, url in urls.items():
+        for k in (1, 2):
+            head = heads[p - k]
+            assert head["WARC-Type"] == "revisit" and head["X-Refers-To-Page"] == str(p) and head["WARC-Refers-To"] == heads[p]["WARC-Record-ID"]
+            assert head.get("WARC-Refers-To-Target-URI") == heads[p].get("WARC-Target-URI") and (url is None) == ("WARC-Target-URI" not in heads[p])
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to) for r in warc_bundles.read_warc(archive).collect()), key=str)
+    assert got == sorted([(p, u, *(("response", None) if p in urls else ("revisit", -(-p // 10) * 10))) for p, u, _ in pages], key=str)
+
+
 def test_archives_are_read_side_by_side(spark):
     """As many tasks as bundles, also where that is the number of shuffle partitions."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -105,7 +105,27 @@ def test_longest_matches_equal_brute_force(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [d for d, m in want if not m] and kept.columns == docs(spark, rows).columns
 
 
-def test_a_block_of_the_largest_size_fits_the_driver():
+def test_blocks_leave_no_copy_of_the_corpus(spark, tmp_path):
+    """Ten blocks give the results of one, and the shared folder holds the blocks only."""
+    from sensorline import storage
+
+    draw = np.random.default_rng(6)
+    bench = spark.createDataFrame([(i, " ".join(draw.choice(list("abcdefg"), 12))) for i in range(60)], "item_id bigint, text string")
+    frame = docs(spark, [(i, "unlikely " * 2_000 + " ".join(draw.choice(list("abcdefg"), 40))) for i in range(50)])
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    results = []
+    for block_bytes in (size, size // 10):
+        with storage.run(spark) as folder:
+            got = sorted(map(str, decontamination.contamination(frame, bench, 5, block_bytes).collect()))
+            results.append((got, sorted(r.doc_id for r in decontamination.without_contaminated(frame, bench, 5, block_bytes).collect())))
+            import pathlib
+
+            held = [f for f in pathlib.Path(folder.removeprefix("file://")).rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+            assert {f.parent.name.split("-")[0] for f in held} == {"benchmark"} and len(held) == (2 if block_bytes == size else len(held)) >= 2
+    assert results[0] == results[1] and 0 < len(results[0][1]) < 50
+
+
+def test_a_block_of_the_largest_size_fits_a_task():
     """A quarter of the largest block, of words that are all different (the worst for the vocabulary), in a quarter of 500 MB."""
     import tracemalloc
 
