@@ -19,7 +19,7 @@ from .operators import annotations, compare, quality, sanity, segment, stats, sy
 from .plans import charts, report
 from .settings import DEFAULTS, Settings
 from .sources import annotation_store, catalog, envelope, hdf5, mcap, text
-from .sources.readers import with_row_index
+from .sources.readers import split_path, with_row_index
 from .storage import staged
 
 
@@ -72,14 +72,14 @@ def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool =
     if texts:
         shares = frame.agg(*[F.avg((F.size(stats.parse_vector(F.col(f"`{c}`"))) > 1).cast("double")).alias(str(i)) for i, c in enumerate(texts)]).first()
         vectors += [c for c, share in zip(texts, shares, strict=True) if share and share >= 0.9]
-    plain = envelope.expand(frame, focus_fields) if expand else frame
+    plain, left_out = envelope.expansion(frame, focus_fields) if expand else (frame, [])
     times = [c for c in envelope.time_fields(frame.schema) if "." in c]
     hints = {}
     if times:
         largest = frame.agg(*[F.max(F.abs(F.col(c))).cast("double").alias(str(i)) for i, c in enumerate(times)])
         hints = dict(zip(times, largest.select(*[timeaxis.unit_hint(F.col(str(i))).alias(str(i)) for i in range(len(times))]).first(), strict=True))
     return {
-        "profile": stats.column_profile(plain, max_unique=max_unique, settings=settings), "n_rows": frame.count(), "nested_clocks": hints,
+        "profile": stats.column_profile(plain, max_unique=max_unique, settings=settings), "n_rows": frame.count(), "nested_clocks": hints, "left_out": left_out,
         "vectors": {c: stats.vector_profile(numbered.select("row_index", F.col(f"`{c}`").alias("v")), "v", "row_index") for c in vectors},
     }
 
@@ -106,10 +106,16 @@ def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Set
     columns = {s.name: time_column if time_column in data.tables[s.name].columns else s.timestamp_column for s in wanted}
     frames = {n: (data.tables[n], c) for n, c in columns.items() if c}
     units = _units(frames, settings) if frames else {}
-    rows = [_in_ns(with_row_index(frame), column, units[n]).select(F.lit(n).alias("stream"), F.col("row_index").alias("i"), "t") for n, (frame, column) in frames.items() if n in units]
+    inside = {n: split_path(s.path) for s in wanted if (n := s.name) in units and s.format == "mcap" and columns[n] == "mcap_log_time_ns"}
+    rows = [_in_ns(with_row_index(frame), column, units[n]).select(F.lit(n).alias("stream"), F.col("row_index").alias("i"), "t") for n, (frame, column) in frames.items() if n in units and n not in inside]
+    for path in sorted({p for p, _ in inside.values()}):  # all topics of a container in one pass
+        names = {topic: n for n, (p, topic) in inside.items() if p == path}
+        times = mcap.read_messages(data.spark, path, times_only=True).where(F.col("topic").isin(*names))
+        named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("topic")]
+        rows.append(times.select(named.alias("stream"), F.col("mcap_place").alias("i"), F.col("mcap_log_time_ns").alias("t")))
     if not rows:
         raise ValueError("no stream has a clock whose unit is known")
-    return functools.reduce(DataFrame.unionByName, rows)
+    return staged(functools.reduce(DataFrame.unionByName, rows), "clocks")  # sources are read once, whatever is asked of their clocks
 
 
 def _declared(data: catalog.Dataset, table: str | None, fps: float | None) -> float | None:
@@ -398,7 +404,7 @@ def align_container_streams(spark: SparkSession, container: str, max_streams: in
         cameras = [(container, m[1], "timestamp" in n.lower()) for n in nodes if (m := re.search(r"(cam[^/]*)", n.lower()))]
         found = spark.createDataFrame(cameras, "container string, camera string, is_clock boolean")
         return {"master_clock": sync.master_clock(nodes), "cameras": sync.camera_coverage(found)}
-    rows = mcap.read_messages(spark, container, times_only=True).select(F.col("path").alias("container"), "topic", "mcap_log_time_ns")
+    rows = staged(mcap.read_messages(spark, container, times_only=True).select(F.col("path").alias("container"), "topic", "mcap_log_time_ns"), "container-times")
     found = sync.container_alignment(rows, "container", "topic", "mcap_log_time_ns", settings=settings)
     return {"alignment": found if max_streams is None else found.orderBy(F.desc("n"), "topic").limit(max_streams)}
 
