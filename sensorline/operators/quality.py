@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from .stats import bad_value_ratios, numeric_columns, rolling_mean
-from .windows import extent, finite, neighbours, runs, same_keys, summaries
+from .windows import Extent, extent, finite, neighbours, runs, same_keys, summaries
 
 #: Substrings of names that mark columns as no action (fixed values).
 NO_ACTION = ("timestamp", "time", "ts", "frame", "index", "episode", "fps", "sequence", "step", "id")
-ACTION_PREFIXES, STATE_PREFIXES = ("action_", "action.", "cmd_", "target_"), ("state_", "state.", "obs_", "observation.state_", "qpos_")
+#: What the names of action and of state columns begin with (fixed values).
+ACTION_PREFIXES = ("action_", "actions.", "actions_", "action.")
+STATE_PREFIXES = ("observation.state.", "observation_state.", "obs_", "state_", "state.", "qpos_")
 
 
 def action_columns(frame: DataFrame) -> list[str]:
@@ -24,12 +26,13 @@ def action_columns(frame: DataFrame) -> list[str]:
 
 
 def pair_action_state(columns: list[str]) -> list[tuple[str, str]]:
-    """Action columns with the state column of the same name behind the prefix."""
+    """Action columns with the state column of the same name behind the prefix, whatever dots and underscores stand around it."""
     def stem(c: str, prefixes: tuple[str, ...]) -> str | None:
-        return next((c.lower()[len(p) :] for p in sorted(prefixes, key=len, reverse=True) if c.lower().startswith(p)), None)
+        own = max((p for p in prefixes if c.lower().startswith(p)), key=len, default=None)
+        return None if own is None else c.lower()[len(own) :].strip("._")
 
-    states = {s: c for c in columns if (s := stem(c, STATE_PREFIXES))}
-    return [(c, states[s]) for c in columns if (s := stem(c, ACTION_PREFIXES)) and s in states]
+    states = {s: c for c in columns if (s := stem(c, STATE_PREFIXES)) is not None}
+    return [(c, states[s]) for c in columns if (s := stem(c, ACTION_PREFIXES)) is not None and s in states]
 
 
 def channels(frame: DataFrame, keys: list[str], order: str, columns: list[str], also: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +68,9 @@ def gate_frame_loss(frame: DataFrame, keys: list[str], clock_s: str, declared_fp
         sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), ((F.max("t") - F.min("t")) * declared_fps + 1).alias("_due"))
         out = sums.select(*keys, "n", F.greatest(F.lit(0.0), F.col("_due") - F.col("n")).alias("n_missing"), F.greatest(F.lit(0.0), F.try_divide(F.col("_due") - F.col("n"), "_due")).alias("loss"))
     else:
-        steps = neighbours(rows, keys, ["t"], {"p": ("t", -1)}).withColumn("d", F.col("t") - F.col("p"))
-        middle = summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"m": ("d", 0.5)}, settings)
+        known = extent(rows, "t")
+        steps = neighbours(rows, keys, ["t"], {"p": ("t", -1)}, known=known).withColumn("d", F.col("t") - F.col("p"))
+        middle = summaries(steps.select(*keys, F.when(F.col("d") > 0, F.col("d")).alias("d")), keys, [], {"m": ("d", 0.5)}, settings, known.n)
         gap = F.col("d") > settings.gap_factor * F.col("m")
         sums = same_keys(steps, middle, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(gap, F.round(F.col("d") / F.col("m")) - 1)), F.lit(0.0)).alias("n_missing"))
         out = sums.withColumn("loss", F.col("n_missing") / (F.col("n") + F.col("n_missing")))
@@ -111,8 +115,9 @@ def speeds(long: DataFrame, keys: list[str], order: str, settings: Settings = DE
 
     Channels that never move in the episode are left out; an episode without moving channels has no rows.
     """
-    steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
-    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings, extent(long).n).where("p95 > 0")
+    known = extent(long, order)
+    steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}, known=known).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
+    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings, known.n).where("p95 > 0")
     return same_keys(steps, top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
 
 
@@ -122,9 +127,9 @@ def idle_ratio(long: DataFrame, keys: list[str], order: str, settings: Settings
     return speeds(long, keys, order, settings).groupBy(*keys).agg(F.count("*").alias("n_steps"), idle.alias("idle_ratio")).withColumn("warns", F.col("idle_ratio") > settings.idle_share)
 
 
-def second_differences(long: DataFrame, keys: list[str], order: str) -> DataFrame:
+def second_differences(long: DataFrame, keys: list[str], order: str, known: Extent | None = None) -> DataFrame:
     """The long frame with dd: the row before, less twice this one, plus the row after; null at the ends."""
-    w = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1), "_n": ("x", 1)})
+    w = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1), "_n": ("x", 1)}, known=known)
     return w.withColumn("dd", F.col("_p") - 2 * F.col("x") + F.col("_n")).drop("_p", "_n")
 
 
@@ -134,12 +139,13 @@ def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settin
     With a clock (a column of long, in seconds) the second difference is divided by the square of the step ahead; steps that
     do not go forward count for nothing. Without one the second difference is taken as it is.
     """
-    dd = second_differences(long, keys, order)
+    known = extent(long, order)
+    dd = second_differences(long, keys, order, known)
     if clock_s:
-        ahead = neighbours(long, [*keys, "channel"], [order], {"_t": (clock_s, 1)}).select(*keys, "channel", order, (F.col("_t") - F.col(clock_s)).alias("_dt"))
+        ahead = neighbours(long, [*keys, "channel"], [order], {"_t": (clock_s, 1)}, known=known).select(*keys, "channel", order, (F.col("_t") - F.col(clock_s)).alias("_dt"))
         dd = same_keys(dd, ahead, [*keys, "channel", order]).withColumn("dd", F.when(F.col("_dt") > 0, F.col("dd") / (F.col("_dt") * F.col("_dt"))))
     dd = dd.where("dd is not null").withColumn("a", F.abs("dd"))
-    middle = summaries(dd, [*keys, "channel"], [], {"m": ("a", 0.5)}, settings).where("m > 0")
+    middle = summaries(dd, [*keys, "channel"], [], {"m": ("a", 0.5)}, settings, known.n).where("m > 0")
     hits = same_keys(dd, middle, [*keys, "channel"]).where(F.col("a") > settings.spike_factor * F.col("m"))
     return hits.groupBy(*keys, "channel").agg(F.count("*").alias("n_spikes"), F.max(F.col("a") / F.col("m")).alias("worst"))
 
@@ -151,7 +157,7 @@ def worst_channels(found: DataFrame, value: str, settings: Settings = DEFAULTS)
 
 def actuator_saturation(frame: DataFrame, keys: list[str], order: str, pairs: list[tuple[str, str]], settings: Settings = DEFAULTS) -> DataFrame:
     """channel, n, n_over, worst: the action of a step against the state one step later, beyond the limit in degrees."""
-    sides = F.array(*[F.struct(F.lit(a).alias("channel"), finite(a).alias("a"), finite(s).alias("s")) for a, s in pairs])
+    sides = F.array(*[F.struct(F.lit(a).alias("channel"), finite(f"`{a}`").alias("a"), finite(f"`{s}`").alias("s")) for a, s in pairs])
     long = frame.select(*keys, order, F.explode(sides).alias("_c")).select(*keys, order, "_c.*")
     gap = neighbours(long, [*keys, "channel"], [order], {"_s": ("s", 1)}).select(*keys, "channel", F.abs(F.col("a") - F.col("_s")).alias("g")).where("g is not null")
     return gap.groupBy(*keys, "channel").agg(F.count("*").alias("n"), F.count_if(F.col("g") > settings.saturation).alias("n_over"), F.max("g").alias("worst"))
@@ -168,14 +174,15 @@ def action_jerk(long: DataFrame, keys: list[str], order: str, settings: Settings
 def pauses(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Runs of at least pause_steps slow steps: keys, run, n_rows, first, last."""
     slow = speeds(long, keys, order, settings).withColumn("_slow", F.col("speed") < settings.idle_speed)
-    out = runs(slow, keys, [order], "_slow").where(F.col("n_rows") >= settings.pause_steps)
+    out = runs(slow, keys, [order], "_slow", extent(long, order)).where(F.col("n_rows") >= settings.pause_steps)
     return out.select(*keys, "n_rows", F.col(f"first.{order}").alias("first"), F.col(f"last.{order}").alias("last"))
 
 
 def arm_shaking(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Share of sign changes among the second differences that are not zero, for each channel."""
-    dd = second_differences(long, keys, order).where("dd <> 0")
-    flips = neighbours(dd, [*keys, "channel"], [order], {"_p": ("dd", -1)})
+    known = extent(long, order)
+    dd = second_differences(long, keys, order, known).where("dd <> 0")
+    flips = neighbours(dd, [*keys, "channel"], [order], {"_p": ("dd", -1)}, known=known)
     share = F.count_if(F.signum("dd") != F.signum("_p")) / F.count("*")
     return flips.groupBy(*keys, "channel").agg(F.count("*").alias("n"), share.alias("flip_ratio")).withColumn("warns", F.col("flip_ratio") > settings.shake_ratio)
 

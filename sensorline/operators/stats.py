@@ -225,7 +225,8 @@ def first_seen(frame: DataFrame, keys: list[str], text: str, order: list[str]) -
 
 def rolling_mean(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add the centred mean of five values; null where fewer than two rows are before or after."""
-    rows = neighbours(frame, keys, order, {"_b": (value, -1), "_a": (value, 1)})
-    rows = neighbours(rows, keys, order, {"_bb": ("_b", -1), "_aa": ("_a", 1)})
+    known = extent(frame, order[0])
+    rows = neighbours(frame, keys, order, {"_b": (value, -1), "_a": (value, 1)}, known=known)
+    rows = neighbours(rows, keys, order, {"_bb": ("_b", -1), "_aa": ("_a", 1)}, known=known)
     mean = (F.col("_bb") + F.col("_b") + F.col(value) + F.col("_a") + F.col("_aa")) / 5
     return rows.select(*frame.columns, mean.alias(name))

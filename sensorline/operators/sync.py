@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import extent, nearest, neighbours, same_keys, summaries
+from .windows import Extent, extent, nearest, neighbours, same_keys, summaries
 
 #: Parts of names that are never a baseline (fixed values).
 NO_BASELINE = ("tf_static", "static_tf", "_static", "static_", "calib", "metadata", "metainfo")
 
 
-def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None) -> DataFrame:
+def sorted_steps(frame: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
     """keys, t, p (the clock before in sorted order) and d, their difference.
 
     Long streams are sorted in pieces: of bucket_width nanoseconds if given, else by the clock's extent.
     """
     rows = frame.select(*keys, F.col(clock_ns).alias("t")).where("t is not null")
     bucket = F.floor(F.col("t") / bucket_width) if bucket_width else None
-    return neighbours(rows, keys, ["t"], {"p": ("t", -1)}, bucket).withColumn("d", F.col("t") - F.col("p"))
+    known = known.of("t") if known and known.column == clock_ns else known
+    return neighbours(rows, keys, ["t"], {"p": ("t", -1)}, bucket, known).withColumn("d", F.col("t") - F.col("p"))
 
 
 def medians(steps: DataFrame, keys: list[str], settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
@@ -39,12 +40,12 @@ def shape_case(n: Column, span_ns: Column, step_ns: Column, mean_ns: Column, set
     return F.when(few, "static").when(F.coalesce(mean_ns >= settings.burst_ratio * step_ns, F.lit(False)), "burst").otherwise("periodic")
 
 
-def _sums(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings, bucket_width: int | None) -> DataFrame:
+def _sums(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings, bucket_width: int | None, known: Extent | None = None) -> DataFrame:
     """One row for each key of what checks, shapes and alignment need of its sorted steps."""
-    rows = extent(frame).n
-    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
+    known = known or extent(frame, clock_ns)
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width, known)
     gap = F.col("d") > settings.gap_factor * F.col("step_ns")
-    sums = same_keys(steps, medians(steps, keys, settings, rows), keys).groupBy(*keys).agg(
+    sums = same_keys(steps, medians(steps, keys, settings, known.n), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("t").alias("head"), F.max("t").alias("tail"), F.first("step_ns").alias("step_ns"), F.avg("d").alias("mean_ns"),
         F.count_if(F.col("d") == 0).alias("n_duplicates"), F.count_if(gap).alias("n_gaps"), F.count_if(F.col("d") > 2 * F.col("step_ns")).alias("breaks"),
         F.coalesce(F.sum(F.when(gap, F.col("d") - F.col("step_ns"))), F.lit(0.0)).alias("lost_ns"),
@@ -59,7 +60,8 @@ def _unless_burst(value: Column) -> Column:
 
 
 def stream_checks(
-    frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS, bucket_width: int | None = None, bucket_rows: int | None = None
+    frame: DataFrame, keys: list[str], clock_ns: str, order: list[str], settings: Settings = DEFAULTS, bucket_width: int | None = None, bucket_rows: int | None = None,
+    known: Extent | None = None,
 ) -> DataFrame:
     """One row for each stream: n, span_s, step_ns, rate_hz, n_disorder, n_duplicates, shape, n_gaps, loss.
 
@@ -69,10 +71,11 @@ def stream_checks(
     order column if given, else by the extent of both.
     """
     pieces = F.floor(F.col(order[0]) / bucket_rows) if bucket_rows else None
-    filed = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)}, pieces)
+    known = known or extent(frame, clock_ns)
+    filed = neighbours(frame.where(F.col(clock_ns).isNotNull()), keys, order, {"_p": (clock_ns, -1)}, pieces, known)
     disorder = filed.groupBy(*keys).agg(F.count_if(F.col(clock_ns) < F.col("_p")).alias("n_disorder"))
     loss = F.when(F.col("span_ns") > 0, F.least(F.lit(1.0), F.col("lost_ns") / F.col("span_ns"))).otherwise(0.0)
-    return same_keys(_sums(frame, keys, clock_ns, settings, bucket_width), disorder, keys).select(
+    return same_keys(_sums(frame, keys, clock_ns, settings, bucket_width, known), disorder, keys).select(
         *keys, "n", (F.col("span_ns") / 1e9).alias("span_s"), "step_ns", F.when(F.col("mean_ns") > 0, 1e9 / F.col("mean_ns")).alias("rate_hz"),
         "n_disorder", "n_duplicates", "shape", _unless_burst(F.col("n_gaps")).alias("n_gaps"), _unless_burst(loss).alias("loss"),
     )
@@ -89,9 +92,10 @@ def stream_shape(frame: DataFrame, keys: list[str], clock_ns: str, settings: Set
 
 def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
     """The first gaps of each stream (gap_report_limit): nth, start_ns, end_ns, duration_s, n_missing. Bursts have none."""
-    steps = sorted_steps(frame, keys, clock_ns, bucket_width)
-    known = _sums(frame, keys, clock_ns, settings, bucket_width).where("shape <> 'burst' and n_gaps > 0").select(*keys, "step_ns")
-    gaps = same_keys(steps, known, keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
+    size = extent(frame, clock_ns)
+    steps = sorted_steps(frame, keys, clock_ns, bucket_width, size)
+    found = _sums(frame, keys, clock_ns, settings, bucket_width, size).where("shape <> 'burst' and n_gaps > 0").select(*keys, "step_ns")
+    gaps = same_keys(steps, found, keys).where(F.col("d") > settings.gap_factor * F.col("step_ns"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("p")).cast("bigint")
     return gaps.withColumn("nth", nth).where(F.col("nth") <= settings.gap_report_limit).select(
         *keys, "nth", F.col("p").alias("start_ns"), F.col("t").alias("end_ns"), (F.col("d") / 1e9).alias("duration_s"),
@@ -99,9 +103,9 @@ def locate_gaps(frame: DataFrame, keys: list[str], clock_ns: str, settings: Sett
     )
 
 
-def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None) -> DataFrame:
+def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings = DEFAULTS, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
     """Eligible streams by score: coverage over (1 + variation of steps) times log10 of the count; ties by name."""
-    steps = sorted_steps(frame, [key], clock_ns, bucket_width)
+    steps = sorted_steps(frame, [key], clock_ns, bucket_width, known)
     sums = steps.groupBy(key).agg(
         F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span_ns"),
         F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean_ns"), F.stddev_pop(F.when(F.col("d") > 0, F.col("d"))).alias("dev_ns"),
@@ -116,22 +120,22 @@ def rank_baselines(frame: DataFrame, key: str, clock_ns: str, settings: Settings
     return rows.select(key, "n", "coverage", score.alias("score"))
 
 
-def residuals(streams: DataFrame, baseline: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None) -> DataFrame:
+def residuals(streams: DataFrame, baseline: DataFrame, keys: list[str], clock_ns: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
     """Each row's offset in ms from the nearest baseline time: keys, clock, near, offset_ms."""
     base = baseline.select(F.col(clock_ns)).withColumn("_all", F.lit(1))
-    near = nearest(streams.withColumn("_all", F.lit(1)), base, ["_all"], clock_ns, bucket_width)
+    near = nearest(streams.withColumn("_all", F.lit(1)), base, ["_all"], clock_ns, bucket_width, known)
     return near.drop("_all").withColumn("offset_ms", (F.col(clock_ns) - F.col("near")) / 1e6)
 
 
-def residual_stats(offsets: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
+def residual_stats(offsets: DataFrame, keys: list[str], settings: Settings = DEFAULTS, n: int | None = None) -> DataFrame:
     """Mean, largest and 95th percentile of the sizes, and median, 5th and 95th percentile of the signed offsets."""
     rows = offsets.where("offset_ms is not null").withColumn("_size", F.abs("offset_ms"))
     sums = [F.count("*").alias("n"), F.avg("_size").alias("mean_ms"), F.max("_size").alias("max_ms")]
     signed = {"signed_p05_ms": ("offset_ms", 0.05), "signed_median_ms": ("offset_ms", 0.5), "signed_p95_ms": ("offset_ms", 0.95)}
-    return summaries(rows, keys, sums, {"p95_ms": ("_size", 0.95)} | signed, settings)
+    return summaries(rows, keys, sums, {"p95_ms": ("_size", 0.95)} | signed, settings, n)
 
 
-def base_offsets(streams: DataFrame, baseline: DataFrame, key: str, clock_ns: str, bucket_width: int | None = None) -> DataFrame:
+def base_offsets(streams: DataFrame, baseline: DataFrame, key: str, clock_ns: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
     """For each baseline row and each stream the stream's nearest time: key, clock (the baseline's), near, offset_ms.
 
     The other direction of residuals. Streams are few: their names come to the driver.
@@ -140,7 +144,7 @@ def base_offsets(streams: DataFrame, baseline: DataFrame, key: str, clock_ns: st
     if not names:
         return streams.select(key, clock_ns, F.col(clock_ns).alias("near"), F.lit(0.0).alias("offset_ms"))
     rows = baseline.select(F.explode(F.array(*map(F.lit, names))).alias(key), clock_ns).where(F.col(clock_ns).isNotNull())
-    near = nearest(rows, streams.select(key, clock_ns), [key], clock_ns, bucket_width)
+    near = nearest(rows, streams.select(key, clock_ns), [key], clock_ns, bucket_width, known)
     return near.withColumn("offset_ms", (F.col("near") - F.col(clock_ns)) / 1e6)
 
 
@@ -179,17 +183,19 @@ def sync_report(
     Bursts take no part in residuals and drift: nearest rows across bursts tell nothing. The fastest stream that is no burst
     sets the residual's limit.
     """
+    known = extent(frame, clock_ns)
     if baseline is None:
-        best = rank_baselines(frame, key, clock_ns, settings, bucket_width).orderBy(F.desc("score"), key).select(key).first()
+        best = rank_baselines(frame, key, clock_ns, settings, bucket_width, known).orderBy(F.desc("score"), key).select(key).first()
         baseline = best[0] if best else None
-    checks = staged(stream_checks(frame, [key], clock_ns, order, settings, bucket_width, bucket_rows), "checks")  # a row for each stream
+    checks = staged(stream_checks(frame, [key], clock_ns, order, settings, bucket_width, bucket_rows, known), "checks")  # a row for each stream
     told = {r[key]: r for r in checks.select(key, "shape", "step_ns").collect()}
     base = frame.where(F.col(key) == F.lit(baseline)).select(key, clock_ns)
     steady = [k for k, r in told.items() if r["shape"] != "burst" and k != baseline and k is not None]
     others = frame.where(F.col(key).isin(*steady) if steady else F.lit(False)).select(key, clock_ns)
-    found = residual_stats(residuals(others, base, [key], clock_ns, bucket_width).select(key, "offset_ms"), [key], settings).drop("n")
+    found = residual_stats(residuals(others, base, [key], clock_ns, bucket_width, known).select(key, "offset_ms"), [key], settings, known.n).drop("n")
     step = (told[baseline]["step_ns"] or 0) / 1e6 if baseline in told else 0.0
-    slopes = drift(base_offsets(others, base, key, clock_ns, bucket_width), [key], clock_ns, float(step), settings)
+    many = Extent(known.n * max(1, len(steady)))  # a row for each of the baseline's and each stream
+    slopes = drift(base_offsets(others, base, key, clock_ns, bucket_width, many), [key], clock_ns, float(step), settings)
     report = checks.join(found, [key], "left").join(slopes, [key], "left")
     fastest = checks.agg(F.max(_unless_burst(F.col("rate_hz"))).alias("_hz"))
     report = report.join(F.broadcast(fastest))  # one row

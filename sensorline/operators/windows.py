@@ -1,12 +1,14 @@
 """Ordered-row helpers: neighbours across buckets, runs, running sums, fills, nearest rows, exact quantiles.
 
-A plain window puts all rows of a key into one task. Tables of more than PIECE_ROWS rows are therefore dealt by buckets of
-their order column, and only an edge row or a sum of each bucket is carried to the next, so one long stream spreads over
-many tasks. Smaller tables take the plain window. Results are the same either way.
+A plain window puts all rows of a key into one task. Tables of more than PIECE_ROWS rows are therefore dealt by pieces of
+their order column, of about equal counts, and only an edge row or a sum of each piece is carried to the next, so one long stream
+spreads over many tasks. Smaller tables take the plain window. Results are the same either way. What is known of a table's extent
+is handed on, since none of these helpers adds rows.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,60 +19,101 @@ from ..functions.scalars import bad, epoch_ns, finite  # noqa: F401
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
 
-#: Rows from which on a table is dealt by buckets, and that a bucket holds on average.
-PIECE_ROWS = 500_000
+#: Rows from which on a table is dealt by pieces, and that a piece holds on average; and the most pieces.
+PIECE_ROWS, MOST_PIECES = 2_000_000, 65_536
+#: Bytes that a row of a source takes at least, for tables whose files are so small that nobody need count them.
+ROW_BYTES = 4
 #: Rows from which on exact quantiles are taken without gathering a group's values.
 SPREAD_ROWS = 5_000_000
 _MOST_KNOWN = 256
-_KNOWN: dict[tuple, tuple] = {}
+_KNOWN: dict[tuple, object] = {}
 
 
 class Extent(NamedTuple):
-    """Number of rows of a table, and the range of a number column, which decide how it is dealt, never what comes out."""
+    """About how many rows a table has, and where its pieces begin in a column: this decides how it is dealt, never what comes out."""
 
     n: int
-    low: float | None = None
-    high: float | None = None
+    splits: tuple[float, ...] = ()
+    column: str | None = None
 
-    def width(self) -> float | None:
-        """Width of a bucket of about PIECE_ROWS rows; none for small tables."""
-        if self.n <= PIECE_ROWS or self.low is None or self.high <= self.low:
-            return None
-        return (self.high - self.low) * PIECE_ROWS / self.n
+    def of(self, column: str) -> Extent:
+        """The same where the column goes by another name."""
+        return self._replace(column=column)
 
-    def bucket(self, column: str) -> Column | None:
-        return F.floor((F.col(column) - F.lit(self.low)) / F.lit(self.width())) if self.width() else None
+    def dealt(self, frame: DataFrame, column: str, name: str) -> DataFrame:
+        """Add the piece of each row, which never falls as the column grows: nulls in the first, NaN in the last one."""
+        from pyspark.ml.feature import Bucketizer
 
+        x = _number(frame, column)
+        spot = frame.withColumn("_spot", F.when(F.isnan(x), float("inf")).otherwise(F.coalesce(x, F.lit(float("-inf")))))
+        pieces = Bucketizer(splits=[float("-inf"), *self.splits, float("inf")], inputCol="_spot", outputCol=name)
+        return pieces.transform(spot).drop("_spot").withColumn(name, F.col(name).cast("bigint"))
 
-def extent(frame: DataFrame, column: str | None = None) -> Extent:
-    """The extent of a table by one aggregate; known ones are kept, by plan."""
-    number = column is not None and isinstance(frame.select(column).schema[0].dataType, T.NumericType)
-    key = (frame.sparkSession.sparkContext.applicationId, frame.semanticHash(), column)
+
+def _number(frame: DataFrame, column: str) -> Column | None:
+    """A column as double in its own order, if it is a number or a time."""
+    kind = frame.select(column).schema[0].dataType
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double") if isinstance(kind, T.NumericType) else None
+
+
+def _recall(key: tuple, make):
     if key not in _KNOWN:
         while len(_KNOWN) >= _MOST_KNOWN:
             _KNOWN.pop(next(iter(_KNOWN)))
-        x = finite(column) if number else F.lit(None).cast("double")
-        _KNOWN[key] = tuple(frame.agg(F.count("*"), F.min(x), F.max(x)).first())
-    return Extent(*_KNOWN[key])
+        _KNOWN[key] = make()
+    return _KNOWN[key]
+
+
+def _source_bytes(frame: DataFrame) -> int:
+    """Bytes of all that a plan reads, as the planner knows them (a very large number where it does not)."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def extent(frame: DataFrame, column: str | None = None, known: Extent | None = None) -> Extent:
+    """The extent of a table in a column.
+
+    Small sources need no job. Else rows are counted once for a plan, and only tables above PIECE_ROWS have pieces of about equal
+    counts, by a mergeable sketch of the column: no outlier makes a piece larger, and a value that fills a piece is one of its own.
+    known is the extent of a table with these rows (or more) that a caller has at hand: if it is small, or of this column, nothing is
+    asked.
+    """
+    if known is not None and (known.n <= PIECE_ROWS or column is None or known.column == column):
+        return known
+    plan = (frame.sparkSession.sparkContext.applicationId, frame.semanticHash(), PIECE_ROWS)
+    n = known.n if known is not None else _recall(plan, lambda: 0 if _source_bytes(frame) <= ROW_BYTES * PIECE_ROWS else frame.count())
+    x = _number(frame, column) if column is not None and n > PIECE_ROWS else None
+    if x is None:
+        return Extent(n)
+    pieces = min(MOST_PIECES, -(-n // PIECE_ROWS))
+
+    def split() -> tuple[float, ...]:
+        shares = [i / pieces for i in range(1, pieces)]
+        found = frame.select(x.alias("x")).where("not isnan(x)").agg(F.percentile_approx("x", shares, F.lit(8 * pieces))).first()[0] or []
+        heavy = {v for v, w in zip(found, found[1:], strict=False) if v == w}
+        return tuple(sorted({v for v in [*found, *(math.nextafter(v, math.inf) for v in heavy)] if math.isfinite(v)}))
+
+    return Extent(n, _recall((*plan, column, MOST_PIECES), split), column)
 
 
 def neighbours(
-    frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None, plain: bool = False
+    frame: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, int]], bucket: Column | None = None, known: Extent | None = None
 ) -> DataFrame:
     """Add columns {new: (source, -1 or 1)}: the source in the row before (-1) or after (1) by order within keys.
 
     ``bucket`` is a nondecreasing function of the order columns (for example ``floor(row_index / 200000)``); rows are then
     sorted within (keys, bucket) only, and each bucket's edge rows come from an aggregate. Without it the first order
-    column's extent gives one, unless the table is small or ``plain`` says that no key is long.
+    column's extent gives one, unless the table is small.
     """
     sources = list(dict.fromkeys(s for s, _ in columns.values()))
     spot = [F.col(c) for c in order]
-    if bucket is None and not plain:
-        bucket = extent(frame, order[0]).bucket(order[0])
-    if bucket is None:
+    own = Extent(0) if bucket is not None else extent(frame, order[0], known)
+    if bucket is None and not own.splits:
         w = Window.partitionBy(*keys).orderBy(*spot)
         return frame.select("*", *[F.lag(s, -step).over(w).alias(new) if step < 0 else F.lead(s, step).over(w).alias(new) for new, (s, step) in columns.items()])
-    dealt = frame.withColumn("_bucket", bucket)
+    dealt = own.dealt(frame, order[0], "_bucket") if bucket is None else frame.withColumn("_bucket", bucket)
     w = Window.partitionBy(*keys, "_bucket").orderBy(*spot)
     row, place = F.struct(*sources), F.struct(*order)
     edges = dealt.groupBy(*keys, "_bucket").agg(F.max_by(row, place).alias("_last"), F.min_by(row, place).alias("_first"))
@@ -87,14 +130,14 @@ def neighbours(
     return joined.select(*frame.columns, *new)
 
 
-def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str, known: Extent | None = None) -> DataFrame:
     """Add the sum of a column over the rows up to and with this one, by order within keys (nulls count as nothing)."""
-    bucket = extent(frame, order[0]).bucket(order[0])
+    own_extent = extent(frame, order[0], known)
     spot = [F.col(c) for c in order]
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if bucket is None:
+    if not own_extent.splits:
         return frame.withColumn(name, F.sum(value).over(upto(Window.partitionBy(*keys).orderBy(*spot))))
-    dealt = frame.withColumn("_bucket", bucket)
+    dealt = own_extent.dealt(frame, order[0], "_bucket")
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     sums = sums.select(*keys, "_bucket", F.sum("_s").over(before).alias("_before"))
@@ -104,14 +147,14 @@ def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.select(*frame.columns, total.alias(name))
 
 
-def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str], known: Extent | None = None) -> DataFrame:
     """Nulls of some columns take the last value before them, or the first after."""
-    bucket = extent(frame, order).bucket(order)
-    dealt = frame.withColumn("_bucket", F.lit(0).cast("bigint") if bucket is None else bucket)
+    own_extent = extent(frame, order, known)
+    dealt = own_extent.dealt(frame, order, "_bucket") if own_extent.splits else frame.withColumn("_bucket", F.lit(0).cast("bigint"))
     inside = [*keys, "_bucket"]
     before, after = Window.partitionBy(*inside).orderBy(order), Window.partitionBy(*inside).orderBy(F.desc(order))
     near = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if bucket is None:
+    if not own_extent.splits:
         new = {c: F.coalesce(near(c, before), near(c, after)).alias(c) for c in columns}
         return dealt.select(*[new.get(c, F.col(c)) for c in frame.columns])
     ends = dealt.groupBy(*inside).agg(
@@ -125,28 +168,28 @@ def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str]) ->
     return same_keys(own, ends, inside).select(*[new.get(c, F.col(c)) for c in frame.columns])
 
 
-def runs(frame: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
+def runs(frame: DataFrame, keys: list[str], order: list[str], flag: str, known: Extent | None = None) -> DataFrame:
     """Stretches of rows in a row with a true flag: keys, run, n_rows, and the first and last value of the order columns."""
-    marked = neighbours(frame.withColumn("_on", F.coalesce(F.col(flag), F.lit(False))), keys, order, {"_was": ("_on", -1)})
+    known = known or extent(frame, order[0])
+    marked = neighbours(frame.withColumn("_on", F.coalesce(F.col(flag), F.lit(False))), keys, order, {"_was": ("_on", -1)}, known=known)
     marked = marked.withColumn("_new", (F.col("_on") & ~F.coalesce("_was", F.lit(False))).cast("int"))
-    marked = running_sum(marked, keys, order, "_new", "run").where("_on")
+    marked = running_sum(marked, keys, order, "_new", "run", known).where("_on")
     spot = F.struct(*order)
     return marked.groupBy(*keys, "run").agg(F.count("*").alias("n_rows"), F.min(spot).alias("first"), F.max(spot).alias("last"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_width: int | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
     """For each left row the right row of the same keys whose ``at`` is closest; of two as close the later one.
 
     Left columns, and ``near`` (null if the keys have no right row). Both sides are merged into one sorted sequence, and
-    two windows carry the last right row before and the first after. With bucket_width (of long sequences by themselves) the
-    sequence is cut into buckets of ``at`` and every bucket gets the last right row before it and the first after it.
+    two windows carry the last right row before and the first after. Long sequences are cut into pieces of ``at`` (of
+    bucket_width, if given), and every piece gets the last right row before it and the first after it.
     """
-    bucket_width = bucket_width or extent(left.select(at).unionAll(right.select(at)), at).width()
+    own = Extent(0) if bucket_width else extent(left.select(at).unionAll(right.select(at)), at, known)
     base = right.select(*keys, F.col(at).alias("_t")).where("_t is not null").distinct()
     rows = left.select(F.struct(*left.columns).alias("_row"), *keys, F.col(at).alias("_t"))
-    if bucket_width:
-        spot = F.floor(F.col("_t") / bucket_width)
-        base, rows = base.withColumn("_b", spot), rows.withColumn("_b", spot)
+    if bucket_width or own.splits:
+        base, rows = (x.withColumn("_b", F.floor(F.col("_t") / bucket_width)) if bucket_width else own.dealt(x, "_t", "_b") for x in (base, rows))
         used = rows.select(*keys, "_b").union(base.select(*keys, "_b")).distinct()
         edge = base.groupBy(*keys, "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         order, back = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.desc("_b"))

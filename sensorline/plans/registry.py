@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
 from ..operators.windows import epoch_ns
-from ..sources import text
+from ..sources import envelope, text
 from . import charts, sql
 
 
@@ -218,8 +218,6 @@ def q33_histogram(spark, d):
 
 
 def q34_envelope(spark, d):
-    from ..sources import envelope
-
     return envelope.json_fields(_t(spark, d, "events").select("event_id", "props"), "props", {"props.k": ("$.k", "bigint")}).select("event_id", F.col("`props.k`").alias("k"))
 
 
@@ -267,6 +265,30 @@ def q38_timestamp_lines(spark, d):
     return text.parse_timestamps(e)
 
 
+def q38_fractional_timestamps(spark, d):
+    """Lines of seconds with fractions, a number that rises, one that does not, and a letter; columns as they are found."""
+    e = _t(spark, d, "events")
+    seconds = F.concat_ws(".", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string"), F.lpad((F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000).cast("string"), 6, "0"))
+    letter = F.when(F.col("event_type") == "click", "C").otherwise("O")
+    found = text.parse_timestamps(e.select(F.col("event_id").alias("row_index"), F.concat_ws("  ", seconds, F.col("event_id").cast("string"), F.col("value").cast("string"), letter).alias("value")))
+    return found.select("row_index", (F.col("timestamp") * 1_000_000).cast("bigint").alias("timestamp_us"), "frame_index", "value_2", "status")
+
+
+def q58_props_fields(spark, d):
+    """Fields of JSON texts, with the schema of all rows, as columns."""
+    flat = envelope.expand(_t(spark, d, "events").select("event_id", "props"), ["event_id", "props.k"])
+    return flat.select("event_id", F.col("`props.k`").alias("k"), F.lit(flat.schema["props.k"].dataType.simpleString()).alias("kind"))
+
+
+def q59_message_fields(spark, d):
+    """Conversations as JSON messages whose fields differ by role, opened into columns."""
+    c = _t(spark, d, "conversations")
+    said = F.struct(F.col("turn").alias("n"), F.length("text").alias("size"))
+    message = F.when(F.col("role") == "user", F.to_json(F.struct("role", said.alias("said")))).otherwise(F.to_json(F.struct(F.col("role"), (F.length("text") / 4).alias("score"), F.array(F.col("turn"), F.col("turn") + 1).alias("span"))))
+    flat = envelope.expand(c.select("conv_id", "turn", message.alias("m")))
+    return flat.select("conv_id", "turn", *[F.col(f"`m.{f}`").alias(f.replace(".", "_")) for f in ("role", "said.n", "said.size", "score", "span.0", "span.1")])
+
+
 def q39_steady_rate(spark, d):
     return timeaxis.steady_rate(_events(spark, d), ["stream"], "t")
 

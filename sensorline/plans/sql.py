@@ -166,6 +166,12 @@ SELECT id, episode_key, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN
   CASE WHEN event_id % 10 <> 0 THEN (event_id % 60) * 1000000 + 250 END AS time_of_day_us, CASE WHEN event_id % 10 <> 0 THEN CAST(17 AS BIGINT) END AS thread,
   CASE WHEN event_id % 10 <> 0 THEN 'feed.cc:12' END AS source, CASE WHEN event_id % 10 <> 0 THEN event_type ELSE props END AS message FROM events""",
     "q38_timestamp_lines": "SELECT event_id AS row_index, epoch_us(ts) * 1000 AS timestamp, event_id AS frame_index FROM events",
+    "q38_fractional_timestamps": """SELECT event_id AS row_index, epoch_us(ts) AS timestamp_us, event_id AS frame_index, CAST(value AS DOUBLE) AS value_2,
+  CASE WHEN event_type = 'click' THEN 'C' ELSE 'O' END AS status FROM events""",
+    "q58_props_fields": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, 'bigint' AS kind FROM events",
+    "q59_message_fields": """SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN CAST(turn AS BIGINT) END AS said_n, CASE WHEN role = 'user' THEN CAST(length(text) AS BIGINT) END AS said_size,
+  CASE WHEN role <> 'user' THEN CAST(length(text) AS DOUBLE) / 4 END AS score, CASE WHEN role <> 'user' THEN CAST(turn AS BIGINT) END AS span_0, CASE WHEN role <> 'user' THEN CAST(turn AS BIGINT) + 1 END AS span_1
+FROM conversations""",
     "q39_steady_rate": f"""WITH {STEPS}, mp AS (SELECT stream, median(d) FILTER (d > 0) AS m FROM d GROUP BY stream) SELECT stream, count(*) AS n_steps, 1e9 / avg(d) AS rate_hz, stddev_pop(d) / 1e6 AS jitter_ms FROM d JOIN mp USING (stream) WHERE d > 0 AND d <= 10 * m GROUP BY stream""",
     "q40_container_alignment": f"""WITH {E}, f AS (SELECT 'c' || CAST(user_id % 4 AS VARCHAR) AS container, stream, t FROM e), {alignment()}""",
     "q40_burst_alignment": f"WITH {RECORDING.replace('f AS (SELECT * FROM e)', "f AS (SELECT 'c' AS container, stream, t FROM e)")}, {alignment()}",

@@ -1,15 +1,20 @@
 """A versioned store of annotations and a store of confirmed profiles, in any folder that Spark reaches.
 
-Every change writes a new version folder and is complete once Spark's success mark is in it; readers take the newest
-complete version, so a job that dies leaves the old one in force. Versions never change, so a snapshot is a name for one.
-One writer at a time: the version number is claimed by creating its folder, which fails if another writer has it.
+A change is merged with the version that was read, written with its log to a folder of its own, and comes into force when a small
+file that names that folder is created as exactly the next version. Only one of several writers can create it; the others read
+what is new and merge again, so nobody's rows are lost. A writer that dies leaves a folder that no version names: neither its rows
+nor its log are seen. Versions never change, so a snapshot is a name for one.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
+import os
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ RECORD = (
     "atomic_action string, interacting_hand string, target_object_class string, is_noise boolean, cleaning_reason string"
 )
 HISTORY = 200
+#: How often a writer merges anew because others were first.
+MOST_TRIES = 50
 
 
 class _Folder:
@@ -38,18 +45,32 @@ class _Folder:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.paths(f"{self.root}/{name}"))
 
-    def claim(self, name: str) -> None:
-        self.fs.mkdirs(self.paths(self.root))
-        out = self.fs.create(self.paths(f"{self.root}/{name}"), False)  # fails if it exists
-        out.close()
-
-    def write(self, name: str, text: str) -> None:
-        self.fs.mkdirs(self.paths(f"{self.root}/{name}").getParent())
-        hidden = self.paths(f"{self.root}/{name}.new")
+    def _hidden(self, name: str, text: str):
+        """A finished file that is not seen yet, beside the one of that name."""
+        final = self.paths(f"{self.root}/{name}")
+        self.fs.mkdirs(final.getParent())
+        hidden = self.paths(f"{self.root}/{name.rpartition('/')[0]}/.{uuid.uuid4().hex}")
         out = self.fs.create(hidden, True)
         out.write(bytearray(text.encode()))
         out.close()
-        final = self.paths(f"{self.root}/{name}")
+        return hidden, final
+
+    def create(self, name: str, text: str) -> bool:
+        """Make a whole file at once, unless there is one: then nothing changes and the answer is no."""
+        hidden, final = self._hidden(name, text)
+        try:
+            if self.fs.getScheme() == "file":  # a local rename would replace it
+                try:
+                    os.link(hidden.toUri().getPath(), final.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not self.fs.exists(final) and bool(self.fs.rename(hidden, final))
+        finally:
+            self.fs.delete(hidden, False)
+
+    def write(self, name: str, text: str) -> None:
+        hidden, final = self._hidden(name, text)
         if self.fs.exists(final):
             self.fs.delete(final, False)
         self.fs.rename(hidden, final)
@@ -65,27 +86,40 @@ class AnnotationStore:
         self.spark, self.folder = spark, _Folder(spark, root)
 
     def versions(self) -> list[int]:
-        """Complete versions, oldest first."""
-        found = [int(m[1]) for n in self.folder.names() if (m := re.fullmatch(r"v(\d{6})", n))]
-        return [v for v in found if self.folder.exists(f"v{v:06d}/_SUCCESS")]
+        """Versions, oldest first."""
+        return [int(m[1]) for n in self.folder.names("versions") if (m := re.fullmatch(r"v(\d{9})\.json", n))]
+
+    def _version(self, number: int) -> dict:
+        return json.loads(self.folder.read(f"versions/v{number:09d}.json"))
 
     def load(self, version: int | None = None, scope: str | None = None, episode_key: str | None = None) -> DataFrame:
-        versions = self.versions()
-        if not versions:
+        """The records of a version, the newest without one."""
+        version = version if version is not None else max(self.versions(), default=0)
+        if not version:
             return self.spark.createDataFrame([], RECORD)
-        frame = self.spark.read.schema(RECORD).parquet(f"{self.folder.root}/v{version or versions[-1]:06d}")
+        frame = self.spark.read.schema(RECORD).parquet(f"{self.folder.root}/{self._version(version)['folder']}/records")
         if scope:
             frame = frame.where(F.col("scope") == scope)
         return frame.where(F.col("episode_key") == episode_key) if episode_key else frame
 
-    def _commit(self, table: DataFrame, log: DataFrame) -> int:
-        number = (self.versions() or [0])[-1] + 1
-        while self.folder.exists(f"claim-{number:06d}") or self.folder.exists(f"v{number:06d}"):
-            number += 1
-        self.folder.claim(f"claim-{number:06d}")
-        log.withColumn("version", F.lit(number)).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.folder.root}/log")
-        table.write.parquet(f"{self.folder.root}/v{number:06d}")
-        return number
+    def _commit(self, merge: Callable[[DataFrame], tuple[DataFrame, DataFrame, dict] | dict]) -> dict:
+        """Write what merge(stored) makes of the newest version, (records, log, result), as the next one; if another writer was
+        first, merge anew. A plain result writes nothing."""
+        for _ in range(MOST_TRIES):
+            base = max(self.versions(), default=0)
+            made = merge(self.load(base))
+            if isinstance(made, dict):
+                return made
+            table, log, result = made
+            folder, number = f"data/{uuid.uuid4().hex}", base + 1
+            table.write.parquet(f"{self.folder.root}/{folder}/records")
+            log = log.withColumn("version", F.lit(number)).withColumn("at", F.current_timestamp())
+            log.write.parquet(f"{self.folder.root}/{folder}/log")
+            n = self.spark.read.parquet(f"{self.folder.root}/{folder}/log").count()
+            if self.folder.create(f"versions/v{number:09d}.json", json.dumps({"folder": folder, "changes": n})):
+                return result | {"version": number}
+            self.folder.fs.delete(self.folder.paths(f"{self.folder.root}/{folder}"), True)
+        raise RuntimeError(f"other writers were first {MOST_TRIES} times")
 
     def save(self, records: DataFrame, order: str = "nth", episodes: DataFrame | None = None, dry_run: bool = False) -> dict:
         """Add or change records by (scope, episode_key, id): counts by action, or the errors that stopped it.
@@ -106,25 +140,37 @@ class AnnotationStore:
         found = [r.asDict() for r in wrong.limit(50).collect()]
         if found:
             return {"success": False, "error": "invalid_records", "errors": found}
-        table, log = upsert(self.load(), shaped, order)
-        counts = {r.action: r["count"] for r in log.groupBy("action").count().collect()}
-        version = None if dry_run or not set(counts) - {"skipped"} else self._commit(table, log.where("action <> 'skipped'"))
-        return {"success": True, "version": version, **{a: counts.get(a, 0) for a in ("added", "modified", "skipped")}}
+        def merge(stored: DataFrame):
+            table, log = upsert(stored, shaped, order)
+            counts = {r.action: r["count"] for r in log.groupBy("action").count().collect()}
+            result = {"success": True, "version": None, **{a: counts.get(a, 0) for a in ("added", "modified", "skipped")}}
+            return result if dry_run or not set(counts) - {"skipped"} else (table, log.where("action <> 'skipped'"), result)
+
+        return self._commit(merge)
 
     def delete(self, keys: DataFrame) -> dict:
         """Remove records by (scope, episode_key, id)."""
-        stored = self.load()
-        gone = stored.join(keys.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.lit("removed").alias("action"))
-        n = gone.count()
-        if not n:
-            return {"success": False, "error": "not_found", "removed": 0}
-        return {"success": True, "removed": n, "version": self._commit(stored.join(keys.select(*KEY).distinct(), KEY, "left_anti"), gone)}
+        keys = keys.select(*KEY).distinct()
+
+        def merge(stored: DataFrame):
+            gone = stored.join(keys, KEY, "left_semi").select(*KEY, F.lit("removed").alias("action"))
+            n = gone.count()
+            return (stored.join(keys, KEY, "left_anti"), gone, {"success": True, "removed": n}) if n else {"success": False, "error": "not_found", "removed": 0}
+
+        return self._commit(merge)
 
     def history(self, most: int = HISTORY) -> DataFrame:
-        """The newest changes: version, at, key and action."""
-        if not self.folder.exists("log"):
-            return self.spark.createDataFrame([], "scope string, episode_key string, id bigint, action string, version int, at timestamp")
-        return self.spark.read.parquet(f"{self.folder.root}/log").orderBy(F.desc("version"), *KEY).limit(most)
+        """The newest changes: version, at, key and action. Only the logs of as many versions as it takes are read."""
+        logs, n = [], 0
+        for version in reversed(self.versions()):
+            told = self._version(version)
+            logs.append(f"{self.folder.root}/{told['folder']}/log")
+            if (n := n + told["changes"]) >= most:
+                break
+        shape = "scope string, episode_key string, id bigint, action string, version int, at timestamp"
+        if not logs:
+            return self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(*logs).orderBy(F.desc("version"), *KEY).limit(most)
 
     def snapshot(self, name: str) -> dict:
         """Name the newest version."""
@@ -132,10 +178,11 @@ class AnnotationStore:
             return {"success": False, "error": "invalid_name"}
         if self.folder.exists(f"snapshots/{name}.json"):
             return {"success": False, "error": "snapshot_exists"}
-        version = (self.versions() or [0])[-1]
+        version = max(self.versions(), default=0)
         if not version:
             return {"success": False, "error": "empty_store"}
-        self.folder.write(f"snapshots/{name}.json", json.dumps({"name": name, "version": version, "records": self.load(version).count()}))
+        if not self.folder.create(f"snapshots/{name}.json", json.dumps({"name": name, "version": version, "records": self.load(version).count()})):
+            return {"success": False, "error": "snapshot_exists"}
         return {"success": True, "name": name, "version": version}
 
     def snapshots(self) -> list[dict]:
@@ -172,4 +219,5 @@ def expected_missing(profile: dict, table: str, columns: list[str]) -> tuple[str
 
 
 def _safe(name: str) -> str:
-    return "profile-" + re.sub(r"[^\w.-]", "_", name)[-120:]  # Spark skips names that begin with _
+    """A file name of a dataset's: its last part as it can be, and a hash of the whole, so that no two share one."""
+    return f"profile-{re.sub(r'[^\w.-]', '_', name.rstrip('/').rsplit('/', 1)[-1])[:60]}-{hashlib.sha1(name.encode()).hexdigest()[:16]}"

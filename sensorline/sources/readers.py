@@ -10,17 +10,22 @@ import csv
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import open_file
+
 #: Encodings in the order they are tried (fixed values).
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 #: Keys of JSON objects that hold their rows (fixed values).
 ROW_KEYS = ("frames", "data")
 SNIFF_BYTES = 8192
+#: Mark of a row_index that counts a source's rows.
+PLACE = "sensorline.place"
 
 _READERS: dict[str, Callable[[SparkSession, str, str | None], DataFrame]] = {}
 
@@ -65,8 +70,10 @@ def with_row_index(frame: DataFrame) -> DataFrame:
 
     Parquet files tell the places of their rows; of other files the splits are put into order by where they begin, and rows
     counted within a split; of what comes from no file directly, partitions are. Only a row for each file, split or
-    partition is gathered.
+    partition is gathered. A row_index that was made here stays; another column of that name gives way.
     """
+    if any(f.name == "row_index" and f.metadata.get(PLACE) for f in frame.schema):
+        return frame
     def columns(**named: Column) -> DataFrame | None:
         try:
             return frame.select("*", *[c.alias(n) for n, c in named.items()])
@@ -83,11 +90,22 @@ def with_row_index(frame: DataFrame) -> DataFrame:
     pieces = rows.groupBy("_f", "_s").agg(first.alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
     pieces = pieces.select("_f", "_s", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(pieces, ["_f", "_s"]).select(*[f"`{c}`" for c in frame.columns], (F.col("_before") + F.col("_i") - F.col("_first")).alias("row_index"))
+    return rows.join(pieces, ["_f", "_s"]).select(
+        *[f"`{c}`" for c in frame.columns if c != "row_index"], (F.col("_before") + F.col("_i") - F.col("_first")).alias("row_index", metadata={PLACE: True})
+    )
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES).alias("head")).first()
+    """The first bytes of a file (of the first of several), read as a range: files of any size will do."""
+    def run(batches):
+        for batch in batches:
+            heads = []
+            for uri in batch.column("path").to_pylist():
+                with open_file(uri) as f:
+                    heads.append(f.read(SNIFF_BYTES))
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], names=["head"])
+
+    row = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).mapInArrow(run, "head binary").first()
     return bytes(row[0]) if row else b""
 
 

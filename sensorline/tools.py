@@ -85,8 +85,11 @@ def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool =
 
 
 def _in_ns(frame: DataFrame, column: str, unit: str) -> DataFrame:
-    """row_index and t, a clock column in nanoseconds; whole numbers stay exact."""
-    v, whole, scale = F.col(f"`{column}`").cast("double"), F.col(f"`{column}`").try_cast("bigint"), timeaxis.UNIT_NS[unit]
+    """row_index and t, a clock column in nanoseconds; whole numbers and decimals stay exact."""
+    scale = timeaxis.UNIT_NS[unit]
+    if isinstance(frame.schema[column].dataType, T.DecimalType):
+        return frame.select("row_index", (F.col(f"`{column}`").cast("decimal(28,9)") * F.lit(scale).cast("decimal(10,0)")).cast("bigint").alias("t"))
+    v, whole = F.col(f"`{column}`").cast("double"), F.col(f"`{column}`").try_cast("bigint")
     return frame.select("row_index", F.when(whole == v, whole * scale).otherwise((v * scale).cast("bigint")).alias("t"))
 
 

@@ -174,6 +174,59 @@ def test_pieces_change_nothing(spark, monkeypatch):
     assert results() == plain
 
 
+def test_pieces_hold_about_equal_counts(spark, monkeypatch):
+    """A zero, a far future, a heavy value and a year's pause among epoch nanoseconds: no piece above twice the mean, and the results
+    of the plain window."""
+    monkeypatch.setattr(windows, "PIECE_ROWS", 100)
+    start, year = 1_700_000_000_000_000_000, 31_536_000_000_000_000
+    clock = [0, 9_000_000_000_000_000_000] + [start + i * 1_000_000 + (year if i > 1500 else 0) for i in range(3_000)]
+    table = spark.createDataFrame([("a", t, i % 7 == 0) for i, t in enumerate(clock)], "k string, t bigint, f boolean")
+    own = windows.extent(table, "t")
+    sizes = [r["count"] for r in own.dealt(table, "t", "b").groupBy("b").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) <= 2 * len(clock) / len(sizes)
+    heavy = table.union(spark.range(2_000).selectExpr("'a'", f"{start + 5}L", "true"))
+    parts = windows.extent(heavy, "t").dealt(heavy, "t", "b").groupBy("b").agg(F.count("*").alias("n"), F.count_distinct("t").alias("d")).collect()
+    assert max(r.n for r in parts) <= 2_001  # the heavy value, and one that is the same as a double
+    times = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (float("inf"),)], "x double").withColumn("d", F.lit("2024-01-01").cast("timestamp"))
+    assert windows.Extent(9, (0.0,)).dealt(times, "x", "b").select("b").collect() == [(0,), (1,), (1,), (1,)] and windows.Extent(9, (0.0,)).dealt(times, "d", "b").first().b == 1
+
+    def results():
+        near = windows.neighbours(table, ["k"], ["t"], {"p": ("t", -1), "n": ("t", 1)})
+        runs = windows.runs(table, ["k"], ["t"], "f").select("k", "n_rows", "first.t")
+        return [sorted(map(str, f.collect())) for f in (near, runs, windows.nearest(table, table.where("f"), ["k"], "t"), windows.running_sum(table.withColumn("o", F.lit(1)), ["k"], ["t"], "o", "s"))]
+
+    dealt = results()
+    monkeypatch.setattr(windows, "PIECE_ROWS", 1_000_000)
+    assert dealt == results()
+
+
+def jobs(spark, run):
+    """How many jobs a call and the collection of its result take."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    run().collect()
+    after = set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(after - before)
+
+
+def test_small_sources_need_no_jobs_for_extents(spark, monkeypatch):
+    from sensorline.operators import quality
+    from sensorline.plans import registry
+
+    from .conftest import SF
+
+    asked = []
+    monkeypatch.setattr(windows, "_recall", lambda key, make, own=windows._recall: asked.append(key) or own(key, make))
+    for name, most in (("q23_actuator_saturation", 4), ("q21_arm_shaking", 8), ("q20_pauses", 14), ("q41_sync_report", 40)):
+        assert jobs(spark, lambda name=name: registry.queries()[name](spark, SF)) <= most, name
+    large = spark.range(300).withColumn("x", F.col("id") % 3).withColumn("channel", F.lit("c"))
+    monkeypatch.setattr(windows, "PIECE_ROWS", 100)
+    asked.clear()
+    quality.arm_shaking(large, [], "id").collect()
+    assert len(asked) == 2  # the count and the splits, once
+
+
 SEGMENT = "scope string, episode_key string, id bigint, start_s double, end_s double, source string, is_noise boolean, cleaning_reason string, interacting_hand string, target_object_class string, atomic_action string"
 
 
