@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, hash_sample
 
+#: Rows of a range: so many at least before there are as many ranges as shuffle partitions, and at most on average.
+LEAST_ROWS, MOST_ROWS = 2_000, 200_000
 SAMPLE_PER_RANGE = 40
 
 
@@ -104,7 +106,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     host, path = host_path()
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string")).select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host")))
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not ranges:
+        n = rows.count()
+        ranges = max(1, min(n // LEAST_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // MOST_ROWS)
     drawn = hash_sample(rows, ["page_id", "path", "key"], ranges * SAMPLE_PER_RANGE).select("key")
     keys = sorted(r[0] for r in drawn.collect())
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
@@ -136,6 +140,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
         F.explode(parts_of("key")).alias("part"), "key", F.lit(False).alias("is_page"), F.lit(None).cast("bigint").alias("page_id"),
         "host", "path", "name", "verdict",
     )
-    merged = dealt.unionByName(own).repartition(ranges, "part").sortWithinPartitions("part", "key", "is_page")
+    merged = dealt.unionByName(own).repartitionById(ranges, "part").sortWithinPartitions("part", "key", "is_page")
     found = merged.mapInArrow(_sweep, "page_id bigint, host string, path string, rule string, verdict string")
     return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
