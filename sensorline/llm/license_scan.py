@@ -104,9 +104,19 @@ def fold(data: bytes) -> tuple[str, np.ndarray]:
     return word[keep].tobytes().decode("utf-8", "surrogatepass"), place[keep & first]
 
 
-@lru_cache(maxsize=1)
-def _notices() -> Notices:
-    return Notices()
+@lru_cache(maxsize=2)
+def _notices(notices: tuple[tuple[str, str], ...]) -> Notices:
+    return Notices(dict(notices))
+
+
+def folded_notice(text: str) -> str:
+    """A notice as it is sought: words in lower case with one space between them."""
+    return fold(text.encode())[0].strip()
+
+
+def spdx_notices(ids: list[str]) -> dict[str, str]:
+    """Notices for licence identifiers: the tag line that names each, labelled with the identifier in lower case."""
+    return {folded_notice(f"SPDX-License-Identifier: {i}"): i.lower() for i in ids}
 
 
 def base_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list[tuple[int, str]]:
@@ -129,7 +139,7 @@ def base_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list[t
 _ANCHOR = re.compile(rb"\x20(?:license|by)\x20")
 
 
-def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int]]]:
+def scan_text(text: str | None, notices: Notices | None = None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int]]]:
     """Word count, base places, and notices (start, end in code points of the original, label, edits) of a whole text."""
     if not text:
         return 0, [], []
@@ -137,7 +147,7 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[
     words = data.translate(WORD_BYTES).split()
     folded, place = fold(data)
     base = base_places(words) if _ANCHOR.search(b" " + b" ".join(words) + b" ") else []
-    found = _notices().find(folded)
+    found = (notices or _notices(tuple(NOTICES.items()))).find(folded)
     return len(words), base, [(int(place[s]), int(place[e - 1]) + 1, label, n) for s, e, label, n in found]
 
 
@@ -145,20 +155,24 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.strin
 PLACE = pa.struct([("word", pa.int64()), ("label", pa.string())])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     """One row for each document: doc_id, n_words, base (word, label) and notices (start, end, label, edits).
 
+    notices: folded text (folded_notice) and label of what is sought with errors; hundreds of them make one automaton.
     A null text counts as empty. Rows are scanned one by one: nothing is shuffled, and repeated rows stay.
     """
 
+    wanted = tuple(notices.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _notices(wanted)
         for batch in batches:
-            n, base, notices = zip(*(scan_text(t.as_py()) for t in batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
+            n, base, found = zip(*(scan_text(t.as_py(), own) for t in batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()),
                     pa.array([[{"word": w, "label": k} for w, k in x] for x in base], pa.list_(PLACE)),
-                    pa.array([[dict(zip(("start", "end", "label", "edits"), y, strict=True)) for y in x] for x in notices], pa.list_(SPAN)),
+                    pa.array([[dict(zip(("start", "end", "label", "edits"), y, strict=True)) for y in x] for x in found], pa.list_(SPAN)),
                 ],
                 names=["doc_id", "n_words", "base", "notices"],
             )

@@ -333,6 +333,16 @@ def test_rules_equal_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
+def test_ranges_are_placed_one_by_one(spark):
+    """As many tasks as ranges, none with two; a very long url and repeated rows at a border change nothing."""
+    pages = spark.createDataFrame([(i % 300, f"http://h{i % 300:03d}.org/fr/{'x' * (50_000 if i == 7 else 3)}") for i in range(600)] + [(1_000, "http://h150.org/fr/a")] * 90, "page_id bigint, url string")
+    rules = spark.createDataFrame(registry.RULES, "host string, path string, verdict string")
+    judged = url_rules.judge(pages, rules, ranges=16)
+    assert judged.select(F.spark_partition_id().alias("p")).distinct().count() >= 14  # a hot key may leave a range empty
+    rows = judged.collect()
+    assert len(rows) == 690 and {(r.rule, r.verdict) for r in rows} == {("org/fr/", "allow")} and max(len(r.path) for r in rows) > 50_000
+
+
 # WARC
 
 

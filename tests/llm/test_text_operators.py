@@ -342,3 +342,15 @@ def test_quality_edges(spark):
     fold = {r.doc_id: r.held_out for r in got}
     assert fold[1] == (zlib.crc32(b"1") % 5 == 0) and fold[None] is None
     assert quality.keep_good(docs(spark, ODD), model, 0.3).count() == len(ODD)
+
+
+def test_scan_for_other_notices(spark):
+    """Hundreds of notices given by the caller, with edits, and a label for each."""
+    ids = [f"{name}-{n}.{m}" for name in ("Apache", "GPL", "LGPL", "MPL", "BSD", "EUPL", "Artistic", "CDDL", "EPL", "OSL") for n in range(1, 7) for m in range(6)]
+    notices = license_scan.spdx_notices(ids)
+    assert len(notices) == len(ids) == 360 and notices["spdx license identifier gpl 2 0"] == "gpl-2.0"
+    frame = spark.createDataFrame([(1, "x\n// SPDX-License-Identifier: EPL-2.0\n y"), (2, "SPDX-Licence-Identifer: OSL-3.0"), (3, "no notice"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: {(n.label, n.edits) for n in r.notices} for r in license_scan.scan(frame, notices).collect()}
+    assert ("epl-2.0", 0) in got[1] and ("osl-3.0", 2) in got[2] and not got[3] and not got[4]
+    own = {license_scan.folded_notice("Internal use ONLY!"): "internal"}
+    assert [[n.label for n in r.notices] for r in license_scan.scan(frame.limit(1).selectExpr("doc_id", "'for internal  use only' as text"), own).collect()] == [["internal"]]
