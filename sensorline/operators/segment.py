@@ -1,8 +1,9 @@
 """Action boundaries from motion: change points, gripper flips, spikes and pauses, then segments.
 
 All steps are windows, joins by row number and aggregates over (episode, row); row counts each episode's rows from 0. Window
-widths follow an episode's length, so moving means use running sums joined at shifted rows. Only the choice of boundaries
-that keep their distance is sequential: it folds each episode's short sorted array of boundaries.
+widths follow an episode's length, so moving means use running sums joined at shifted rows. The choice of boundaries that keep their
+distance is sequential: it folds an episode's sorted array of up to FOLD boundaries; in longer episodes every boundary finds its
+successor, and pointers that double in reach mark those that follow from the first, so no episode is ever one row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import filled, neighbours, running_sum, runs, same_keys, summaries
+from .windows import around, filled, neighbours, running_sum, runs, same_keys, summaries
 
 
 def motion_columns(frame: DataFrame, columns: list[str]) -> list[str]:
@@ -109,6 +110,10 @@ def pause_ends(speed: DataFrame, keys: list[str], row: str, settings: Settings =
     return long.where(after < F.col("n")).select(*keys, after.alias("boundary"), F.lit("pause").alias("evidence"))
 
 
+#: Boundaries of an episode that are folded as one array.
+FOLD = 2_000
+
+
 def spaced(boundaries: Column, gap: Column) -> Column:
     """Of a sorted array those that lie at least gap after the last one kept."""
     empty = F.array().cast("array<bigint>")
@@ -149,20 +154,49 @@ class Axis:
         return rows.withColumn("end_s", F.greatest("start_s", "end_s")).drop("n", "_end")
 
 
+def _followed(boundaries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, boundary: those kept of each episode, from (keys, boundary, gap): the first, then always the first one at least gap
+    after the last kept. log2 of the number kept rounds of joins."""
+    ahead = boundaries.select(*keys, "boundary", (F.col("boundary") + F.col("gap")).alias("_at"))
+    # successor: the first boundary at or after this one plus the gap
+    found = around(ahead, boundaries.select(*keys, F.col("boundary").alias("_at")), keys, "_at")
+    jumps = staged(found.select(*keys, "boundary", F.col("high").alias("next")).where("next is not null"), "jumps")
+    reached = staged(boundaries.groupBy(*keys).agg(F.min("boundary").alias("boundary")), "reached")
+    while True:
+        further = staged(same_keys(jumps, reached, [*keys, "boundary"]).select(*keys, F.col("next").alias("boundary")).distinct(), "further")
+        if further.isEmpty():
+            return reached
+        reached = staged(reached.unionByName(further), "reached")  # jumps of a new length: these are all new
+        onward = jumps.select(*keys, F.col("boundary").alias("next"), F.col("next").alias("_then"))
+        jumps = staged(same_keys(jumps, onward, [*keys, "next"]).select(*keys, "boundary", F.col("_then").alias("next")), "jumps")
+
+
+def kept_boundaries(boundaries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, boundary: of (keys, boundary, gap), each once, those that keep their distance from the one kept before."""
+    sizes = boundaries.groupBy(*keys).agg(F.count("*").alias("_n"))
+    short = same_keys(boundaries, sizes.where(F.col("_n") <= FOLD), keys)
+    lists = short.groupBy(*keys).agg(F.array_sort(F.collect_list("boundary")).alias("_all"), F.first("gap").alias("gap"))
+    folded = lists.select(*keys, F.explode(spaced(F.col("_all"), F.col("gap"))).alias("boundary"))
+    if sizes.where(F.col("_n") > FOLD).isEmpty():
+        return folded
+    long = staged(same_keys(boundaries, sizes.where(F.col("_n") > FOLD), keys).drop("_n"), "long-episodes")
+    return folded.unionByName(_followed(long, keys))
+
+
 def to_segments(found: DataFrame, lengths: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """keys, start_frame, end_frame (inclusive), evidence of the start: boundaries at least a quarter of min_segment_s apart.
 
     lengths has keys, n and fps (null: boundaries need be one row apart). Episodes without a boundary are one segment.
     """
-    gap = F.coalesce(F.greatest(F.lit(1), F.bround(settings.min_segment_s / 4 * F.col("fps")).cast("bigint")), F.lit(1))
-    inside = found.join(lengths, keys).where((F.col("boundary") > 0) & (F.col("boundary") < F.col("n")))
-    kinds = inside.groupBy(*keys, "boundary").agg(F.array_join(F.array_sort(F.collect_set("evidence")), "+").alias("evidence"))
-    lists = same_keys(inside.groupBy(*keys).agg(F.array_sort(F.collect_set("boundary")).alias("_all")), lengths, keys)
-    lists = lists.select(*keys, spaced(F.col("_all"), gap).alias("_b"))
-    starts = same_keys(lengths, lists, keys, "left").select(*keys, "n", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("_b", F.array().cast("array<bigint>")))).alias("start_frame"))
-    w = Window.partitionBy(*keys).orderBy("start_frame")  # a row for each segment
-    out = starts.withColumn("end_frame", F.coalesce(F.lead("start_frame").over(w), F.col("n")) - 1)
-    out = same_keys(out, kinds.withColumnRenamed("boundary", "start_frame"), [*keys, "start_frame"], "left")
+    gap = F.coalesce(F.greatest(F.lit(1), F.bround(settings.min_segment_s / 4 * F.col("fps")).cast("bigint")), F.lit(1)).cast("bigint")
+    inside = same_keys(found, lengths, keys).where((F.col("boundary") > 0) & (F.col("boundary") < F.col("n")))
+    kinds = inside.groupBy(*keys, F.col("boundary").cast("bigint").alias("boundary"), gap.alias("gap")).agg(F.array_join(F.array_sort(F.collect_set("evidence")), "+").alias("evidence"))
+    kinds = staged(kinds, "boundary-kinds")
+    kept = kept_boundaries(kinds.select(*keys, "boundary", "gap"), keys)
+    starts = lengths.select(*keys, F.lit(0).cast("bigint").alias("start_frame")).unionByName(kept.select(*keys, F.col("boundary").alias("start_frame")))
+    ends = neighbours(starts, keys, ["start_frame"], {"_next": ("start_frame", 1)})
+    out = same_keys(ends, lengths, keys).withColumn("end_frame", F.coalesce("_next", F.col("n")) - 1)
+    out = same_keys(out, kinds.select(*keys, F.col("boundary").alias("start_frame"), "evidence"), [*keys, "start_frame"], "left")
     return out.select(*keys, "start_frame", "end_frame", F.coalesce("evidence", F.lit("start")).alias("evidence"))
 
 

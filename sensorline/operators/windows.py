@@ -178,10 +178,10 @@ def runs(frame: DataFrame, keys: list[str], order: list[str], flag: str, known:
     return marked.groupBy(*keys, "run").agg(F.count("*").alias("n_rows"), F.min(spot).alias("first"), F.max(spot).alias("last"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
-    """For each left row the right row of the same keys whose ``at`` is closest; of two as close the later one.
+def around(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
+    """For each left row the last right value of ``at`` before or at its own, and the first at or after it, within keys.
 
-    Left columns, and ``near`` (null if the keys have no right row). Both sides are merged into one sorted sequence, and
+    Left columns, low and high (null where there is none). Both sides are merged into one sorted sequence, and
     two windows carry the last right row before and the first after. Long sequences are cut into pieces of ``at`` (of
     bucket_width, if given), and every piece gets the last right row before it and the first after it.
     """
@@ -210,8 +210,18 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_
         "_row", "_is", "_t", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"),
         F.last(mark, True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"),
     ).where("not _is")
-    later = F.col("_lo").isNull() | (F.col("_hi") - F.col("_t") <= F.col("_t") - F.col("_lo"))
-    return found.select("_row.*", F.when(later & F.col("_hi").isNotNull(), F.col("_hi")).otherwise(F.col("_lo")).alias("near"))
+    return found.select("_row.*", F.col("_lo").alias("low"), F.col("_hi").alias("high"))
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, bucket_width: int | None = None, known: Extent | None = None) -> DataFrame:
+    """For each left row the right row of the same keys whose ``at`` is closest; of two as close the later one.
+
+    Left columns, and ``near`` (null if the keys have no right row).
+    """
+    found = around(left, right, keys, at, bucket_width, known)
+    later = F.col("low").isNull() | (F.col("high") - F.col(at) <= F.col(at) - F.col("low"))
+    near = F.when(later & F.col("high").isNotNull(), F.col("high")).otherwise(F.col("low"))
+    return found.select(*[f"`{c}`" for c in left.columns], near.alias("near"))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -218,7 +218,7 @@ def test_small_sources_need_no_jobs_for_extents(spark, monkeypatch):
 
     asked = []
     monkeypatch.setattr(windows, "_recall", lambda key, make, own=windows._recall: asked.append(key) or own(key, make))
-    for name, most in (("q23_actuator_saturation", 4), ("q21_arm_shaking", 8), ("q20_pauses", 14), ("q41_sync_report", 40)):
+    for name, most in (("q23_actuator_saturation", 4), ("q21_arm_shaking", 8), ("q20_pauses", 14), ("q41_sync_report", 50)):
         assert jobs(spark, lambda name=name: registry.queries()[name](spark, SF)) <= most, name
     large = spark.range(300).withColumn("x", F.col("id") % 3).withColumn("channel", F.lit("c"))
     monkeypatch.setattr(windows, "PIECE_ROWS", 100)
@@ -227,6 +227,36 @@ def test_small_sources_need_no_jobs_for_extents(spark, monkeypatch):
     assert len(asked) == 2  # the count and the splits, once
 
 
+def greedy(values, gap):
+    kept = []
+    for b in sorted(set(values)):
+        if not kept or b - kept[-1] >= gap:
+            kept.append(b)
+    return kept
+
+
+@pytest.mark.parametrize("piece", [200, 1_000_000])
+def test_boundaries_by_doubling_equal_the_fold(spark, monkeypatch, piece):
+    draw = random.Random(piece)
+    episodes = {"a": (sorted(draw.sample(range(1, 9_000), 3_000)), 13), "b": ([5, 6, 7, 40], 10), None: (list(range(1, 1_500)), 4), "c": ([77], 9), "d": ([i * 50 for i in range(1, 400)], 50)}
+    rows = [(k, b, g) for k, (bs, g) in episodes.items() for b in bs]
+    table = spark.createDataFrame(rows, "ep string, boundary bigint, gap bigint")
+    want = sorted(((k, b) for k, (bs, g) in episodes.items() for b in greedy(bs, g)), key=str)
+    monkeypatch.setattr(windows, "PIECE_ROWS", piece)
+    for fold in (1_000_000, 100, 0):
+        monkeypatch.setattr(segment, "FOLD", fold)
+        assert sorted(((r.ep, r.boundary) for r in segment.kept_boundaries(table, ["ep"]).collect()), key=str) == want
+    assert segment.kept_boundaries(table.limit(0), ["ep"]).count() == 0
+
+
+def test_a_long_episode_of_boundaries(spark):
+    """A quarter of a million boundaries in one episode, more than a fold could append."""
+    n, gap = 250_000, 7
+    table = spark.range(n).select(F.lit("e").alias("ep"), (F.col("id") * 3 + F.col("id") % 2).alias("boundary"), F.lit(gap).cast("bigint").alias("gap"))
+    got = [r.boundary for r in segment.kept_boundaries(table, ["ep"]).orderBy("boundary").collect()]
+    assert got == greedy([i * 3 + i % 2 for i in range(n)], gap)
+
+
 SEGMENT = "scope string, episode_key string, id bigint, start_s double, end_s double, source string, is_noise boolean, cleaning_reason string, interacting_hand string, target_object_class string, atomic_action string"
 
 
