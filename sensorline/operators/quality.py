@@ -121,10 +121,11 @@ def speeds(long: DataFrame, keys: list[str], order: str, settings: Settings = DE
     return same_keys(steps, top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
 
 
-def idle_ratio(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Share of steps slower than idle_speed for each episode, and a warning above idle_share."""
+def idle_ratio(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, moving: DataFrame | None = None) -> DataFrame:
+    """Share of steps slower than idle_speed for each episode, and a warning above idle_share. moving: speeds, if at hand."""
     idle = F.avg((F.col("speed") < settings.idle_speed).cast("double"))
-    return speeds(long, keys, order, settings).groupBy(*keys).agg(F.count("*").alias("n_steps"), idle.alias("idle_ratio")).withColumn("warns", F.col("idle_ratio") > settings.idle_share)
+    moving = speeds(long, keys, order, settings) if moving is None else moving
+    return moving.groupBy(*keys).agg(F.count("*").alias("n_steps"), idle.alias("idle_ratio")).withColumn("warns", F.col("idle_ratio") > settings.idle_share)
 
 
 def second_differences(long: DataFrame, keys: list[str], order: str, known: Extent | None = None) -> DataFrame:
@@ -133,14 +134,14 @@ def second_differences(long: DataFrame, keys: list[str], order: str, known: Exte
     return w.withColumn("dd", F.col("_p") - 2 * F.col("x") + F.col("_n")).drop("_p", "_n")
 
 
-def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, clock_s: str | None = None) -> DataFrame:
+def action_spikes(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, clock_s: str | None = None, bent: DataFrame | None = None) -> DataFrame:
     """n_spikes and the largest acceleration over its median size, for each episode and channel that has spikes.
 
     With a clock (a column of long, in seconds) the second difference is divided by the square of the step ahead; steps that
-    do not go forward count for nothing. Without one the second difference is taken as it is.
+    do not go forward count for nothing. Without one the second difference is taken as it is. bent: second_differences, if at hand.
     """
     known = extent(long, order)
-    dd = second_differences(long, keys, order, known)
+    dd = second_differences(long, keys, order, known) if bent is None else bent
     if clock_s:
         ahead = neighbours(long, [*keys, "channel"], [order], {"_t": (clock_s, 1)}, known=known).select(*keys, "channel", order, (F.col("_t") - F.col(clock_s)).alias("_dt"))
         dd = same_keys(dd, ahead, [*keys, "channel", order]).withColumn("dd", F.when(F.col("_dt") > 0, F.col("dd") / (F.col("_dt") * F.col("_dt"))))
@@ -171,17 +172,17 @@ def action_jerk(long: DataFrame, keys: list[str], order: str, settings: Settings
     return sums.where("n >= 8").select(*keys, "channel", "n", ratio.alias("jerk_ratio"), (ratio > settings.jerk_ratio).alias("warns"))
 
 
-def pauses(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Runs of at least pause_steps slow steps: keys, run, n_rows, first, last."""
-    slow = speeds(long, keys, order, settings).withColumn("_slow", F.col("speed") < settings.idle_speed)
+def pauses(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, moving: DataFrame | None = None) -> DataFrame:
+    """Runs of at least pause_steps slow steps: keys, run, n_rows, first, last. moving: speeds, if at hand."""
+    slow = (speeds(long, keys, order, settings) if moving is None else moving).withColumn("_slow", F.col("speed") < settings.idle_speed)
     out = runs(slow, keys, [order], "_slow", extent(long, order)).where(F.col("n_rows") >= settings.pause_steps)
     return out.select(*keys, "n_rows", F.col(f"first.{order}").alias("first"), F.col(f"last.{order}").alias("last"))
 
 
-def arm_shaking(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Share of sign changes among the second differences that are not zero, for each channel."""
+def arm_shaking(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, bent: DataFrame | None = None) -> DataFrame:
+    """Share of sign changes among the second differences (bent, if at hand) that are not zero, for each channel."""
     known = extent(long, order)
-    dd = second_differences(long, keys, order, known).where("dd <> 0")
+    dd = (second_differences(long, keys, order, known) if bent is None else bent).where("dd <> 0")
     flips = neighbours(dd, [*keys, "channel"], [order], {"_p": ("dd", -1)}, known=known)
     share = F.count_if(F.signum("dd") != F.signum("_p")) / F.count("*")
     return flips.groupBy(*keys, "channel").agg(F.count("*").alias("n"), share.alias("flip_ratio")).withColumn("warns", F.col("flip_ratio") > settings.shake_ratio)

@@ -241,28 +241,32 @@ def check_dataset_quality(
     """All gates and diagnostics of a table with their layered verdict.
 
     The rate is the one given or declared; columns that may lack values come from the profile, or the stored one
-    (profile_root); media (width, height, duration_s) are judged by what is known of them.
+    (profile_root); media (width, height, duration_s) are judged by what is known of them. The table is read once into the shared
+    folder, steps that several rules take are taken once, and one job finds the verdicts of all rules.
     """
     name = data.name_of(table)
     if profile is None and profile_root:
         profile = annotation_store.ProfileStore(data.spark, profile_root).load(data.path)
-    frame, episode = _episodes(with_row_index(data.table(name)))
+    frame, episode = _episodes(staged(with_row_index(data.table(name)), "audited"))
     fps = _declared(data, name, fps)
     timed, clock = _timed(data, name, frame, settings)
-    actions = [c for c in quality.action_columns(data.table(name)) if c not in (episode, clock)]
+    actions = [c for c in quality.action_columns(data.table(name)) if c not in (episode, clock, "row_index")]
     gates, diagnostics, detail = {}, {}, {}
+    asked: list[tuple[dict, str, DataFrame]] = []
 
     def judge(level: dict, rule: str, rows: DataFrame | None, bad: str, state: str = "fail") -> None:
         """bad rows give the state; where rows have a verdict of their own, the worst of them counts."""
         if rows is None:
             level[rule] = "skip"
             return
-        detail[rule] = rows
+        detail[rule], level[rule] = rows, "pass"
+        worst = {"fail": 2, "warn": 1}
         if bad == "verdict":
-            found = {r[0] for r in rows.select("verdict").distinct().collect()}
-            level[rule] = next((v for v in ("fail", "warn", "pass") if v in found), "skip")
+            level[rule] = "skip"  # unless there are rows
+            rank = F.max(F.when(F.col("verdict") == "fail", 2).when(F.col("verdict") == "warn", 1).otherwise(0))
         else:
-            level[rule] = state if rows.where(bad).limit(1).count() else "pass"
+            rank = F.max(F.when(F.expr(bad), worst[state]))
+        asked.append((level, rule, rows.agg(rank.alias("rank")).select(F.lit(rule).alias("rule"), "rank")))
 
     numbers = [c for c in stats.numeric_columns(frame) if c not in ("row_index", "_episode")]
     judge(gates, "nan_inf", quality.gate_bad_values(frame, numbers, annotation_store.expected_missing(profile or {}, name, numbers), settings) if numbers else None, "fails")
@@ -270,23 +274,33 @@ def check_dataset_quality(
     judge(gates, "episode_bounds", quality.gate_episode_bounds(frame, episode, clock, "row_index") if clock else None, "fails")
     judge(gates, "frame_loss", quality.gate_frame_loss(timed, [episode], "_s", fps if fps and fps > 0 else None, settings) if timed is not None else None, "fails")
     judge(gates, "fps_valid", quality.gate_fps(timed, [episode], "_ns", ["row_index"], fps, settings) if timed is not None and fps is not None else None, "verdict")
-    alike = {s.name: data.tables[s.name].columns for s in data.entries if s.format == name.rsplit(".", 1)[-1] and s.name.lower().startswith(("episode", "file", "chunk"))}
+    alike = {s.name: s.columns for s in data.entries if s.format == name.rsplit(".", 1)[-1] and s.name.lower().startswith(("episode", "file", "chunk"))}
     lacks = quality.gate_schema(alike, settings) if len(alike) > 1 else []
     gates["schema_consistency"] = "fail" if any(r["fails"] for r in lacks) else "pass" if lacks else "skip"
     long = quality.channels(timed if timed is not None else frame, [episode], "row_index", actions, ("_s",) if timed is not None else ()) if actions else None
-    rules: dict[str, tuple[Callable, str]] = {
-        "idle_ratio": (quality.idle_ratio, "warns"), "action_jerk": (quality.action_jerk, "warns"), "robot_induced_pause": (quality.pauses, "n_rows > 0"),
-        "arm_shaking": (quality.arm_shaking, "warns"), "path_efficiency": (quality.path_efficiency, "warns"),
-    }
-    for rule, (check, bad) in rules.items():
-        judge(diagnostics, rule, check(long, [episode], "row_index", settings) if long is not None else None, bad, "warn")
-    spikes = quality.action_spikes(long, [episode], "row_index", settings, "_s" if timed is not None else None) if long is not None else None
-    judge(diagnostics, "action_spike", spikes, "n_spikes > 0", "warn")
-    if spikes is not None:
-        detail["action_spike_worst"] = quality.worst_channels(spikes, "n_spikes", settings)
+    rules: dict[str, tuple[Callable[[], DataFrame], str]] = {}
+    if long is not None:
+        given = (long, [episode], "row_index", settings)
+        moving = staged(quality.speeds(*given), "speeds")
+        bent = staged(quality.second_differences(long, [episode], "row_index"), "second-differences")
+        rules = {
+            "idle_ratio": (lambda: quality.idle_ratio(*given, moving), "warns"), "action_jerk": (lambda: quality.action_jerk(*given), "warns"),
+            "robot_induced_pause": (lambda: quality.pauses(*given, moving), "n_rows > 0"), "arm_shaking": (lambda: quality.arm_shaking(*given, bent), "warns"),
+            "path_efficiency": (lambda: quality.path_efficiency(*given), "warns"),
+            "action_spike": (lambda: quality.action_spikes(*given, "_s" if timed is not None else None, bent), "n_spikes > 0"),
+        }
+    for rule in ("idle_ratio", "action_jerk", "robot_induced_pause", "arm_shaking", "path_efficiency", "action_spike"):
+        check, bad = rules.get(rule, (None, ""))
+        judge(diagnostics, rule, check() if check else None, bad, "warn")
+    if "action_spike" in detail:
+        detail["action_spike_worst"] = quality.worst_channels(detail["action_spike"], "n_spikes", settings)
     pairs = quality.pair_action_state(frame.columns)
     judge(diagnostics, "actuator_saturation", quality.actuator_saturation(frame, [episode], "row_index", pairs, settings) if pairs else None, "n_over > 0", "warn")
     judge(diagnostics, "visual_quality", quality.visual_quality(media) if media is not None else None, "small_frame or no_duration", "warn")
+    found = {r.rule: r["rank"] for r in functools.reduce(DataFrame.unionByName, [rows for _, _, rows in asked]).collect()} if asked else {}
+    for level, rule, _ in asked:
+        if found.get(rule) is not None:
+            level[rule] = ("pass", "warn", "fail")[found[rule]]
     return {"table": name, "declared_fps": fps, "gates": gates, "diagnostics": diagnostics, "details": detail, **quality.layered_verdict(gates, diagnostics)}
 
 
