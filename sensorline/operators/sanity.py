@@ -128,10 +128,11 @@ def force_checks(frame: DataFrame, columns: list[str], settings: Settings = DEFA
     return rows.select("column", "n", "share", "bad_share", F.when(F.col("fails") | (F.col("bad_share") > settings.bad_values), "fail").otherwise("pass").alias("verdict"))
 
 
-def quaternion_groups(frame: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """prefix, norm_mean, norm_std (n - 1) and whether four columns are a unit quaternion (std < 0.01 and mean > 0.99)."""
+def quaternion_groups(frame: DataFrame, groups: dict[str, list[str]], keys: list[str] | None = None) -> DataFrame:
+    """keys, prefix, norm_mean, norm_std (n - 1) and whether four columns are a unit quaternion (std < 0.01 and mean > 0.99)."""
     pairs = F.array(*[F.struct(F.lit(p).alias("prefix"), vector_norm(c).alias("norm")) for p, c in groups.items()])
-    sums = frame.select(F.explode(pairs).alias("_q")).select("_q.*").groupBy("prefix").agg(F.avg("norm").alias("norm_mean"), F.stddev_samp("norm").alias("norm_std"))
+    keys = keys or []
+    sums = frame.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.*").groupBy(*keys, "prefix").agg(F.avg("norm").alias("norm_mean"), F.stddev_samp("norm").alias("norm_std"))
     return sums.withColumn("is_unit", F.coalesce((F.col("norm_std") < 0.01) & (F.col("norm_mean") > 0.99), F.lit(False)))
 
 

@@ -132,14 +132,16 @@ def sniff_csv(head: bytes) -> tuple[str, str]:
 
 
 @register_reader("csv", "tsv")
-def read_csv(spark: SparkSession, path: str, sub: str | None = None) -> DataFrame:
-    """CSV with a header; encoding and delimiter are found out, types inferred over all rows, malformed rows dropped.
+def read_csv(spark: SparkSession, path: str | list[str], sub: str | None = None, sniffed: tuple[str, str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header; encoding and delimiter are found out (or given, as sniff_csv tells them), types inferred over all rows unless
+    a schema is known, malformed rows dropped.
 
     Spark reads no cp1252: its bytes come in as ISO-8859-1, and those that differ are put right in names and texts.
     """
-    encoding, delimiter = sniff_csv(_head(spark, path))
+    encoding, delimiter = sniffed or sniff_csv(_head(spark, path))
     charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    frame = spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
+    source = spark.read if schema is None else spark.read.schema(schema)
+    frame = source.csv(path, header=True, inferSchema=schema is None, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
     if encoding != "cp1252":
         return frame
     wrong = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))

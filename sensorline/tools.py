@@ -84,41 +84,74 @@ def profile_data(data: catalog.Dataset, table: str | None = None, expand: bool =
     }
 
 
-def _in_ns(frame: DataFrame, column: str, unit: str) -> DataFrame:
-    """row_index and t, a clock column in nanoseconds; whole numbers and decimals stay exact."""
+def _ns(frame: DataFrame, column: str, unit: str, *keep: str) -> DataFrame:
+    """Some columns and t, a clock column in nanoseconds; whole numbers and decimals stay exact."""
     scale = timeaxis.UNIT_NS[unit]
-    if isinstance(frame.schema[column].dataType, T.DecimalType):
-        return frame.select("row_index", (F.col(f"`{column}`").cast("decimal(28,9)") * F.lit(scale).cast("decimal(10,0)")).cast("bigint").alias("t"))
+    if isinstance(frame.select(F.col(f"`{column}`")).schema[0].dataType, T.DecimalType):
+        return frame.select(*keep, (F.col(f"`{column}`").cast("decimal(28,9)") * F.lit(scale).cast("decimal(10,0)")).cast("bigint").alias("t"))
     v, whole = F.col(f"`{column}`").cast("double"), F.col(f"`{column}`").try_cast("bigint")
-    return frame.select("row_index", F.when(whole == v, whole * scale).otherwise((v * scale).cast("bigint")).alias("t"))
+    return frame.select(*keep, F.when(whole == v, whole * scale).otherwise((v * scale).cast("bigint")).alias("t"))
 
 
-def _units(frames: dict[str, tuple[DataFrame, str]], settings: Settings) -> dict[str, str]:
-    """The unit of each table's clock column (table, column), all inferred in one aggregate over their values."""
-    rows = [frame.select(F.lit(name).alias("stream"), F.col(f"`{column}`").cast("double").alias("v")) for name, (frame, column) in frames.items()]
-    found = {name: timeaxis.unit_from_name(column) for name, (_, column) in frames.items()}
-    open_ = [r for r, name in zip(rows, frames, strict=True) if found[name] is None]  # frame numbers are no time
-    if open_:
-        found |= {r.stream: r.unit for r in timeaxis.infer_unit(functools.reduce(DataFrame.unionByName, open_), ["stream"], "v", settings).select("stream", "unit").collect()}
+def _in_ns(frame: DataFrame, column: str, unit: str) -> DataFrame:
+    """row_index and t."""
+    return _ns(frame, column, unit, "row_index")
+
+
+def _units(frames: dict[str, tuple[DataFrame, str]], settings: Settings, more: list[tuple[DataFrame, dict[str, str]]] = ()) -> dict[str, str]:
+    """The unit of each table's clock column (table, column), all inferred in one aggregate over their values. more: frames of several
+    streams (stream, v) with the clock column of each stream."""
+    columns = {name: column for name, (_, column) in frames.items()} | {n: c for _, own in more for n, c in own.items()}
+    found = {name: timeaxis.unit_from_name(column) for name, column in columns.items()}
+    rows = [frame.select(F.lit(name).alias("stream"), F.col(f"`{column}`").cast("double").alias("v")) for name, (frame, column) in frames.items() if found[name] is None]
+    rows += [frame.select("stream", F.col("v").cast("double").alias("v")) for frame, own in more if any(found[n] is None for n in own)]  # frame numbers are no time
+    if rows:
+        told = timeaxis.infer_unit(functools.reduce(DataFrame.unionByName, rows), ["stream"], "v", settings)
+        found |= {r.stream: r.unit for r in told.select("stream", "unit").collect() if found.get(r.stream) is None}
     return {n: u for n, u in found.items() if u in timeaxis.UNIT_NS}
 
 
-def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS, time_column: str | None = None) -> DataFrame:
-    """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units."""
-    wanted = [s for s in data.entries if not names or any(n.lower() in s.name.lower() for n in names)]
-    columns = {s.name: time_column if time_column in data.tables[s.name].columns else s.timestamp_column for s in wanted}
-    frames = {n: (data.tables[n], c) for n, c in columns.items() if c}
-    units = _units(frames, settings) if frames else {}
-    inside = {n: split_path(s.path) for s in wanted if (n := s.name) in units and s.format == "mcap" and columns[n] == "mcap_log_time_ns"}
-    rows = [_in_ns(with_row_index(frame), column, units[n]).select(F.lit(n).alias("stream"), F.col("row_index").alias("i"), "t") for n, (frame, column) in frames.items() if n in units and n not in inside]
-    for path in sorted({p for p, _ in inside.values()}):  # all topics of a container in one pass
+def _together(data: catalog.Dataset, columns: dict[str, str], formats: dict[str, tuple[str, str]]) -> list[tuple[DataFrame, dict[str, str]]]:
+    """Streams that one scan gives: (stream, i, v), and the clock column of each. Files of a group with one clock, and all topics of a
+    container."""
+    out = []
+    for group in data.groups:
+        own = {p: n for p, n in group.names.items() if columns.get(n)}
+        for column in sorted({columns[n] for n in own.values()}):
+            names = {p: n for p, n in own.items() if columns[n] == column}
+            rows = with_row_index(group.frame.select(catalog.FILE, F.col(f"`{column}`").alias("v")))
+            known = data.spark.createDataFrame(list(names.items()), f"{catalog.FILE} string, stream string")  # a row for each file
+            out.append((rows.join(known, catalog.FILE).select("stream", F.col("row_index").alias("i"), "v"), dict.fromkeys(names.values(), column)))
+    inside = {n: split_path(p) for n, (p, fmt) in formats.items() if fmt == "mcap" and columns.get(n) == "mcap_log_time_ns"}
+    for path in sorted({p for p, _ in inside.values()}):
         names = {topic: n for n, (p, topic) in inside.items() if p == path}
         times = mcap.read_messages(data.spark, path, times_only=True).where(F.col("topic").isin(*names))
         named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("topic")]
-        rows.append(times.select(named.alias("stream"), F.col("mcap_place").alias("i"), F.col("mcap_log_time_ns").alias("t")))
+        out.append((times.select(named.alias("stream"), F.col("mcap_place").alias("i"), F.col("mcap_log_time_ns").alias("v")), dict.fromkeys(names.values(), "mcap_log_time_ns")))
+    return out
+
+
+def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS, time_column: str | None = None) -> DataFrame:
+    """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units.
+
+    Files of one schema and topics of one container come from one scan each; what comes out is written once, so that sources are not
+    read again whatever is asked of their clocks.
+    """
+    wanted = [s for s in data.entries if not names or any(n.lower() in s.name.lower() for n in names)]
+    columns = {s.name: time_column if time_column in s.columns else s.timestamp_column for s in wanted}
+    together = _together(data, columns, {s.name: (s.path, s.format) for s in wanted})
+    shared = {n for _, own in together for n in own}
+    frames = {n: (data.tables[n], c) for n, c in columns.items() if c and n not in shared}
+    units = _units(frames, settings, together)
+    rows = [_in_ns(with_row_index(frame), column, units[n]).select(F.lit(n).alias("stream"), F.col("row_index").alias("i"), "t") for n, (frame, column) in frames.items() if n in units]
+    for frame, own in together:
+        for unit in sorted({units[n] for n in own if n in units}):
+            some = [n for n in own if units.get(n) == unit]
+            part = frame if len(some) == len(own) else frame.where(F.col("stream").isin(*some))
+            rows.append(_ns(part, "v", unit, "stream", "i"))
     if not rows:
         raise ValueError("no stream has a clock whose unit is known")
-    return staged(functools.reduce(DataFrame.unionByName, rows), "clocks")  # sources are read once, whatever is asked of their clocks
+    return staged(functools.reduce(DataFrame.unionByName, rows), "clocks")
 
 
 def _declared(data: catalog.Dataset, table: str | None, fps: float | None) -> float | None:
