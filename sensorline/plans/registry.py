@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
 from ..operators.windows import epoch_ns
-from ..sources import envelope, text
+from ..sources import catalog, envelope, text
 from . import charts, sql
 
 
@@ -394,6 +394,117 @@ def q57_is_clock(spark, d):
     return timeaxis.is_clock(e.select("event_id", columns.alias("c")).select("event_id", "c.*"), ["column"], "v", ["event_id"])
 
 
+def q60_times_in_ns(spark, d):
+    """Clock values of several units in nanoseconds, and the unit that the size of a value hints at."""
+    units = F.element_at(F.array(*map(F.lit, ("ns", "us", "ms", "s", "frame_index"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = _events(spark, d).select("event_id", "t", units.alias("unit"))
+    scaled = F.expr("t div element_at(array(1L, 1000L, 1000000L, 1000000000L, 1L), int(event_id % 5 + 1))")
+    return rows.select("event_id", "unit", timeaxis.to_ns(scaled, F.col("unit")).alias("ns"), timeaxis.unit_hint(scaled).alias("hint"))
+
+
+def q61_gripper_flips(spark, d):
+    return segment.gripper_flips(_events(spark, d), ["stream"], "event_id", "value")
+
+
+def q62_merged_segments(spark, d):
+    """A customer's orders as segments in a row, of lengths by their keys; short ones join their neighbours."""
+    orders = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))
+    parts = orders.select(
+        "o_custkey", (F.col("k") * 10).alias("start_frame"), (F.col("k") * 10 + 9).alias("end_frame"), F.col("k").cast("double").alias("start_s"),
+        (F.col("k") + F.col("k") * 7 % 100 / 128).alias("end_s"), F.concat(F.lit("e"), F.col("k").cast("string")).alias("evidence"),
+    )
+    return segment.merge_short(parts, ["o_custkey"])
+
+
+def q64_time_texts(spark, d):
+    e = _events(spark, d).withColumn("sec", F.col("value") * 37 - 900)
+    texts = F.when(F.col("event_id") % 4 == 0, F.concat_ws(":", (F.col("event_id") % 100).cast("string"), F.lit("07"), F.lit("1.5"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit(" -"), (F.col("event_id") % 60).cast("string"), F.lit(":30")))
+    texts = texts.when(F.col("event_id") % 4 == 2, F.col("event_id").cast("string")).otherwise(F.lit("1:x"))
+    return e.select("event_id", annotations.format_time(F.col("sec")).alias("shown"), annotations.parse_time(texts).alias("parsed"))
+
+
+def q65_record_errors(spark, d):
+    """Orders as annotations with all that can be wrong; their defaults and errors."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k % n % len(values) + 1).cast("int"))
+    records = o.select(
+        pick(7, "segment", "task", "other").alias("scope"), pick(5, None, " Imported ", "user_confirmed", "guess").alias("source"), pick(11, None, "HIGH", "odd").alias("confidence"),
+        F.when(k % 13 > 0, F.col("o_custkey").cast("string")).alias("episode_key"), k.alias("id"), (k % 17 - 1).cast("double").alias("start_s"), (k % 19).cast("double").alias("end_s"),
+        (k % 3 == 0).alias("is_noise"), pick(4, None, "blur").alias("cleaning_reason"), pick(2, "pick", " ").alias("label"), pick(6, "left", "foot", None).alias("interacting_hand"),
+    )
+    got = annotations.validate(annotations.normalise(records))
+    return got.select("id", "source", "confidence", F.array_join("errors", ",").alias("errors"))
+
+
+def q66_estimated_frames(spark, d):
+    line = _t(spark, d, "lineitem")
+    frames = F.when(F.col("l_linenumber") % 3 == 1, 1).when(F.col("l_linenumber") % 3 == 2, F.col("l_quantity") * 40)
+    media = line.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("fps"), (F.col("l_extendedprice") / 1000).cast("double").alias("duration_s"), frames.cast("bigint").alias("n_frames"))
+    return catalog.estimate_frames(media).select("l_orderkey", "l_linenumber", "n_frames", "estimated")
+
+
+def q67_rate_consistency(spark, d):
+    rates = timeaxis.measured_rate(_events(spark, d), ["stream"], "t", ["event_id"])
+    nominal = F.when(F.col("stream") == "click", F.col("rate_hz") * 1.04).when(F.col("stream") == "view", F.col("rate_hz") * 1.2)
+    return rates.select("stream", "n", timeaxis.compare_rates(F.col("rate_hz"), nominal).alias("consistency"))
+
+
+def q68_camera_coverage(spark, d):
+    o = _t(spark, d, "orders")
+    nodes = o.select((F.col("o_custkey") % 50).alias("container"), F.concat(F.lit("cam"), (F.col("o_orderkey") % 23).cast("string")).alias("camera"), (F.col("o_orderkey") % 3 == 0).alias("is_clock"))
+    found = sync.camera_coverage(nodes)
+    return found.select("container", F.array_join("without_clock", ",").alias("without_clock"), F.array_join("without_images", ",").alias("without_images"))
+
+
+def q69_frame_clock(spark, d):
+    e = _events(spark, d).withColumnRenamed("event_id", "frame_index")
+    return sync.frame_clock(e.select("frame_index", "value"), e.select("frame_index", "t"))
+
+
+def q70_clock_conflicts(spark, d):
+    """Streams written in bursts, with a steady clock of their own beside."""
+    e = _events(spark, d).select(
+        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("stream"), (F.floor(F.col("event_id") / 200) * 2_000_000_000 + F.col("event_id") % 200 * 1_000).alias("written"),
+        (F.col("event_id") * 100_000_000).alias("taken"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("rare"),
+    )
+    return sync.clock_conflicts(e, ["stream"], ["written", "taken", "rare"])
+
+
+def q71_trajectory(spark, d):
+    return charts.trajectory(_events(spark, d).select("event_id", "value", "user_id"), "event_id", ["value", "user_id"], 100)
+
+
+def q72_overlay(spark, d):
+    e = _events(spark, d)
+    return charts.overlay({n: e.where(F.col("stream") == n) for n in ("click", "view", "error")}, "t", dict.fromkeys(("click", "view", "error"), "value"), 50)
+
+
+def q73_visual_quality(spark, d):
+    return quality.visual_quality(_t(spark, d, "part").select("p_partkey", (F.col("p_size") * 4).alias("width"), (F.col("p_size") * 8).alias("height"), (F.col("p_retailprice") - 1000).cast("double").alias("duration_s")))
+
+
+def q75_video_versions(spark, d):
+    """Names of video files, with the suffixes of versions."""
+    end = F.element_at(F.array(*map(F.lit, ("_480", "_1080", "_HD", "_raw", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    stem = F.concat(F.lit("Clip"), (F.col("p_partkey") % 97).cast("string"), end)
+    files = _t(spark, d, "part").select(stem.alias("stem"), F.concat(stem, F.lit(".mp4")).alias("name"), F.when(F.col("p_partkey") % 10 > 0, "video").otherwise("audio").alias("group")).distinct()
+    return catalog.version_groups(files).select("base", F.array_join("names", ",").alias("names"))
+
+
+def q76_imu_pairs(spark, d):
+    word = F.element_at(F.array(*map(F.lit, ("_accel", "_Accelerometer", "_gyro", "_gyroscope", "_mag"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    streams = _t(spark, d, "customer").select(F.concat(F.lit("dev"), (F.col("c_custkey") % 31).cast("string"), word, F.lit(".csv")).alias("name")).distinct()
+    return catalog.imu_pairs(streams)
+
+
+def q77_episode_mirrors(spark, d):
+    fmt = F.element_at(F.array(*map(F.lit, (".csv", ".parquet", ".jsonl"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    stem = F.concat(F.when(F.col("o_custkey") % 4 > 0, "episode_").otherwise("other_"), F.col("o_custkey").cast("string"))
+    tables = _t(spark, d, "orders").select(F.concat(stem, fmt).alias("name"), stem.alias("stem"), (F.col("o_orderkey") % 2).alias("n_rows")).distinct()
+    return catalog.episode_mirrors(tables).select("stem", F.array_join("names", ",").alias("names"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 

@@ -202,6 +202,52 @@ SELECT "column", count(*) AS n, count(*) FILTER (x = lo OR x = hi) / count(*) AS
     "q51_document_grep": """WITH l AS (SELECT event_id AS row_index, event_type || ' ' || props AS value, contains(event_type || ' ' || props, 'purchase') AS h FROM events),
 n AS (SELECT *, coalesce(lag(h) OVER o, false) OR coalesce(lead(h) OVER o, false) AS near FROM l WINDOW o AS (ORDER BY row_index)) SELECT row_index, value, h AS is_match FROM n WHERE h OR near""",
     "q52_episode_anchors": f"""WITH {E} SELECT CAST(user_id AS VARCHAR) AS episode_key, min(s) AS start_s, max(s) AS end_s, min(event_id) AS first_row, max(event_id) AS last_row, count(*) AS n_rows, max(s) - min(s) AS duration_s FROM e GROUP BY user_id""",
+    "q60_times_in_ns": f"""WITH {E}, u AS (SELECT event_id, ['ns', 'us', 'ms', 's', 'frame_index'][event_id % 5 + 1] AS unit, t // [1, 1000, 1000000, 1000000000, 1][event_id % 5 + 1] AS v FROM e)
+SELECT event_id, unit, CASE unit WHEN 'ns' THEN v WHEN 'us' THEN v * 1000 WHEN 'ms' THEN v * 1000000 WHEN 's' THEN v * 1000000000 END AS ns,
+  CASE WHEN v >= 1e17 THEN 'ns' WHEN v >= 1e14 THEN 'us' WHEN v >= 1e11 THEN 'ms' WHEN v >= 1e8 THEN 's' END AS hint FROM u""",
+    "q61_gripper_flips": """WITH r AS (SELECT event_type AS stream, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1 HAVING max(value) > min(value)),
+o AS (SELECT stream, event_id, (value - lo) / (hi - lo) > 0.5 AS o FROM events JOIN r ON r.stream = event_type), p AS (SELECT *, lag(o) OVER (PARTITION BY stream ORDER BY event_id) AS p FROM o)
+SELECT stream, event_id AS boundary, 'gripper' AS evidence FROM p WHERE o <> p""",
+    "q62_merged_segments": """WITH s AS (SELECT o_custkey, o_orderkey AS k, CASE WHEN o_orderkey * 7 % 100 >= 64 THEN o_orderkey END AS good FROM orders),
+g AS (SELECT *, coalesce(min(good) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(good) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), k) AS grp FROM s)
+SELECT o_custkey, min(k) * 10 AS start_frame, max(k) * 10 + 9 AS end_frame, 'e' || CAST(coalesce(min(good), min(k)) AS VARCHAR) AS evidence FROM g GROUP BY o_custkey, grp""",
+    "q64_time_texts": """WITH v AS (SELECT event_id, round_even(value * 37 - 900, 0) AS r FROM events), w AS (SELECT event_id, r, CAST(abs(r) AS BIGINT) AS a FROM v)
+SELECT event_id, CASE WHEN r < 0 THEN '-' ELSE '' END || printf('%02d:%02d:%02d', a // 3600, a % 3600 // 60, a % 60) AS shown,
+  CASE event_id % 4 WHEN 0 THEN CAST((event_id % 100) * 3600 + 7 * 60 + 1.5 AS DOUBLE) WHEN 1 THEN CAST(-((event_id % 60) * 60 + 30) AS DOUBLE) WHEN 2 THEN CAST(event_id AS DOUBLE) END AS parsed FROM w""",
+    "q65_record_errors": """WITH r AS (SELECT o_orderkey AS id, ['segment', 'task', 'other'][o_orderkey % 7 % 3 + 1] AS scope, [NULL, 'imported', 'user_confirmed', 'guess'][o_orderkey % 5 % 4 + 1] AS src,
+  [NULL, 'high', 'odd'][o_orderkey % 11 % 3 + 1] AS conf, o_orderkey % 13 = 0 AS no_key, o_orderkey % 17 - 1 AS a, o_orderkey % 19 AS b, o_orderkey % 3 = 0 AS noise,
+  o_orderkey % 4 % 2 = 0 AS no_reason, o_orderkey % 2 = 1 AS no_label, o_orderkey % 6 % 3 = 1 AS bad_hand FROM orders),
+n AS (SELECT *, coalesce(src, 'llm_proposed') AS source, coalesce(conf, CASE coalesce(src, 'llm_proposed') WHEN 'user_confirmed' THEN 'high' WHEN 'llm_proposed' THEN 'low' ELSE 'medium' END) AS confidence FROM r)
+SELECT id, source, confidence, array_to_string([x for x in [CASE WHEN scope = 'other' THEN 'scope' END, CASE WHEN source = 'guess' THEN 'source' END, CASE WHEN confidence = 'odd' THEN 'confidence' END,
+  CASE WHEN no_key THEN 'episode_key' END, CASE WHEN scope = 'segment' AND NOT (a >= 0 AND b >= a) THEN 'times' END, CASE WHEN noise AND no_reason THEN 'noise_reason' END,
+  CASE WHEN scope = 'task' AND no_label THEN 'task' END, CASE WHEN bad_hand THEN 'hand' END] if x IS NOT NULL], ',') AS errors FROM n""",
+    "q66_estimated_frames": """WITH m AS (SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_quantity AS DOUBLE) * CAST(l_extendedprice / 1000 AS DOUBLE)) AS BIGINT) AS g,
+  CASE l_linenumber % 3 WHEN 1 THEN 1 WHEN 2 THEN CAST(l_quantity * 40 AS BIGINT) END AS n FROM lineitem), o AS (SELECT *, n IS NULL OR n <= 1 OR n > 10 * g OR n * 10 < g AS odd FROM m)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN odd THEN g ELSE n END AS BIGINT) AS n_frames, odd AS estimated FROM o""",
+    "q67_rate_consistency": f"""WITH {E} SELECT stream, count(*) AS n, CASE stream WHEN 'click' THEN 'match' WHEN 'view' THEN 'mismatch' ELSE 'unknown' END AS consistency FROM e GROUP BY stream HAVING count(*) >= 3""",
+    "q68_camera_coverage": """WITH n AS (SELECT DISTINCT o_custkey % 50 AS container, 'cam' || CAST(o_orderkey % 23 AS VARCHAR) AS camera, o_orderkey % 3 = 0 AS k FROM orders),
+c AS (SELECT container, camera, bool_or(k) AS has_clock, bool_or(NOT k) AS has_images FROM n GROUP BY ALL)
+SELECT container, coalesce(string_agg(camera, ',' ORDER BY camera) FILTER (NOT has_clock), '') AS without_clock, coalesce(string_agg(camera, ',' ORDER BY camera) FILTER (NOT has_images), '') AS without_images FROM c GROUP BY container""",
+    "q69_frame_clock": f"WITH {E} SELECT event_id AS frame_index, value, t FROM e",
+    "q70_clock_conflicts": f"""WITH f AS (SELECT 's' || CAST(user_id % 3 AS VARCHAR) AS stream, event_id // 200 * 2000000000 + event_id % 200 * 1000 AS w, event_id * 100000000 AS o FROM events),
+l AS (SELECT stream, 'w' AS clock, w AS t FROM f UNION ALL SELECT stream, 'o', o FROM f), d AS (SELECT *, t - lag(t) OVER (PARTITION BY stream, clock ORDER BY t) AS d FROM l),
+m AS (SELECT stream, clock, nullif(median(d), 0) AS m FROM d GROUP BY ALL), s AS (SELECT stream, clock, count(*) AS n, max(t) - min(t) AS span, any_value(m) AS m, avg(d) AS mean FROM d JOIN m USING (stream, clock) GROUP BY ALL),
+k AS (SELECT *, {SHAPE} AS shape FROM s)
+SELECT a.stream, 'taken' AS clock, CAST(1.0 AS DOUBLE) AS coverage, b.shape AS main_shape, a.shape, (a.n - 1) / (a.span / 1e9) AS rate_hz, b.shape <> a.shape AS suspected
+FROM k a JOIN k b ON a.stream = b.stream AND a.clock = 'o' AND b.clock = 'w' WHERE b.shape = 'burst'""",
+    "q71_trajectory": """WITH r AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events), b AS (SELECT event_id, value, user_id, floor((event_id - lo) * 100 / greatest(1, hi - lo + 1)) AS b FROM events, r)
+SELECT event_id, value, user_id FROM b QUALIFY row_number() OVER (PARTITION BY b ORDER BY event_id) = 1""",
+    "q72_overlay": f"""WITH {E}, r AS (SELECT stream, t - min(t) OVER (PARTITION BY stream) AS t, value, (value - avg(value) OVER (PARTITION BY stream)) / stddev_pop(value) OVER (PARTITION BY stream) AS z FROM e WHERE stream IN ('click', 'view', 'error')),
+h AS (SELECT stream, max(t) AS hi FROM r GROUP BY stream)
+SELECT stream, CAST(least(49, floor(t * 50 / greatest(1, hi))) AS INTEGER) AS bin, count(*) AS n, min(t) AS t, avg(value) AS raw, avg(z) AS z FROM r JOIN h USING (stream) GROUP BY ALL""",
+    "q73_visual_quality": """SELECT p_partkey, p_size * 4 AS width, p_size * 8 AS height, CAST(p_retailprice - 1000 AS DOUBLE) AS duration_s, p_size * 4 < 64 OR p_size * 8 < 64 AS small_frame,
+  p_retailprice - 1000 <= 0 AS no_duration FROM part""",
+    "q75_video_versions": """WITH f AS (SELECT DISTINCT 'Clip' || CAST(p_partkey % 97 AS VARCHAR) || ['_480', '_1080', '_HD', '_raw', ''][p_partkey % 5 + 1] AS stem, p_partkey % 10 > 0 AS video FROM part)
+SELECT regexp_replace(lower(stem), '_(480|720|960|1080|2k|4k|pre|preview|thumb|hd)$', '') AS base, string_agg(stem || '.mp4', ',' ORDER BY stem || '.mp4') AS names FROM f WHERE video GROUP BY 1 HAVING count(*) > 1""",
+    "q76_imu_pairs": """WITH n AS (SELECT DISTINCT 'dev' || CAST(c_custkey % 31 AS VARCHAR) AS dev, ['_accel', '_Accelerometer', '_gyro', '_gyroscope', '_mag'][c_custkey % 5 + 1] AS word FROM customer)
+SELECT 'imu_6axis' AS kind, a.dev || a.word || '.csv' AS accel, g.dev || g.word || '.csv' AS gyro FROM n a JOIN n g ON a.dev = g.dev WHERE lower(a.word) LIKE '\\_accel%' ESCAPE '\\' AND g.word LIKE '\\_gyro%' ESCAPE '\\'""",
+    "q77_episode_mirrors": """WITH t AS (SELECT DISTINCT 'episode_' || CAST(o_custkey AS VARCHAR) AS stem, ['.csv', '.parquet', '.jsonl'][o_orderkey % 3 + 1] AS fmt, o_orderkey % 2 AS n FROM orders WHERE o_custkey % 4 > 0)
+SELECT stem, string_agg(stem || fmt, ',' ORDER BY stem || fmt) AS names FROM t GROUP BY stem, n HAVING count(*) > 1""",
     "q53_quaternion_groups": """WITH n AS (SELECT sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding[1:4]])) AS v FROM embeddings)
 SELECT 'rot_' AS prefix, avg(v) AS norm_mean, stddev_samp(v) AS norm_std, stddev_samp(v) < 0.01 AND avg(v) > 0.99 AS is_unit FROM n""",
 }
