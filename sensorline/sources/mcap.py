@@ -380,22 +380,24 @@ def write_example(messages: list[tuple[str, str, int, object]], compress: str |
         return struct.pack("<BQ", op, len(body)) + body
 
     names = list(dict.fromkeys((t, e) for t, e, _, _ in messages))
+    numbers = {n: i for i, n in enumerate(names)}
     heads = b"".join(record(CHANNEL, struct.pack("<HH", i, 0) + text(t) + text(e) + struct.pack("<I", 0)) for i, (t, e) in enumerate(names))
     kind = {True: "zstd", False: ""}.get(compress, compress)
     out, closing = [MAGIC, record(0x01, text("") + text("sensorline"))] + [heads] * channels_first, []
     for begin in range(0, max(1, len(messages)), each or max(1, len(messages))):
         some = messages[begin : begin + (each or len(messages))]
-        body = b"" if channels_first or begin else heads
+        parts = [b"" if channels_first or begin else heads]
         for n, (topic, encoding, time, value) in enumerate(some, begin):
             payload = json.dumps(value).encode() if encoding == "json" else bytes(value)
-            body += record(MESSAGE, struct.pack("<HIQQ", names.index((topic, encoding)), n, time, time) + payload)
+            parts.append(record(MESSAGE, struct.pack("<HIQQ", numbers[topic, encoding], n, time, time) + payload))
+        body = b"".join(parts)
         times = [m[2] for m in some] or [0]
         packed = pa.compress(body, kind, asbytes=True) if kind else body
         chunk = record(CHUNK, struct.pack("<QQQI", min(times), max(times), len(body), 0) + text(kind) + struct.pack("<Q", len(packed)) + packed)
         at = sum(map(len, out))
         out.append(chunk)
         if summary:
-            own = sorted({names.index(m[:2]) for m in some})
+            own = sorted({numbers[m[:2]] for m in some})
             indexes = [record(MESSAGE_INDEX, struct.pack("<HI", i, 0)) for i in own]
             offsets = b"".join(struct.pack("<HQ", i, 0) for i in own)
             out += indexes
