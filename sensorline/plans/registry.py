@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
+from ..operators import annotations, compare, media, quality, sanity, segment, stats, sync, timeaxis, windows
 from ..operators.windows import epoch_ns
 from ..sources import catalog, envelope, text
 from . import charts, sql
@@ -505,6 +505,21 @@ def q77_episode_mirrors(spark, d):
     return catalog.episode_mirrors(tables).select("stem", F.array_join("names", ",").alias("names"))
 
 
+def q78_frame_times(spark, d):
+    """Streams as side tables of videos: of one as many frames as rows, of one uncounted frames, the others with more or fewer."""
+    e = _events(spark, d)
+    frames = F.when(F.col("stream") == "click", F.lit(None)).when(F.col("stream") == "view", F.col("n")).otherwise(F.expr("n * if(stream < 'm', 2, 1) + n div 10"))
+    counts = e.groupBy("stream").agg(F.count("*").alias("n")).select("stream", frames.cast("bigint").alias("n_frames"))
+    return media.frame_times(e, counts, "stream")
+
+
+def q79_media_rates(spark, d):
+    """Users as videos whose headers state 20 to 29 frames a second, beside their times taken a million times as fast."""
+    e = _events(spark, d)
+    videos = e.groupBy("user_id").agg(F.when(F.col("user_id") % 7 > 0, 20 + F.col("user_id") % 10).alias("fps"))
+    return media.check_rates(videos, e.where("event_id % 5 > 0").select("user_id", F.expr("t div 1000000").alias("t")), "user_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 

@@ -248,6 +248,24 @@ SELECT regexp_replace(lower(stem), '_(480|720|960|1080|2k|4k|pre|preview|thumb|h
 SELECT 'imu_6axis' AS kind, a.dev || a.word || '.csv' AS accel, g.dev || g.word || '.csv' AS gyro FROM n a JOIN n g ON a.dev = g.dev WHERE lower(a.word) LIKE '\\_accel%' ESCAPE '\\' AND g.word LIKE '\\_gyro%' ESCAPE '\\'""",
     "q77_episode_mirrors": """WITH t AS (SELECT DISTINCT 'episode_' || CAST(o_custkey AS VARCHAR) AS stem, ['.csv', '.parquet', '.jsonl'][o_orderkey % 3 + 1] AS fmt, o_orderkey % 2 AS n FROM orders WHERE o_custkey % 4 > 0)
 SELECT stem, string_agg(stem || fmt, ',' ORDER BY stem || fmt) AS names FROM t GROUP BY stem, n HAVING count(*) > 1""",
+    "q78_frame_times": f"""WITH {E},
+c AS (SELECT stream, CASE stream WHEN 'click' THEN NULL WHEN 'view' THEN n ELSE n * CASE WHEN stream < 'm' THEN 2 ELSE 1 END + n // 10 END AS m FROM (SELECT stream, count(*) AS n FROM e GROUP BY stream)),
+g AS (SELECT stream, t, count(*) AS k FROM e GROUP BY stream, t),
+d AS (SELECT *, lag(t) OVER (PARTITION BY stream ORDER BY t) AS p, t - lag(t) OVER (PARTITION BY stream ORDER BY t) AS d FROM g),
+s AS (SELECT stream, median(d) AS step, sum(k) AS n FROM d GROUP BY stream),
+r AS (SELECT d.*, step, m, m IS NULL OR m = n AS plain, coalesce(round(d / step), 0) AS moves FROM d JOIN s USING (stream) JOIN c USING (stream)),
+a AS (SELECT *, sum(CASE WHEN plain THEN k ELSE moves END) OVER (PARTITION BY stream ORDER BY t) - CASE WHEN plain THEN k ELSE 0 END AS a0 FROM r),
+b AS (SELECT *, lead(t) OVER (PARTITION BY stream ORDER BY t) AS t2, lead(a0) OVER (PARTITION BY stream ORDER BY t) AS a2 FROM a WHERE plain OR moves > 0 OR p IS NULL),
+z AS (SELECT *, CASE WHEN plain THEN a0 + k ELSE least(coalesce(a2, greatest(a0 + 1, m)), m) END AS z0 FROM b),
+f AS (SELECT *, unnest(range(CAST(a0 AS BIGINT), CAST(z0 AS BIGINT))) AS frame FROM z WHERE a0 < z0)
+SELECT stream, frame, CASE WHEN plain OR frame = a0 THEN t ELSE t + CAST(round((frame - a0) * coalesce((t2 - t) / (a2 - a0), step)) AS BIGINT) END AS t,
+  CASE WHEN plain OR frame = a0 THEN 'row' WHEN t2 IS NOT NULL THEN 'between' ELSE 'after' END AS how FROM f""",
+    "q79_media_rates": f"""WITH {E},
+v AS (SELECT DISTINCT user_id, CASE WHEN user_id % 7 > 0 THEN CAST(20 + user_id % 10 AS DOUBLE) END AS fps FROM e),
+s AS (SELECT user_id, CASE WHEN max(t // 1000000) > min(t // 1000000) THEN (count(*) - 1) / ((max(t // 1000000) - min(t // 1000000)) / 1e9) END AS hz FROM e WHERE event_id % 5 > 0 GROUP BY user_id),
+o AS (SELECT user_id, fps, hz, coalesce(abs(hz - fps) > greatest(1.0, 0.1 * fps), false) AS off FROM v LEFT JOIN s USING (user_id))
+SELECT user_id, fps, hz AS side_hz, off AS contradicts, CASE WHEN hz IS NOT NULL AND (off OR fps IS NULL) THEN round(hz, 3) ELSE fps END AS rate_hz,
+  CASE WHEN hz IS NOT NULL AND (off OR fps IS NULL) THEN 'side list' WHEN fps IS NOT NULL THEN 'header' END AS source FROM o""",
     "q53_quaternion_groups": """WITH n AS (SELECT sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding[1:4]])) AS v FROM embeddings)
 SELECT 'rot_' AS prefix, avg(v) AS norm_mean, stddev_samp(v) AS norm_std, stddev_samp(v) < 0.01 AND avg(v) > 0.99 AS is_unit FROM n""",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import annotations, compare, quality, sanity, segment, stats, sync, timeaxis, windows
+from .operators import media as media_times
 from .plans import charts, report
 from .settings import DEFAULTS, Settings
 from .sources import annotation_store, catalog, envelope, hdf5, mcap, text
@@ -131,8 +132,28 @@ def _together(data: catalog.Dataset, columns: dict[str, str], formats: dict[str,
     return out
 
 
-def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS, time_column: str | None = None) -> DataFrame:
-    """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units.
+def _frame_clocks(data: catalog.Dataset, videos: list[catalog.Video], media: DataFrame | None, settings: Settings) -> list[DataFrame]:
+    """The times of the frames of videos with side tables: stream (the video), i, t in nanoseconds. media may tell their frames."""
+    sides = {v.video: (data.tables[v.table], v.column) for v in videos}
+    values = [frame.select(F.lit(name).alias("stream"), F.col(f"`{column}`").cast("double").alias("v")) for name, (frame, column) in sides.items()]
+    if not values:
+        return []
+    units = {r.stream: r.unit for r in timeaxis.infer_unit(functools.reduce(DataFrame.unionByName, values), ["stream"], "v", settings).collect() if r.unit in timeaxis.UNIT_NS}
+    rows = [_ns(frame.withColumn("stream", F.lit(name)), column, units[name], "stream") for name, (frame, column) in sides.items() if name in units]
+    if not rows:
+        return []
+    counts = data.spark.createDataFrame([(name, None) for name in units], "stream string, n_frames bigint")
+    if media is not None:
+        known = catalog.estimate_frames(media).groupBy(F.col("name").alias("stream")).agg(F.max("n_frames").alias("n_frames"))
+        counts = counts.select("stream").join(known, "stream", "left")
+    times = media_times.frame_times(functools.reduce(DataFrame.unionByName, rows), counts, "stream", settings)
+    return [times.select("stream", F.col("frame").alias("i"), "t")]
+
+
+def _clocks(
+    data: catalog.Dataset, names: list[str] | None = None, settings: Settings = DEFAULTS, time_column: str | None = None, more: list[DataFrame] = ()
+) -> DataFrame:
+    """All streams with a clock as one frame: stream, i, t in nanoseconds by their inferred units; and more such rows.
 
     Files of one schema and topics of one container come from one scan each; what comes out is written once, so that sources are not
     read again whatever is asked of their clocks.
@@ -149,6 +170,7 @@ def _clocks(data: catalog.Dataset, names: list[str] | None = None, settings: Set
             some = [n for n in own if units.get(n) == unit]
             part = frame if len(some) == len(own) else frame.where(F.col("stream").isin(*some))
             rows.append(_ns(part, "v", unit, "stream", "i"))
+    rows += more
     if not rows:
         raise ValueError("no stream has a clock whose unit is known")
     return staged(functools.reduce(DataFrame.unionByName, rows), "clocks")
@@ -161,7 +183,10 @@ def _declared(data: catalog.Dataset, table: str | None, fps: float | None) -> fl
 
 @tool
 def inspect_streams(data: catalog.Dataset, media: DataFrame | None = None, settings: Settings = DEFAULTS) -> dict:
-    """Rates, jitter, shape and role of every stream, against the declared rate; and how videos (media: name, fps) relate."""
+    """Rates, jitter, shape and role of every stream, against the declared rate; and how videos (media: name, fps) relate.
+
+    A video's rate is checked against the text list or side table of its stem; where they contradict each other the list counts.
+    """
     clocks = _clocks(data, settings=settings)
     rates = timeaxis.steady_rate(clocks, ["stream"], "t", settings).join(sync.stream_shape(clocks, ["stream"], "t", settings), "stream", "right")
     nominal = data.nominal_rate()
@@ -170,19 +195,30 @@ def inspect_streams(data: catalog.Dataset, media: DataFrame | None = None, setti
     rates = rates.withColumn("consistency", timeaxis.compare_rates(F.col("rate_hz"), F.col("nominal_hz"), settings))
     shown = data.streams().join(rates.withColumnRenamed("stream", "name").drop("n"), "name", "left").withColumn("role", catalog.role_of(F.col("name")))
     shown = shown.withColumn("shape_of_data", F.concat_ws(" x ", "n_rows", "n_cols"))
-    cameras = {}
+    cameras, checked = {}, None
     if media is not None:
         fastest = rates.agg(F.max("rate_hz")).first()[0]
-        cameras = {r.name: timeaxis.explain_rates(r.fps, fastest) for r in media.select("name", F.col("fps").cast("double").alias("fps")).collect()}  # a row a video
-    return {"streams": shown, "nominal_rate": nominal, "cameras": cameras}
+        lists = {v.video: v.table for v in data.videos() if v.column}
+        lists |= {r.media: r.table for r in data.relations()["media"].where("kind = 'media_samename' and lower(table) like '%.txt'").collect()}  # a row a video
+        known = data.spark.createDataFrame(list(lists.items()), "name string, stream string")
+        checked = staged(media_times.check_rates(media, clocks.join(known, "stream").select("name", "t"), "name"), "media-rates")
+        cameras = {r.name: timeaxis.explain_rates(r.rate_hz, fastest) for r in checked.collect()}  # a row a video
+    return {"streams": shown, "nominal_rate": nominal, "cameras": cameras, "media_rates": checked}
 
 
 @tool
 def check_temporal_sync(
-    data: catalog.Dataset, baseline_stream: str | None = None, streams: list[str] | None = None, time_column: str | None = None, locate_gaps: bool = False, settings: Settings = DEFAULTS
+    data: catalog.Dataset, baseline_stream: str | None = None, streams: list[str] | None = None, time_column: str | None = None, locate_gaps: bool = False,
+    media: DataFrame | None = None, settings: Settings = DEFAULTS,
 ) -> dict:
-    """Checks, residuals, drift and verdicts; for burst streams with other clocks also whether those contradict the first."""
-    clocks = _clocks(data, streams, settings, time_column)
+    """Checks, residuals, drift and verdicts; for burst streams with other clocks also whether those contradict the first.
+
+    Videos with a side table of exposures take part with the times of their frames, counted in media (name, fps, duration_s, n_frames)
+    where it is given; videos tells of each whether it does.
+    """
+    seen = data.videos(media)
+    shown = [v for v in seen if not streams or any(n.lower() in v.video.lower() for n in streams)]
+    clocks = _clocks(data, streams, settings, time_column, _frame_clocks(data, [v for v in shown if v.column], media, settings))
     present = {r[0] for r in clocks.select("stream").distinct().collect()}
     if len(present) < 2:
         raise ValueError("at least two streams with clocks are needed")
@@ -195,7 +231,7 @@ def check_temporal_sync(
         baseline_stream = best[0] if best else None
     checked = staged(sync.sync_report(clocks, "stream", "t", ["i"], baseline_stream, settings=settings), "sync-report")
     conflicts = {}
-    for name in [r[0] for r in checked.where("shape = 'burst'").select("stream").collect()]:
+    for name in [r[0] for r in checked.where("shape = 'burst'").select("stream").collect() if r[0] in data.tables]:
         frame, main = with_row_index(data.tables[name]), time_column or next(s.timestamp_column for s in data.entries if s.name == name)
         others = [c for c in catalog.clock_names(data.tables[name]) if c != main and timeaxis.unit_from_name(c) != "frame_index"][:2]
         units = {c: u for c in [main, *others] if (u := _units({c: (frame, c)}, settings).get(c))}
@@ -204,7 +240,8 @@ def check_temporal_sync(
             for c in list(units)[1:]:
                 rows = rows.join(_in_ns(frame, c, units[c]).withColumnRenamed("t", c), "row_index")
             conflicts[name] = sync.clock_conflicts(rows.withColumn("_stream", F.lit(name)), ["_stream"], list(units), settings)
-    out = {"report": checked, "baseline": baseline_stream, "clock_conflicts": conflicts}
+    told = data.spark.createDataFrame([(v.video, v.table, v.status) for v in shown], "video string, table string, status string")
+    out = {"report": checked, "baseline": baseline_stream, "clock_conflicts": conflicts, "videos": told}
     return out | ({"gaps": sync.locate_gaps(clocks, ["stream"], "t", settings)} if locate_gaps else {})
 
 
