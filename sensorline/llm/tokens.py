@@ -20,7 +20,7 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SAFE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 #: Printable ASCII, white space and the Latin letters that normal form C and lower-casing treat one by one.
 SAFE = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-#: Distinct words, and distinct pieces of words, that the memo holds.
+#: Distinct words and pieces of words that the memo holds.
 MOST_WORDS = 700_000
 
 
@@ -57,7 +57,7 @@ class Encoder:
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
             byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.as_bytes = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
-            self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
+            self.words = _Memo(self._word)
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.code == '<u2' else 'I'}", *ids)
@@ -67,9 +67,13 @@ class Encoder:
         return self._packed([t.id for t in found])
 
     def _word(self, word: str | bytes) -> bytes:
-        """Ids of a safe lower-cased word from those of its pieces; of other stretches (bytes) by the whole library."""
+        """Ids of a safe lower-cased word from those of its pieces; of other stretches (bytes) by the whole library.
+
+        A piece splits into itself alone, so words and pieces share one memo.
+        """
         if isinstance(word, str):
-            return b"".join(map(self.pieces.__getitem__, SAFE_SPLIT.findall(word)))
+            pieces = SAFE_SPLIT.findall(word)
+            return self._piece(word) if pieces == [word] else b"".join(map(self.words.__getitem__, pieces))
         return self._packed(self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
 
     def _safe(self, text: str) -> bool:
