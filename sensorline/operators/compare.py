@@ -24,16 +24,20 @@ def key_conflicts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return na.join(nb, key).where("n_a <> n_b")
 
 
-def join_by_key(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], order_a: str | None = None, order_b: str | None = None, check: bool = True) -> DataFrame:
+def join_by_key(
+    a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], order_a: str | list[str] | None = None, order_b: str | list[str] | None = None, check: bool = True
+) -> DataFrame:
     """Inner join with columns named _a and _b. The k-th row of a key meets the k-th of the other side, by the order columns.
 
-    Null keys meet nothing. With check, keys whose numbers of rows differ are an error (one small aggregate). Unique keys
+    Rows that are equal in the order columns go by the compared columns of their own side, so that the result is always the same;
+    to keep values of one row together, name as many order columns as tell the rows apart. Null keys meet nothing. With check, keys whose numbers of rows differ are an error (one small aggregate). Unique keys
     (no order columns given) need no window.
     """
     if check and (clash := key_conflicts(a, b, key).limit(1).collect()):
         raise ValueError(f"{key} = {clash[0][0]} has {clash[0][1]} rows on one side and {clash[0][2]} on the other")
-    def side(t: DataFrame, columns: list[str], order: str | None, mark: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(key).orderBy(order)) if order else F.lit(1)
+    def side(t: DataFrame, columns: list[str], order: str | list[str] | None, mark: str) -> DataFrame:
+        by = [order] if isinstance(order, str) else order
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(*by, *[c for c in columns if c not in by])) if by else F.lit(1)
         return t.where(F.col(key).isNotNull()).select(key, nth.alias("_nth"), *[F.col(c).alias(f"{c}_{mark}") for c in columns])
 
     return side(a, columns_a, order_a, "a").join(side(b, columns_b, order_b, "b"), [key, "_nth"]).drop("_nth")

@@ -101,6 +101,18 @@ def test_duplicate_keys_pair_in_order_or_fail(spark):
         compare.join_by_key(a, b.where("i = 0"), "frame_index", ["v"], ["v"], "i", "i")
 
 
+def test_lines_of_one_number_stay_whole(spark, tmp_path, monkeypatch):
+    """Rows alike in key and line number, read by the two sides in opposite order, meet themselves."""
+    from sensorline.plans import registry
+
+    lines = spark.range(200).select(F.lit(1).cast("bigint").alias("l_orderkey"), (F.col("id") % 2).cast("int").alias("l_linenumber"), (F.col("id") * 37 % 101 + 1.0).alias("l_quantity"))
+    lines.withColumn("l_extendedprice", F.col("l_quantity") * 3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    turned = lambda a, b, *how, own=compare.join_by_key: own(a, b.coalesce(1).sortWithinPartitions(F.desc("l_quantity")), *how)
+    monkeypatch.setattr(compare, "join_by_key", turned)
+    got = registry.q25_compare_duplicate_keys(spark, str(tmp_path)).collect()
+    assert len(got) == 200 and {r.value for r in got} == {3.0}
+
+
 def test_unmatched_keys(spark):
     a, b = (spark.createDataFrame([(k, float(k)) for k in ks], "frame_index int, v double") for ks in ([1, 2, 3], [1, 3, 9]))
     got = compare.compare_tables(a, b, "frame_index", ["v"], ["v"])
