@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..storage import staged
 from .stats import bad_value_ratios, numeric_columns, rolling_mean
 from .windows import Extent, extent, finite, neighbours, runs, same_keys, summaries
 
@@ -115,9 +116,21 @@ def speeds(long: DataFrame, keys: list[str], order: str, settings: Settings = DE
 
     Channels that never move in the episode are left out; an episode without moving channels has no rows.
     """
-    known = extent(long, order)
-    steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}, known=known).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
-    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings, known.n).where("p95 > 0")
+    known = extent(long, order, keys=keys)
+    if known.splits or settings.spread_quantiles:
+        steps = neighbours(long, [*keys, "channel"], [order], {"_p": ("x", -1)}, known=known).withColumn("d", F.abs(F.col("x") - F.col("_p"))).where("d is not null")
+        return mean_speed(staged(steps.select(*keys, order, "channel", "d"), "steps"), keys, order, settings, known.n)
+    # whole episodes meet in one task, so that steps, percentiles and means take one shuffle
+    rows = long.repartition(*keys) if keys else long
+    w = Window.partitionBy(*keys, "channel")
+    steps = rows.withColumn("d", F.abs(F.col("x") - F.lag("x").over(w.orderBy(order)))).where("d is not null")
+    steps = steps.withColumn("p95", F.percentile(finite("d"), F.lit(0.95)).over(w)).where("p95 > 0")
+    return steps.groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
+
+
+def mean_speed(steps: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, rows: int | None = None) -> DataFrame:
+    """keys, order, speed from the step sizes d of all channels (read twice)."""
+    top = summaries(steps, [*keys, "channel"], [], {"p95": ("d", 0.95)}, settings, rows).where("p95 > 0")
     return same_keys(steps, top, [*keys, "channel"]).groupBy(*keys, order).agg(F.avg(F.col("d") / F.col("p95")).alias("speed"))
 
 

@@ -2,7 +2,8 @@
 
 A plain window puts all rows of a key into one task. Tables of more than PIECE_ROWS rows are therefore dealt by pieces of
 their order column, of about equal counts, and only an edge row or a sum of each piece is carried to the next, so one long stream
-spreads over many tasks. Smaller tables take the plain window. Results are the same either way. What is known of a table's extent
+spreads over many tasks. What is carried comes as a row of its own before or after the piece's rows, so rows move once. Smaller
+tables, and those of which no key has many rows, take the plain window. Results are the same either way. What is known of a table's extent
 is handed on, since none of these helpers adds rows.
 """
 
@@ -21,6 +22,8 @@ from ..storage import staged
 
 #: Rows from which on a table is dealt by pieces, and that a piece holds on average; and the most pieces.
 PIECE_ROWS, MOST_PIECES = 2_000_000, 65_536
+#: A table whose every key has at most this part of PIECE_ROWS rows is dealt by its keys, however long it is.
+KEY_PART = 8
 #: Bytes that a row of a source takes at least, for tables whose files are so small that nobody need count them.
 ROW_BYTES = 4
 #: Rows from which on exact quantiles are taken without gathering a group's values.
@@ -72,8 +75,8 @@ def _source_bytes(frame: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def extent(frame: DataFrame, column: str | None = None, known: Extent | None = None) -> Extent:
-    """The extent of a table in a column.
+def extent(frame: DataFrame, column: str | None = None, known: Extent | None = None, keys: list[str] | None = None) -> Extent:
+    """The extent of a table in a column, without pieces if none of the keys has many rows.
 
     Small sources need no job. Else rows are counted once for a plan, and only tables above PIECE_ROWS have pieces of about equal
     counts, by a mergeable sketch of the column: no outlier makes a piece larger, and a value that fills a piece is one of its own.
@@ -83,7 +86,20 @@ def extent(frame: DataFrame, column: str | None = None, known: Extent | None = N
     if known is not None and (known.n <= PIECE_ROWS or column is None or known.column == column):
         return known
     plan = (frame.sparkSession.sparkContext.applicationId, frame.semanticHash(), PIECE_ROWS)
-    n = known.n if known is not None else _recall(plan, lambda: 0 if _source_bytes(frame) <= ROW_BYTES * PIECE_ROWS else frame.count())
+
+    def sizes() -> tuple[int, int]:
+        per_key = frame.groupBy(*keys).agg(F.count("*").alias("_n"))
+        return tuple(x or 0 for x in per_key.agg(F.sum("_n"), F.max("_n")).first())
+
+    small = known is None and _source_bytes(frame) <= ROW_BYTES * PIECE_ROWS
+    if keys and not small:
+        n, most = _recall((*plan, *keys), sizes)
+        if most <= PIECE_ROWS // KEY_PART:
+            return Extent(n, (), column)
+    elif known is not None:
+        n = known.n
+    else:
+        n = _recall(plan, lambda: 0 if small else frame.count())
     x = _number(frame, column) if column is not None and n > PIECE_ROWS else None
     if x is None:
         return Extent(n)
@@ -109,30 +125,27 @@ def neighbours(
     """
     sources = list(dict.fromkeys(s for s, _ in columns.values()))
     spot = [F.col(c) for c in order]
-    own = Extent(0) if bucket is not None else extent(frame, order[0], known)
+    own = Extent(0) if bucket is not None else extent(frame, order[0], known, keys)
     if bucket is None and not own.splits:
         w = Window.partitionBy(*keys).orderBy(*spot)
         return frame.select("*", *[F.lag(s, -step).over(w).alias(new) if step < 0 else F.lead(s, step).over(w).alias(new) for new, (s, step) in columns.items()])
     dealt = own.dealt(frame, order[0], "_bucket") if bucket is None else frame.withColumn("_bucket", bucket)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*spot)
     row, place = F.struct(*sources), F.struct(*order)
     edges = dealt.groupBy(*keys, "_bucket").agg(F.max_by(row, place).alias("_last"), F.min_by(row, place).alias("_first"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")  # a row for each bucket
-    edges = edges.select(*keys, "_bucket", F.lag("_last").over(by_bucket).alias("_before"), F.lead("_first").over(by_bucket).alias("_after"))
-    ranked = dealt.withColumn("_nth", F.row_number().over(w)).withColumn("_next", F.lead(F.lit(1)).over(w))
-    inner = ranked.select("*", *[F.lag(s).over(w).alias(f"_l_{s}") for s in sources], *[F.lead(s).over(w).alias(f"_r_{s}") for s in sources])
-    joined = same_keys(inner, edges, [*keys, "_bucket"])
-    new = [
-        (F.when(F.col("_nth") > 1, F.col(f"_l_{s}")).otherwise(F.col(f"_before.{s}")) if step < 0
-         else F.when(F.col("_next").isNotNull(), F.col(f"_r_{s}")).otherwise(F.col(f"_after.{s}"))).alias(name)
-        for name, (s, step) in columns.items()
-    ]
-    return joined.select(*frame.columns, *new)
+    both = [(-1, F.lag("_last").over(by_bucket)), (1, F.lead("_first").over(by_bucket))]
+    edges = edges.select(*keys, "_bucket", F.array(*[F.struct(F.lit(side).alias("_side"), e.alias("_row")) for side, e in both]).alias("_edges"))
+    edges = edges.select(*keys, "_bucket", F.explode("_edges").alias("_e")).where("_e._row is not null")
+    edges = edges.select(*keys, "_bucket", "_e._side", *[F.col(f"_e._row.{c}").alias(c) for c in sources if c not in keys])
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_side", *spot)
+    merged = dealt.withColumn("_side", F.lit(0)).unionByName(edges, allowMissingColumns=True)
+    near = merged.select("*", *[F.lag(s, -step).over(w).alias(new) if step < 0 else F.lead(s, step).over(w).alias(new) for new, (s, step) in columns.items()])
+    return near.where("_side = 0").select(*frame.columns, *columns)
 
 
 def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str, name: str, known: Extent | None = None) -> DataFrame:
     """Add the sum of a column over the rows up to and with this one, by order within keys (nulls count as nothing)."""
-    own_extent = extent(frame, order[0], known)
+    own_extent = extent(frame, order[0], known, keys)
     spot = [F.col(c) for c in order]
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     if not own_extent.splits:
@@ -140,37 +153,39 @@ def running_sum(frame: DataFrame, keys: list[str], order: list[str], value: str,
     dealt = own_extent.dealt(frame, order[0], "_bucket")
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    sums = sums.select(*keys, "_bucket", F.sum("_s").over(before).alias("_before"))
-    own = F.sum(value).over(upto(Window.partitionBy(*keys, "_bucket").orderBy(*spot)))
-    joined = same_keys(dealt.withColumn("_own", own), sums, [*keys, "_bucket"])
-    total = F.when(F.col("_own").isNotNull() | F.col("_before").isNotNull(), F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)))
-    return joined.select(*frame.columns, total.alias(name))
+    kind = sums.schema["_s"].dataType
+    sums = sums.select(*keys, "_bucket", F.lit(-1).alias("_side"), F.sum("_s").over(before).cast(kind).alias("_v")).where("_v is not null")
+    merged = dealt.withColumns({"_side": F.lit(0), "_v": F.col(value).cast(kind)}).unionByName(sums, allowMissingColumns=True)
+    total = F.sum("_v").over(upto(Window.partitionBy(*keys, "_bucket").orderBy("_side", *spot))).cast(kind)
+    return merged.withColumn("_total", total).where("_side = 0").select(*[F.col(c) for c in frame.columns if c != name], F.col("_total").alias(name))
 
 
 def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str], known: Extent | None = None) -> DataFrame:
     """Nulls of some columns take the last value before them, or the first after."""
-    own_extent = extent(frame, order, known)
-    dealt = own_extent.dealt(frame, order, "_bucket") if own_extent.splits else frame.withColumn("_bucket", F.lit(0).cast("bigint"))
-    inside = [*keys, "_bucket"]
-    before, after = Window.partitionBy(*inside).orderBy(order), Window.partitionBy(*inside).orderBy(F.desc(order))
+    own_extent = extent(frame, order, known, keys)
     near = lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if not own_extent.splits:
+        before, after = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
         new = {c: F.coalesce(near(c, before), near(c, after)).alias(c) for c in columns}
-        return dealt.select(*[new.get(c, F.col(c)) for c in frame.columns])
+        return frame.select(*[new.get(c, F.col(c)) for c in frame.columns])
+    dealt, inside = own_extent.dealt(frame, order, "_bucket"), [*keys, "_bucket"]
     ends = dealt.groupBy(*inside).agg(
         *[f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{e}_{c}") for c in columns for e, f in (("last", F.max_by), ("first", F.min_by))]
     )
     past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     next_ = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*inside, *[F.last(f"_last_{c}", True).over(past).alias(f"_p_{c}") for c in columns], *[F.last(f"_first_{c}", True).over(next_).alias(f"_n_{c}") for c in columns])
-    own = dealt.select("*", *[near(c, before).alias(f"_b_{c}") for c in columns], *[near(c, after).alias(f"_a_{c}") for c in columns])
-    new = {c: F.coalesce(f"_b_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}").alias(c) for c in columns}
-    return same_keys(own, ends, inside).select(*[new.get(c, F.col(c)) for c in frame.columns])
+    both = [(-1, "last", past), (1, "first", next_)]
+    ends = ends.select(*inside, F.array(*[F.struct(F.lit(side).alias("_side"), *[F.last(f"_{e}_{c}", True).over(w).alias(c) for c in columns]) for side, e, w in both]).alias("_ends"))
+    ends = ends.select(*inside, F.explode("_ends").alias("_e")).select(*inside, "_e.*")
+    before, after = Window.partitionBy(*inside).orderBy("_side", order), Window.partitionBy(*inside).orderBy(F.desc("_side"), F.desc(order))
+    merged = dealt.withColumn("_side", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    new = {c: F.coalesce(near(c, before), near(c, after)).alias(c) for c in columns}
+    return merged.select("_side", *[new.get(c, F.col(c)) for c in frame.columns]).where("_side = 0").drop("_side")
 
 
 def runs(frame: DataFrame, keys: list[str], order: list[str], flag: str, known: Extent | None = None) -> DataFrame:
     """Stretches of rows in a row with a true flag: keys, run, n_rows, and the first and last value of the order columns."""
-    known = known or extent(frame, order[0])
+    known = known or extent(frame, order[0], keys=keys)
     marked = neighbours(frame.withColumn("_on", F.coalesce(F.col(flag), F.lit(False))), keys, order, {"_was": ("_on", -1)}, known=known)
     marked = marked.withColumn("_new", (F.col("_on") & ~F.coalesce("_was", F.lit(False))).cast("int"))
     marked = running_sum(marked, keys, order, "_new", "run", known).where("_on")
@@ -244,12 +259,11 @@ def _step_of(x: Column) -> Column:
 def quantiles(frame: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, without gathering a key's values in one task.
 
-    keys and a column for each name in ``at``. Values are counted by (keys, value); sums over coarse steps of the value tell
-    in which steps the wanted ranks lie, and only those steps are sorted. Null, NaN and infinite values are left out.
+    keys and a column for each name in ``at``. Counts of coarse steps of the value tell in which steps the wanted ranks lie, and
+    only values of those steps move and are sorted. Null, NaN and infinite values are left out.
     """
-    counts = frame.select(*keys, finite(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    counts = staged(counts.withColumn("_b", _step_of(F.col("_v"))), "value-counts")
-    steps = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
+    values = staged(frame.select(*keys, finite(value).alias("_v")).where("_v is not null"), "values").withColumn("_b", _step_of(F.col("_v")))
+    steps = values.groupBy(*keys, "_b").agg(F.count("*").alias("_m"))
     key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b")
     steps = steps.withColumn("_all", F.sum("_m").over(key)).withColumn("_before", F.sum("_m").over(order) - F.col("_m"))
     ranks = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in at.items()}
@@ -257,7 +271,8 @@ def quantiles(frame: DataFrame, keys: list[str], value: str, at: dict[str, float
     for rank in ranks.values():
         for r in (F.floor(rank), F.ceil(rank)):
             wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
-    inside = same_keys(counts, steps.where(wanted).drop("_m"), [*keys, "_b"])
+    steps = staged(steps.where(wanted).drop("_m"), "steps")  # a table of known size, so that the planner need not move the values to join it
+    inside = same_keys(values, steps, [*keys, "_b"]).groupBy(*keys, "_b", "_v", "_all", "_before").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")) + F.col("_before")
     inside = inside.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
 
@@ -289,4 +304,4 @@ def summaries(frame: DataFrame, keys: list[str], sums: list[Column], wanted: dic
     for column, at in by_column.items():
         own = quantiles(frame, keys, column, at)
         out = same_keys(out, own, keys, "left") if keys else out.join(F.broadcast(own), how="left")  # without keys one row each
-    return out.select(*keys, *[c for c in out.columns if c not in keys and c not in wanted], *wanted)
+    return staged(out.select(*keys, *[c for c in out.columns if c not in keys and c not in wanted], *wanted), "summaries")
