@@ -188,7 +188,7 @@ def action_jerk(long: DataFrame, keys: list[str], order: str, settings: Settings
 def pauses(long: DataFrame, keys: list[str], order: str, settings: Settings = DEFAULTS, moving: DataFrame | None = None) -> DataFrame:
     """Runs of at least pause_steps slow steps: keys, run, n_rows, first, last. moving: speeds, if at hand."""
     slow = (speeds(long, keys, order, settings) if moving is None else moving).withColumn("_slow", F.col("speed") < settings.idle_speed)
-    out = runs(slow, keys, [order], "_slow", extent(long, order)).where(F.col("n_rows") >= settings.pause_steps)
+    out = runs(slow, keys, [order], "_slow", extent(long, order, keys=keys)).where(F.col("n_rows") >= settings.pause_steps)
     return out.select(*keys, "n_rows", F.col(f"first.{order}").alias("first"), F.col(f"last.{order}").alias("last"))
 
 

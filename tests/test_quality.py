@@ -107,6 +107,25 @@ def test_saturation_looks_one_step_ahead(spark):
     assert (got.n, got.n_over, got.worst) == (9, 4, 10.0)
 
 
+def test_short_episodes_of_a_long_table_move_once(spark, monkeypatch):
+    """No episode is long: one shuffle, however long the table; with a long one among them results are those of the plain window."""
+    from sensorline.operators import windows
+
+    def table(longest):
+        rows = spark.range(600 + longest).withColumn("ep", F.when(F.col("id") < 600, F.col("id") % 60)).withColumn("a", F.hash("id") % 50 * 1.0)
+        return quality.channels(rows.withColumn("b", F.floor(F.col("id") / 7) % 5 * 1.0), ["ep"], "id", ["a", "b"])
+
+    def found(longest):
+        own = Settings(pause_steps=2, idle_speed=0.3)
+        return [f(table(longest), ["ep"], "id", own) for f in (quality.idle_ratio, quality.pauses)]
+
+    plain = [[sorted(map(str, f.collect())) for f in found(n)] for n in (0, 400)]
+    monkeypatch.setattr(windows, "PIECE_ROWS", 200)
+    monkeypatch.setattr(windows, "SPREAD_ROWS", 500)
+    assert [f._jdf.queryExecution().executedPlan().toString().count("Exchange ") for f in found(0)] == [1, 1]
+    assert [[sorted(map(str, f.collect())) for f in found(n)] for n in (0, 400)] == plain
+
+
 def test_episodes_do_not_mix(spark):
     rows = frame(spark, [0, 0, 0], "x").union(frame(spark, [100, 100, 100], "y"))
     assert quality.speeds(long(rows), ["ep"], "i").count() == 0
