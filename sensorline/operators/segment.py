@@ -1,7 +1,7 @@
 """Action boundaries from motion: change points, gripper flips, spikes and pauses, then segments.
 
 All steps are windows, joins by row number and aggregates over (episode, row); row counts each episode's rows from 0. Window
-widths follow an episode's length, so moving means use running sums joined at shifted rows. The choice of boundaries that keep their
+widths follow an episode's length, so moving means use running sums, each sent to the rows whose windows it bounds. The choice of boundaries that keep their
 distance is sequential: it folds an episode's sorted array of up to FOLD boundaries; in longer episodes every boundary finds its
 successor, and pointers that double in reach mark those that follow from the first, so no episode is ever one row.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
 from ..storage import staged
-from .windows import around, filled, neighbours, running_sum, runs, same_keys, summaries
+from .windows import around, extent, filled, neighbours, running_sum, same_keys, summaries
 
 
 def motion_columns(frame: DataFrame, columns: list[str]) -> list[str]:
@@ -26,41 +26,52 @@ def motion_columns(frame: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if counts[c] > 5]
 
 
-def speed_profile(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
+def motion_steps(long: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """keys, row, channel, d and dd: size of the step to a row and second difference at it, gaps filled; null at the ends."""
+    own, known = [*keys, "channel"], extent(long, row, keys=[*keys, "channel"])
+    near = neighbours(filled(long, own, row, ["x"], known), own, [row], {"_p": ("x", -1), "_n": ("x", 1)}, known=known)
+    return near.select(*own, row, F.abs(F.col("x") - F.col("_p")).alias("d"), (F.col("_p") - 2 * F.col("x") + F.col("_n")).alias("dd"))
+
+
+def speed_profile(steps: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
     """keys, row, speed: mean over channels of each step's size over its 95th percentile; row 0 repeats row 1.
 
     Channels that do not move are left out.
     """
-    from .quality import speeds
+    from .quality import mean_speed
 
-    rows = filled(long, [*keys, "channel"], row, ["x"])
-    moving = speeds(rows, keys, row, settings)
-    first = moving.where(F.col(row) == 1).withColumn(row, F.col(row) - 1)
-    return moving.unionByName(first)
+    moving = mean_speed(steps.where("d is not null"), keys, row, settings)
+    rows = F.when(F.col(row) == 1, F.array(F.col(row) - 1, F.col(row))).otherwise(F.array(row))
+    return moving.select(*keys, F.explode(rows).alias(row), "speed")
 
 
-def _running(rows: DataFrame, keys: list[str], row: str, value: str) -> DataFrame:
-    """keys, at, s: the sum of the values before row at, for at from 0 to n."""
-    sums = running_sum(rows, keys, [row], value, "s").select(*keys, (F.col(row) + 1).alias("at"), "s")
-    return sums.unionByName(rows.select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("at"), F.lit(0.0).alias("s")))
+def _bounded(rows: DataFrame, ends: DataFrame, keys: list[str], row: str, value: str, starts: dict[str, Column]) -> DataFrame:
+    """keys, row and for each of starts the sum of the values before row + start, null where that is no row from 1 to n.
 
-
-def _sum_between(rows: DataFrame, sums: DataFrame, keys: list[str], low: str, high: str, name: str) -> DataFrame:
-    """Add the sum of values from row low (inclusive) to row high (exclusive)."""
-    a = sums.select(*keys, F.col("at").alias(low), F.col("s").alias("_sa"))
-    b = sums.select(*keys, F.col("at").alias(high), F.col("s").alias("_sb"))
-    return rows.join(a, [*keys, low]).join(b, [*keys, high]).withColumn(name, F.col("_sb") - F.col("_sa")).drop("_sa", "_sb")
+    Every running sum is sent to the rows that ask for it. ends has a row for each of the keys, with n and what starts need.
+    """
+    sums = running_sum(rows.select(*keys, row, value), keys, [row], value, "_s").join(ends, keys)
+    asking = F.array(*[F.struct((F.col(row) + 1 - start).alias(row), F.lit(i).alias("_i"), F.col("_s").alias("_s")) for i, start in enumerate(starts.values())])
+    sent = sums.select(*keys, "n", F.explode(asking).alias("_a")).where(f"_a.`{row}` >= 0 and _a.`{row}` < n")
+    return sent.groupBy(*keys, F.col(f"_a.{row}").alias(row)).agg(*[F.max(F.when(F.col("_a._i") == i, F.col("_a._s"))).alias(name) for i, name in enumerate(starts)])
 
 
 def smoothed(speed: DataFrame, keys: list[str], row: str) -> DataFrame:
     """Moving mean of the speed over max(3, n // 100) rows (made odd); the ends repeat the first and last value."""
-    ends = speed.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("speed", row).alias("_x0"), F.max_by("speed", row).alias("_x1"))
-    ends = ends.withColumn("h", F.floor(F.greatest(F.lit(3), F.floor(F.col("n") / 100)) / 2))
-    rows = speed.join(ends, keys).withColumn("_lo", F.greatest(F.lit(0), F.col(row) - F.col("h"))).withColumn("_hi", F.least(F.col("n"), F.col(row) + F.col("h") + 1))
-    rows = _sum_between(rows, _running(speed, keys, row, "speed"), keys, "_lo", "_hi", "_s")
+    ends = speed.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("speed", row).alias("_x0"), F.max_by("speed", row).alias("_x1"), F.sum("speed").alias("_all"))
+    ends = staged(ends.withColumn("h", F.floor(F.greatest(F.lit(3), F.floor(F.col("n") / 100)) / 2)), "ends")  # its size is known, so that rows need not move
+    rows = _bounded(speed, ends.select(*keys, "n", "h"), keys, row, "speed", {"_lo": -F.col("h"), "_hi": F.col("h") + 1}).join(ends, keys)
     left, right = F.greatest(F.lit(0), F.col("h") - F.col(row)), F.greatest(F.lit(0), F.col(row) + F.col("h") + 1 - F.col("n"))
-    mean = (F.col("_s") + left * F.col("_x0") + right * F.col("_x1")) / (2 * F.col("h") + 1)
-    return rows.select(*keys, row, "n", mean.alias("speed"))
+    inside = F.coalesce("_hi", "_all") - F.coalesce("_lo", F.lit(0.0))
+    mean = (inside + left * F.col("_x0") + right * F.col("_x1")) / (2 * F.col("h") + 1)
+    return rows.where("n >= 8").select(*keys, row, "n", mean.alias("speed"))
+
+
+def _stretches(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """Rows with _run, the same for those whose numbers follow each other."""
+    near = neighbours(rows, keys, [row], {"_was": (row, -1)})
+    new = F.coalesce(F.col(row) - F.col("_was") > 1, F.lit(True)).cast("int")
+    return running_sum(near.withColumn("_new", new), keys, [row], "_new", "_run")
 
 
 def change_points(speed: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
@@ -68,15 +79,15 @@ def change_points(speed: DataFrame, keys: list[str], row: str, settings: Setting
 
     Windows have min(25, max(3, n // 50)) rows; a difference is large above change_point_ratio medians. From 8 rows on.
     """
-    rows = staged(smoothed(speed, keys, row).where("n >= 8"), "smoothed").withColumn("w", F.least(F.lit(25), F.greatest(F.lit(3), F.floor(F.col("n") / 50))))
-    sums = _running(rows, keys, row, "speed")
-    inner = rows.where((F.col(row) >= F.col("w")) & (F.col(row) + F.col("w") <= F.col("n"))).withColumn("_lo", F.col(row) - F.col("w")).withColumn("_hi", F.col(row) + F.col("w"))
-    inner = inner.withColumn("_mid", F.col(row))
-    both = _sum_between(_sum_between(inner, sums, keys, "_lo", "_mid", "_a"), sums, keys, "_mid", "_hi", "_b")
-    shift = staged(both.select(*keys, row, (F.abs(F.col("_b") - F.col("_a")) / F.col("w")).alias("shift")), "shift")
-    middle = summaries(shift, keys, [], {"_m": ("shift", 0.5)}, settings)
-    hot = shift.join(middle, keys).withColumn("_hot", (F.col("_m") > 0) & (F.col("shift") > settings.change_point_ratio * F.col("_m")))
-    marked = running_sum(hot.withColumn("_cold", (~F.col("_hot")).cast("int")), keys, [row], "_cold", "_run").where("_hot")
+    rows = staged(smoothed(speed, keys, row), "smoothed")
+    ends = staged(rows.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("w", F.least(F.lit(25), F.greatest(F.lit(3), F.floor(F.col("n") / 50)))), "widths")
+    sums = _bounded(rows, ends, keys, row, "speed", {"_a": -F.col("w"), "_b": F.lit(0), "_c": F.col("w")})
+    inner = sums.join(ends, keys).where((F.col(row) >= F.col("w")) & (F.col(row) + F.col("w") <= F.col("n")))
+    size = F.abs(F.col("_c") - F.col("_b") - (F.col("_b") - F.coalesce("_a", F.lit(0.0)))) / F.col("w")
+    shift = staged(inner.select(*keys, row, size.alias("shift")), "shift")
+    middle = staged(summaries(shift, keys, [], {"_m": ("shift", 0.5)}, settings), "middle")
+    hot = shift.join(middle, keys).where((F.col("_m") > 0) & (F.col("shift") > settings.change_point_ratio * F.col("_m")))
+    marked = _stretches(hot, keys, row)
     best = marked.groupBy(*keys, "_run").agg(F.max_by(row, F.struct("shift", -F.col(row))).alias("boundary"))
     return best.select(*keys, "boundary", F.lit("velocity").alias("evidence"))
 
@@ -89,11 +100,9 @@ def gripper_flips(frame: DataFrame, keys: list[str], row: str, gripper: str) ->
     return neighbours(rows, keys, [row], {"_p": ("_o", -1)}).where("_o <> _p").select(*keys, F.col(row).alias("boundary"), F.lit("gripper").alias("evidence"))
 
 
-def spikes(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
+def spikes(steps: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows after a second difference above the upper quartile by a large multiple of the quartile distance."""
-    from .quality import second_differences
-
-    dd = second_differences(filled(long, [*keys, "channel"], row, ["x"]), keys, row).where("dd is not null").withColumn("a", F.abs("dd"))
+    dd = steps.where("dd is not null").withColumn("a", F.abs("dd"))
     q = summaries(dd, [*keys, "channel"], [], {"_low": ("a", 0.25), "_high": ("a", 0.75)}, settings)
     limit = F.col("_high") + settings.spike_factor / 5 * (F.col("_high") - F.col("_low"))
     hits = dd.join(q, [*keys, "channel"]).where((F.col("a") > limit) & (F.col("_high") > F.col("_low")))
@@ -103,10 +112,11 @@ def spikes(long: DataFrame, keys: list[str], row: str, settings: Settings = DEFA
 def pause_ends(speed: DataFrame, keys: list[str], row: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows after stretches of at least max(min_pause_steps, 2 % of rows) that are slower than a tenth of the median."""
     stats = summaries(speed, keys, [F.count("*").alias("n"), F.min("speed").alias("_lo")], {"_m": ("speed", 0.5)}, settings)
-    slow = speed.join(stats, keys).withColumn("_slow", F.col("speed") < F.greatest(settings.segment_idle_speed * F.col("_m"), F.col("_lo")))
-    found = runs(slow, keys, [row], "_slow").join(stats.select(*keys, "n"), keys)
+    stats = staged(stats, "speed-stats")
+    slow = speed.join(stats, keys).where(F.col("speed") < F.greatest(settings.segment_idle_speed * F.col("_m"), F.col("_lo")))
+    found = _stretches(slow, keys, row).groupBy(*keys, "_run").agg(F.count("*").alias("n_rows"), F.max(row).alias("_last"), F.first("n").alias("n"))
     long = found.where(F.col("n_rows") >= F.greatest(F.lit(settings.min_pause_steps), F.floor(F.col("n") * 0.02)))
-    after = F.col(f"last.{row}") + 1
+    after = F.col("_last") + 1
     return long.where(after < F.col("n")).select(*keys, after.alias("boundary"), F.lit("pause").alias("evidence"))
 
 
@@ -252,9 +262,9 @@ def segment_actions(
     axis = Axis(frame, keys, row, fps, clock_s)
     found, speed = [], None
     if motion:
-        long = channels(frame, keys, row, motion)
-        speed = staged(speed_profile(long, keys, row, settings), "speed")  # read by five steps
-        found += [change_points(speed, keys, row, settings), spikes(long, keys, row, settings), pause_ends(speed, keys, row, settings)]
+        steps = staged(motion_steps(staged(channels(frame, keys, row, motion), "channels"), keys, row), "steps")
+        speed = staged(speed_profile(steps, keys, row, settings), "speed")  # read by five steps
+        found += [change_points(speed, keys, row, settings), spikes(steps, keys, row, settings), pause_ends(speed, keys, row, settings)]
     if gripper:
         found.append(gripper_flips(frame, keys, row, gripper))
     out = staged(to_segments(staged(reduce(DataFrame.unionByName, found), "boundaries"), axis.lengths, keys, settings), "segments")

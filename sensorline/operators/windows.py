@@ -168,6 +168,9 @@ def filled(frame: DataFrame, keys: list[str], order: str, columns: list[str], kn
         before, after = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
         new = {c: F.coalesce(near(c, before), near(c, after)).alias(c) for c in columns}
         return frame.select(*[new.get(c, F.col(c)) for c in frame.columns])
+    plan = (frame.sparkSession.sparkContext.applicationId, frame.semanticHash(), "null", *columns)
+    if not any(_recall(plan, lambda: frame.agg(*[F.count_if(F.col(c).isNull()) for c in columns]).first())):
+        return frame  # nothing to fill: one look costs less than a shuffle
     dealt, inside = own_extent.dealt(frame, order, "_bucket"), [*keys, "_bucket"]
     ends = dealt.groupBy(*inside).agg(
         *[f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{e}_{c}") for c in columns for e, f in (("last", F.max_by), ("first", F.min_by))]

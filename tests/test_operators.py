@@ -146,6 +146,25 @@ def test_long_segments_split_and_no_signal_fails(spark):
         segment.segment_actions(table, ["ep"], "row", [], None, 50.0)
 
 
+def test_long_episodes_move_few_times(spark, duck, monkeypatch, tmp_path):
+    """In pieces a mean moves each row twice (sum, and sums to the rows that they bound), and segments are those of the SQL."""
+    from sensorline.plans import registry
+
+    from .conftest import SF, canonical
+
+    spark.range(2_000).select((F.col("id") % 2).alias("ep"), F.floor(F.col("id") / 2).alias("row"), (F.hash("id") % 100 + 100.0).alias("speed")).write.parquet(f"{tmp_path}/speed")
+    speed = spark.read.parquet(f"{tmp_path}/speed")
+    plain = {(r.ep, r.row): r.speed for r in segment.smoothed(speed, ["ep"], "row").collect()}
+    monkeypatch.setattr(windows, "PIECE_ROWS", 300)
+    monkeypatch.setattr(windows, "SPREAD_ROWS", 500)
+    dealt = segment.smoothed(speed, ["ep"], "row")
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4  # two of them of a row for each piece
+    assert {(r.ep, r.row): r.speed for r in dealt.collect()} == pytest.approx(plain) and len(plain) == 2_000
+    got = registry.q35_segments(spark, SF)
+    want = duck.sql(registry.oracle_sql()["q35_segments"])
+    assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(want.fetchall(), want.columns)
+
+
 def test_merge_short_keeps_runs_bounded(spark):
     rows = spark.createDataFrame([("e", 0, 4, "start"), ("e", 5, 9, "x"), ("e", 10, 99, "y"), ("e", 100, 104, "z")], "ep string, start_frame bigint, end_frame bigint, evidence string")
     rows = rows.withColumns({"start_s": F.col("start_frame") / 50.0, "end_s": (F.col("end_frame") + 1) / 50.0})
